@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def byte_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def split_batch(batch: pa.RecordBatch, text: str, max_bytes: int = 8 << 20):
     """Slices of a batch with about ``max_bytes`` of text each, so that working memory is bounded."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > max_bytes:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import sentencepiece_bpe
+from sightline.llm import decontaminate, sentencepiece_bpe
 from sightline.llm.common import table
 
 
@@ -19,7 +19,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_documents(docs, piece_model()))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digests(decontaminate.scan_documents(docs, table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
+    "op8_decontaminate": op8_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
