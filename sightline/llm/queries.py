@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, sentencepiece_bpe
-from sightline.llm.common import table
+from sightline.llm import decontaminate, line_frequency, quality_neighbours, sentencepiece_bpe
+from sightline.llm.common import id_bucket, table
 
 
 def piece_model() -> str:
@@ -19,14 +20,35 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_documents(docs, piece_model()))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_frequency.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(id_bucket(F.col("doc_id"), 4) != 2)
+    model = quality_neighbours.fit(docs, labels)
+    return quality_neighbours.score_documents(docs, model).select(
+        "doc_id",
+        (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digests(decontaminate.scan_documents(docs, table(spark, sf_dir, "benchmark")))
 
 
 QUERIES = {
+    "op7_line_dedup": op7_line_dedup,
+    "op9_quality": op9_quality,
     "op8_decontaminate": op8_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": line_frequency.oracle_sql(),
+}
