@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, line_frequency, quality_neighbours, sentencepiece_bpe
+from sightline.llm import decontaminate, language_spans, line_frequency, quality_neighbours, sentencepiece_bpe
 from sightline.llm.common import id_bucket, table
 
 
@@ -20,6 +20,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_documents(docs, piece_model()))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_bucket(F.col("doc_id"), 4) == 2
+    model = language_spans.learn(docs.where(~held_out))
+    return language_spans.label_spans(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_frequency.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
@@ -43,6 +50,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_language": op5_language,
     "op7_line_dedup": op7_line_dedup,
     "op9_quality": op9_quality,
     "op8_decontaminate": op8_decontaminate,
