@@ -27,7 +27,9 @@ from sightline.llm.common import split_batch
 
 MARK = "▁"
 #: Words kept by each Python worker; beyond that the memo starts afresh.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
+#: Up to so many symbols the agenda is a flat list, whose minimum is faster to find than a heap is to keep.
+FLAT_AGENDA = 32
 
 _CHUNKS = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _ODD = re.compile(rf"  | \n|\n |^ | $|{MARK}")
@@ -44,8 +46,9 @@ class MergeVocabulary:
         lib, size = self.library, self.library.get_piece_size()
         names = [lib.id_to_piece(i) for i in range(size)]
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) for i in range(size)]
-        self.rank = {p: (-lib.get_score(i), i) for i, p in enumerate(names) if not special[i]}
-        self.ids = list(range(size))  # shared integers, so that memoised words hold no copies
+        self.cost = {p: -lib.get_score(i) for i, p in enumerate(names) if not special[i]}
+        # The values are shared integers, so that memoised words hold no copies.
+        self.ids = {p: i for i, p in enumerate(names) if not special[i]}
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = lib.unk_id()
         self.byte_fallback = all(lib.is_byte(i) for i in self.bytes)
@@ -55,54 +58,62 @@ class MergeVocabulary:
             byte_of[i] if i in byte_of else b"" if special[i] else p.replace(MARK, " ").encode()
             for i, p in enumerate(names)
         ]
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.rank):
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.cost):
             raise ValueError("the vocabulary has pieces that cross a word start or a newline")
         self.marked: dict[str, tuple[int, ...]] = {}
         self.bare: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> tuple[int, ...]:
         """Ids of an escaped string, by the agenda of adjacent pairs."""
-        rank, n = self.rank, len(text)
         symbols = list(text)
-        if n > 1:
-            after = list(range(1, n)) + [-1]
-            before = list(range(-1, n - 1))
-            agenda = []
-            for i in range(n - 1):
-                found = rank.get(text[i : i + 2])
-                if found is not None:
-                    agenda.append((found[0], i, i + 1, 2))
-            heapq.heapify(agenda)
-            pop, push = heapq.heappop, heapq.heappush
-            while agenda:
-                _, left, right, size = pop(agenda)
-                a, b = symbols[left], symbols[right]
-                if not a or not b or len(a) + len(b) != size:
-                    continue
-                joined = symbols[left] = a + b
-                symbols[right] = ""
-                nxt = after[left] = after[right]
-                if nxt >= 0:
-                    before[nxt] = left
-                    found = rank.get(joined + symbols[nxt])
-                    if found is not None:
-                        push(agenda, (found[0], left, nxt, size + len(symbols[nxt])))
-                prev = before[left]
-                if prev >= 0:
-                    found = rank.get(symbols[prev] + joined)
-                    if found is not None:
-                        push(agenda, (found[0], prev, left, size + len(symbols[prev])))
-        out = []
-        for s in symbols:
-            if s:
-                found = rank.get(s)
-                if found is not None:
-                    out.append(self.ids[found[1]])
-                elif self.byte_fallback:
-                    out.extend(self.bytes[b] for b in s.encode("utf-8"))
-                else:
-                    out.append(self.unknown)
-        return tuple(out)
+        if len(symbols) > 1:
+            symbols = self._flat(symbols) if len(symbols) <= FLAT_AGENDA else self._heap(symbols)
+        ids = self.ids
+        try:
+            return tuple([ids[s] for s in symbols])
+        except KeyError:
+            return tuple(chain.from_iterable([(ids[s],) if s in ids else self._outside(s) for s in symbols]))
+
+    def _outside(self, symbol: str) -> list[int]:
+        return [self.bytes[b] for b in symbol.encode("utf-8")] if self.byte_fallback else [self.unknown]
+
+    def _flat(self, symbols: list[str]) -> list[str]:
+        """Merge by a list of the pairs' costs; the first of equal costs is the leftmost."""
+        cost, none = self.cost.get, float("inf")
+        agenda = [cost(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(symbols[i] + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def _heap(self, symbols: list[str]) -> list[str]:
+        """Merge by a heap of pairs; entries whose symbols have changed since are passed over."""
+        cost, n = self.cost.get, len(symbols)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        agenda = [(c, i, i + 1, 2) for i in range(n - 1) if (c := cost(symbols[i] + symbols[i + 1])) is not None]
+        heapq.heapify(agenda)
+        while agenda:
+            _, left, right, size = heapq.heappop(agenda)
+            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != size:
+                continue
+            symbols[left] += symbols[right]
+            symbols[right] = ""
+            nxt, prev = after[right], before[left]
+            after[left] = nxt
+            for a, b in ((left, nxt), (prev, left)):
+                if a >= 0 and b >= 0 and (c := cost(symbols[a] + symbols[b])) is not None:
+                    heapq.heappush(agenda, (c, a, b, len(symbols[a]) + len(symbols[b])))
+            if nxt >= 0:
+                before[nxt] = left
+        return [s for s in symbols if s]
 
     def learn(self, words: set[str], memo: dict[str, tuple[int, ...]], marked: bool) -> None:
         """Encode words new to a memo and hold them against the library."""
