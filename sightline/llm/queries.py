@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, language_spans, line_frequency, quality_neighbours, sentencepiece_bpe
+from sightline.llm import decontaminate, language_spans, lattice_lm, line_frequency, quality_neighbours, sentencepiece_bpe
 from sightline.llm.common import id_bucket, table
 
 
@@ -20,6 +20,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_documents(docs, piece_model()))
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = lattice_lm.score_documents(docs, lattice_lm.pieces_of(piece_model()), id_bucket(F.col("doc_id"), 10) != 0, F.col("lang"))
+    return scored.select("doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_bucket(F.col("doc_id"), 4) == 2
@@ -50,6 +56,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice_lm": op1_lattice_lm,
     "op5_language": op5_language,
     "op7_line_dedup": op7_line_dedup,
     "op9_quality": op9_quality,
