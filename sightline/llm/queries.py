@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, language_spans, lattice_lm, line_frequency, quality_neighbours, sentencepiece_bpe
+from sightline.llm import decontaminate, language_spans, lattice_lm, line_frequency, quality_neighbours, sentencepiece_bpe, url_cascade
 from sightline.llm.common import id_bucket, table
 
 
@@ -26,6 +26,15 @@ def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+#: Rules by host and path that are fixed for the registered query.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_cascade.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_bucket(F.col("doc_id"), 4) == 2
@@ -57,6 +66,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
+    "op3_url_cascade": op3_url_cascade,
     "op5_language": op5_language,
     "op7_line_dedup": op7_line_dedup,
     "op9_quality": op9_quality,
@@ -65,5 +75,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_cascade": url_cascade.oracle_sql(URL_RULES),
     "op7_line_dedup": line_frequency.oracle_sql(),
 }
