@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, language_spans, lattice_lm, line_frequency, quality_neighbours, sentencepiece_bpe, url_cascade
+from sightline.llm import decontaminate, language_spans, lattice_lm, line_frequency, multi_index, quality_neighbours, sentencepiece_bpe, url_cascade
 from sightline.llm.common import id_bucket, table
 
 
@@ -26,6 +26,11 @@ def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multi_index.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 #: Rules by host and path that are fixed for the registered query.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -66,6 +71,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
+    "op2_multi_index": op2_multi_index,
     "op3_url_cascade": op3_url_cascade,
     "op5_language": op5_language,
     "op7_line_dedup": op7_line_dedup,
