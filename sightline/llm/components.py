@@ -1,0 +1,39 @@
+"""Connected components of an edge table, in DataFrame operations.
+
+Alternating large-star and small-star steps: a number of rounds logarithmic in the diameter, and
+never more edges than there were. Nothing is collected but two numbers a round.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sightline.llm.common import drop_stage, stage_table
+
+MAX_ROUNDS = 50
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of every node of an edge table of longs; the root is the component's smallest node.
+
+    Null ends, loops and repeated edges don't matter. Raises if it hasn't converged after
+    ``MAX_ROUNDS`` rounds rather than return parts of components.
+    """
+    pairs = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where(f"{a} is not null and {b} is not null")
+    current, mark = stage_table(pairs.distinct(), "cc-edges"), None
+    for _ in range(MAX_ROUNDS):
+        both = current.where("v <> u").unionByName(current.where("v <> u").select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("w"), F.least("v", "m").alias("m"))
+        large = both.join(least, F.col("v") == F.col("w")).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        small_least = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "w")
+        small = large.join(small_least, F.col("v") == F.col("w")).select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("w").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*")
+        new = stage_table(small.where("v <> u").distinct(), "cc-edges")
+        drop_stage(current)
+        current = new
+        now = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if now == mark:
+            roots = current.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+            return current.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
+        mark = now
+    raise RuntimeError(f"components have not converged after {MAX_ROUNDS} rounds")

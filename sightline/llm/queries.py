@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, language_spans, lattice_lm, line_frequency, multi_index, quality_neighbours, sentencepiece_bpe, url_cascade
+from sightline.llm import decontaminate, language_spans, lattice_lm, line_frequency, multi_index, ngram_join, quality_neighbours, sentencepiece_bpe, url_cascade
 from sightline.llm.common import id_bucket, table
 
 
@@ -47,6 +47,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_spans.label_spans(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = ngram_join.join_documents(docs)
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_frequency.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
@@ -74,6 +80,7 @@ QUERIES = {
     "op2_multi_index": op2_multi_index,
     "op3_url_cascade": op3_url_cascade,
     "op5_language": op5_language,
+    "op6_ngram_join": op6_ngram_join,
     "op7_line_dedup": op7_line_dedup,
     "op9_quality": op9_quality,
     "op8_decontaminate": op8_decontaminate,
@@ -82,5 +89,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_cascade": url_cascade.oracle_sql(URL_RULES),
+    "op6_ngram_join": ngram_join.oracle_sql(),
     "op7_line_dedup": line_frequency.oracle_sql(),
 }
