@@ -75,3 +75,16 @@ def split_batch(batch: pa.RecordBatch, text: str, max_bytes: int = 8 << 20):
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def rebatch(batches, rows: int):
+    """The same rows in batches of at least ``rows`` (but the last), for work whose cost is per call."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

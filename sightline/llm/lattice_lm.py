@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import byte_values, drop_stage, split_batch, stage_table
+from sightline.llm.common import byte_values, drop_stage, rebatch, split_batch, stage_table
 
 MARK = "▁"
 BASE = 0x9E3779B97F4A7C15
@@ -38,6 +37,8 @@ MIX = 0xD6E8FEB86659FD93
 SLOTS = 1 << 20
 #: Words whose probabilities travel by broadcast, at most; the others are joined by shuffle.
 HEAD_WORDS = 100_000
+#: Words whose lattices are worked off together; numpy's cost is per call.
+WORDS_AT_ONCE = 200_000
 LOG10 = np.log(10.0)
 
 
@@ -284,7 +285,7 @@ def estimate(counts: DataFrame, pieces: list[str], model: WordModel, iterations:
 
         def expect(batches, current=current):
             total = np.zeros(current.value.log_p.shape)
-            for batch in batches:
+            for batch in rebatch(batches, WORDS_AT_ONCE):
                 words = batch.column("word").to_pylist()
                 for g in range(groups):
                     c = batch.column(f"c{g}").to_numpy()
@@ -310,7 +311,7 @@ def word_scores(counts: DataFrame, lattice: PieceLattice, model: WordModel) -> D
     groups = len(model.tokens)
 
     def score(batches):
-        for batch in batches:
+        for batch in rebatch(batches, WORDS_AT_ONCE):
             words = batch.column("word").to_pylist()
             spelt = current.value.word_log_p(words)
             c = [batch.column(f"c{g}").to_numpy() for g in range(groups)]
@@ -364,18 +365,19 @@ def score_documents(df: DataFrame, pieces: list[str], train: Column, group: Colu
     word = pa.struct([("word", pa.string()), ("n", pa.int64())])
 
     def measure(batches):
-        get = shared.value.get
+        index, rows_ = shared.value
+        get = index.get
         for whole in batches:
             for batch in split_batch(whole, "text"):
                 totals, known, tails, sums = [], [], [], []
                 for data in byte_values(batch.column("text")):
                     words = tokens(data)
-                    found = list(map(get, words))
+                    at = np.array([get(w, -1) for w in words], np.int64)
                     totals.append(len(words) + 1)
-                    inside = [x for x in found if x is not None]
-                    known.append(sum(map(itemgetter(0), inside)) + (all_ends > 0))
-                    sums.append(np.array(inside, np.float64).sum(0)[1:] if inside else np.zeros(groups + 1))
-                    tails.append([{"word": w.decode(), "n": c} for w, c in Counter(w for w, x in zip(words, found, strict=True) if x is None).items()])
+                    found = rows_[at[at >= 0]].sum(0)
+                    known.append(int(found[0]) + (all_ends > 0))
+                    sums.append(found[1:])
+                    tails.append([{"word": w.decode(), "n": c} for w, c in Counter([words[i] for i in np.flatnonzero(at < 0).tolist()]).items()])
                 table = np.array(sums).reshape(len(totals), groups + 1) + np.append(end_base, end_scores)
                 arrays = [pa.array(totals, pa.int64()), pa.array(known, pa.int64()), *(pa.array(x) for x in table.T.copy()), pa.array(tails, pa.list_(word))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("is_train"), *arrays], names=["doc_id", "is_train", "n_tokens", "n_known", "base_score", *names, "tail"])
@@ -403,15 +405,16 @@ def score_documents(df: DataFrame, pieces: list[str], train: Column, group: Colu
     )
 
 
-def _head(scored: DataFrame, most: int, spread: float, groups: int) -> dict[bytes, tuple]:
-    """The most frequent words, ``most`` at most: word -> (known, base, log10 probabilities by group).
+def _head(scored: DataFrame, most: int, spread: float, groups: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """The most frequent words, ``most`` at most: word -> row of (known, base, log10 probabilities by group).
 
     Frequencies' own counts tell from which frequency on there are few enough words.
     """
     ranks = scored.where("whole > 1").groupBy("whole").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("whole", ascending=False)
     fits = ranks["whole"][ranks["words"].cumsum() <= most]
     if not len(fits):
-        return {}
+        return {}, np.zeros((0, groups + 2))
     top = scored.where(F.col("whole") >= int(fits.min())).toPandas()
     base = np.log10((top["train"] + 0.1) / spread)
-    return {w.encode(): row for w, *row in zip(top["word"], (top["train"] > 0).astype(int), base, *(top[f"p{g}"] for g in range(groups)), strict=True)}
+    table = np.column_stack([(top["train"] > 0).astype(float), base, *(top[f"p{g}"] for g in range(groups))])
+    return {w.encode(): i for i, w in enumerate(top["word"])}, table
