@@ -27,7 +27,7 @@ from sightline.llm.common import stage_table
 
 #: Vectors that codebooks and calibration are fitted on, at most.
 SAMPLE = 20_000
-GROUP_ROWS = 8192
+GROUP_ROWS = 2048
 PART_QUERIES = 4096
 
 
