@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, language_spans, lattice_lm, line_frequency, multi_index, ngram_join, quality_neighbours, sentencepiece_bpe, url_cascade
+from sightline.llm import decontaminate, host_text, language_spans, lattice_lm, line_frequency, multi_index, ngram_join, quality_neighbours, sentencepiece_bpe, url_cascade
 from sightline.llm.common import id_bucket, table
 
 
@@ -40,6 +40,11 @@ def op3_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_host_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return host_text.extract_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_bucket(F.col("doc_id"), 4) == 2
@@ -79,6 +84,7 @@ QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_multi_index": op2_multi_index,
     "op3_url_cascade": op3_url_cascade,
+    "op4_host_text": op4_host_text,
     "op5_language": op5_language,
     "op6_ngram_join": op6_ngram_join,
     "op7_line_dedup": op7_line_dedup,
