@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from sightline.sources.views import Views, with_views
+
+_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    """Register a function of ``Views`` under a name, with DuckDB SQL over the views' names for the same rows."""
+
+    def put(function: Callable[[Views], DataFrame]):
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        _QUERIES[name] = function
+        if sql:
+            _SQL[name] = sql
+        return function
+
+    return put
+
+
+def _load() -> None:
+    from sightline.plans import ai_queries, audit_queries, demand_queries, keyword_queries, maintenance_queries, rank_queries, search_queries  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return {name: (lambda spark, sf_dir, f=f: f(Views(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return {name: with_views(sql) for name, sql in _SQL.items()}
