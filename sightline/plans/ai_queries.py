@@ -1 +1,129 @@
-"""Registered queries."""
+"""Registered AI-visibility, backlink and domain queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sightline.functions import expr, urls
+from sightline.operators import keywords as kw
+from sightline.operators import visibility as vis
+from sightline.plans.registry import register
+
+KEYS = ["Brand0", "brand1", "brand2", "nobody"]
+
+
+def _keys(v):
+    return v.mentions.sparkSession.createDataFrame([(k,) for k in KEYS], "label string")
+
+
+@register("a10_a11_share_of_voice", """WITH k AS (SELECT unnest(['Brand0', 'brand1', 'brand2', 'nobody']) AS label), m AS (SELECT lower(brand) AS b, sum(mentions) AS mentions FROM mentions GROUP BY 1),
+r AS (SELECT label, lower(label) = 'brand0' AS is_target, m.mentions FROM k LEFT JOIN m ON lower(label) = b), t AS (SELECT coalesce(sum(mentions), 0) AS total FROM r)
+SELECT label, is_target, mentions::BIGINT AS mentions, CASE WHEN total > 0 AND mentions IS NOT NULL THEN mentions::DOUBLE / total * 100 END AS share_pct FROM r, t""")
+def a10(v):
+    return vis.share_of_voice(v.mentions.select(F.col("brand").alias("key"), "mentions"), _keys(v), "BRAND0")
+
+
+@register("a13_platform_totals", "SELECT sum(mentions)::BIGINT AS mentions, sum(volume)::BIGINT AS volume FROM mentions WHERE platform <> 'chat_gpt'")
+def a13(v):
+    return vis.platform_totals(v.mentions, False)
+
+
+@register("k9_top_queries", "SELECT id, platform, volume FROM mentions WHERE question <> '' QUALIFY row_number() OVER (PARTITION BY platform ORDER BY coalesce(volume, 0) DESC, id) <= 25")
+def k9(v):
+    return vis.top_queries(v.mentions).select("id", "platform", "volume")
+
+
+SOURCES = """ex AS (SELECT platform, source_url, question, first(volume ORDER BY id) AS volume FROM mentions WHERE question <> '' GROUP BY ALL),
+tq AS (SELECT *, row_number() OVER (PARTITION BY platform, source_url ORDER BY coalesce(volume, 0) DESC, question) AS k FROM ex QUALIFY k <= 5),
+qs AS (SELECT platform, source_url, string_agg(question, '|' ORDER BY k) AS questions FROM tq GROUP BY ALL),
+pg AS (SELECT platform, source_url, sum(mentions)::BIGINT AS mentions, sum(volume)::BIGINT AS volume FROM mentions GROUP BY ALL),
+tp AS (SELECT * FROM pg QUALIFY row_number() OVER (PARTITION BY platform ORDER BY coalesce(volume, 0) DESC, coalesce(mentions, 0) DESC, source_url) <= 10),
+cited AS (SELECT platform, source_url, mentions, volume, questions FROM tp LEFT JOIN qs USING (platform, source_url))"""
+
+
+def _mentions(v):
+    return v.mentions
+
+
+@register("j20_cited_sources", f"WITH {SOURCES} SELECT * FROM cited")
+def j20(v):
+    return vis.cited_sources(v.mentions).withColumn("questions", F.array_join("questions", "|"))
+
+
+@register("f12_source_filter", f"WITH {SOURCES} SELECT platform, source_url FROM cited WHERE (contains(lower(source_url || ' ' || coalesce(replace(questions, '|', ' '), '')), 'src1') OR contains(lower(source_url || ' ' || coalesce(replace(questions, '|', ' '), '')), 'the')) AND platform = 'google' AND (mentions IS NULL OR mentions >= 2)")
+def f12(v):
+    return vis.filter_sources(vis.cited_sources(v.mentions), "src1, THE", "", "google", (2, None)).select("platform", "source_url")
+
+
+@register("a12_monthly_volume", "SELECT year, month, sum(volume)::BIGINT AS volume FROM mentions WHERE volume IS NOT NULL GROUP BY year, month ORDER BY year DESC, month DESC LIMIT 12")
+def a12(v):
+    return vis.monthly_volume(v.mentions)
+
+
+@register("h5_brand_mention", r"SELECT conv_id, turn, regexp_matches(text, '\bthe\b', 'i') AS mentioned FROM conversations")
+def h5(v):
+    return vis.brand_mentions(v.conversations, "text", "The").select("conv_id", "turn", "mentioned")
+
+
+@register("f17_backlink_filter", "SELECT id FROM backlinks WHERE (contains(lower(url_from), '0001') OR contains(lower(url_from), '0002')) AND NOT contains(lower(url_from), '99') AND rank >= 10 AND spam_score <= 60 AND dofollow AND NOT is_lost AND NOT is_broken")
+def f17(v):
+    return vis.backlink_filter(v.backlinks, "0001, 0002", "99", rank=(10, None), spam=(None, 60), dofollow=True, hide_lost=True, hide_broken=True).select("id")
+
+
+@register("f18_referring_domains", "SELECT domain_from, backlinks, rank, spam_score FROM (SELECT domain_from, count(*) AS backlinks, max(domain_rank) AS rank, avg(spam_score) AS spam_score FROM backlinks GROUP BY 1) WHERE contains(domain_from, '1') AND backlinks >= 100 AND rank >= 5")
+def f18(v):
+    rows = vis.referring_domains(v.backlinks)
+    return rows.where(kw.api_conditions("1", "", {"backlinks": (100, None), "rank": (5, None)}, field="domain_from", mode="any")).select("domain_from", "backlinks", "rank", "spam_score")
+
+
+@register("f18_linked_pages", "SELECT url_to, count(*) AS backlinks, count(DISTINCT domain_from) AS referring_domains, max(rank) AS rank FROM backlinks GROUP BY 1 HAVING count(DISTINCT domain_from) >= 50 ORDER BY backlinks DESC, url_to LIMIT 20")
+def f18_pages(v):
+    return kw.sorted_by(vis.linked_pages(v.backlinks).where("referring_domains >= 50"), {"backlinks": "backlinks"}, "backlinks", True, "url_to").limit(20)
+
+
+@register("w13_link_history", "SELECT CAST(date_trunc('month', first_seen) AS DATE) AS month, count(*) FILTER (WHERE NOT is_lost) AS new_links, count(*) FILTER (WHERE is_lost) AS lost_links FROM backlinks WHERE first_seen <= DATE '1996-06-30' AND first_seen > DATE '1996-06-30' - INTERVAL 365 DAY GROUP BY 1")
+def w13(v):
+    return vis.link_history(v.backlinks, F.lit("1996-06-30").cast("date"))
+
+
+@register("j22_domain_ratings", "WITH d AS (SELECT DISTINCT domain_from FROM backlinks), r AS (SELECT concat('supplier', lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), '.test') AS host, s_suppkey % 100 AS rating FROM supplier WHERE s_suppkey % 2 = 0) SELECT domain_from, rating FROM d LEFT JOIN r ON regexp_replace(lower(domain_from), '^www\\.', '') = host")
+def j22(v):
+    ratings = v.supplier.where("s_suppkey % 2 = 0").select(F.format_string("supplier%09d.test", "s_suppkey").alias("host"), (F.col("s_suppkey") % 100).alias("rating"))
+    return vis.with_ratings(v.backlinks.select("domain_from").distinct(), ratings)
+
+
+@register("w14_snapshot_freshness", "SELECT o_custkey % 20 AS project_id, max(o_orderkey) AS id, epoch(TIMESTAMP '1998-01-01') - epoch(arg_max(o_orderdate, o_orderkey)) < 86400 * 300 AS fresh FROM orders GROUP BY 1")
+def w14(v):
+    snaps = v.orders.select((F.col("o_custkey") % 20).alias("project_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("taken_at"))
+    return vis.fresh_snapshots(snaps, F.expr("TIMESTAMP '1998-01-01'"), 24 * 300).select("project_id", "id", "fresh")
+
+
+@register("f25_host_matches", "SELECT page_id, regexp_replace(h, '^www\\.', '') = 'example.com' OR ends_with(regexp_replace(h, '^www\\.', ''), '.example.com') AS matches FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h FROM pages)")
+def f25(v):
+    host = F.regexp_extract("url", r"://([^/?#]*)", 1)
+    return v.pages.select("page_id", expr.host_matches(host, F.lit("www.Example.com")).alias("matches"))
+
+
+@register("h4_relative_path", "SELECT page_id, coalesce(nullif(regexp_extract(url, '://[^/?#]*([^#]*)', 1), ''), '/') AS path FROM pages")
+def h4(v):
+    return v.pages.select("page_id", urls.relative_path("url").alias("path"))
+
+
+@register("h4_domain_normalise")
+def h4_domain(v):
+    return v.pages.select("page_id", urls.registrable_domain(F.col("url")).alias("domain"), urls.safe_http_url(F.col("url")).alias("safe_url"), urls.target_kind(F.col("url")).alias("kind"))
+
+
+@register("p12_normal_url")
+def p12(v):
+    return v.pages.select("page_id", urls.normal_url("url").alias("url"), urls.canonical_key("url").alias("key"), urls.same_origin("url", F.lit("https://example.com/")).alias("same_origin"))
+
+
+@register("p15_url_template", r"SELECT page_id, '/' || array_to_string(list_transform(list_filter(string_split(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_full_match(s, '\d+') THEN ':id' WHEN regexp_full_match(s, '\d{4}-\d{2}-\d{2}') THEN ':date' WHEN len(string_split(s, '-')) > 2 THEN ':slug' ELSE s END), '/') AS template FROM pages")
+def p15(v):
+    return v.pages.select("page_id", urls.template(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)).alias("template"))
+
+
+@register("f24_crawlable_url")
+def f24(v):
+    return v.pages.select("page_id", urls.crawlable("url").alias("crawlable"))

@@ -1 +1,110 @@
-"""Registered queries."""
+"""Registered search-performance queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sightline.functions import expr
+from sightline.operators import search
+from sightline.plans.registry import register
+
+SUMS = "coalesce(sum(clicks), 0)::BIGINT AS clicks, coalesce(sum(impressions), 0)::BIGINT AS impressions, CASE WHEN sum(impressions) > 0 THEN sum(clicks)::DOUBLE / sum(impressions) ELSE 0.0 END AS ctr, CASE WHEN sum(impressions) > 0 THEN sum(position * impressions) / sum(impressions) ELSE 0.0 END AS position"
+
+
+@register("a6_search_totals", f"SELECT {SUMS} FROM search_rows")
+def a6(v):
+    return search.totals(v.search_rows)
+
+
+@register("a6_empty_totals", f"SELECT {SUMS} FROM search_rows WHERE query = 'none'")
+def a6_empty(v):
+    return search.totals(v.search_rows.where("query = 'none'"))
+
+
+@register("f20_dimension_report", f"SELECT query, page, {SUMS} FROM search_rows WHERE contains(query, '3') AND page <> '/p4' AND NOT contains(page, '9') GROUP BY query, page ORDER BY clicks DESC, impressions DESC, query, page LIMIT 50 OFFSET 10")
+def f20(v):
+    return search.by_dimensions(v.search_rows, ["query", "page"], [("query", "contains", "3"), ("page", "notEquals", "/p4"), ("page", "notContains", "9")], 50, 10)
+
+
+@register("k10_striking_distance", f"""WITH p AS (SELECT query, page, {SUMS} FROM search_rows GROUP BY query, page), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY position, impressions DESC, page) = 1)
+SELECT query, page, clicks, impressions, position FROM b WHERE position BETWEEN 5 AND 20 ORDER BY impressions DESC, query LIMIT 100""")
+def k10(v):
+    return search.striking_distance(search.page_totals(v.search_rows))
+
+
+@register("w7_period_comparison", f"""SELECT CASE WHEN day BETWEEN DATE '2024-01-16' AND DATE '2024-01-22' THEN 'current' ELSE 'previous' END AS period, {SUMS} FROM search_rows WHERE day BETWEEN DATE '2024-01-09' AND DATE '2024-01-22' GROUP BY 1""")
+def w7(v):
+    return search.period_comparison(v.search_rows, "2024-01-16", "2024-01-22")
+
+
+@register("w8_report_ranges", """SELECT o_orderkey, CAST(greatest(d - INTERVAL 3 DAY - INTERVAL 3 MONTH, d - INTERVAL 16 MONTH) AS DATE) AS quarter_start, CAST(d - INTERVAL 31 DAY AS DATE) AS month_start, CAST(d - INTERVAL 3 DAY AS DATE) AS range_end,
+ CAST(d - INTERVAL 16 MONTH AS DATE) AS floor_start FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 10 = 1)""")
+def w8(v):
+    today = F.to_date("o_orderdate")
+    rows = v.orders.where("o_orderkey % 10 = 1")
+    q, end = expr.report_range(today, "last_3_months")
+    return rows.select("o_orderkey", q.alias("quarter_start"), expr.report_range(today, "last_28_days")[0].alias("month_start"), end.alias("range_end"), expr.report_range(today, "last_16_months")[0].alias("floor_start"))
+
+
+@register("a27_daily_usage", "SELECT CAST(ts AS DATE) AS day, sum(value) AS total FROM events GROUP BY 1")
+def a27(v):
+    return search.daily_series(v.events, F.col("value"))
+
+
+@register("a26_usage_by_feature", "SELECT coalesce(json_extract_string(props, '$.feature'), event_type) AS label, sum(value) AS used FROM events GROUP BY 1 HAVING sum(value) > 0")
+def a26(v):
+    return search.usage_by_feature(v.events)
+
+
+DAILY = "daily AS (SELECT page, CAST(day - DATE '2024-01-01' AS BIGINT) AS day_no, sum(impressions) AS n FROM search_rows GROUP BY page, day)"
+
+
+def _daily(v):
+    return v.search_rows.groupBy("page", F.datediff("day", F.lit("2024-01-01").cast("date")).cast("long").alias("day_no")).agg(F.sum("impressions").alias("n"))
+
+
+@register("d1_d2_demand_regimes", f"""WITH {DAILY}, w AS (SELECT page, day_no, n, sum(n) OVER (PARTITION BY page ORDER BY day_no RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)::BIGINT AS spike, sum(n) OVER (PARTITION BY page ORDER BY day_no RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)::BIGINT AS pulse,
+ sum(n) OVER (PARTITION BY page ORDER BY day_no RANGE BETWEEN 89 PRECEDING AND CURRENT ROW)::BIGINT AS persistence, sum(n) OVER (PARTITION BY page ORDER BY day_no RANGE BETWEEN 364 PRECEDING AND CURRENT ROW)::BIGINT AS baseline FROM daily)
+SELECT page, day_no, spike, pulse, persistence, baseline, CASE WHEN baseline = pulse THEN 'emerging' WHEN spike / 7.0 > 2 * pulse / 30.0 THEN 'spiking' WHEN pulse / 30.0 < 0.5 * persistence / 90.0 THEN 'decaying' ELSE 'steady' END AS regime FROM w""")
+def d1(v):
+    return search.regimes(_daily(v), ["page"], "day_no", "n").select("page", "day_no", "spike", "pulse", "persistence", "baseline", "regime")
+
+
+@register("d3_engagement_norms", """WITH r AS (SELECT event_id, event_type, value / greatest(event_id % 9, 1) AS velocity FROM events WHERE event_id % 5 = 0), m AS (SELECT event_type, median(velocity) AS md FROM r GROUP BY 1), d AS (SELECT event_type, median(abs(velocity - md)) AS mad FROM r JOIN m USING (event_type) GROUP BY 1)
+SELECT event_id, velocity, percent_rank() OVER (PARTITION BY event_type ORDER BY velocity) AS percentile, CASE WHEN mad > 0 THEN (velocity - md) / mad ELSE 0 END AS deviations FROM r JOIN m USING (event_type) JOIN d USING (event_type)""")
+def d3(v):
+    rows = v.events.where("event_id % 5 = 0").select("event_id", "event_type", "value", (F.col("event_id") % 9).alias("age"))
+    return search.engagement_norms(rows, ["event_type"], "value", "age").select("event_id", "velocity", "percentile", "deviations")
+
+
+@register("d5_trend_acceleration", f"WITH {DAILY} SELECT page, day_no, (n - lag(n) OVER (PARTITION BY page ORDER BY day_no))::BIGINT AS acceleration FROM daily")
+def d5(v):
+    return search.acceleration(_daily(v), ["page"], "day_no", "n").select("page", "day_no", "acceleration")
+
+
+@register("w18_addition_frames", "SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS quarter, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3 FROM events")
+def w18(v):
+    return v.events.selectExpr("event_id", "ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quarter", "lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type", "sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3")
+
+
+@register("a21_addition_rollup_cube", "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, grouping(o_orderstatus)::INT AS g FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def a21(v):
+    return v.orders.selectExpr("o_orderstatus AS status", "o_orderpriority AS priority").cube("status", "priority").agg(F.count(F.lit(1)).alias("n"), F.grouping("status").cast("int").alias("g"))
+
+
+@register("j24_addition_full_outer", "SELECT c.c_custkey, n.n_nationkey FROM (SELECT * FROM customer WHERE c_nationkey < 20) c FULL OUTER JOIN nation n ON c.c_nationkey = n.n_nationkey")
+def j24(v):
+    return v.customer.where("c_nationkey < 20").join(v.nation, F.col("c_nationkey") == F.col("n_nationkey"), "full").select("c_custkey", "n_nationkey")
+
+
+@register("k19_addition_set_operations", "(SELECT p_brand FROM part WHERE p_size < 10 INTERSECT SELECT p_brand FROM part WHERE p_size > 40) EXCEPT SELECT p_brand FROM part WHERE p_partkey = 1")
+def k19(v):
+    brands = lambda c: v.part.where(c).select("p_brand")
+    return brands("p_size < 10").intersect(brands("p_size > 40")).subtract(brands("p_partkey = 1"))
+
+
+@register("t1_event_time_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+def t1(v):
+    from sightline.streaming.windows import tumbling
+
+    return tumbling(v.events.withColumn("ts", F.col("ts").cast("timestamp")), "1 day").select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
