@@ -5,8 +5,9 @@ boilerplate ratio are dropped. Counting is exact and cheap in two steps: first o
 of the distinct lines of each page (partial counts before the shuffle, so neither a hot host nor a
 hot line reaches one task), which leaves few candidate hashes; then over the candidates' text.
 The lines of a host that exceed a ratio r number at most its mean distinct lines per page / r, so a
-host's list is short; it is joined to the pages by host (Spark broadcasts it below its size
-threshold, else a shuffle join whose hot hosts AQE splits), and lines are filtered inside the row.
+host's list is short; the lists are written to the shared folder and measured, and joined to the
+pages by host: by broadcast up to ``MAX_BROADCAST`` characters, so that texts are not shuffled, else
+by a shuffle join whose hot hosts AQE splits. Lines are filtered inside the row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import stage_table
+
 RATIO = 0.02
+#: Characters of all lists that may be broadcast.
+MAX_BROADCAST = 16_000_000
 MIN_PAGES = 10
 
 
@@ -56,7 +61,10 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ra
     near-duplicate removal.
     """
     df = df.drop(n_lines, n_dropped)
-    listed = boilerplate_lines(df, host, text, ratio, min_pages).groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__drop"))
+    listed = boilerplate_lines(df, host, text, ratio, min_pages).groupBy(F.col("host").alias("__host")).agg(F.sort_array(F.collect_list("line")).alias("__drop"))
+    listed = stage_table(listed, "boilerplate")
+    size = listed.agg(F.coalesce(F.sum(F.length(F.array_join("__drop", "\n"))), F.lit(0)).alias("n")).first()["n"]
+    listed = F.broadcast(listed) if size <= MAX_BROADCAST else listed
     joined = df.join(listed, F.col(host).eqNullSafe(F.col("__host")), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), trimmed(x))))
