@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -46,6 +48,17 @@ def drop_stage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let Arrow batches of texts hold about ``size`` bytes, unless the session asks for less.
+
+    Batches are bounded by rows otherwise, and ten thousand long texts fill an executor's memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > size:
+        spark.conf.set(key, str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,7 +77,7 @@ def byte_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def split_batch(batch: pa.RecordBatch, text: str, max_bytes: int = 8 << 20):
+def split_batch(batch: pa.RecordBatch, text: str, max_bytes: int = 2 << 20):
     """Slices of a batch with about ``max_bytes`` of text each, so that working memory is bounded."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
     start, total = 0, 0
@@ -88,3 +101,29 @@ def rebatch(batches, rows: int):
             held, n = [], 0
     if n:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+#: What a worker keeps from task to task: name of the operator, function that drops it.
+KEPT: dict[str, object] = {}
+
+
+def give_back(batches, operator: str | None = None):
+    """Pass batches on, now and then returning freed memory to the system: Python workers live on from task to task.
+
+    What other operators' tasks have kept in this worker is dropped first.
+    """
+    for name in [k for k in KEPT if k != operator]:
+        KEPT.pop(name)()
+    for i, batch in enumerate(batches):
+        yield batch
+        if i % 8 == 7:
+            _trim()
+    gc.collect()
+    _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of one C library only
+    if trim:
+        trim(0)

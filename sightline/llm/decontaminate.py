@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import ALNUM_TABLE, byte_values, split_batch
+from sightline.llm.common import ALNUM_TABLE, bound_batches, byte_values, give_back, split_batch
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -94,6 +94,7 @@ def scan_documents(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
     has no window; an item without id marks words but is not listed. Repeated items count once.
     Rows are kept as they are; columns of ``df`` named like the new ones are replaced.
     """
+    bound_batches(df.sparkSession)
     spark = df.sparkSession
     added = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
     df = df.drop(*added)
@@ -135,7 +136,7 @@ def scan_documents(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
 
-    return df.mapInArrow(scan, schema)
+    return df.mapInArrow(lambda b: give_back(scan(b)), schema)
 
 
 def cut_spans(data: bytes, spans) -> bytes:
@@ -173,3 +174,19 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, remove: str = "documents"
 def digests(scanned: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of ``scan_documents``' result."""
     return scanned.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def oracle_sql(docs: str = "documents", benchmark: str = "benchmark", n: int = 10) -> str:
+    """DuckDB SQL for the rows of the registered query."""
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    cut = "array_to_string(w[i:i + n - 1], ' ')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM {docs}),
+b AS (SELECT item_id, w, least({n}, len(w)) AS n FROM (SELECT item_id, {words} AS w FROM {benchmark}) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, {cut} AS t FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+dw AS (SELECT r, n, i, {cut} AS t FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, t)),
+places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed FROM hits GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)"""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import split_batch
+from sightline.llm.common import bound_batches, split_batch
 
 BUCKETS = 1 << 14
 #: First code points of script ranges, in order, and the script from there on.
@@ -143,6 +143,7 @@ def label_spans(df: DataFrame, model: LanguageModel, text: str = "text", penalty
     memory of a slice is bounded by about 8 MB of text or one text. Columns of ``df`` named like
     the new ones are replaced.
     """
+    bound_batches(df.sparkSession)
     known = df.sparkSession.sparkContext.broadcast(model)
     df = df.drop(lang_pred, score, spans)
     schema = T.StructType([*df.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(spans, SPANS)])
@@ -151,7 +152,7 @@ def label_spans(df: DataFrame, model: LanguageModel, text: str = "text", penalty
         fitted = known.value
         names = fitted.languages
         for whole in batches:
-            for batch in split_batch(whole, text):
+            for batch in split_batch(whole, text, 8 << 20):
                 texts = [x if x and _LETTER.search(x) else "" for x in batch.column(text).to_pylist()]
                 docs = [words_of(x) if names else [] for x in texts]
                 index: dict[bytes, int] = {}

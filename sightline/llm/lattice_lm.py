@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import byte_values, drop_stage, rebatch, split_batch, stage_table
+from sightline.llm.common import bound_batches, byte_values, drop_stage, rebatch, split_batch, stage_table
 
 MARK = "▁"
 BASE = 0x9E3779B97F4A7C15
@@ -334,6 +334,7 @@ def score_documents(df: DataFrame, pieces: list[str], train: Column, group: Colu
     by broadcast; each text's other words, once per text, by a join on the word. Tables in between
     are written to the shared folder, so a lost executor costs no recomputation from the texts.
     """
+    bound_batches(df.sparkSession)
     spark = df.sparkSession
     group = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("is_train"), group.alias("group"))

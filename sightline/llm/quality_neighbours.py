@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import byte_values, split_batch
+from sightline.llm.common import bound_batches, byte_values, give_back, split_batch
 
 #: Character classes: code, and the ASCII characters that have it; bytes above ASCII count as letters.
 CLASSES = (
@@ -134,6 +134,7 @@ def score_documents(df: DataFrame, model: NeighbourModel, text: str = "text", sc
     The whole text is used. Null and empty texts have no terms and get the labelled rows' mean.
     Rows are kept as they are; a column of ``df`` named like the new one is replaced.
     """
+    bound_batches(df.sparkSession)
     known = df.sparkSession.sparkContext.broadcast(model)
     df = df.drop(score)
     schema = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
@@ -146,4 +147,4 @@ def score_documents(df: DataFrame, model: NeighbourModel, text: str = "text", sc
                 found = [fitted.votes(np.stack([term_frequencies(x) for x in texts[i : i + 512]])) for i in range(0, len(texts), 512)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], names=[*batch.schema.names, score])
 
-    return df.mapInArrow(measure, schema)
+    return df.mapInArrow(lambda b: give_back(measure(b)), schema)

@@ -97,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_cascade": url_cascade.oracle_sql(URL_RULES),
     "op6_ngram_join": ngram_join.oracle_sql(),
     "op7_line_dedup": line_frequency.oracle_sql(),
+    "op8_decontaminate": decontaminate.oracle_sql(),
 }

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import split_batch
+from sightline.llm.common import KEPT, bound_batches, give_back, split_batch
 
 MARK = "▁"
-#: Words kept by each Python worker; beyond that the memo starts afresh.
-MEMO_WORDS = 1_000_000
+#: Words kept by a Python worker; beyond that the memo starts afresh.
+MEMO_WORDS = 600_000
 #: Up to so many symbols the agenda is a flat list, whose minimum is faster to find than a heap is to keep.
 FLAT_AGENDA = 32
 
@@ -129,11 +129,15 @@ class MergeVocabulary:
                 raise ValueError(f"agenda and library differ on {w[:80]!r}: {mine[:20]} {other[skip:][:20]}")
             memo[w] = mine
 
+    def forget(self) -> None:
+        """Give the memo's memory back."""
+        self.marked.clear()
+        self.bare.clear()
+
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts without special ids."""
         if len(self.marked) + len(self.bare) > MEMO_WORDS:
-            self.marked.clear()
-            self.bare.clear()
+            self.forget()
         parsed: list[list[list[str]]] = []
         marked, bare = set(), set()
         for text in texts:
@@ -177,7 +181,7 @@ class MergeVocabulary:
 
 
 def _loaded(model) -> MergeVocabulary:
-    """The vocabulary of a broadcast model, kept with its memo from task to task."""
+    """The vocabulary of a broadcast model, kept from task to task."""
     key = model.value
     if key not in _LOADED:
         _LOADED.clear()
@@ -197,20 +201,22 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", ids: st
     One narrow pass, no shuffle; the model file (a few hundred kB, read on the driver) is broadcast.
     A null text counts as empty: no ids but the end id, and an empty decoded text. Rows are kept as
     they are, repeated ones too; columns of ``df`` named like the two new ones are replaced. Words
-    without spaces cost O(n log n) in the agenda, and a batch is worked off in slices of about 4 MB
+    without spaces cost O(n log n) in the agenda, and a batch is worked off in slices of about 2 MB
     of text, so very long texts are held one at a time.
     """
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
+    bound_batches(df.sparkSession)
     df = df.drop(ids, decoded)
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
 
     def encode(batches):
         vocab = _loaded(model)
+        KEPT["sentencepiece"] = vocab.forget
         end = [vocab.eos] if end_id else []
         for whole in batches:
             first = True
-            for batch in split_batch(whole, text, 4 << 20):
+            for batch in split_batch(whole, text):
                 texts = [x or "" for x in batch.column(text).to_pylist()]
                 found = vocab.encode_all(texts)
                 back = [vocab.decode(x) for x in found]
@@ -226,7 +232,7 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", ids: st
                     names=[*batch.schema.names, ids, decoded],
                 )
 
-    return df.mapInArrow(encode, schema)
+    return df.mapInArrow(lambda b: give_back(encode(b), "sentencepiece"), schema)
 
 
 def decode_ids(df: DataFrame, model_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

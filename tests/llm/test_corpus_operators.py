@@ -220,12 +220,12 @@ def test_registered_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["op3_url_cascade", "op6_ngram_join", "op7_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_url_cascade", "op6_ngram_join", "op7_line_dedup", "op8_decontaminate"])
 def test_queries_equal_sql(spark, name):
     import __spark_entry__ as entry
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("benchmark", "documents", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = entry.queries()[name](spark, SF)
     want = con.sql(entry.oracle_sql()[name])
