@@ -128,7 +128,7 @@ def family_evidence(events: DataFrame) -> DataFrame:
         F.bool_or("promotable").alias("promotable"),
         F.min("first_observed").alias("first_observed"),
         F.max("last_observed").alias("last_observed"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("geographies")))).alias("geography_count"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("geographies")))).cast("long").alias("geography_count"),
     )
 
 
@@ -231,7 +231,7 @@ def select_feed(scored: DataFrame, keys: tuple[str, ...] = ("project_id",), most
     rows = rows.withColumn("_k", F.row_number().over(window))
     over = F.col("reason").isNull() & (F.col("_k") > most)
     rows = rows.withColumn("reason", F.when(over, "feed_limit").otherwise(F.col("reason")))
-    return rows.withColumns({"rank": F.when(F.col("reason").isNull(), F.col("_k")), "action": F.when(F.col("reason").isNull(), F.when(F.col("band") == "monitor", "monitor_only").otherwise(F.col("action")))}).drop("_k")
+    return rows.withColumns({"rank": F.when(F.col("reason").isNull(), F.col("_k").cast("long")), "action": F.when(F.col("reason").isNull(), F.when(F.col("band") == "monitor", "monitor_only").otherwise(F.col("action")))}).drop("_k")
 
 
 def first_family(obs: DataFrame, definitions: list[tuple[str, list[str]]], title: str = "title") -> DataFrame:

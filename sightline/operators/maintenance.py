@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def duplicate_map(rows: DataFrame, group: list[str], order: list[Column], key: str = "id") -> DataFrame:
     """Each row's place in its group, the group's first row and size; places after the first are duplicates."""
     window = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumns({"keep_rank": F.row_number().over(window), "canonical_id": F.first(key).over(window), "copies": F.count(F.lit(1)).over(Window.partitionBy(*group))})
+    return rows.withColumns({"keep_rank": F.row_number().over(window).cast("long"), "canonical_id": F.first(key).over(window), "copies": F.count(F.lit(1)).over(Window.partitionBy(*group))})
 
 
 def backfilled_value(rows: DataFrame, donors: DataFrame, key: str, column: str, order: Column) -> DataFrame:

@@ -150,7 +150,7 @@ def config_options(configs: DataFrame) -> DataFrame:
     devices = configs.select(F.lit("device").alias("kind"), F.col("devices").alias("value"), rank.cast("string").alias("sort")).distinct()
     places = configs.select(F.lit("location").alias("kind"), F.col("location_code").cast("string").alias("value"), F.col("location_code").cast("string").alias("sort")).distinct()
     window = Window.partitionBy("kind").orderBy("sort")
-    return devices.unionByName(places).select("kind", "value", F.row_number().over(window).alias("place"))
+    return devices.unionByName(places).select("kind", "value", F.row_number().over(window).cast("long").alias("place"))
 
 
 def config_summary(configs: DataFrame, snapshots: DataFrame, runs: DataFrame) -> DataFrame:

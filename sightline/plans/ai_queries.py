@@ -18,7 +18,7 @@ def _keys(v):
 
 @register("a10_a11_share_of_voice", """WITH k AS (SELECT unnest(['Brand0', 'brand1', 'brand2', 'nobody']) AS label), m AS (SELECT lower(brand) AS b, sum(mentions) AS mentions FROM mentions GROUP BY 1),
 r AS (SELECT label, lower(label) = 'brand0' AS is_target, m.mentions FROM k LEFT JOIN m ON lower(label) = b), t AS (SELECT coalesce(sum(mentions), 0) AS total FROM r)
-SELECT label, is_target, mentions::BIGINT AS mentions, CASE WHEN total > 0 AND mentions IS NOT NULL THEN mentions::DOUBLE / total * 100 END AS share_pct FROM r, t""")
+SELECT label, is_target, mentions::BIGINT AS mentions, CASE WHEN total > 0 AND mentions IS NOT NULL THEN mentions::DOUBLE / total * 100 END AS share_pct FROM r, t""", rounded=("share_pct",))
 def a10(v):
     return vis.share_of_voice(v.mentions.select(F.col("brand").alias("key"), "mentions"), _keys(v), "BRAND0")
 
@@ -70,7 +70,7 @@ def f17(v):
     return vis.backlink_filter(v.backlinks, "0001, 0002", "99", rank=(10, None), spam=(None, 60), dofollow=True, hide_lost=True, hide_broken=True).select("id")
 
 
-@register("f18_referring_domains", "SELECT domain_from, backlinks, rank, spam_score FROM (SELECT domain_from, count(*) AS backlinks, max(domain_rank) AS rank, avg(spam_score) AS spam_score FROM backlinks GROUP BY 1) WHERE contains(domain_from, '1') AND backlinks >= 100 AND rank >= 5")
+@register("f18_referring_domains", "SELECT domain_from, backlinks, rank, spam_score FROM (SELECT domain_from, count(*) AS backlinks, max(domain_rank) AS rank, avg(spam_score) AS spam_score FROM backlinks GROUP BY 1) WHERE contains(domain_from, '1') AND backlinks >= 100 AND rank >= 5", rounded=("spam_score",))
 def f18(v):
     rows = vis.referring_domains(v.backlinks)
     return rows.where(kw.api_conditions("1", "", {"backlinks": (100, None), "rank": (5, None)}, field="domain_from", mode="any")).select("domain_from", "backlinks", "rank", "spam_score")

@@ -41,7 +41,7 @@ def _card_sql(device: str) -> str:
  count(*) FILTER (WHERE {p} < {q} OR ({p} IS NOT NULL AND {q} IS NULL)) AS improved, count(*) FILTER (WHERE {p} > {q} OR ({p} IS NULL AND {q} IS NOT NULL)) AS declined FROM wide GROUP BY config_id"""
 
 
-@register("rank_scorecards", f"WITH {WIDE} {_card_sql('desktop')} UNION ALL {_card_sql('mobile')}")
+@register("rank_scorecards", f"WITH {WIDE} {_card_sql('desktop')} UNION ALL {_card_sql('mobile')}", rounded=("visibility", "visibility_delta",))
 def rank_scorecards(v):
     rows = _wide(v)
     return rank.scorecards(rows, "desktop").unionByName(rank.scorecards(rows, "mobile"))
@@ -181,7 +181,7 @@ def k23(v):
     return rank.add_keywords(v.rank_keywords.where("keyword_id < 10"), v.part.select(F.concat(F.lit(" "), F.upper("p_name")).alias("keyword"), F.col("p_partkey").alias("ordinal")), 20)
 
 
-@register("addition_competitor_visibility", f"WITH {DONE}, latest AS (SELECT * FROM done WHERE device = 'desktop' QUALIFY row_number() OVER (PARTITION BY config_id, keyword_id, device ORDER BY checked_at DESC, snapshot_id DESC) = 1) SELECT config_id, sum(coalesce(search_volume, 0) * {CTR.format('position')}) AS captured FROM latest JOIN rank_keywords USING (keyword_id) GROUP BY config_id")
+@register("addition_competitor_visibility", f"WITH {DONE}, latest AS (SELECT * FROM done WHERE device = 'desktop' QUALIFY row_number() OVER (PARTITION BY config_id, keyword_id, device ORDER BY checked_at DESC, snapshot_id DESC) = 1) SELECT config_id, sum(coalesce(search_volume, 0) * {CTR.format('position')}) AS captured FROM latest JOIN rank_keywords USING (keyword_id) GROUP BY config_id", rounded=("captured",))
 def visibility(v):
     done = rank.completed_snapshots(v.rank_snapshots, v.rank_runs).where("device = 'desktop'")
     return rank.competitor_visibility(rank.latest_snapshots(done), v.rank_keywords.select("keyword_id", "search_volume"))

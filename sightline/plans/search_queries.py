@@ -11,7 +11,7 @@ from sightline.plans.registry import register
 SUMS = "coalesce(sum(clicks), 0)::BIGINT AS clicks, coalesce(sum(impressions), 0)::BIGINT AS impressions, CASE WHEN sum(impressions) > 0 THEN sum(clicks)::DOUBLE / sum(impressions) ELSE 0.0 END AS ctr, CASE WHEN sum(impressions) > 0 THEN sum(position * impressions) / sum(impressions) ELSE 0.0 END AS position"
 
 
-@register("a6_search_totals", f"SELECT {SUMS} FROM search_rows")
+@register("a6_search_totals", f"SELECT {SUMS} FROM search_rows", rounded=("ctr", "position",))
 def a6(v):
     return search.totals(v.search_rows)
 
@@ -21,18 +21,18 @@ def a6_empty(v):
     return search.totals(v.search_rows.where("query = 'none'"))
 
 
-@register("f20_dimension_report", f"SELECT query, page, {SUMS} FROM search_rows WHERE contains(query, '3') AND page <> '/p4' AND NOT contains(page, '9') GROUP BY query, page ORDER BY clicks DESC, impressions DESC, query, page LIMIT 50 OFFSET 10")
+@register("f20_dimension_report", f"SELECT query, page, {SUMS} FROM search_rows WHERE contains(query, '3') AND page <> '/p4' AND NOT contains(page, '9') GROUP BY query, page ORDER BY clicks DESC, impressions DESC, query, page LIMIT 50 OFFSET 10", rounded=("ctr", "position",))
 def f20(v):
     return search.by_dimensions(v.search_rows, ["query", "page"], [("query", "contains", "3"), ("page", "notEquals", "/p4"), ("page", "notContains", "9")], 50, 10)
 
 
 @register("k10_striking_distance", f"""WITH p AS (SELECT query, page, {SUMS} FROM search_rows GROUP BY query, page), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY position, impressions DESC, page) = 1)
-SELECT query, page, clicks, impressions, position FROM b WHERE position BETWEEN 5 AND 20 ORDER BY impressions DESC, query LIMIT 100""")
+SELECT query, page, clicks, impressions, position FROM b WHERE position BETWEEN 5 AND 20 ORDER BY impressions DESC, query LIMIT 100""", rounded=("position",))
 def k10(v):
     return search.striking_distance(search.page_totals(v.search_rows))
 
 
-@register("w7_period_comparison", f"""SELECT CASE WHEN day BETWEEN DATE '2024-01-16' AND DATE '2024-01-22' THEN 'current' ELSE 'previous' END AS period, {SUMS} FROM search_rows WHERE day BETWEEN DATE '2024-01-09' AND DATE '2024-01-22' GROUP BY 1""")
+@register("w7_period_comparison", f"""SELECT CASE WHEN day BETWEEN DATE '2024-01-16' AND DATE '2024-01-22' THEN 'current' ELSE 'previous' END AS period, {SUMS} FROM search_rows WHERE day BETWEEN DATE '2024-01-09' AND DATE '2024-01-22' GROUP BY 1""", rounded=("ctr", "position",))
 def w7(v):
     return search.period_comparison(v.search_rows, "2024-01-16", "2024-01-22")
 
@@ -46,12 +46,12 @@ def w8(v):
     return rows.select("o_orderkey", q.alias("quarter_start"), expr.report_range(today, "last_28_days")[0].alias("month_start"), end.alias("range_end"), expr.report_range(today, "last_16_months")[0].alias("floor_start"))
 
 
-@register("a27_daily_usage", "SELECT CAST(ts AS DATE) AS day, sum(value) AS total FROM events GROUP BY 1")
+@register("a27_daily_usage", "SELECT CAST(ts AS DATE) AS day, sum(value) AS total FROM events GROUP BY 1", rounded=("total",))
 def a27(v):
     return search.daily_series(v.events, F.col("value"))
 
 
-@register("a26_usage_by_feature", "SELECT coalesce(json_extract_string(props, '$.feature'), event_type) AS label, sum(value) AS used FROM events GROUP BY 1 HAVING sum(value) > 0")
+@register("a26_usage_by_feature", "SELECT coalesce(json_extract_string(props, '$.feature'), event_type) AS label, sum(value) AS used FROM events GROUP BY 1 HAVING sum(value) > 0", rounded=("used",))
 def a26(v):
     return search.usage_by_feature(v.events)
 
@@ -71,7 +71,7 @@ def d1(v):
 
 
 @register("d3_engagement_norms", """WITH r AS (SELECT event_id, event_type, value / greatest(event_id % 9, 1) AS velocity FROM events WHERE event_id % 5 = 0), m AS (SELECT event_type, median(velocity) AS md FROM r GROUP BY 1), d AS (SELECT event_type, median(abs(velocity - md)) AS mad FROM r JOIN m USING (event_type) GROUP BY 1)
-SELECT event_id, velocity, percent_rank() OVER (PARTITION BY event_type ORDER BY velocity) AS percentile, CASE WHEN mad > 0 THEN (velocity - md) / mad ELSE 0 END AS deviations FROM r JOIN m USING (event_type) JOIN d USING (event_type)""")
+SELECT event_id, velocity, percent_rank() OVER (PARTITION BY event_type ORDER BY velocity) AS percentile, CASE WHEN mad > 0 THEN (velocity - md) / mad ELSE 0 END AS deviations FROM r JOIN m USING (event_type) JOIN d USING (event_type)""", rounded=("velocity", "percentile", "deviations",))
 def d3(v):
     rows = v.events.where("event_id % 5 = 0").select("event_id", "event_type", "value", (F.col("event_id") % 9).alias("age"))
     return search.engagement_norms(rows, ["event_type"], "value", "age").select("event_id", "velocity", "percentile", "deviations")
@@ -82,7 +82,7 @@ def d5(v):
     return search.acceleration(_daily(v), ["page"], "day_no", "n").select("page", "day_no", "acceleration")
 
 
-@register("w18_addition_frames", "SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS quarter, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3 FROM events")
+@register("w18_addition_frames", "SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS quarter, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3 FROM events", rounded=("last3",))
 def w18(v):
     return v.events.selectExpr("event_id", "ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS quarter", "lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type", "sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3")
 
@@ -103,7 +103,7 @@ def k19(v):
     return brands("p_size < 10").intersect(brands("p_size > 40")).subtract(brands("p_partkey = 1"))
 
 
-@register("t1_event_time_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+@register("t1_event_time_windows", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2", rounded=("total",))
 def t1(v):
     from sightline.streaming.windows import tumbling
 
