@@ -195,6 +195,7 @@ def test_blocks():
     assert declared and " ".join(blocks) == "Ti&tle Hello world next a <p> 1 < 2"
     assert host_text.blocks_of("just text") == (["just text"], False)
     assert host_text.blocks_of(None) == ([], False) and host_text.blocks_of("<!-- open") == ([], False)
+    assert host_text.blocks_of('<div class="page has-sidebar">kept<div class="left sidebar">gone</div></div>')[0] == ["kept"]
     assert host_text.blocks_of("<p>" * 3000 + "deep")[0] == ["deep"]
 
 
