@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from sightline.llm.common import KEPT, bound_batches, give_back, split_batch
 
 MARK = "▁"
-#: Words kept by a Python worker; beyond that the memo starts afresh.
+#: Words kept by a Python worker, about 250 bytes each; beyond that the memo starts afresh.
 MEMO_WORDS = 600_000
 #: Up to so many symbols the agenda is a flat list, whose minimum is faster to find than a heap is to keep.
 FLAT_AGENDA = 32
@@ -60,6 +60,7 @@ class MergeVocabulary:
         ]
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.cost):
             raise ValueError("the vocabulary has pieces that cross a word start or a newline")
+        self.memo_words = MEMO_WORDS
         self.marked: dict[str, tuple[int, ...]] = {}
         self.bare: dict[str, tuple[int, ...]] = {}
 
@@ -136,7 +137,7 @@ class MergeVocabulary:
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts without special ids."""
-        if len(self.marked) + len(self.bare) > MEMO_WORDS:
+        if len(self.marked) + len(self.bare) > self.memo_words:
             self.forget()
         parsed: list[list[list[str]]] = []
         marked, bare = set(), set()
@@ -195,7 +196,7 @@ def check_batch(vocab: MergeVocabulary, text: str, ids: list[int], decoded: str)
         raise ValueError(f"encoding differs from the library on a text of {len(text)} characters")
 
 
-def encode_documents(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", end_id: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", end_id: bool = True, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Add ``ids`` (array<int>, the end id last if ``end_id``) and ``decoded`` (string) to every row.
 
     One narrow pass, no shuffle; the model file (a few hundred kB, read on the driver) is broadcast.
@@ -212,6 +213,7 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", ids: st
 
     def encode(batches):
         vocab = _loaded(model)
+        vocab.memo_words = memo_words
         KEPT["sentencepiece"] = vocab.forget
         end = [vocab.eos] if end_id else []
         for whole in batches:
