@@ -81,7 +81,7 @@ SELECT concat('o', CAST(doc_id AS STRING)) AS obs_id, CAST(doc_id % 5 AS INT) AS
  CASE WHEN doc_id % 16 = 5 THEN NULL ELSE CAST(doc_id % 700 AS BIGINT) END AS published_hour, CAST(doc_id AS BIGINT) AS collected_hour, concat('fam', CAST(doc_id % 12 AS STRING)) AS family_id FROM {documents}""",
     "backlinks": """
 SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id, s_suppkey AS domain_id, concat('www.', lower(replace(s_name, '#', '')), '.test') AS domain_from, concat('https://www.', lower(replace(s_name, '#', '')), '.test/', CAST(l_partkey AS STRING)) AS url_from,
- concat('https://site.test/p', CAST(l_partkey % 60 AS STRING)) AS url_to, CAST(l_quantity AS INT) AS rank, CAST(s_acctbal / 100 AS INT) AS domain_rank, CAST(l_tax * 1000 AS INT) AS spam_score,
+ concat('https://site.test/p', CAST(l_partkey % 60 AS STRING)) AS url_to, CAST(l_quantity AS INT) AS rank, CAST(floor(s_acctbal / 100) AS INT) AS domain_rank, CAST(floor(l_tax * 1000 + 0.5) AS INT) AS spam_score,
  CASE WHEN l_returnflag = 'R' THEN false ELSE true END AS dofollow, CASE WHEN l_returnflag = 'A' THEN true ELSE false END AS is_lost, CASE WHEN l_linenumber = 5 THEN true ELSE false END AS is_broken, CAST(l_shipdate AS DATE) AS first_seen
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
     "mentions": """
