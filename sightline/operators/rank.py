@@ -54,27 +54,34 @@ def by_device(results: DataFrame) -> DataFrame:
     return results.groupBy("config_id", "keyword_id").pivot("device", list(DEVICES)).agg(cell)
 
 
-def scorecards(rows: DataFrame, device: str, keys: tuple[str, ...] = ("config_id",)) -> DataFrame:
-    """Visibility (share of click potential, percent), its change, ranking counts, improved and declined.
-
-    ``rows`` are of ``by_device`` with ``search_volume``. New entries improve, lost ones decline.
-    Visibility is null without volumes.
-    """
+def _card(device: str) -> dict[str, Column]:
     p, q = F.col(f"{device}.position"), F.col(f"{device}.previous_position")
     volume = F.when(F.col("search_volume") > 0, F.col("search_volume"))
     count = lambda c: F.count(F.when(c, True)).cast("long")
     share = lambda x: F.when(F.sum(volume) > 0, F.sum(volume * ctr(x)) / (F.sum(volume) * ctr(F.lit(1))) * 100)
-    out = rows.groupBy(*keys).agg(
-        share(p).alias("visibility"),
-        (share(p) - share(q)).alias("visibility_delta"),
-        count(p.isNotNull()).alias("ranking"),
-        (count(p.isNotNull()) - count(q.isNotNull())).alias("ranking_delta"),
-        count(p <= 3).alias("top3"),
-        count(p <= 10).alias("top10"),
-        count((p < q) | (p.isNotNull() & q.isNull())).alias("improved"),
-        count((p > q) | (p.isNull() & q.isNotNull())).alias("declined"),
-    )
-    return out.withColumn("device", F.lit(device))
+    return {
+        "visibility": share(p),
+        "visibility_delta": share(p) - share(q),
+        "ranking": count(p.isNotNull()),
+        "ranking_delta": count(p.isNotNull()) - count(q.isNotNull()),
+        "top3": count(p <= 3),
+        "top10": count(p <= 10),
+        "improved": count((p < q) | (p.isNotNull() & q.isNull())),
+        "declined": count((p > q) | (p.isNull() & q.isNotNull())),
+    }
+
+
+def scorecards(rows: DataFrame, *devices: str, keys: tuple[str, ...] = ("config_id",)) -> DataFrame:
+    """Visibility (share of click potential, percent), its change, ranking counts, improved and declined, by device.
+
+    ``rows`` are of ``by_device`` with ``search_volume``. New entries improve, lost ones decline.
+    Visibility is null without volumes. All devices share one aggregation.
+    """
+    devices = devices or DEVICES
+    cards = {d: _card(d) for d in devices}
+    out = rows.groupBy(*keys).agg(*(x.alias(f"{d}_{c}") for d, card in cards.items() for c, x in card.items()))
+    each = (F.struct(F.lit(d).alias("device"), *(F.col(f"{d}_{c}").alias(c) for c in card)) for d, card in cards.items())
+    return out.select(*keys, F.inline(F.array(*each)))
 
 
 def position_buckets(snapshots: DataFrame, runs: DataFrame, device: str, since: Column | None = None) -> DataFrame:

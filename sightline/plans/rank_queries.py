@@ -43,8 +43,7 @@ def _card_sql(device: str) -> str:
 
 @register("rank_scorecards", f"WITH {WIDE} {_card_sql('desktop')} UNION ALL {_card_sql('mobile')}", rounded=("visibility", "visibility_delta",))
 def rank_scorecards(v):
-    rows = _wide(v)
-    return rank.scorecards(rows, "desktop").unionByName(rank.scorecards(rows, "mobile"))
+    return rank.scorecards(_wide(v), "desktop", "mobile")
 
 
 @register("w3_compared_results", f"WITH {COMPARED} SELECT * FROM compared")
