@@ -271,3 +271,15 @@ SELECT page_id AS id, CASE WHEN NOT ok THEN 'ai-crawler-live-probe-error' WHEN b
 def p21(v):
     rows = v.pages.selectExpr("page_id AS id", "page_id % 6 <> 0 AS baseline_ok", "1000 AS baseline_length", "'search' AS purpose", "page_id % 9 = 4 AS blocked", "CAST(NULL AS STRING) AS error", "page_id % 13 * 100 AS length", "false AS truncated")
     return robots.live_issues(rows).select("id", "issue_type")
+
+
+@register("s14_sitemap_urls", "SELECT DISTINCT url FROM pages WHERE page_id % 2 = 0")
+def s14(v):
+    from sightline.sources.sitemaps import sitemap_urls
+
+    name = lambda k: F.concat(F.lit("https://site.test/map"), k.cast("string"))
+    escaped = F.regexp_replace("url", "&", "&amp;")
+    maps = v.pages.where("page_id % 2 = 0").groupBy((F.col("page_id") % 8).alias("k")).agg(F.concat(F.lit("<urlset><url><loc> "), F.array_join(F.collect_list(escaped), "</loc></url>\n<url><loc>"), F.lit(" </loc></url></urlset>")).alias("xml"))
+    index = maps.agg(F.concat(F.lit("<sitemapindex><sitemap><loc>"), F.array_join(F.collect_list(name(F.col("k"))), "</loc></sitemap><sitemap><loc>"), F.lit("</loc></sitemap></sitemapindex>")).alias("xml"))
+    documents = maps.select(name(F.col("k")).alias("url"), "xml").unionByName(index.select(F.lit("https://site.test/index").alias("url"), "xml"))
+    return sitemap_urls(documents, documents.select(F.lit("https://site.test/index").alias("url")).limit(1))
