@@ -64,8 +64,7 @@ SIGNALS = [*demand.POSITIVE, *demand.PENALTY]
 
 
 def _signals(v):
-    rows = v.orders.where("o_orderkey % 3 = 0")
-    return rows.select("o_orderkey", *(((F.col("o_orderkey") * (7 + 2 * i) % 101) / 100.0 + (0.4 if i < 13 else -0.2)).alias(c) for i, c in enumerate(SIGNALS)))
+    return v.orders.select("o_orderkey", *(((F.col("o_orderkey") * (7 + 2 * i) % 101) / 100.0 + (0.4 if i < 13 else -0.2)).alias(c) for i, c in enumerate(SIGNALS)))
 
 
 def _sum(weights: dict[str, float]) -> str:
@@ -74,7 +73,7 @@ def _sum(weights: dict[str, float]) -> str:
 
 _SIG = ", ".join(f"(o_orderkey * {7 + 2 * i} % 101) / 100.0::DOUBLE + {0.4 if i < 13 else -0.2}::DOUBLE AS {c}" for i, c in enumerate(SIGNALS))
 _CONF = " + ".join(f"{c} * {w}::DOUBLE" for c, w in demand.CONFIDENCE.items())
-SCORED = f"""sig AS (SELECT o_orderkey, {_SIG} FROM orders WHERE o_orderkey % 3 = 0), sc AS (SELECT o_orderkey, ({_sum(demand.POSITIVE)}) * 100 AS pos, ({_sum(demand.PENALTY)}) * 35 AS pen,
+SCORED = f"""sig AS (SELECT o_orderkey, {_SIG} FROM orders), sc AS (SELECT o_orderkey, ({_sum(demand.POSITIVE)}) * 100 AS pos, ({_sum(demand.PENALTY)}) * 35 AS pen,
  least(1.0, greatest(0.0, (1 - least(1.0, greatest(0.0, uncertainty))) * 0.06::DOUBLE + {_CONF})) AS sure FROM sig), pr AS (SELECT *, least(100.0, greatest(0.0, pos - pen)) AS pri FROM sc)"""
 
 
@@ -89,12 +88,12 @@ FLAGS = {c: f"o_orderkey % {13 + 4 * i} = 0" for i, c in enumerate(demand.DEDUCT
 _PTS = " + ".join(f"floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {VECTOR[c]}::DOUBLE)) * {m} * 100 + 0.5) / 100" for c, m in demand.POINTS.items())
 _DED = " + ".join(f"CASE WHEN {FLAGS[c]} THEN {m}.0 ELSE 0.0 END" for c, m in demand.DEDUCTIONS.items())
 POINTS = f"""pt AS (SELECT o_orderkey, o_custkey % 9 AS project_id, least(100.0, {_PTS})::DOUBLE AS pos, ({_DED})::DOUBLE AS pen, {FLAGS['compliance_uncertainty']} AS blocked, {FLAGS['vanity']} AS generated_only, o_orderkey % 19 = 0 AS baseline_only, o_orderkey % 23 <> 0 AS promotable,
- floor((0.35 * ({VECTOR['corroboration']}) + 0.25 * ({VECTOR['citation']}) + 0.2 * ({VECTOR['geography']}) + CASE WHEN {FLAGS['compliance_uncertainty']} THEN 0.0 ELSE 0.2 END)::DOUBLE * 1000 + 0.5) / 1000 AS confidence FROM orders WHERE o_orderkey % 2 = 0),
+ floor((0.35 * ({VECTOR['corroboration']}) + 0.25 * ({VECTOR['citation']}) + 0.2 * ({VECTOR['geography']}) + CASE WHEN {FLAGS['compliance_uncertainty']} THEN 0.0 ELSE 0.2 END)::DOUBLE * 1000 + 0.5) / 1000 AS confidence FROM orders),
 pp AS (SELECT *, least(100.0, greatest(0.0, pos - pen)) AS pri FROM pt), pb AS (SELECT *, CASE WHEN blocked THEN 'reject' WHEN pri >= 75 THEN 'ship_now' WHEN pri >= 60 THEN 'validate_next' WHEN pri >= 45 THEN 'monitor' ELSE 'reject' END AS band FROM pp)"""
 
 
 def _points(v):
-    rows = v.orders.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_custkey") % 9).alias("project_id"), *(F.expr(x).cast("double").alias(c) for c, x in VECTOR.items()), *(F.expr(x).alias(c) for c, x in FLAGS.items()), F.expr("o_orderkey % 19 = 0").alias("baseline_only"), F.expr("o_orderkey % 23 <> 0").alias("promotable"))
+    rows = v.orders.select("o_orderkey", (F.col("o_custkey") % 9).alias("project_id"), *(F.expr(x).cast("double").alias(c) for c, x in VECTOR.items()), *(F.expr(x).alias(c) for c, x in FLAGS.items()), F.expr("o_orderkey % 19 = 0").alias("baseline_only"), F.expr("o_orderkey % 23 <> 0").alias("promotable"))
     return demand.points_score(rows)
 
 
@@ -112,7 +111,7 @@ def k8(v):
 
 
 NORM = "trim(regexp_replace(title, '\\s+', ' ', 'g'))"
-MATCH = f"""f AS (SELECT obs_id AS family_id, project_id, {NORM} AS needle FROM observations WHERE CAST(substr(obs_id, 2) AS INT) % 10 = 1),
+MATCH = f"""f AS (SELECT obs_id AS family_id, project_id, {NORM} AS needle FROM observations WHERE CAST(substr(obs_id, 2) AS INT) % 3 = 2),
 a AS (SELECT project_id, concat('https://a.test/', obs_id) AS url, CASE CAST(substr(obs_id, 2) AS INT) % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'faq' ELSE 'tool' END AS kind, {NORM} AS intent, CAST(substr(obs_id, 2) AS INT) % 120 AS age FROM observations WHERE CAST(substr(obs_id, 2) AS INT) % 3 <> 2),
 t AS (SELECT family_id, url, kind, age, needle = intent AS exact, list_distinct(list_filter(string_split(needle, ' '), lambda t: length(t) > 1)) AS x, list_distinct(list_filter(string_split(intent, ' '), lambda t: length(t) > 1)) AS y FROM f JOIN a USING (project_id) WHERE needle <> '' AND intent <> ''),
 s AS (SELECT *, CASE WHEN exact THEN 1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END AS strength FROM t),
@@ -127,8 +126,9 @@ def _assets(v):
 
 
 def _families(v):
+    """Observations that are no assets."""
     n = F.expr("CAST(substr(obs_id, 2) AS INT)")
-    return v.observations.where(n % 10 == 1).select(F.col("obs_id").alias("family_id"), "project_id", F.array(text.normal_text(F.col("title"), compatible=False)).alias("needles"))
+    return v.observations.where(n % 3 == 2).select(F.col("obs_id").alias("family_id"), "project_id", F.array(text.normal_text(F.col("title"), compatible=False)).alias("needles"))
 
 
 @register("j19_best_match", f"WITH {MATCH} SELECT family_id, url, exact, floor(strength * 10000::DOUBLE + 0.5) / 10000 AS strength FROM best")
@@ -153,9 +153,9 @@ def e17(v):
     return demand.select_feed(scored).select("family_id", "priority", "confidence", "band", "status", "reason", "rank", "action")
 
 
-@register("w10_freshness", "WITH a AS (SELECT o_orderkey, greatest(0.0, (epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate)) / 86400.0::DOUBLE) AS age FROM orders WHERE o_orderkey % 7 = 0) SELECT o_orderkey, CASE WHEN age <= 7 THEN 1.0 WHEN age >= 90 THEN 0.0 ELSE floor((90 - age) / 83 * 10000 + 0.5) / 10000 END::DOUBLE AS freshness FROM a")
+@register("w10_freshness", "WITH a AS (SELECT o_orderkey, greatest(0.0, (epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate)) / 86400.0::DOUBLE) AS age FROM orders) SELECT o_orderkey, CASE WHEN age <= 7 THEN 1.0 WHEN age >= 90 THEN 0.0 ELSE floor((90 - age) / 83 * 10000 + 0.5) / 10000 END::DOUBLE AS freshness FROM a")
 def w10(v):
-    return v.orders.where("o_orderkey % 7 = 0").select("o_orderkey", expr.freshness("o_orderdate", F.expr("TIMESTAMP '1998-01-01'")).alias("freshness"))
+    return v.orders.select("o_orderkey", expr.freshness("o_orderdate", F.expr("TIMESTAMP '1998-01-01'")).alias("freshness"))
 
 
 @register("w11_w12_dates_anchor", "SELECT family_id, min(published_hour) AS first_hour, max(published_hour) AS last_hour, arg_min(obs_id, (collected_hour, obs_id)) AS anchor FROM observations GROUP BY 1")
@@ -238,17 +238,17 @@ def j5(v):
     return v.rank_snapshots.join(runs, "run_id").join(F.broadcast(configs), "c").join(F.broadcast(v.projects.where("organization_id = 1")), "project_id").select("snapshot_id", "domain", "name")
 
 
-@register("j15_resolved_evidence", "SELECT l_orderkey, l_linenumber, l_partkey, (o.o_orderkey IS NULL OR p.p_partkey IS NULL) AS missing FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 9 <> 0) o ON l.l_orderkey = o.o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 11 <> 0) p ON l.l_partkey = p.p_partkey WHERE l_orderkey % 10 = 3")
+@register("j15_resolved_evidence", "SELECT l_orderkey, l_linenumber, l_partkey, (o.o_orderkey IS NULL OR p.p_partkey IS NULL) AS missing FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 9 <> 0) o ON l.l_orderkey = o.o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 11 <> 0) p ON l.l_partkey = p.p_partkey")
 def j15(v):
-    links = v.lineitem.where("l_orderkey % 10 = 3").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_orderkey AS event_id", "l_partkey AS obs_id")
+    links = v.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_orderkey AS event_id", "l_partkey AS obs_id")
     out = demand.resolved_evidence(links, v.orders.where("o_orderkey % 9 <> 0").selectExpr("o_orderkey AS event_id"), v.part.where("p_partkey % 11 <> 0").selectExpr("p_partkey AS obs_id"))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "missing")
 
 
-@register("j16_feed_details", "SELECT o_orderkey, o_custkey, count(l_partkey) AS parts, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey), '') AS part_list FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 1 GROUP BY ALL")
+@register("j16_feed_details", "SELECT o_orderkey, o_custkey, count(l_partkey) AS parts, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey), '') AS part_list FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
 def j16(v):
     children = v.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_partkey")).alias("parts"))
-    rows = v.orders.where("o_orderkey % 50 = 1").join(children, "o_orderkey", "left")
+    rows = v.orders.join(children, "o_orderkey", "left")
     return rows.select("o_orderkey", "o_custkey", F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("parts"), F.coalesce(F.array_join(F.col("parts").cast("array<string>"), ","), F.lit("")).alias("part_list"))
 
 

@@ -44,9 +44,9 @@ def k1(v):
     return kw.page_of(kw.sorted_by(_joined(v), FIELDS, "volume", True, "id"), 3, 25).select("id", "search_volume")
 
 
-@register("k1_ascending_nulls_first", f"WITH {JOINED} SELECT id, cpc FROM joined ORDER BY cpc ASC NULLS FIRST, id LIMIT 400")
+@register("k1_ascending_nulls_first", f"WITH {JOINED} SELECT id, cpc FROM joined ORDER BY cpc ASC NULLS FIRST, id")
 def k1b(v):
-    return kw.sorted_by(_joined(v), FIELDS, "cpc", False, "id").limit(400).select("id", "cpc")
+    return kw.sorted_by(_joined(v), FIELDS, "cpc", False, "id").select("id", "cpc")
 
 
 @register("k3_has_more", "SELECT n AS total, 3 * 25 < n AS has_more FROM (SELECT count(*) AS n FROM saved_keywords)")
@@ -181,9 +181,9 @@ def f19(v):
     return _joined(v).where(expr.all_of(expr.range_filter("search_volume", 200), expr.range_filter("difficulty", None, 30), ~F.col("keyword").ilike("%br_ss%"))).select("id")
 
 
-@register("k5_k14_metric_sort", f"WITH {JOINED} SELECT id, coalesce(difficulty, 0) AS d FROM joined ORDER BY coalesce(difficulty, 0), id LIMIT 300")
+@register("k5_k14_metric_sort", f"WITH {JOINED} SELECT id, coalesce(difficulty, 0) AS d FROM joined ORDER BY coalesce(difficulty, 0), id")
 def k14(v):
-    return kw.sorted_by(_joined(v), FIELDS, "difficulty", False, "id", null_value=0).limit(300).select("id", F.coalesce("difficulty", F.lit(0)).alias("d"))
+    return kw.sorted_by(_joined(v), FIELDS, "difficulty", False, "id", null_value=0).select("id", F.coalesce("difficulty", F.lit(0)).alias("d"))
 
 
 @register("k22_trend_points", "SELECT p_partkey, sum(m)::BIGINT AS months, max(ym)::BIGINT AS last_at FROM (SELECT p_partkey, 1 AS m, (2020 + i // 12) * 100 + i % 12 + 1 AS ym, row_number() OVER (PARTITION BY p_partkey ORDER BY (2020 + i // 12) * 100 + i % 12 + 1 DESC) AS k FROM part CROSS JOIN range(0, 20) t(i) WHERE i < 1 + p_partkey % 20) WHERE k <= 12 GROUP BY p_partkey")

@@ -38,10 +38,10 @@ def w7(v):
 
 
 @register("w8_report_ranges", """SELECT o_orderkey, CAST(greatest(d - INTERVAL 3 DAY - INTERVAL 3 MONTH, d - INTERVAL 16 MONTH) AS DATE) AS quarter_start, CAST(d - INTERVAL 31 DAY AS DATE) AS month_start, CAST(d - INTERVAL 3 DAY AS DATE) AS range_end,
- CAST(d - INTERVAL 16 MONTH AS DATE) AS floor_start FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 10 = 1)""")
+ CAST(d - INTERVAL 16 MONTH AS DATE) AS floor_start FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
 def w8(v):
     today = F.to_date("o_orderdate")
-    rows = v.orders.where("o_orderkey % 10 = 1")
+    rows = v.orders
     q, end = expr.report_range(today, "last_3_months")
     return rows.select("o_orderkey", q.alias("quarter_start"), expr.report_range(today, "last_28_days")[0].alias("month_start"), end.alias("range_end"), expr.report_range(today, "last_16_months")[0].alias("floor_start"))
 
@@ -70,10 +70,10 @@ def d1(v):
     return search.regimes(_daily(v), ["page"], "day_no", "n").select("page", "day_no", "spike", "pulse", "persistence", "baseline", "regime")
 
 
-@register("d3_engagement_norms", """WITH r AS (SELECT event_id, event_type, value / greatest(event_id % 9, 1) AS velocity FROM events WHERE event_id % 5 = 0), m AS (SELECT event_type, median(velocity) AS md FROM r GROUP BY 1), d AS (SELECT event_type, median(abs(velocity - md)) AS mad FROM r JOIN m USING (event_type) GROUP BY 1)
+@register("d3_engagement_norms", """WITH r AS (SELECT event_id, event_type, value / greatest(event_id % 9, 1) AS velocity FROM events), m AS (SELECT event_type, median(velocity) AS md FROM r GROUP BY 1), d AS (SELECT event_type, median(abs(velocity - md)) AS mad FROM r JOIN m USING (event_type) GROUP BY 1)
 SELECT event_id, velocity, percent_rank() OVER (PARTITION BY event_type ORDER BY velocity) AS percentile, CASE WHEN mad > 0 THEN (velocity - md) / mad ELSE 0 END AS deviations FROM r JOIN m USING (event_type) JOIN d USING (event_type)""", rounded=("velocity", "percentile", "deviations",))
 def d3(v):
-    rows = v.events.where("event_id % 5 = 0").select("event_id", "event_type", "value", (F.col("event_id") % 9).alias("age"))
+    rows = v.events.select("event_id", "event_type", "value", (F.col("event_id") % 9).alias("age"))
     return search.engagement_norms(rows, ["event_type"], "value", "age").select("event_id", "velocity", "percentile", "deviations")
 
 
