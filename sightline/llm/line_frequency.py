@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import stage_table
+from sightline.llm.ngram_join import join_documents
 
 RATIO = 0.02
 #: Characters of all lists that may be broadcast.
@@ -56,27 +57,66 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ra
     Every row is kept. Other lines stay as they are and in order, joined by newlines; a text without
     boilerplate is unchanged; a text of boilerplate only becomes empty; null stays null, with no
     lines. Repeated rows are pages of their own. Columns of ``df`` named like the new ones are
-    replaced. With ``whole_copies``, a text that would lose more than that share of its characters
-    stays whole: it is a copy of other pages, not a page with boilerplate, and a matter for
-    near-duplicate removal.
+    replaced. With ``whole_copies``, texts that would lose more than that share of their characters
+    and are verified as copies (see ``copies``) lose only the lines that are boilerplate of the host
+    with its copies counted once: their own text is a matter for near-duplicate removal. All other
+    texts lose every listed line, whatever their share.
     """
     df = df.drop(n_lines, n_dropped)
-    listed = boilerplate_lines(df, host, text, ratio, min_pages).groupBy(F.col("host").alias("__host")).agg(F.sort_array(F.collect_list("line")).alias("__drop"))
-    listed = stage_table(listed, "boilerplate")
-    size = listed.agg(F.coalesce(F.sum(F.length(F.array_join("__drop", "\n"))), F.lit(0)).alias("n")).first()["n"]
-    listed = F.broadcast(listed) if size <= MAX_BROADCAST else listed
+    found = boilerplate_lines(df, host, text, ratio, min_pages)
+    found = found if whole_copies is None else stage_table(found, "boilerplate-lines")
+    listed = found.groupBy(F.col("host").alias("__host")).agg(F.sort_array(F.collect_list("line")).alias("__drop"))
+    listed = measured(stage_table(listed, "boilerplate"), "__drop")
     joined = df.join(listed, F.col(host).eqNullSafe(F.col("__host")), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), trimmed(x))))
     joined = joined.withColumn("__kept", kept)
     if whole_copies is not None:
-        left = F.length(F.array_join("__kept", "\n"))
-        joined = joined.withColumn("__kept", F.when(left < (1 - whole_copies) * F.length(text), lines).otherwise(F.col("__kept")))
+        less = F.col("__drop").isNotNull() & (F.length(F.array_join("__kept", "\n")) < (1 - whole_copies) * F.length(text))
+        copied = copies(joined.where(less).select(F.col(host).alias("host"), F.col(text).alias("text")))
+        own = measured(stage_table(lines_of_copies(copied, found, ratio, min_pages).groupBy(F.col("host").alias("__h")).agg(F.collect_list("line").alias("__own")), "copied-lines"), "__own")
+        keys = copied.select(F.col("host").alias("__k"), F.col("key").alias("__key"))
+        # About 64 bytes a text: broadcast up to the same size as the lists.
+        keys = F.broadcast(keys) if keys.count() * 64 <= MAX_BROADCAST else keys
+        joined = joined.join(keys, F.col(host).eqNullSafe(F.col("__k")) & (F.md5(text) == F.col("__key")), "left").join(own, F.col(host).eqNullSafe(F.col("__h")), "left")
+        still = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), trimmed(x)) | F.array_contains(F.col("__own"), trimmed(x)))
+        joined = joined.withColumn("__kept", F.when(F.col("__key").isNotNull() & F.col("__own").isNotNull(), still).otherwise(F.col("__kept")))
     size = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     columns = [F.when(F.size("__kept") == F.size(lines), F.col(text)).otherwise(F.array_join("__kept", "\n")).alias(text) if c == text else F.col(f"`{c}`") for c in df.columns]
     return joined.select(*columns, F.when(F.col(text).isNull(), F.lit(0)).otherwise(size).cast("long").alias(n_lines), F.when(F.col(text).isNull(), F.lit(0)).otherwise(size - F.size("__kept")).cast("long").alias(n_dropped))
 
 
+def measured(lists: DataFrame, column: str) -> DataFrame:
+    """Lists of lines, to be broadcast if all of them hold at most ``MAX_BROADCAST`` characters."""
+    size = lists.agg(F.coalesce(F.sum(F.length(F.array_join(column, "\n"))), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(lists) if size <= MAX_BROADCAST else lists
+
+
+def copies(suspects: DataFrame) -> DataFrame:
+    """(host, key, text, n, class): the distinct texts that share a class with another page of the host.
+
+    ``suspects`` have host and text; ``n`` pages hold a text. A class holds the equal texts and those
+    linked by the rule of near-duplicate removal (word 5-grams, similarity 0.8 or more).
+    """
+    texts = stage_table(suspects.groupBy("host", F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "suspects")
+    once = texts.groupBy("key").agg(F.first("text").alias("text"))
+    classes = stage_table(join_documents(once, n=5, num=80, den=100, doc_id="key").select(F.col("id").alias("key"), F.col("component").alias("class")), "suspect-classes")
+    texts = texts.join(classes, "key")
+    several = texts.groupBy("host", "class").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(F.col("host").alias("__h"), F.col("class").alias("__c"))
+    return stage_table(texts.join(several, F.col("host").eqNullSafe(F.col("__h")) & (F.col("class") == F.col("__c")), "left_semi"), "copies")
+
+
+def lines_of_copies(copied: DataFrame, found: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(host, line) of the boilerplate ``found`` that is none if each class of ``copied`` counts as one page."""
+    line = copied.select("host", "class", "n", F.explode(distinct_lines("text")).alias("line"))
+    surplus = lambda df, *by: df.groupBy("host", "class", *by).agg((F.sum("n") - 1).alias("more")).groupBy("host", *by).agg(F.sum("more").alias("more"))
+    fewer = surplus(line, "line").select(F.col("host").alias("h"), F.col("line").alias("l"), "more")
+    total = surplus(copied).select(F.col("host").alias("t"), F.col("more").alias("fewer"))
+    counted = found.join(fewer, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).join(total, F.col("host").eqNullSafe(F.col("t")))
+    pages, host_pages = F.col("pages") - F.col("more"), F.col("host_pages") - F.col("fewer")
+    return counted.where((pages < min_pages) | (pages <= F.lit(ratio) * host_pages)).select("host", "line")
+
+
 def oracle_sql(table: str = "documents", doc_id: str = "doc_id", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
     """DuckDB SQL for the rows of the registered query."""
     trim = r"regexp_replace({0}, '^[ \t\r]+|[ \t\r]+$', '', 'g')"

@@ -130,6 +130,18 @@ def test_copies_stay_whole(spark):
     assert line_frequency.drop_boilerplate(df).where("doc_id = 0").first()["text"] == ""
 
 
+def test_only_verified_copies_are_spared(spark):
+    menu = "\n".join(f"menu entry {k} of the site template" for k in range(12))
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(25))
+    article = "\n".join(f"copied article line {k} with words k{k}" for k in range(20))
+    near = lambda i: f"{menu}\n{article}\nedit {i}"
+    rows = [(i, f"{menu}\n{own(i)}", "a") for i in range(40)] + [(100 + i, near(i), "a") for i in range(15)] + [(200 + i, f"{menu}\n{article}\nsame", "a") for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cut = {r["doc_id"]: r["text"] for r in line_frequency.drop_boilerplate(df, whole_copies=0.5).collect()}
+    assert all(cut[i] == own(i) for i in range(40))
+    assert all(cut[100 + i] == f"{article}\nedit {i}" and cut[200 + i] == f"{article}\nsame" for i in range(15))
+
+
 # 2
 
 
