@@ -38,7 +38,10 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no markup or never shown.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title head".split())
+RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title".split())
+_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+#: Elements of a head; any other one ends a head that is left open.
+HEAD = RAW.union("base link meta head html".split()) - {"iframe", "object", "svg", "math", "canvas", "audio", "video", "textarea"}
 DROPPED = frozenset("nav footer aside form button select option menu dialog fieldset label".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist note".split())
@@ -83,7 +86,7 @@ def blocks_of(html: str | None) -> tuple[list[str], bool]:
     parts: list[str] = []
     blocks: list[tuple[str, bool]] = []
     dropped = inside = False
-    at, raw = 0, None
+    at = 0
 
     def flush() -> None:
         if parts:
@@ -92,18 +95,16 @@ def blocks_of(html: str | None) -> tuple[list[str], bool]:
                 blocks.append((text, inside))
             parts.clear()
 
-    for m in _TAG.finditer(html):
-        if raw is not None and not (m[1] and m[2] and m[2].lower() == raw):
-            continue
-        if raw is None and m.start() > at and not dropped:
+    while m := _TAG.search(html, at):
+        if stack and stack[-1][0] == "head" and ((m[2] and not m[1] and m[2].lower() not in HEAD) or html[at : m.start()].strip()):
+            stack.pop()
+            dropped, inside = stack[-1][1:] if stack else (False, False)
+        if m.start() > at and not dropped:
             parts.append(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
-        if raw is not None:
-            raw = None
-            continue
         if m[1]:
             if tag not in INLINE:
                 flush()
@@ -116,7 +117,9 @@ def blocks_of(html: str | None) -> tuple[list[str], bool]:
         if tag in RAW:
             flush()
             if not m[3].rstrip().endswith("/"):
-                raw = tag
+                # Its content is no markup: it goes up to its own closing tag, or to the page's end.
+                end = _CLOSE[tag].search(html, at)
+                at = end.end() if end else len(html)
             continue
         if tag not in INLINE:
             flush()
@@ -133,12 +136,12 @@ def blocks_of(html: str | None) -> tuple[list[str], bool]:
                 if stack[i][0] not in INLINE:
                     break
             dropped, inside = stack[-1][1:] if stack else (False, False)
-        dropped = dropped or _no_article(tag, _attributes(m[3]), inside)
+        dropped = dropped or tag == "head" or _no_article(tag, _attributes(m[3]), inside)
         inside = inside or (tag in ROOTS and not dropped)
         if tag in ROOTS:
             flush()
         stack.append((tag, dropped, inside))
-    if raw is None and at < len(html) and not dropped:
+    if at < len(html) and (not dropped or stack[-1][0] == "head"):
         parts.append(html[at:])
     flush()
     declared = any(x for _, x in blocks)

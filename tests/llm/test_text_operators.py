@@ -199,6 +199,19 @@ def test_blocks():
     assert host_text.blocks_of("<p>" * 3000 + "deep")[0] == ["deep"]
 
 
+def test_scripts_and_open_heads_end():
+    for page in (
+        "<script>for(i=0;i<n;i++){}</script><article>kept text</article>",
+        "<style>a<b</STYLE ><article>kept text</article>",
+        "<script>x = '<!--'</script><article>kept text</article>",
+        "<html><head><title>T</title><meta charset=utf-8><body><article>kept text</article>",
+        "<head><title>T</title><link rel=x><article>kept text</article>",
+        "<head><title>T</title><script>a<b</script></head><main>kept text</main>",
+        "<head><title>T</title>kept text",
+    ):
+        assert host_text.blocks_of(page)[0] == ["kept text"], page
+
+
 def test_recurring_runs_equal_brute_force():
     rnd = random.Random(4)
     pages = [[rnd.randrange(3) for _ in range(rnd.randrange(30))] for _ in range(40)]
