@@ -7,7 +7,8 @@ concatenated, their suffixes sorted (by prefix doubling, to the depth of the lea
 matters), and token runs that recur on many distinct pages are boilerplate: they are cut, and the
 unique runs stay. Text inside a declared article must recur on more than ``declared_share`` of
 the pages to be cut, so passages and articles that some pages share are kept; text of a page
-without such declaration on more than ``share``.
+without such declaration on more than ``share``. Pages of equal tokens count as one page, so copies
+don't make boilerplate of their own article.
 
 A host's pages are dealt by hash into shards of about ``SHARD`` pages, each a random sample judged
 by itself, so that no task holds an unbounded host.
@@ -161,8 +162,8 @@ def suffix_ranks(stream: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def recurring(pages: list[list[int]], limits: list[float], run: int = RUN) -> list[np.ndarray]:
-    """For each page, which tokens lie in a run of at least ``run`` tokens that more pages than its limit have."""
+def run_holders(pages: list[list[int]], run: int = RUN) -> list[np.ndarray]:
+    """For each token of each page, how many distinct pages have the run of ``run`` tokens that starts there."""
     sizes = np.array([len(p) for p in pages], np.int64)
     ends = np.cumsum(sizes + 1)
     stream = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
@@ -171,43 +172,60 @@ def recurring(pages: list[list[int]], limits: list[float], run: int = RUN) -> li
         stream[e - 1 - len(p) : e - 1] = p
         stream[e - 1] = -1 - i  # a different end for each page: no run crosses it
     if len(stream) <= run:
-        return [np.zeros(len(p), bool) for p in pages]
+        return [np.zeros(len(p), np.int64) for p in pages]
     rank = suffix_ranks(stream, run)
     array = np.argsort(rank, kind="stable")  # the suffix array, suffixes of equal runs by position
     new_rank = np.concatenate([[True], rank[array][1:] != rank[array][:-1]])
     new_page = new_rank | np.concatenate([[True], owner[array][1:] != owner[array][:-1]])
     group = np.cumsum(new_rank) - 1
-    holders = np.bincount(group, new_page)  # distinct pages of each run
-    hit = np.zeros(len(stream), bool)
-    hit[array] = holders[group] > np.asarray(limits)[owner[array]]
-    marks = np.zeros(len(stream) + run + 1, np.int64)
+    holders = np.empty(len(stream), np.int64)
+    holders[array] = np.bincount(group, new_page)[group]  # distinct pages of each run
+    return [holders[e - 1 - len(p) : e - 1] for p, e in zip(pages, ends.tolist(), strict=True)]
+
+
+def covered(hit: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which tokens of a page lie in a run whose start is hit."""
+    marks = np.zeros(len(hit) + run + 1, np.int64)
     starts = np.flatnonzero(hit)
-    np.add.at(marks, starts, 1)
+    marks[starts] += 1
     np.add.at(marks, starts + run, -1)
-    covered = np.cumsum(marks)[: len(stream)] > 0
-    return [covered[e - 1 - len(p) : e - 1] for p, e in zip(pages, ends.tolist(), strict=True)]
+    return np.cumsum(marks)[: len(hit)] > 0
 
 
-def cut_boilerplate(pages: list[list[str]], declared: list[bool], share: float, declared_share: float, min_pages: int) -> list[list[str]]:
-    """The blocks of one shard of a host without their recurring runs."""
+def recurring(pages: list[list[int]], limits: list[float], run: int = RUN) -> list[np.ndarray]:
+    """For each page, which tokens lie in a run of at least ``run`` tokens that more pages than its limit have."""
+    return [covered(n > limit, run) for n, limit in zip(run_holders(pages, run), limits, strict=True)]
+
+
+def numbered(pages: list[list[str]]) -> list[list[int]]:
+    """Token streams of pages, words as numbers."""
     number: dict[str, int] = {}
     put = number.setdefault
-    streams = [[put(w, len(number)) for b in blocks for w in b.split(" ")] for blocks in pages]
-    limits = [max(min_pages - 1, (declared_share if d else share) * len(pages)) for d in declared]
-    out = []
-    for blocks, cut in zip(pages, recurring(streams, limits), strict=True):
-        if not cut.any():
-            out.append(blocks)
-            continue
-        kept, at = [], 0
-        for b in blocks:
-            words = b.split(" ")
-            left = [w for w, c in zip(words, cut[at : at + len(words)].tolist(), strict=True) if not c]
-            at += len(words)
-            if left:
-                kept.append(" ".join(left))
-        out.append(kept)
-    return out
+    return [[put(w, len(number)) for b in blocks for w in b.split(" ")] for blocks in pages]
+
+
+def cut_boilerplate(pages: list[list[str]], declared: list[bool], share: float, declared_share: float, min_pages: int) -> list[list[str]]:
+    """The blocks of a host without their recurring runs; pages of equal tokens count as one."""
+    place: dict[str, int] = {}
+    at = [place.setdefault(" ".join(blocks), len(place)) for blocks in pages]
+    first = dict(zip(reversed(at), reversed(pages), strict=True))
+    holders = run_holders(numbered([first[i] for i in range(len(place))]))
+    limits = [max(min_pages - 1, (declared_share if d else share) * len(place)) for d in declared]
+    return [without(blocks, covered(holders[i] > limit)) for blocks, i, limit in zip(pages, at, limits, strict=True)]
+
+
+def without(blocks: list[str], cut: np.ndarray) -> list[str]:
+    """The blocks without the tokens that are cut."""
+    if not cut.any():
+        return blocks
+    kept, at = [], 0
+    for b in blocks:
+        words = b.split(" ")
+        left = [w for w, c in zip(words, cut[at : at + len(words)].tolist(), strict=True) if not c]
+        at += len(words)
+        if left:
+            kept.append(" ".join(left))
+    return kept
 
 
 def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), share: float = 0.1, declared_share: float = 0.5, min_pages: int = 5) -> DataFrame:

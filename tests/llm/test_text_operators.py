@@ -242,6 +242,13 @@ def test_boilerplate_of_a_host_is_cut(spark):
     assert {r["text"] for r in got if r["page_id"] == 100} == {"Home News Sport Weather Travel Culture Shop Contact About"}
 
 
+def test_copied_articles_stay(spark):
+    article = " ".join(f"word{k}" for k in range(30))
+    pages = [(i, "http://a.com/x", f"<article>{article}</article>") for i in range(9)] + [(20 + i, "http://b.com/x", article) for i in range(6)]
+    got = host_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == 15 and {r["text"] for r in got} == {article}
+
+
 # 5
 
 
