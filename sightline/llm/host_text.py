@@ -10,8 +10,11 @@ the pages to be cut, so passages and articles that some pages share are kept; te
 without such declaration on more than ``share``. Pages of equal tokens count as one page, so copies
 don't make boilerplate of their own article.
 
-A host's pages are dealt by hash into shards of about ``SHARD`` pages, each a random sample judged
-by itself, so that no task holds an unbounded host.
+The pages of a host of more than ``SHARD`` are dealt by content into shards of about that many, so
+that no task holds an unbounded host. A run on more than a share of the host's pages is on more than
+that share in one of its shards at least: the runs found so are the candidates, whose distinct pages
+are then counted over the whole host, and every page is cut by these counts. Pages are parsed again
+in each of the three passes, which only the first one shuffles.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +34,8 @@ from sightline.llm.common import bound_batches, split_batch, stage_table
 SHARD = 512
 #: Hosts whose shard numbers may be broadcast.
 MAX_HOSTS = 500_000
+#: Runs in the lists of all hosts that may be broadcast, 16 bytes each.
+MAX_RUNS = 2_000_000
 #: Least length, in tokens, of a recurring run; a power of two.
 RUN = 8
 
@@ -228,6 +234,107 @@ def without(blocks: list[str], cut: np.ndarray) -> list[str]:
     return kept
 
 
+def word_codes(words: list[str], memo: dict[str, int]) -> np.ndarray:
+    """64-bit hashes of words; ``memo`` is the caller's."""
+    for w in words:
+        if w not in memo:
+            memo[w] = xxhash.xxh64_intdigest(w)
+    return np.array([memo[w] for w in words], np.uint64)
+
+
+def run_codes(codes: np.ndarray, host: str, run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of host and run for each start of a run of words."""
+    n = len(codes) - run + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    x = np.full(n, xxhash.xxh64_intdigest(host), np.uint64)
+    for k in range(run):
+        x = (x ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x.view(np.int64)
+
+
+def content_code(blocks: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(blocks)) - (1 << 63)
+
+
+def words_of(blocks: list[str]) -> list[str]:
+    return [w for b in blocks for w in b.split(" ")]
+
+
+def parsed(batches, memo_words: int = 200_000):
+    """(slice of a batch, its pages' blocks and declarations, a memo of words)."""
+    memo: dict[str, int] = {}
+    for whole in batches:
+        for batch in split_batch(whole, "__html"):
+            if len(memo) > memo_words:
+                memo.clear()
+            yield batch, [blocks_of(x) for x in batch.column("__html").to_pylist()], memo
+
+
+def lists_of(batch: pa.RecordBatch, name: str):
+    """A column of lists of longs as arrays, nulls as empty ones."""
+    column = batch.column(name)
+    return [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in column]
+
+
+def host_counts(rows: DataFrame, share: float, declared_share: float, min_pages: int) -> DataFrame:
+    """(__host, __total, __runs, __pages) of large hosts: distinct pages, and those of each run on enough of them.
+
+    ``rows`` have __host, __html and __shards. Runs are hashes in ascending order.
+    """
+    least = min(share, declared_share)
+
+    def contents(batches):
+        seen: set[tuple[str, int]] = set()  # copies leave a task once
+        for batch, found, _ in parsed(batches):
+            out = []
+            for host, n, (blocks, _) in zip(batch.column("__host").to_pylist(), batch.column("__shards").to_pylist(), found, strict=True):
+                code = content_code(blocks)
+                if (host, code) not in seen:
+                    seen.add((host, code))
+                    out.append((host, code % n, blocks))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.string()))], names=["__host", "__shard", "__blocks"])
+
+    def candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        host, pages = key[0].as_py(), list({" ".join(b): b for b in table.column("__blocks").to_pylist()}.values())
+        runs, memo = [np.zeros(0, np.int64)], {}
+        for blocks, n in zip(pages, run_holders(numbered(pages)), strict=True):
+            starts = np.flatnonzero(n[: max(len(n) - RUN + 1, 0)] > least * len(pages))
+            if len(starts):
+                runs.append(run_codes(word_codes(words_of(blocks), memo), host)[starts])
+        found = np.unique(np.concatenate(runs))
+        return pa.table({"__host": pa.array([host] * (len(found) + 1), pa.string()), "__run": pa.array([None, *found.tolist()], pa.int64()), "__n": pa.array([len(pages), *[0] * len(found)], pa.int64())})
+
+    dealt = rows.mapInArrow(contents, "__host string, __shard long, __blocks array<string>")
+    noted = stage_table(dealt.groupBy("__host", "__shard").applyInArrow(candidates, "__host string, __run long, __n long"), "host-runs")
+    lists = listed(noted.groupBy("__host").agg(F.sum("__n").alias("__total"), F.sort_array(F.collect_set("__run")).alias("__runs")))
+
+    def holders(batches):
+        for batch, found, memo in parsed(batches):
+            runs, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for host, (blocks, _), known in zip(batch.column("__host").to_pylist(), found, lists_of(batch, "__runs"), strict=True):
+                own = np.unique(run_codes(word_codes(words_of(blocks), memo), host))
+                own = own[np.isin(own, known)] if len(known) else own[:0]
+                runs.append(own)
+                codes.append(np.full(len(own), content_code(blocks), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs)), pa.array(np.concatenate(codes))], names=["__run", "__content"])
+
+    pages = rows.join(lists.select("__host", "__runs"), "__host").mapInArrow(holders, "__run long, __content long")
+    counts = pages.distinct().groupBy("__run").agg(F.count(F.lit(1)).alias("__pages"))
+    runs = lists.select("__host", "__total", F.explode("__runs").alias("__run")).join(counts, "__run")
+    enough = (F.col("__pages") >= min_pages) & (F.col("__pages") > F.lit(least) * F.col("__total"))
+    ordered = runs.where(enough).groupBy("__host").agg(F.sort_array(F.collect_list(F.struct("__run", "__pages"))).alias("__x"))
+    return listed(lists.select("__host", "__total").join(ordered, "__host", "left").select("__host", "__total", F.col("__x.__run").alias("__runs"), F.col("__x.__pages").alias("__pages")))
+
+
+def listed(lists: DataFrame) -> DataFrame:
+    """The hosts' lists of runs, written, and broadcast if measured small."""
+    lists = stage_table(lists, "host-lists")
+    size = lists.agg(F.coalesce(F.sum(F.greatest(F.size("__runs"), F.lit(1)) + 4), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(lists) if size <= MAX_RUNS else lists
+
+
 def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), share: float = 0.1, declared_share: float = 0.5, min_pages: int = 5) -> DataFrame:
     """``keep`` columns and ``text`` (empty if there is none) of every row, repeated rows included.
 
@@ -238,26 +345,43 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: tupl
     """
     bound_batches(df.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1)), F.lit(""))
-    rows = df.select(*keep, F.col(html).cast("string").alias("__html"), host.alias("__host"), F.xxhash64(url, F.length(html)).alias("__h"), F.monotonically_increasing_id().alias("__row"))
-    shards = df.groupBy(host.alias("__host")).agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("__shards"))
-    shards = stage_table(shards, "host-shards")
-    # A few bytes a host: broadcast up to a counted number, so that blocks are shuffled once, by shard.
-    shards = F.broadcast(shards) if shards.count() <= MAX_HOSTS else shards
+    rows = df.select(*keep, F.col(html).cast("string").alias("__html"), host.alias("__host"))
+    large = df.groupBy(host.alias("__host")).agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("__shards")).where(F.col("__shards") > 1)
+    large = stage_table(large, "host-shards")
+    n_large = large.count()
+    # A few bytes a host: broadcast up to a counted number, so that pages are not shuffled.
+    large = F.broadcast(large) if n_large <= MAX_HOSTS else large
     kept = [rows.schema[c] for c in keep]
-    added = [T.StructField("__host", T.StringType()), T.StructField("__h", T.LongType()), T.StructField("__row", T.LongType()), T.StructField("__blocks", T.ArrayType(T.StringType())), T.StructField("__declared", T.BooleanType())]
+    out = T.StructType([*kept, T.StructField("text", T.StringType())])
+    added = [T.StructField("__host", T.StringType()), T.StructField("__blocks", T.ArrayType(T.StringType())), T.StructField("__declared", T.BooleanType())]
 
     def read(batches):
-        for whole in batches:
-            for batch in split_batch(whole, "__html"):
-                found = [blocks_of(x) for x in batch.column("__html").to_pylist()]
-                columns = [batch.column(c) for c in (*keep, "__host", "__h", "__row")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([d for _, d in found], pa.bool_())], names=[*keep, *(f.name for f in added)])
-
-    parsed = rows.mapInArrow(read, T.StructType([*kept, *added])).join(shards, "__host").withColumn("__shard", F.pmod(F.xxhash64("__h", "__row"), F.col("__shards")))
+        for batch, found, _ in parsed(batches):
+            columns = [batch.column(c) for c in (*keep, "__host")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([d for _, d in found], pa.bool_())], names=[*keep, *(f.name for f in added)])
 
     def cut(table: pa.Table) -> pa.Table:
-        table = table.sort_by("__row")
         pages = cut_boilerplate(table.column("__blocks").to_pylist(), table.column("__declared").to_pylist(), share, declared_share, min_pages)
         return pa.table({**{c: table.column(c) for c in keep}, "text": pa.array([" ".join(b) for b in pages], pa.string())})
 
-    return parsed.groupBy("__host", "__shard").applyInArrow(cut, T.StructType([*kept, T.StructField("text", T.StringType())]))
+    def cut_counted(batches):
+        for batch, found, memo in parsed(batches):
+            texts = []
+            facts = zip(batch.column("__host").to_pylist(), batch.column("__total").to_pylist(), lists_of(batch, "__runs"), lists_of(batch, "__pages"), found, strict=True)
+            for host, total, runs, pages, (blocks, declared) in facts:
+                own = run_codes(word_codes(words_of(blocks), memo), host) if len(runs) else np.zeros(0, np.int64)
+                if len(own):
+                    at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+                    holders = np.where(runs[at] == own, pages[at], 0)
+                    hit = np.zeros(len(own) + RUN - 1, bool)
+                    hit[: len(own)] = holders > max(min_pages - 1, (declared_share if declared else share) * total)
+                    blocks = without(blocks, covered(hit))
+                texts.append(" ".join(blocks))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
+
+    small = rows.join(large, "__host", "left_anti").mapInArrow(read, T.StructType([*kept, *added])).groupBy("__host").applyInArrow(cut, out)
+    if not n_large:
+        return small
+    many = rows.join(large, "__host")
+    counted = many.join(host_counts(many, share, declared_share, min_pages), "__host")
+    return small.unionByName(counted.mapInArrow(cut_counted, out))

@@ -242,6 +242,21 @@ def test_boilerplate_of_a_host_is_cut(spark):
     assert {r["text"] for r in got if r["page_id"] == 100} == {"Home News Sport Weather Travel Culture Shop Contact About"}
 
 
+def test_large_hosts_are_counted_whole(spark, monkeypatch):
+    words = lambda name, n=10: " ".join(f"{name}{k}" for k in range(n))
+    pages, want = [], {}
+    for i in range(200):
+        # On 21 (more than a tenth) and 20 of 200 pages; in shards of about 16 some would tell otherwise.
+        parts = [words(f"own{i}x"), words("often") if i % 9 == 0 and i < 189 else "", words("rare") if i % 10 == 1 else ""]
+        want[i] = " ".join(x for x in (parts[0], parts[2]) if x)
+        pages.append((i, "http://a.com/x", " ".join(f"<p>{x}</p>" for x in parts)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    monkeypatch.setattr(host_text, "SHARD", 16)
+    for copies in (df, df.unionByName(df.where("page_id % 10 = 1")).repartition(5)):
+        got = host_text.extract_text(copies).collect()
+        assert len(got) == copies.count() and {(r["page_id"], r["text"]) for r in got} == set(want.items())
+
+
 def test_copied_articles_stay(spark):
     article = " ".join(f"word{k}" for k in range(30))
     pages = [(i, "http://a.com/x", f"<article>{article}</article>") for i in range(9)] + [(20 + i, "http://b.com/x", article) for i in range(6)]
