@@ -164,17 +164,18 @@ def redirect_walks(pages: DataFrame, max_rounds: int = 40) -> DataFrame:
     return chains.unionByName(head_loops).unionByName(lonely)
 
 
-def crawl_depths(start: DataFrame, links: DataFrame, max_depth: int = 30) -> DataFrame:
+def crawl_depths(start: DataFrame, links: DataFrame) -> DataFrame:
     """(url, depth) of all urls reachable from the start urls: breadth first, a join per level."""
     found = stage(start.select("url").distinct().withColumn("depth", F.lit(0)), "depth")
     edges = links.where("is_internal").select(F.col("source_url").alias("url"), F.col("target_url").alias("to")).distinct()
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         fresh = found.where(F.col("depth") == depth - 1).join(edges, "url").select(F.col("to").alias("url")).distinct().join(found, "url", "left_anti").withColumn("depth", F.lit(depth))
         fresh = stage(fresh, "depth")
         if fresh.isEmpty():
             return found
         found = stage(found.unionByName(fresh), "depth")
-    return found
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

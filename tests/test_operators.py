@@ -163,6 +163,12 @@ def test_redirect_walks(spark, edges, want):
     assert {(r["url"], r["issue_type"], r["hops"], r["final_url"]) for r in audit.redirect_walks(rows).collect()} == want
 
 
+def test_crawl_depths_of_a_deep_site(spark):
+    links = spark.createDataFrame([(f"u{i}", f"u{i + 1}", True) for i in range(33)] + [("u33", "u0", True)], "source_url string, target_url string, is_internal boolean")
+    got = audit.crawl_depths(spark.createDataFrame([("u0",)], "url string"), links).collect()
+    assert sorted((r["depth"], r["url"]) for r in got) == [(i, f"u{i}") for i in range(34)]
+
+
 def test_html_facts(spark):
     source = '<html><head><title> T </title><meta name="description" content=" D "><link rel="canonical" href="/c"><meta name="robots" content="NoIndex"><script type="application/ld+json">{}</script></head><body><h1>One</h1><h3></h3><img src=a><img src=b alt=""><a href="/x#f" rel="nofollow">go  <b>on</b></a><a href="https://other.test/">o</a><a href="mailto:x">m</a><a href="/x">again</a><script>no words</script>three more words</body></html>'
     rows = spark.createDataFrame([(1, "https://s.test/p", source, "none"), (2, None, None, None)], "id long, url string, html string, x_robots_tag string")
