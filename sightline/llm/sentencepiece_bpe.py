@@ -9,6 +9,7 @@ newline (checked when the vocabulary is loaded), so no merge crosses a word star
 The text is encoded word by word with a bounded memo of words; every word that enters the memo is
 compared with the sentencepiece library, a whole Arrow batch of new words at a time, and so is the
 first text of each batch, encoded and decoded whole. A difference raises an error.
+Chunks of texts with odd spaces (``_ODD``) enter the memo without this comparison.
 """
 
 from __future__ import annotations
