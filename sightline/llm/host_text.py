@@ -1,27 +1,25 @@
 """Operator 4: main text of web pages, by structure and a suffix array per host.
 
-A page is read tag by tag into blocks of text, leaving out what its markup declares to be no
-article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts). If the page
+A page is read once into blocks of text (``page_blocks``), leaving out what its markup declares to be
+no article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts). If the page
 has article or main elements, only their blocks count. The token streams of a host's pages are then
-concatenated, their suffixes sorted (by prefix doubling, to the depth of the least length that
-matters), and token runs that recur on many distinct pages are boilerplate: they are cut, and the
-unique runs stay. Text inside a declared article must recur on more than ``declared_share`` of
-the pages to be cut, so passages and articles that some pages share are kept; text of a page
-without such declaration on more than ``share``. Pages of equal tokens count as one page, so copies
-don't make boilerplate of their own article.
-
-The pages of a host of more than ``SHARD`` are dealt by content into shards of about that many, so
-that no task holds an unbounded host. A run on more than a share of the host's pages is on more than
-that share in one of its shards at least: the runs found so are the candidates, whose distinct pages
-are then counted over the whole host, and every page is cut by these counts. Pages are parsed again
-in each of the three passes, which only the first one shuffles.
+concatenated and all their suffixes sorted whole, with the lengths of their common prefixes; stretches
+of the suffix array whose prefixes agree on ``RUN`` tokens or more are the long substrings, and those
+that recur on many distinct pages are boilerplate: they are cut, and the unique runs stay. Text inside a
+declared article must recur on more than ``declared_share`` of the host's pages to be cut, so passages
+and articles that some pages share are kept; text of a page without such declaration on more than
+``share``. Pages of equal tokens count as one page, so copies don't make boilerplate of their own
+article.
+
+The distinct pages of a host are dealt by content into shards, so that no task holds an unbounded host.
+A run on more than a share of the host's pages is on more than that share in one of its shards at least:
+the runs found so are the candidates, whose distinct pages are then counted over the whole host, and
+every page is cut by these counts. Hosts of every size go this way, and the number of shards and the
+layout of the files change no result.
 """
 
 from __future__ import annotations
 
-import re
-from html import unescape
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,164 +27,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import bound_batches, split_batch, stage_table
+from sightline.llm.common import bound_batches, drop_stage, split_batch, stage_table
+from sightline.llm.page_blocks import blocks_of
 
-SHARD = 512
+#: Pages, and characters of text, that a shard has at most on average.
+SHARD, SHARD_CHARS = 128, 2_000_000
 #: Hosts whose shard numbers may be broadcast.
 MAX_HOSTS = 500_000
 #: Runs in the lists of all hosts that may be broadcast, 16 bytes each.
 MAX_RUNS = 2_000_000
-#: Least length, in tokens, of a recurring run; a power of two.
+#: Least length, in tokens, of a recurring run.
 RUN = 8
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Elements whose content is no markup or never shown.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title".split())
-_CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
-#: Elements of a head; any other one ends a head that is left open.
-HEAD = RAW.union("base link meta head html".split()) - {"iframe", "object", "svg", "math", "canvas", "audio", "video", "textarea"}
-DROPPED = frozenset("nav footer aside form button select option menu dialog fieldset label".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist note".split())
-#: Words of class and id names that mark what is no article.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist respond reply replies disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pager pagination skip search toolbar copyright disclaimer".split()
-)
-#: Words by which a name tells of a layout instead, like ``has-sidebar`` or ``ad-free``.
-LAYOUT = frozenset("no not has with without free".split())
-COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
-ROOTS = frozenset(("article", "main"))
-#: Elements that end an open one of their own kind.
-SIBLINGS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-
-
-def _attributes(source: str) -> dict[str, str]:
-    return {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTR.findall(source)} if source.strip(" /\t\r\n") else {}
-
-
-def _no_article(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is declared to be no article text; ``inside``: of an article or main element."""
-    if tag in DROPPED or (tag == "header" and not inside):
-        return True
-    if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-        return True
-    telling = COMMENTS if tag in ("html", "body", "article", "main") else NAMES
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        words = {w.lower() for w in _WORDS.findall(name)}
-        if words & telling and not words & LAYOUT:
-            return True
-    return False
-
-
-def blocks_of(html: str | None) -> tuple[list[str], bool]:
-    """(blocks of text in page order, whether they stand in declared articles)."""
-    html = html or ""
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, inside a root
-    parts: list[str] = []
-    blocks: list[tuple[str, bool]] = []
-    dropped = inside = False
-    at = 0
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            if text:
-                blocks.append((text, inside))
-            parts.clear()
-
-    while m := _TAG.search(html, at):
-        if stack and stack[-1][0] == "head" and ((m[2] and not m[1] and m[2].lower() not in HEAD) or html[at : m.start()].strip()):
-            stack.pop()
-            dropped, inside = stack[-1][1:] if stack else (False, False)
-        if m.start() > at and not dropped:
-            parts.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag not in INLINE:
-                flush()
-            if any(t == tag for t, _, _ in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
-                dropped, inside = stack[-1][1:] if stack else (False, False)
-            continue
-        if tag in RAW:
-            flush()
-            if not m[3].rstrip().endswith("/"):
-                # Its content is no markup: it goes up to its own closing tag, or to the page's end.
-                end = _CLOSE[tag].search(html, at)
-                at = end.end() if end else len(html)
-            continue
-        if tag not in INLINE:
-            flush()
-        if tag in VOID:
-            if tag == "br":
-                parts.append(" ")
-            continue
-        if tag in SIBLINGS and stack:
-            # An open sibling above the nearest container is closed by this one.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SIBLINGS[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-            dropped, inside = stack[-1][1:] if stack else (False, False)
-        dropped = dropped or tag == "head" or _no_article(tag, _attributes(m[3]), inside)
-        inside = inside or (tag in ROOTS and not dropped)
-        if tag in ROOTS:
-            flush()
-        stack.append((tag, dropped, inside))
-    if at < len(html) and (not dropped or stack[-1][0] == "head"):
-        parts.append(html[at:])
-    flush()
-    declared = any(x for _, x in blocks)
-    return [t for t, x in blocks if x or not declared], declared
-
-
-def suffix_ranks(stream: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix by its first ``depth`` tokens (a power of two), equal for equal runs; prefix doubling."""
-    _, rank = np.unique(stream, return_inverse=True)
-    rank = rank.astype(np.int64)
-    width = 1
-    while width < depth:
-        after = np.full(len(rank), -1, np.int64)
-        after[:-width] = rank[width:]
-        _, rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)
-        width *= 2
-    return rank
+
+def suffix_array(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of all suffixes in order, common prefix of each with the one before), by prefix doubling.
+
+    Each round sorts only the suffixes that are not told apart yet, by what follows their known part.
+    """
+    n = len(stream)
+    order = np.argsort(stream, kind="stable")
+    ordered = stream[order]
+    head = np.ones(n, bool)
+    head[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    levels, depth = [], 1
+    while True:
+        tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+        levels.append((depth, rank.astype(np.int32)))
+        if not len(tied):
+            break
+        suffix = order[tied]
+        after = np.where(suffix + depth < n, rank[np.minimum(suffix + depth, n - 1)], -1)
+        sort = np.lexsort((after, rank[suffix]))
+        suffix, after = suffix[sort], after[sort]
+        first = rank[suffix]
+        new = np.ones(len(tied), bool)
+        new[1:] = (first[1:] != first[:-1]) | (after[1:] != after[:-1])
+        order[tied], head[tied] = suffix, new
+        rank[suffix] = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
+        depth *= 2
+    common = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for depth, equal in reversed(levels):
+        both = np.flatnonzero((a < n) & (b < n))
+        same = both[equal[a[both]] == equal[b[both]]]
+        common[1:][same] += depth
+        a[same] += depth
+        b[same] += depth
+    return order, common
 
 
 def run_holders(pages: list[list[int]], run: int = RUN) -> list[np.ndarray]:
     """For each token of each page, how many distinct pages have the run of ``run`` tokens that starts there."""
     sizes = np.array([len(p) for p in pages], np.int64)
     ends = np.cumsum(sizes + 1)
-    stream = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    n = int(ends[-1]) if len(ends) else 0
+    stream = np.empty(n, np.int64)
     owner = np.repeat(np.arange(len(pages)), sizes + 1)
     for i, (p, e) in enumerate(zip(pages, ends.tolist(), strict=True)):
         stream[e - 1 - len(p) : e - 1] = p
-        stream[e - 1] = -1 - i  # a different end for each page: no run crosses it
-    if len(stream) <= run:
-        return [np.zeros(len(p), np.int64) for p in pages]
-    rank = suffix_ranks(stream, run)
-    array = np.argsort(rank, kind="stable")  # the suffix array, suffixes of equal runs by position
-    new_rank = np.concatenate([[True], rank[array][1:] != rank[array][:-1]])
-    new_page = new_rank | np.concatenate([[True], owner[array][1:] != owner[array][:-1]])
-    group = np.cumsum(new_rank) - 1
-    holders = np.empty(len(stream), np.int64)
-    holders[array] = np.bincount(group, new_page)[group]  # distinct pages of each run
-    return [holders[e - 1 - len(p) : e - 1] for p, e in zip(pages, ends.tolist(), strict=True)]
+        stream[e - 1] = -1 - i  # a different end for each page: no substring crosses it
+    holders = np.zeros(n, np.int64)
+    if n:
+        order, common = suffix_array(stream)
+        group = np.cumsum(common < run) - 1  # stretches of suffixes that share a substring of that length
+        shared = np.flatnonzero(np.bincount(group)[group] > 1)
+        g, page = group[shared], owner[order[shared]]
+        sort = np.lexsort((page, g))
+        g, page, at = g[sort], page[sort], order[shared][sort]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (page[1:] != page[:-1])
+        long = sizes[owner] - (np.arange(n) - (ends - 1 - sizes)[owner]) >= run
+        holders[long] = 1
+        holders[at] = np.bincount(g, new)[g] if len(g) else 0
+    return [holders[e - 1 - s : e - 1] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
 def covered(hit: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -198,40 +114,16 @@ def covered(hit: np.ndarray, run: int = RUN) -> np.ndarray:
     return np.cumsum(marks)[: len(hit)] > 0
 
 
-def recurring(pages: list[list[int]], limits: list[float], run: int = RUN) -> list[np.ndarray]:
-    """For each page, which tokens lie in a run of at least ``run`` tokens that more pages than its limit have."""
-    return [covered(n > limit, run) for n, limit in zip(run_holders(pages, run), limits, strict=True)]
-
-
-def numbered(pages: list[list[str]]) -> list[list[int]]:
+def numbered(pages: list[str]) -> list[list[int]]:
     """Token streams of pages, words as numbers."""
     number: dict[str, int] = {}
     put = number.setdefault
-    return [[put(w, len(number)) for b in blocks for w in b.split(" ")] for blocks in pages]
-
+    return [[put(w, len(number)) for w in page.split()] for page in pages]
 
-def cut_boilerplate(pages: list[list[str]], declared: list[bool], share: float, declared_share: float, min_pages: int) -> list[list[str]]:
-    """The blocks of a host without their recurring runs; pages of equal tokens count as one."""
-    place: dict[str, int] = {}
-    at = [place.setdefault(" ".join(blocks), len(place)) for blocks in pages]
-    first = dict(zip(reversed(at), reversed(pages), strict=True))
-    holders = run_holders(numbered([first[i] for i in range(len(place))]))
-    limits = [max(min_pages - 1, (declared_share if d else share) * len(place)) for d in declared]
-    return [without(blocks, covered(holders[i] > limit)) for blocks, i, limit in zip(pages, at, limits, strict=True)]
 
-
-def without(blocks: list[str], cut: np.ndarray) -> list[str]:
-    """The blocks without the tokens that are cut."""
-    if not cut.any():
-        return blocks
-    kept, at = [], 0
-    for b in blocks:
-        words = b.split(" ")
-        left = [w for w, c in zip(words, cut[at : at + len(words)].tolist(), strict=True) if not c]
-        at += len(words)
-        if left:
-            kept.append(" ".join(left))
-    return kept
+def without(text: str, cut: np.ndarray) -> str:
+    """The blocks (lines) of a page as one text, without the tokens that are cut."""
+    return " ".join(w for w, c in zip(text.split(), cut.tolist(), strict=True) if not c)
 
 
 def word_codes(words: list[str], memo: dict[str, int]) -> np.ndarray:
@@ -254,85 +146,90 @@ def run_codes(codes: np.ndarray, host: str, run: int = RUN) -> np.ndarray:
     return x.view(np.int64)
 
 
-def content_code(blocks: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(blocks)) - (1 << 63)
-
+def content_code(text: str) -> int:
+    """A 64-bit hash of a page's tokens, wherever its blocks end."""
+    return xxhash.xxh64_intdigest(text.replace("\n", " ")) - (1 << 63)
 
-def words_of(blocks: list[str]) -> list[str]:
-    return [w for b in blocks for w in b.split(" ")]
 
-
-def parsed(batches, memo_words: int = 200_000):
-    """(slice of a batch, its pages' blocks and declarations, a memo of words)."""
+def sliced(batches, column: str, memo_words: int = 200_000):
+    """(slice of a batch, a memo of words) with bounded bytes of ``column``."""
     memo: dict[str, int] = {}
     for whole in batches:
-        for batch in split_batch(whole, "__html"):
+        for batch in split_batch(whole, column):
             if len(memo) > memo_words:
                 memo.clear()
-            yield batch, [blocks_of(x) for x in batch.column("__html").to_pylist()], memo
+            yield batch, memo
 
 
 def lists_of(batch: pa.RecordBatch, name: str):
     """A column of lists of longs as arrays, nulls as empty ones."""
-    column = batch.column(name)
-    return [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in column]
+    return [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in batch.column(name)]
 
 
-def host_counts(rows: DataFrame, share: float, declared_share: float, min_pages: int) -> DataFrame:
-    """(__host, __total, __runs, __pages) of large hosts: distinct pages, and those of each run on enough of them.
+def host_counts(pages: DataFrame, share: float, declared_share: float, min_pages: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(__host, __total, __runs, __pages) of hosts with runs on enough distinct pages; the tables that it reads.
 
-    ``rows`` have __host, __html and __shards. Runs are hashes in ascending order.
+    ``pages`` have __host, __text (blocks as lines) and __code. Runs are hashes in ascending order.
     """
     least = min(share, declared_share)
+    shards = F.ceil(F.greatest(F.count(F.lit(1)) / SHARD, F.sum(F.length("__text")) / SHARD_CHARS)).cast("long")
+    # Hosts of fewer rows than a run must have pages have no such run.
+    hosts = stage_table(pages.groupBy("__host").agg(shards.alias("__shards"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_pages).drop("__n"), "host-shards")
+    # A few bytes a host: broadcast up to a counted number, so that pages are not shuffled.
+    small = hosts.count() <= MAX_HOSTS
+    dealt = pages.select("__host", "__text", "__code").join(F.broadcast(hosts) if small else hosts, "__host").withColumn("__shard", F.pmod("__code", "__shards")).drop("__shards")
 
     def contents(batches):
-        seen: set[tuple[str, int]] = set()  # copies leave a task once
-        for batch, found, _ in parsed(batches):
-            out = []
-            for host, n, (blocks, _) in zip(batch.column("__host").to_pylist(), batch.column("__shards").to_pylist(), found, strict=True):
-                code = content_code(blocks)
-                if (host, code) not in seen:
-                    seen.add((host, code))
-                    out.append((host, code % n, blocks))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.string()))], names=["__host", "__shard", "__blocks"])
+        seen: set[tuple[str, int]] = set()  # copies leave a batch's task once, while they fit
+        for batch in batches:
+            fresh = []
+            for i, key in enumerate(zip(batch.column("__host").to_pylist(), batch.column("__code").to_pylist(), strict=True)):
+                if key not in seen:
+                    if len(seen) < 200_000:
+                        seen.add(key)
+                    fresh.append(i)
+            yield batch.take(pa.array(fresh, pa.int64()))
 
     def candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        host, pages = key[0].as_py(), list({" ".join(b): b for b in table.column("__blocks").to_pylist()}.values())
+        host, texts = key[0].as_py(), list(dict(zip(table.column("__code").to_pylist(), table.column("__text").to_pylist(), strict=True)).values())
         runs, memo = [np.zeros(0, np.int64)], {}
-        for blocks, n in zip(pages, run_holders(numbered(pages)), strict=True):
-            starts = np.flatnonzero(n[: max(len(n) - RUN + 1, 0)] > least * len(pages))
+        for text, n in zip(texts, run_holders(numbered(texts)), strict=True):
+            starts = np.flatnonzero(n[: max(len(n) - RUN + 1, 0)] > least * len(texts))
             if len(starts):
-                runs.append(run_codes(word_codes(words_of(blocks), memo), host)[starts])
+                runs.append(run_codes(word_codes(text.split(), memo), host)[starts])
         found = np.unique(np.concatenate(runs))
-        return pa.table({"__host": pa.array([host] * (len(found) + 1), pa.string()), "__run": pa.array([None, *found.tolist()], pa.int64()), "__n": pa.array([len(pages), *[0] * len(found)], pa.int64())})
+        return pa.table({"__host": pa.array([host] * (len(found) + 1), pa.string()), "__run": pa.array([None, *found.tolist()], pa.int64()), "__n": pa.array([len(texts), *[0] * len(found)], pa.int64())})
 
-    dealt = rows.mapInArrow(contents, "__host string, __shard long, __blocks array<string>")
-    noted = stage_table(dealt.groupBy("__host", "__shard").applyInArrow(candidates, "__host string, __run long, __n long"), "host-runs")
-    lists = listed(noted.groupBy("__host").agg(F.sum("__n").alias("__total"), F.sort_array(F.collect_set("__run")).alias("__runs")))
+    contents_once = dealt.mapInArrow(contents, dealt.schema)
+    noted = stage_table(contents_once.groupBy("__host", "__shard").applyInArrow(candidates, "__host string, __run long, __n long"), "host-runs")
+    found, few = listed(noted.groupBy("__host").agg(F.sum("__n").alias("__total"), F.sort_array(F.collect_set("__run")).alias("__runs")).where(F.size("__runs") > 0))
 
     def holders(batches):
-        for batch, found, memo in parsed(batches):
+        for batch, memo in sliced(batches, "__text"):
             runs, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for host, (blocks, _), known in zip(batch.column("__host").to_pylist(), found, lists_of(batch, "__runs"), strict=True):
-                own = np.unique(run_codes(word_codes(words_of(blocks), memo), host))
-                own = own[np.isin(own, known)] if len(known) else own[:0]
+            for host, text, code, known in zip(*(batch.column(c).to_pylist() for c in ("__host", "__text", "__code")), lists_of(batch, "__runs"), strict=True):
+                own = np.unique(run_codes(word_codes(text.split(), memo), host))
+                own = own[np.isin(own, known, assume_unique=True)]
                 runs.append(own)
-                codes.append(np.full(len(own), content_code(blocks), np.int64))
+                codes.append(np.full(len(own), code, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs)), pa.array(np.concatenate(codes))], names=["__run", "__content"])
 
-    pages = rows.join(lists.select("__host", "__runs"), "__host").mapInArrow(holders, "__run long, __content long")
-    counts = pages.distinct().groupBy("__run").agg(F.count(F.lit(1)).alias("__pages"))
-    runs = lists.select("__host", "__total", F.explode("__runs").alias("__run")).join(counts, "__run")
+    held = pages.select("__host", "__text", "__code").join((F.broadcast(found) if few else found).select("__host", "__runs"), "__host").mapInArrow(holders, "__run long, __content long")
+    counts = held.distinct().groupBy("__run").agg(F.count(F.lit(1)).alias("__pages"))
+    runs = found.select("__host", "__total", F.explode("__runs").alias("__run")).join(counts, "__run")
     enough = (F.col("__pages") >= min_pages) & (F.col("__pages") > F.lit(least) * F.col("__total"))
-    ordered = runs.where(enough).groupBy("__host").agg(F.sort_array(F.collect_list(F.struct("__run", "__pages"))).alias("__x"))
-    return listed(lists.select("__host", "__total").join(ordered, "__host", "left").select("__host", "__total", F.col("__x.__run").alias("__runs"), F.col("__x.__pages").alias("__pages")))
+    ordered = runs.where(enough).groupBy("__host").agg(F.first("__total").alias("__total"), F.sort_array(F.collect_list(F.struct("__run", "__pages"))).alias("__x"))
+    out, few = listed(ordered.select("__host", "__total", F.col("__x.__run").alias("__runs"), F.col("__x.__pages").alias("__pages")))
+    for done in (hosts, noted, found):
+        drop_stage(done)
+    return F.broadcast(out) if few else out
 
 
-def listed(lists: DataFrame) -> DataFrame:
-    """The hosts' lists of runs, written, and broadcast if measured small."""
+def listed(lists: DataFrame) -> tuple[DataFrame, bool]:
+    """The hosts' lists of runs, written, and whether they are measured small enough for a broadcast."""
     lists = stage_table(lists, "host-lists")
-    size = lists.agg(F.coalesce(F.sum(F.greatest(F.size("__runs"), F.lit(1)) + 4), F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(lists) if size <= MAX_RUNS else lists
+    size = lists.agg(F.coalesce(F.sum(F.size("__runs") + 4), F.lit(0)).alias("n")).first()["n"]
+    return lists, size <= MAX_RUNS
 
 
 def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), share: float = 0.1, declared_share: float = 0.5, min_pages: int = 5) -> DataFrame:
@@ -340,48 +237,40 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: tupl
 
     Null html is empty; null urls, and those without ``://``, form the host "". Runs on fewer than
     ``min_pages`` pages are never cut. Blocks are trimmed, their white space is one space, and they
-    are joined by one space in page order. Other columns are not read; html of any length is
-    parsed whole.
+    are joined by one space in page order. Other columns are not read, whatever their names; a kept
+    column may have any name but ``text``. html of any length is parsed whole.
     """
+    if "text" in keep:
+        raise ValueError("a kept column can't be called text")
     bound_batches(df.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1)), F.lit(""))
-    rows = df.select(*keep, F.col(html).cast("string").alias("__html"), host.alias("__host"))
-    large = df.groupBy(host.alias("__host")).agg(F.ceil(F.count(F.lit(1)) / SHARD).alias("__shards")).where(F.col("__shards") > 1)
-    large = stage_table(large, "host-shards")
-    n_large = large.count()
-    # A few bytes a host: broadcast up to a counted number, so that pages are not shuffled.
-    large = F.broadcast(large) if n_large <= MAX_HOSTS else large
-    kept = [rows.schema[c] for c in keep]
-    out = T.StructType([*kept, T.StructField("text", T.StringType())])
-    added = [T.StructField("__host", T.StringType()), T.StructField("__blocks", T.ArrayType(T.StringType())), T.StructField("__declared", T.BooleanType())]
+    kept = [f"__keep{i}" for i in range(len(keep))]
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)), host.alias("__host"), F.col(html).cast("string").alias("__html"))
+    read_schema = T.StructType([*(rows.schema[k] for k in kept), rows.schema["__host"], T.StructField("__text", T.StringType()), T.StructField("__code", T.LongType()), T.StructField("__declared", T.BooleanType())])
 
     def read(batches):
-        for batch, found, _ in parsed(batches):
-            columns = [batch.column(c) for c in (*keep, "__host")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([d for _, d in found], pa.bool_())], names=[*keep, *(f.name for f in added)])
-
-    def cut(table: pa.Table) -> pa.Table:
-        pages = cut_boilerplate(table.column("__blocks").to_pylist(), table.column("__declared").to_pylist(), share, declared_share, min_pages)
-        return pa.table({**{c: table.column(c) for c in keep}, "text": pa.array([" ".join(b) for b in pages], pa.string())})
-
-    def cut_counted(batches):
-        for batch, found, memo in parsed(batches):
+        for batch, _ in sliced(batches, "__html"):
+            found = [blocks_of(x) for x in batch.column("__html").to_pylist()]
+            texts = ["\n".join(b) for b, _ in found]
+            columns = [*(batch.column(c) for c in (*kept, "__host")), pa.array(texts, pa.string()), pa.array([content_code(t) for t in texts], pa.int64()), pa.array([d for _, d in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=read_schema.names)
+
+    def cut(batches):
+        for batch, memo in sliced(batches, "__text"):
             texts = []
-            facts = zip(batch.column("__host").to_pylist(), batch.column("__total").to_pylist(), lists_of(batch, "__runs"), lists_of(batch, "__pages"), found, strict=True)
-            for host, total, runs, pages, (blocks, declared) in facts:
-                own = run_codes(word_codes(words_of(blocks), memo), host) if len(runs) else np.zeros(0, np.int64)
+            facts = zip(*(batch.column(c).to_pylist() for c in ("__host", "__total", "__text", "__declared")), lists_of(batch, "__runs"), lists_of(batch, "__pages"), strict=True)
+            for host, total, text, declared, runs, pages in facts:
+                own = run_codes(word_codes(text.split(), memo), host) if len(runs) else runs
                 if len(own):
                     at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
                     holders = np.where(runs[at] == own, pages[at], 0)
                     hit = np.zeros(len(own) + RUN - 1, bool)
                     hit[: len(own)] = holders > max(min_pages - 1, (declared_share if declared else share) * total)
-                    blocks = without(blocks, covered(hit))
-                texts.append(" ".join(blocks))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
-
-    small = rows.join(large, "__host", "left_anti").mapInArrow(read, T.StructType([*kept, *added])).groupBy("__host").applyInArrow(cut, out)
-    if not n_large:
-        return small
-    many = rows.join(large, "__host")
-    counted = many.join(host_counts(many, share, declared_share, min_pages), "__host")
-    return small.unionByName(counted.mapInArrow(cut_counted, out))
+                    text = without(text, covered(hit)) if hit.any() else text
+                texts.append(text.replace("\n", " "))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
+
+    pages = stage_table(rows.mapInArrow(read, read_schema), "host-pages")
+    counted = pages.join(host_counts(pages, share, declared_share, min_pages), "__host", "left")
+    out = counted.mapInArrow(cut, T.StructType([*(rows.schema[k] for k in kept), T.StructField("text", T.StringType())]))
+    return out.select(*(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), "text")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -212,20 +213,53 @@ def test_scripts_and_open_heads_end():
         assert host_text.blocks_of(page)[0] == ["kept text"], page
 
 
+def test_no_text_is_lost():
+    article = lambda x: " ".join(host_text.blocks_of(f"<article>{x}</article>")[0])
+    assert article("<p>Intro.</p><script>if (i<n) y=1;</script><p>Rest after.</p><p>More.</p>") == "Intro. Rest after. More."
+    assert article("<p title=x don't>one</p><p>two</p><p>it's three</p>") == "one two it's three"
+    assert article("<p>a<b and c</p><p>1 < 2, 3<4 </3 x</p>") == "a<b and c 1 < 2, 3<4 </3 x"
+    assert article("<p class=search-results>x</p><p class='navigation-systems'>y</p><h2 class=section-header>z</h2>") == "x y z"
+    assert article('<a title="x > y">z</a> <p>x <span class=comment>c</span></p>') == "z x c"
+    assert article("<b><div></b>q</div> <table><tr><td>a<td>b<tr><td>c</table>d") == "q a b c d"
+    assert article("<p hidden>a</p><p style='Display : none'>b</p><div class='ad-box'>c</div><p>d") == "d"
+    assert host_text.blocks_of("<nav>menu<main>kept</main>") == (["kept"], True)
+    assert host_text.blocks_of("<p>kept<p class='cut") == (["kept"], False)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a x=", '<a x="', '<a x="<a" ', "<p>", "<a><p></p>", "<td><a>", "<!", "</", "<title>", "<div></script ", "<script></script ", "<li><p><b>", "<a ==", "<x/>"])
+def test_malformed_pages_take_linear_time(part):
+    began = time.process_time()
+    host_text.blocks_of(part * (300_000 // len(part)))
+    assert time.process_time() - began < 10  # seconds here; minutes to hours if it were quadratic
+
+
+def test_suffix_array_equals_brute_force():
+    rnd = random.Random(8)
+    for size in (1, 2, 3, 50, 300):
+        for letters in (1, 2, 5):
+            stream = [rnd.randrange(letters) for _ in range(size)]
+            order, common = host_text.suffix_array(np.array(stream))
+            want = sorted(range(size), key=lambda i: stream[i:])
+            assert order.tolist() == want
+            for k in range(1, size):
+                a, b = stream[want[k - 1] :], stream[want[k] :]
+                assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def test_recurring_runs_equal_brute_force():
     rnd = random.Random(4)
     pages = [[rnd.randrange(3) for _ in range(rnd.randrange(30))] for _ in range(40)]
     holders = Counter()
     for p in pages:
         holders.update({tuple(p[i : i + 4]) for i in range(len(p) - 3)})
-    want = []
-    for p in pages:
+    for p, got in zip(pages, host_text.run_holders(pages, 4), strict=True):
+        assert got.tolist() == [holders[tuple(p[i : i + 4])] for i in range(len(p))]
         hit = np.zeros(len(p), bool)
         for i in range(len(p) - 3):
             if holders[tuple(p[i : i + 4])] > 6:
                 hit[i : i + 4] = True
-        want.append(hit.tolist())
-    assert [x.tolist() for x in host_text.recurring(pages, [6] * len(pages), 4)] == want
+        assert host_text.covered(got > 6, 4).tolist() == hit.tolist()
+    assert host_text.run_holders([], 4) == [] and host_text.run_holders([[], [1]], 4)[1].tolist() == [0]
 
 
 def test_boilerplate_of_a_host_is_cut(spark):
@@ -251,10 +285,18 @@ def test_large_hosts_are_counted_whole(spark, monkeypatch):
         want[i] = " ".join(x for x in (parts[0], parts[2]) if x)
         pages.append((i, "http://a.com/x", " ".join(f"<p>{x}</p>" for x in parts)))
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    monkeypatch.setattr(host_text, "SHARD", 16)
-    for copies in (df, df.unionByName(df.where("page_id % 10 = 1")).repartition(5)):
-        got = host_text.extract_text(copies).collect()
-        assert len(got) == copies.count() and {(r["page_id"], r["text"]) for r in got} == set(want.items())
+    for shard in (16, 50, 1000):
+        monkeypatch.setattr(host_text, "SHARD", shard)
+        for copies in (df, df.unionByName(df.where("page_id % 10 = 1")).repartition(5)):
+            got = host_text.extract_text(copies).collect()
+            assert len(got) == copies.count() and {(r["page_id"], r["text"]) for r in got} == set(want.items())
+
+
+def test_pages_of_other_columns_and_none(spark):
+    df = spark.createDataFrame([(1, "http://a", "<p>x", "t", 7)], "page_id long, url string, html string, text string, __host long")
+    assert host_text.extract_text(df, keep=("page_id", "__host")).collect() == [(1, 7, "x")]
+    assert host_text.extract_text(df, html="text", keep=("html",)).collect() == [("<p>x", "t")]
+    assert host_text.extract_text(df.limit(0)).collect() == []
 
 
 def test_copied_articles_stay(spark):
