@@ -1,12 +1,14 @@
 """Operator 8: benchmark decontamination by a broadcast hash set of n-gram windows.
 
-The benchmark's words are numbered and every window of ``n`` consecutive item words (an item of
-fewer words is one window) goes into a hash set that is broadcast. A document is scanned as an
-array of those numbers: windows without foreign words are hashed, looked up in the sorted hash
-set, and every hit is verified on the numbers themselves. One narrow pass, no shuffle.
-
-The broadcast is bounded: a benchmark of more than ``max_windows`` words is dealt into parts of
-about that size, which are scanned one after the other in the same pass over the documents.
+Words are 64-bit hashes. Every window of ``n`` consecutive item words (an item of fewer words is one
+window) goes into a sorted set of window hashes that is broadcast, together with the items' words. A
+document is scanned as an array of word hashes: windows without foreign words are hashed, looked up,
+and every hit is verified word by word. One narrow pass, no shuffle.
+
+The broadcast is bounded: numpy arrays of about 30 bytes a benchmark word. A benchmark of more than
+``max_words`` words is dealt into parts of about that size, and the documents are scanned part by part,
+in passes of their own whose results are written in between, so that driver and workers hold one part
+at a time.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import ALNUM_TABLE, bound_batches, byte_values, give_back, split_batch
+from sightline.llm.common import ALNUM_TABLE, bound_batches, byte_values, drop_stage, give_back, split_batch, stage_table
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -31,94 +34,161 @@ def normalised_words(data: bytes) -> list[bytes]:
     return data.translate(ALNUM_TABLE).split()
 
 
+def word_hashes(words) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+
+
+class Windows:
+    """Windows of one length: their sorted distinct hashes, a place of each in the items' words, their items."""
+
+    def __init__(self, stream: np.ndarray, starts: np.ndarray, owners: np.ndarray, size: int):
+        for salt in range(1, 100):
+            found = window_hashes(stream, starts, size, salt)
+            order = np.lexsort((owners, found))
+            ordered = found[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = ordered[1:] != ordered[:-1]
+            group, first = np.cumsum(fresh) - 1, starts[order][fresh]
+            # One hash, one window: another salt if two windows meet.
+            if all((stream[starts[order] + k] == stream[first[group] + k]).all() for k in range(size)):
+                break
+        else:
+            raise RuntimeError("windows of one hash under every salt")
+        self.size, self.salt, self.hashes, self.first = size, salt, ordered[fresh], first.astype(np.int32)
+        distinct = fresh.copy()
+        distinct[1:] |= owners[order][1:] != owners[order][:-1]
+        self.items = owners[order][distinct].astype(np.int32)
+        self.ends = np.searchsorted(group[distinct], np.arange(len(first)), "right").astype(np.int32)
+
+    def at(self, stream: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, number of the window) of the starts in a document at which a window begins."""
+        found = window_hashes(codes, starts, self.size, self.salt)
+        number = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[number] == found)
+        starts, number = starts[hit], number[hit]
+        same = np.ones(len(hit), bool)
+        for k in range(self.size):
+            same &= codes[starts + k] == stream[self.first[number] + k]
+        return starts[same], number[same]
+
+
 class WindowSet:
-    """Windows of benchmark items: word numbers, sorted hashes by length, exact windows with item ids."""
+    """The windows of benchmark items by length, the items' words one after the other, and their ids."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], n: int):
-        self.words: dict[bytes, int] = {}
-        self.windows: dict[bytes, set] = {}
-        hashes: dict[int, set[int]] = {}
-        for item, text in items:
-            words = normalised_words(text)
-            codes = np.array([self.words.setdefault(w, len(self.words) + 1) for w in words], np.int32)
-            size = min(n, len(words))
-            if not size:
-                continue
-            for i, h in enumerate(window_hashes(codes, np.arange(len(words) - size + 1), size).tolist()):
-                hashes.setdefault(size, set()).add(h)
-                self.windows.setdefault(codes[i : i + size].tobytes(), set()).add(item)
-        self.hashes = {size: np.array(sorted(found), np.uint64) for size, found in hashes.items()}
-
-    def scan(self, codes: np.ndarray):
-        """(start, size, items) of every verified window in an array of word numbers (0: foreign)."""
+        self.names = [item for item, _ in items]
+        index: dict[bytes, int] = {}
+        texts = [[index.setdefault(w, len(index)) for w in normalised_words(text)] for _, text in items]
+        hashes = word_hashes(index)
+        self.vocabulary = np.unique(hashes)
+        sizes = np.array([len(x) for x in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        self.stream = hashes[np.fromiter((w for x in texts for w in x), np.int64, int(sizes.sum()))]
+        self.windows = []
+        for size in sorted({min(n, x) for x in sizes.tolist() if x}):
+            own = np.flatnonzero(sizes >= n) if size == n else np.flatnonzero(sizes == size)
+            counts = sizes[own] - size + 1
+            owners = np.repeat(own, counts)
+            starts = begins[owners] + np.arange(len(owners)) - np.repeat(np.cumsum(counts) - counts, counts)
+            self.windows.append(Windows(self.stream, starts, owners, size))
+
+    def knows(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), bool)
+        return self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)] == hashes
+
+    def scan(self, codes: np.ndarray, known: np.ndarray):
+        """(start, size, item numbers) of every verified window in an array of word hashes; ``known``: words of the benchmark."""
         foreign = np.zeros(len(codes) + 1, np.int32)
-        np.cumsum(codes == 0, out=foreign[1:])
-        for size, known in self.hashes.items():
+        np.cumsum(~known, out=foreign[1:])
+        for windows in self.windows:
+            size = windows.size
             if len(codes) < size:
                 continue
             starts = np.flatnonzero(foreign[size:] == foreign[:-size])
             if not len(starts):
                 continue
-            found = window_hashes(codes, starts, size)
-            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            for i in starts[known[at] == found].tolist():
-                items = self.windows.get(codes[i : i + size].tobytes())
-                if items is not None:
-                    yield i, size, items
+            for i, w in zip(*(x.tolist() for x in windows.at(self.stream, codes, starts)), strict=True):
+                yield i, size, windows.items[windows.ends[w - 1] if w else 0 : windows.ends[w]].tolist()
 
 
-def window_hashes(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    total = np.zeros(len(starts), np.uint64)
+def window_hashes(codes: np.ndarray, starts: np.ndarray, size: int, salt: int = 1) -> np.ndarray:
+    total = np.full(len(starts), salt, np.uint64)
     for k in range(size):
-        total = total * _BASE + codes[starts + k].astype(np.uint64)
+        total = (total ^ (total >> np.uint64(32))) * _BASE + codes[starts + k]
     return total
 
 
-def _parts(benchmark: DataFrame, item_id: str, item_text: str, max_windows: int):
-    """The benchmark's items on the driver, part by part; a part holds about ``max_windows`` words."""
+def _parts(benchmark: DataFrame, item_id: str, item_text: str, max_words: int):
+    """The benchmark's items on the driver, part by part; a part holds about ``max_words`` words."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     # Characters bound words from above, so nothing is collected to count them.
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-size // (4 * max_windows)))
+    parts = max(1, -(-size // (4 * max_words)))
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield [(r["item"], r["text"].encode()) for r in part.distinct().collect()]
+        yield [(r["item"], r["text"].encode()) for r in part.distinct().collect()], k + 1 < parts
 
 
-def scan_documents(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = 1_000_000) -> DataFrame:
+def scan_documents(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_words: int = 4_000_000) -> DataFrame:
     """Add n_words, n_hit, n_items, items, spans and contaminated to every document.
 
     ``items`` are the ids, as sorted strings, of the items with a window in the document; ``spans``
     are the hit runs as [start, end) word positions; ``n_hit`` counts the words inside them. Null or
     wordless texts have no words and no hits, whatever the benchmark holds; a null or wordless item
     has no window; an item without id marks words but is not listed. Repeated items count once.
-    Rows are kept as they are; columns of ``df`` named like the new ones are replaced.
+    Rows are kept as they are; columns of ``df`` named like the new ones are replaced. An item of
+    more than ``max_words`` words makes a larger part by itself.
     """
     bound_batches(df.sparkSession)
-    spark = df.sparkSession
-    added = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
-    df = df.drop(*added)
-    sets = [spark.sparkContext.broadcast(WindowSet(part, n)) for part in _parts(benchmark, item_id, item_text, max_windows)]
+    df, last = df.drop(*ADDED), None
+    for part, more in _parts(benchmark, item_id, item_text, max_words):
+        scanned = _scan_part(df, WindowSet(part, n), text)
+        if not more:
+            return scanned
+        df = stage_table(scanned, "scan-part")
+        if last is not None:
+            drop_stage(last)
+        last = df
+
+
+ADDED = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
+
+
+def _scan_part(df: DataFrame, windows: WindowSet, text: str) -> DataFrame:
+    """The columns of ``scan_documents`` for a part of the benchmark, united with those of the parts before."""
+    shared = df.sparkSession.sparkContext.broadcast(windows)
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()), SPAN, T.BooleanType())
-    schema = T.StructType([*df.schema.fields, *(T.StructField(c, k) for c, k in zip(added, kinds, strict=True))])
+    kept = [c for c in df.columns if c not in ADDED]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, k) for c, k in zip(ADDED, kinds, strict=True))])
+    further = "spans" in df.columns
 
     def scan(batches):
-        parts = [x.value for x in sets]
+        part = shared.value
         for whole in batches:
             for batch in split_batch(whole, text):
-                docs = [normalised_words(x) for x in byte_values(batch.column(text))]
+                index: dict[bytes, int] = {}
+                docs = [[index.setdefault(w, len(index)) for w in normalised_words(x)] for x in byte_values(batch.column(text))]
+                hashes = np.concatenate([word_hashes(index), np.zeros(1, np.uint64)])
+                known = part.knows(hashes)
+                known[-1] = False  # the foreign word between documents
                 sizes = np.array([len(x) for x in docs], np.int64)
-                begins = np.concatenate([[0], np.cumsum(sizes + 1)])  # one foreign word between documents
+                begins = np.concatenate([[0], np.cumsum(sizes + 1)])
+                words = np.full(begins[-1], len(index), np.int64)
+                for doc, b in zip(docs, begins.tolist(), strict=False):
+                    words[b : b + len(doc)] = doc
                 marks = np.zeros(begins[-1] + 1, np.int32)
                 items: list[set] = [set() for _ in docs]
-                for part in parts:
-                    get, codes = part.words.get, np.zeros(begins[-1], np.int32)
-                    for doc, b in zip(docs, begins.tolist(), strict=False):
-                        codes[b : b + len(doc)] = [get(w, 0) for w in doc]
-                    for i, size, found in part.scan(codes):
-                        marks[i] += 1
-                        marks[i + size] -= 1
-                        items[int(np.searchsorted(begins, i, "right")) - 1] |= found
+                if further:
+                    for d, (spans, found) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
+                        items[d].update(found)
+                        for s in spans:
+                            marks[begins[d] + s["start"]] += 1
+                            marks[begins[d] + s["end"]] -= 1
+                for i, size, found in part.scan(hashes[words], known[words]):
+                    marks[i] += 1
+                    marks[i + size] -= 1
+                    items[int(np.searchsorted(begins, i, "right")) - 1].update(part.names[x] for x in found)
                 hit = np.cumsum(marks)[:-1] > 0
                 edges = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
                 opens, closes = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -134,7 +204,7 @@ def scan_documents(df: DataFrame, benchmark: DataFrame, n: int = 10, text: str =
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array(n_hit > 0),
                 ]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, *ADDED])
 
     return df.mapInArrow(lambda b: give_back(scan(b)), schema)
 

@@ -77,20 +77,29 @@ def brute_hits(text, items, n):
     return len(words), sum(hit), sorted(found)
 
 
-@pytest.mark.parametrize("max_windows", [1_000_000, 2])
-def test_decontamination_equals_brute_force(spark, max_windows):
+@pytest.mark.parametrize("max_words", [1_000_000, 12])
+def test_decontamination_equals_brute_force(spark, max_words):
     rnd = random.Random(1)
     word = lambda: rnd.choice(["a", "B", "c1", "é", "d-d", "e"])
     items = [(str(i), " ".join(word() for _ in range(rnd.randrange(9)))) for i in range(12)] + [("x", None), ("0", "a B c1 a B c1")]
     texts = [" ".join(word() for _ in range(rnd.randrange(60))) for _ in range(60)] + ODD
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = {r["doc_id"]: r for r in decontaminate.scan_documents(frame(spark, texts), bench, 4, max_windows=max_windows).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.scan_documents(frame(spark, texts), bench, 4, max_words=max_words).collect()}
     for i, t in enumerate(texts):
         r = got[i if i != 2 else None]
         assert (r["n_words"], r["n_hit"], r["items"]) == brute_hits(t, items, 4)
         assert r["contaminated"] == (r["n_hit"] > 0) and sum(s["end"] - s["start"] for s in r["spans"]) == r["n_hit"]
 
 
+def test_windows_take_bounded_memory():
+    import pickle
+
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(str(i), " ".join(rnd.choice(words) for _ in range(100)).encode()) for i in range(2000)]
+    assert len(pickle.dumps(decontaminate.WindowSet(items, 10))) < 40 * 200_000
+
+
 def test_decontaminate_documents_and_spans(spark):
     passage = "one two three four five six seven eight nine ten"
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
