@@ -1,8 +1,10 @@
 """Operator 5: language spans by per-word scores and Viterbi with a switching penalty.
 
-A word's score for a language is the log-likelihood of its byte trigrams (hashed into a table of
-fixed size, so the model is bounded whatever the corpus holds). The word's script, told by Unicode
-ranges, narrows the candidates to the languages that were seen in that script. Viterbi then labels
+Words are runs of letters and their marks; in scripts that are written without spaces each character
+is one, so that spans can end anywhere. A word's score for a language is the log-likelihood of its byte
+trigrams (hashed into a table of fixed size, so the model is bounded whatever the corpus holds). The
+script of most of its characters, told by Unicode ranges, narrows the candidates to the languages that
+were seen in that script. Viterbi then labels
 each word of a text; changing the language costs ``penalty``. The recursion runs over all texts of
 a slice at once, one word position at a time.
 """
@@ -10,8 +12,10 @@ a slice at once, one word position at a time.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,9 @@ SCRIPT_NAMES = ("latin", "greek", "cyrillic", "other", "hebrew", "arabic", "othe
 SCRIPTS = tuple(dict.fromkeys(SCRIPT_NAMES))
 _STARTS = np.array(SCRIPT_STARTS)
 _SCRIPT = np.array([SCRIPTS.index(x) for x in SCRIPT_NAMES])
-#: ASCII bytes that are no letters become spaces; higher bytes belong to words.
+#: Scripts without spaces between words: each character is a word.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+#: ASCII bytes that are no letters become spaces; of higher characters, those that are neither letters nor marks.
 _TABLE = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -37,8 +43,25 @@ SCRIPT_SHARE = 0.01
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
 
 
+@lru_cache(1)
+def _separators() -> re.Pattern:
+    """Characters above ASCII that are neither letters nor marks."""
+    ranges, begun = [], None
+    for c in range(0x80, 0x20001):
+        apart = c < 0x20000 and unicodedata.category(chr(c))[0] not in "LM"
+        if apart and begun is None:
+            begun = c
+        elif not apart and begun is not None:
+            ranges.append(f"\\U{begun:08x}-\\U{c - 1:08x}")
+            begun = None
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8").translate(_TABLE).split()
+    text = text.lower()
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \1 ", _separators().sub(" ", text))
+    return text.encode("utf-8", "replace").translate(_TABLE).split()
 
 
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,10 +73,18 @@ def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ((key * np.uint32(2654435761)) >> np.uint32(18)).astype(np.int64), owner
 
 
+def code_points(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, index of the word) of each character."""
+    texts = [w.decode() for w in words]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return points, np.repeat(np.arange(len(words)), [len(t) for t in texts])
+
+
 def scripts_of(words: list[bytes]) -> np.ndarray:
-    """Number of the script of each word: that of its last character's range, words being mostly uniform."""
-    last = np.array([ord(w[-4:].decode("utf-8", "ignore")[-1:] or "a") for w in words], np.int64)
-    return _SCRIPT[np.searchsorted(_STARTS, last, "right") - 1]
+    """Number of each word's script, that of most of its characters; the first named one on ties."""
+    points, owner = code_points(words)
+    script = _SCRIPT[np.searchsorted(_STARTS, points, "right") - 1]
+    return np.bincount(owner * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS)).reshape(len(words), -1).argmax(1)
 
 
 @dataclass
@@ -163,7 +194,7 @@ def label_spans(df: DataFrame, model: LanguageModel, text: str = "text", penalty
                 if len(ids):
                     words = list(index)
                     states = viterbi(fitted.word_scores(words), ids, sizes, penalty)
-                    letters = np.array([len(w) for w in words])[ids]
+                    letters = np.bincount(code_points(words)[1], minlength=len(words))[ids]
                     owner = np.repeat(np.arange(len(docs)), sizes)
                     mass = np.bincount(owner * len(names) + states, letters, len(docs) * len(names)).reshape(len(docs), -1)
                     total, top = mass.sum(1), mass.argmax(1)

@@ -1,9 +1,10 @@
 """Operator 9: document quality by votes of labelled neighbours in a latent-semantic space.
 
-A document is a bag of terms: trigrams of its characters' classes (letter runs count once, so the
-terms are the same in every language), words that repeat their predecessor, and words seen before.
-Square-rooted frequencies times inverse document frequencies are projected on the leading singular
-vectors of the labelled sample. The labelled vectors and the projection have a fixed maximal size
+A document is a bag of terms: its words, hashed into a table of fixed size, and its shape: trigrams of
+its characters' classes (letter runs count once, so they are the same in every language), words that
+repeat their predecessor, and words seen before. Square-rooted frequencies times inverse document
+frequencies are projected on the leading singular vectors of the labelled sample, found by subspace
+iteration. The labelled vectors and the projection have a fixed maximal size
 (``max_labelled`` x ``dimensions`` and terms x ``dimensions``) and are broadcast; every document's
 cosines with all labelled vectors are computed exactly, in blocks, and its ``neighbours`` nearest
 vote with their similarity as weight.
@@ -12,10 +13,12 @@ vote with their similarity as weight.
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +32,11 @@ CLASSES = (
 )
 _TABLE = bytes(next((code for code, chars in CLASSES if bytes([b]) in chars), 15) for b in range(256))
 LETTER = 2
-TERMS = 16**3 + 2
 REPEATED, SEEN = 16**3, 16**3 + 1
+#: Buckets of words, behind the terms of shape; the share of a document's weight that words have.
+WORDS, WORD_SHARE = 1 << 12, 0.25
+SHAPE = 16**3 + 2
+TERMS = SHAPE + WORDS
 
 
 def term_frequencies(data: bytes) -> np.ndarray:
@@ -46,7 +52,10 @@ def term_frequencies(data: bytes) -> np.ndarray:
     words = data.lower().split()
     if words:
         out[REPEATED] = np.sqrt(sum(map(operator.eq, words, words[1:])) / len(words))
-        out[SEEN] = np.sqrt(1 - len(set(words)) / len(words))
+        counts = Counter(words)
+        out[SEEN] = np.sqrt(1 - len(counts) / len(words))
+        at = SHAPE + np.array([xxhash.xxh3_64_intdigest(w) % WORDS for w in counts])
+        out += np.sqrt(WORD_SHARE * np.bincount(at, list(counts.values()), TERMS) / len(words)).astype(np.float32)
     return out
 
 
@@ -56,7 +65,10 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class NeighbourModel:
-    """idf-weighted projection, unit vectors and labels of the labelled sample, and their mean label."""
+    """idf-weighted projection, unit vectors and labels of the labelled sample by id, and their mean label.
+
+    Similarities count to nine decimals; of labelled rows equally near, those of smaller ids vote.
+    """
 
     projection: np.ndarray
     vectors: np.ndarray
@@ -67,22 +79,24 @@ class NeighbourModel:
     def latent(self, terms: np.ndarray) -> np.ndarray:
         return _unit(terms @ self.projection)
 
-    def votes(self, terms: np.ndarray, block: int = 512) -> np.ndarray:
+    def votes(self, terms: np.ndarray, block: int = 256) -> np.ndarray:
         """Scores of documents given as rows of term frequencies; the prior where no neighbour has a say."""
         out = np.full(len(terms), self.prior)
         k = min(self.neighbours, len(self.labels))
         for i in range(0, len(terms) if k else 0, block):
             rows = terms[i : i + block]
-            cosines = self.latent(rows) @ self.vectors.T
-            at = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-            weights = np.maximum(np.take_along_axis(cosines, at, 1), 0).astype(np.float64)
+            cosines = np.rint(self.latent(rows) @ self.vectors.T * 1e9).astype(np.int64)
+            # Unequal keys, so the block that a document is in doesn't matter: similarity, then the order of ids.
+            keys = cosines * len(self.labels) - np.arange(len(self.labels))
+            at = np.sort(np.argpartition(-keys, k - 1, axis=1)[:, :k], axis=1)
+            weights = np.maximum(np.take_along_axis(cosines, at, 1), 0) / 1e9
             total = weights.sum(1)
             voted = (weights * self.labels[at]).sum(1) / np.maximum(total, 1e-12)
             out[i : i + block] = np.where((total > 1e-9) & rows.any(1), voted, self.prior)
         return np.clip(out, 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 4000, dimensions: int = 16, neighbours: int = 15) -> NeighbourModel:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 4000, dimensions: int = 24, neighbours: int = 15) -> NeighbourModel:
     """Fit on at most ``max_labelled`` labelled rows, chosen by a hash of their id.
 
     The bound keeps what reaches the driver and the executors the same at every input size. Labels
@@ -119,13 +133,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     y = found["label"].to_numpy(np.float64)
     idf = (np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))) + 1).astype(np.float32)
     weighted = _unit(terms * idf) if len(terms) else terms
-    used = np.flatnonzero(weighted.any(0))
-    projection = np.zeros((TERMS, dimensions), np.float32)
-    if len(used):
-        _, vectors = np.linalg.eigh(weighted[:, used].T @ weighted[:, used])
-        kept = vectors[:, ::-1][:, :dimensions]
-        projection[used, : kept.shape[1]] = kept * idf[used, None]
-    return NeighbourModel(projection, _unit(terms @ projection).astype(np.float32), y, float(y.mean()) if len(y) else 0.5, neighbours)
+    projection = leading(weighted, dimensions) * idf[:, None].astype(np.float64)
+    return NeighbourModel(projection, _unit(terms @ projection), y, float(y.mean()) if len(y) else 0.5, neighbours)
+
+
+def leading(rows: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors of a matrix, as columns, by subspace iteration from fixed numbers; zeros beyond its rank."""
+    out = np.zeros((rows.shape[1], dimensions))
+    if not len(rows):
+        return out
+    basis = rows.T @ np.random.default_rng(7).standard_normal((len(rows), min(2 * dimensions, len(rows)))).astype(np.float32)
+    for _ in range(rounds):
+        basis = rows.T @ (rows @ np.linalg.qr(basis)[0])
+    basis = np.linalg.qr(basis)[0]
+    _, values, turn = np.linalg.svd(rows @ basis, full_matrices=False)
+    kept = min(dimensions, int((values > 1e-6 * max(values[0], 1e-30)).sum()))
+    out[:, :kept] = basis @ turn[:kept].T
+    return out
 
 
 def score_documents(df: DataFrame, model: NeighbourModel, text: str = "text", score: str = "score") -> DataFrame:
@@ -144,7 +168,7 @@ def score_documents(df: DataFrame, model: NeighbourModel, text: str = "text", sc
         for whole in batches:
             for batch in split_batch(whole, text):
                 texts = byte_values(batch.column(text))
-                found = [fitted.votes(np.stack([term_frequencies(x) for x in texts[i : i + 512]])) for i in range(0, len(texts), 512)]
+                found = [fitted.votes(np.stack([term_frequencies(x) for x in texts[i : i + 256]])) for i in range(0, len(texts), 256)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], names=[*batch.schema.names, score])
 
     return df.mapInArrow(lambda b: give_back(measure(b)), schema)

@@ -335,6 +335,26 @@ def test_language_spans(spark):
     assert [s["lang"] for s in spans] == ["en", "fr"] and abs(spans[0]["end"] - 24) <= 2
 
 
+def test_words_and_scripts():
+    name = lambda t: [language_spans.SCRIPTS[i] for i in language_spans.scripts_of(language_spans.words_of(t))]
+    assert [w.decode() for w in language_spans.words_of("«привет», слово” текст… hello—мир ¿qué? l’eau 12")] == ["привет", "слово", "текст", "hello", "мир", "qué", "l", "eau"]
+    assert name("«привет» слово” текст… hello—мир naïve") == ["cyrillic", "cyrillic", "cyrillic", "latin", "cyrillic", "latin"]
+    assert name("abcж жабаa") == ["latin", "cyrillic"]
+    assert [w.decode() for w in language_spans.words_of("abc世界です")] == ["abc", "世", "界", "で", "す"] and name("世で") == ["han", "kana"]
+    assert language_spans.words_of("… «» 12 😀") == []
+    assert language_spans.words_of("हिन्दी भाषा") == ["हिन्दी".encode(), "भाषा".encode()]
+
+
+def test_letters_count_by_character(spark):
+    rows = [("the and that with from are was", "en"), ("это как так его только было", "ru"), ("的是不了人在有我他这", "zh")] * 5
+    model = language_spans.learn(spark.createDataFrame(rows, "text string, lang string"))
+    mixed = "the and that with from " + "«это» как… 的是不了人在有我他这的是不了"
+    got = language_spans.label_spans(frame(spark, [mixed]), model, penalty=3.0).first()
+    assert [(s["start"], s["end"], s["lang"]) for s in got["spans"]] == [(0, 5, "en"), (5, 7, "ru"), (7, 21, "zh")]
+    assert got["lang_pred"] == "en" and math.isclose(got["score"], 18 / (18 + 6 + 14))
+    assert language_spans.label_spans(frame(spark, []), model).collect() == []
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 
@@ -354,6 +374,36 @@ def test_viterbi_equals_brute_force():
 # 9
 
 
+def test_ties_and_blocks_do_not_matter():
+    rnd = np.random.default_rng(3)
+    vectors = quality_neighbours._unit(rnd.normal(size=(3, 4))).repeat(10, 0)
+    model = quality_neighbours.NeighbourModel(np.eye(4), vectors, rnd.integers(0, 2, 30).astype(float), 0.5, 5)
+    asked = rnd.normal(size=(40, 4))
+    got = model.votes(asked)
+    for block in (1, 7, 40):
+        assert (model.votes(asked, block) == got).all()
+    for row, score in zip(asked, got, strict=True):
+        near = np.round(quality_neighbours._unit(row[None]) @ vectors.T, 9)[0]
+        best = sorted(range(30), key=lambda i: (-near[i], i))[:5]
+        weights = np.maximum(near[best], 0)
+        assert math.isclose(score, (weights * model.labels[best]).sum() / weights.sum() if weights.sum() else 0.5, abs_tol=1e-6)
+
+
+def test_leading_vectors_equal_those_of_svd():
+    rows = np.random.default_rng(2).normal(size=(60, 30)).astype(np.float32) * np.geomspace(8, 0.5, 30).astype(np.float32)
+    _, _, want = np.linalg.svd(rows, full_matrices=False)
+    got = quality_neighbours.leading(rows, 4, rounds=30)
+    assert np.allclose(np.abs(np.sum(got * want[:4].T, 0)), 1, atol=1e-3)
+    assert not quality_neighbours.leading(rows[:0], 4).any() and not quality_neighbours.leading(rows * 0, 4).any()
+
+
+def test_quality_of_no_documents(spark):
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    model = quality_neighbours.fit(frame(spark, ["good text", "b@d"]), labels)
+    assert quality_neighbours.score_documents(frame(spark, []), model).collect() == []
+    assert len(quality_neighbours.score_documents(frame(spark, ODD), model).where("score between 0 and 1").collect()) == len(ODD)
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
