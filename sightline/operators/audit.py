@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.expr import all_of, half_up, percent, range_filter, severity_rank
-from sightline.sources.staging import stage
+from sightline.sources.staging import Levels, stage
 
 # Thresholds of the page checks.
 TITLE_CHARS = (10, 60)
@@ -92,20 +92,21 @@ def duplicate_candidates(pages: DataFrame) -> DataFrame:
 
 
 def duplicates(pages: DataFrame, sample: int = 3) -> DataFrame:
-    """(id, url, issue_type, group_size, other_urls) of pages that share title, description or content.
+    """(audit_id, id, url, issue_type, group_size, other_urls) of pages of an audit that share title, description or content.
 
     Sizes come from a grouped count, combined before the shuffle; of each group only the first
     ``sample`` + 1 urls are gathered, so that a hot value doesn't fill a task.
     """
     pages = duplicate_candidates(pages)
+    group = ["audit_id", "issue_type", "key"]
     keys = {"duplicate-title": F.nullif("title", F.lit("")), "duplicate-meta-description": F.nullif("meta_description", F.lit("")), "duplicate-content": F.when(F.col("word_count") > 0, F.col("content_hash"))}
-    long = pages.select("id", "url", F.explode(F.array(*(F.struct(F.lit(t).alias("issue_type"), k.alias("key")) for t, k in keys.items()))).alias("x")).select("id", "url", "x.*").where("key is not null")
-    sizes = long.groupBy("issue_type", "key").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    ranked = long.withColumn("_k", F.row_number().over(Window.partitionBy("issue_type", "key").orderBy("id"))).where(F.col("_k") <= sample + 1)
-    firsts = ranked.groupBy("issue_type", "key").agg(F.sort_array(F.collect_list(F.struct("id", "url"))).alias("firsts"))
-    out = long.join(sizes, ["issue_type", "key"]).join(firsts, ["issue_type", "key"])
+    long = pages.select("audit_id", "id", "url", F.explode(F.array(*(F.struct(F.lit(t).alias("issue_type"), k.alias("key")) for t, k in keys.items()))).alias("x")).select("audit_id", "id", "url", "x.*").where("key is not null")
+    sizes = long.groupBy(group).agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    ranked = long.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("id"))).where(F.col("_k") <= sample + 1)
+    firsts = ranked.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("id", "url"))).alias("firsts"))
+    out = long.join(sizes, group).join(firsts, group)
     others = F.slice(F.transform(F.filter("firsts", lambda x: x["id"] != F.col("id")), lambda x: x["url"]), 1, sample)
-    return out.select("id", "url", "issue_type", "group_size", others.alias("other_urls"))
+    return out.select("audit_id", "id", "url", "issue_type", "group_size", others.alias("other_urls"))
 
 
 def broken_links(links: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
@@ -115,67 +116,106 @@ def broken_links(links: DataFrame, pages: DataFrame, most: int | None = None) ->
     return out if most is None else out.orderBy("source_page_id", "target_url").limit(most)
 
 
-def orphans(pages: DataFrame, links: DataFrame, completed: bool = True) -> DataFrame:
-    """Pages that no other page links to and none redirects to; nothing unless the crawl was completed."""
+def orphans(pages: DataFrame, links: DataFrame, starts: DataFrame | None = None, completed: bool = True) -> DataFrame:
+    """Pages of an audit that no other page of it links to and none redirects to; nothing unless the crawl was completed.
+
+    External links make no page reachable. ``starts`` holds (audit_id, url) of start pages, which are none.
+    """
     found = pages.where("fetch_class = 'ok' and status_code between 200 and 299").where(F.lit(completed))
-    inward = links.select("audit_id", F.col("target_url").alias("url"), "source_page_id")
+    inward = links.where("is_internal").select("audit_id", F.col("target_url").alias("url"), "source_page_id")
     linked = found.alias("p").join(inward.alias("l"), (F.col("p.audit_id") == F.col("l.audit_id")) & (F.col("p.url") == F.col("l.url")) & (F.col("p.id") != F.col("l.source_page_id")), "left_anti")
-    sources = pages.where("redirect_url is not null").select("audit_id", F.col("redirect_url").alias("url"))
-    return linked.join(sources, ["audit_id", "url"], "left_anti")
+    known = pages.where("redirect_url is not null").select("audit_id", F.col("redirect_url").alias("url"))
+    if starts is not None:
+        known = known.unionByName(starts.select("audit_id", "url"))
+    return linked.join(known, ["audit_id", "url"], "left_anti")
 
 
 def redirects(pages: DataFrame) -> DataFrame:
-    """(url, target, id) of redirecting pages."""
-    return pages.where("status_code between 300 and 399 and redirect_url is not null").select("url", F.col("redirect_url").alias("target"), "id")
+    """(audit_id, url, target, id) of redirecting pages, one row a url: the page of the largest id."""
+    found = pages.where("status_code between 300 and 399 and redirect_url <> ''")
+    return found.groupBy("audit_id", "url").agg(F.max_by("redirect_url", "id").alias("target"), F.max("id").alias("id"))
 
 
-def redirect_walks(pages: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id, url, issue_type, hops, final_url) of chains (two redirects or more) and loops.
+def redirect_walks(pages: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(audit_id, id, url, issue_type, hops, final_url) of chains (two redirects or more) and loops of each audit.
 
     Every redirect points to one target, so walks double their length each round: after k rounds a
-    url knows where it is after 2^k hops. Chains are told from their heads, the redirects that no
-    redirect points to; a walk that enters a loop is a loop of its head; a loop without head is
-    told once, at its smallest url. Heads' hops are counted, not listed.
+    url knows where it is after 2^k hops. It ends when no walk has come to an end in the last round,
+    those still open stand on loops, and no smaller url was met. Chains are told from their heads,
+    the redirects that no redirect points to; a walk that enters a loop is a loop of its head; a loop
+    without head is told once, at its smallest url. Heads' hops are counted, not listed.
     """
-    edges = redirects(pages)
-    n = edges.count()
-    heads = edges.join(edges.select(F.col("target").alias("url")), "url", "left_anti")
-    # After n hops every walk stands still at a page, or goes round; doubling needs log2(n) rounds.
-    jump = stage(edges.select("url", F.col("target").alias("to"), F.lit(1).cast("long").alias("hops"), F.least("url", "target").alias("low")), "walk")
-    rounds = 0
-    while (1 << rounds) < max(n, 1):
-        if rounds >= max_rounds:
-            raise RuntimeError("redirect walks have not ended")
-        nxt = jump.select(F.col("url").alias("_u"), F.col("to").alias("_to"), F.col("hops").alias("_h"), F.col("low").alias("_l"))
-        jump = jump.join(nxt, F.col("to") == F.col("_u"), "left").select("url", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.least("low", F.coalesce("_l", "low")).alias("low"))
-        jump = stage(jump, "walk")
-        rounds += 1
-    looping = jump.join(edges.select(F.col("url").alias("_at")), F.col("to") == F.col("_at"), "left")
-    walks = looping.select("url", "to", "hops", "low", F.col("_at").isNotNull().alias("is_loop"))
-    told = heads.select("url", "id").join(walks, "url")
-    chains = told.where("not is_loop and hops >= 2").select("id", "url", F.lit("redirect-chain").alias("issue_type"), F.col("hops").alias("hops"), F.col("to").alias("final_url"))
-    head_loops = told.where("is_loop").select("id", "url", F.lit("redirect-loop").alias("issue_type"), F.lit(None).cast("long").alias("hops"), F.lit(None).cast("string").alias("final_url"))
-    # A url is on a loop if walking as many hops as there are redirects leads to it from somewhere on the loop.
-    on_loop = walks.where("is_loop").select(F.col("to").alias("url")).distinct()
-    members = on_loop.join(walks.select("url", "low"), "url")
-    reached = told.where("is_loop").join(walks.select(F.col("url").alias("to"), F.col("low").alias("loop_low")), "to").select("loop_low").distinct()
-    headless = members.join(reached, F.col("low") == F.col("loop_low"), "left_anti").groupBy("low").agg(F.min("url").alias("url"))
-    lonely = headless.join(edges, "url").select("id", "url", F.lit("redirect-loop").alias("issue_type"), F.lit(None).cast("long").alias("hops"), F.lit(None).cast("string").alias("final_url"))
+    at = ["audit_id", "url"]
+    edges = stage(redirects(pages), "redirects")
+    heads = edges.join(edges.select("audit_id", F.col("target").alias("url")), at, "left_anti")
+    jump = edges.select(*at, F.col("target").alias("to"), F.lit(1).cast("long").alias("hops"), F.least("url", "target").alias("low"))
+    seen = None
+    for _ in range(max_rounds):
+        nxt = jump.select("audit_id", F.col("url").alias("to"), F.col("to").alias("_to"), F.col("hops").alias("_h"), F.col("low").alias("_l"))
+        longer = jump.join(nxt, ["audit_id", "to"], "left")
+        jump = stage(longer.select(*at, F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"), F.least("low", F.coalesce("_l", "low")).alias("low"), F.col("_to").isNotNull().alias("open")), "walk")
+        # Targets of open walks are images of images: as many as before means that all of them are on loops.
+        going = jump.where("open")
+        targets = going.select("audit_id", "to").distinct().count()
+        state = (targets, *going.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("audit_id", "url", "low"))).first())
+        if state == seen:
+            break
+        seen = state
+    else:
+        raise RuntimeError("redirect walks have not ended")
+    looping = jump.join(edges.select("audit_id", F.col("url").alias("to"), F.lit(True).alias("_at")), ["audit_id", "to"], "left")
+    walks = looping.select(*at, "to", "hops", "low", F.col("_at").isNotNull().alias("is_loop"))
+    told = heads.select(*at, "id").join(walks, at)
+    none = (F.lit(None).cast("long").alias("hops"), F.lit(None).cast("string").alias("final_url"))
+    chains = told.where("not is_loop and hops >= 2").select("audit_id", "id", "url", F.lit("redirect-chain").alias("issue_type"), "hops", F.col("to").alias("final_url"))
+    head_loops = told.where("is_loop").select("audit_id", "id", "url", F.lit("redirect-loop").alias("issue_type"), *none)
+    # Where open walks stand is on a loop; a loop is named by its smallest url.
+    on_loop = walks.where("is_loop").select("audit_id", F.col("to").alias("url")).distinct()
+    members = on_loop.join(walks.select(*at, "low"), at)
+    reached = told.where("is_loop").select("audit_id", F.col("to").alias("url")).join(walks.select(*at, "low"), at).select("audit_id", "low").distinct()
+    headless = members.join(reached, ["audit_id", "low"], "left_anti").groupBy("audit_id", "low").agg(F.min("url").alias("url"))
+    lonely = headless.join(edges, at).select("audit_id", "id", "url", F.lit("redirect-loop").alias("issue_type"), *none)
     return chains.unionByName(head_loops).unionByName(lonely)
 
 
-def crawl_depths(start: DataFrame, links: DataFrame) -> DataFrame:
-    """(url, depth) of all urls reachable from the start urls: breadth first, a join per level."""
-    found = stage(start.select("url").distinct().withColumn("depth", F.lit(0)), "depth")
-    edges = links.where("is_internal").select(F.col("source_url").alias("url"), F.col("target_url").alias("to")).distinct()
-    depth = 0
+def crawl_depths(start: DataFrame, links: DataFrame, hops: DataFrame | None = None, sitemap: DataFrame | None = None) -> DataFrame:
+    """(audit_id, url, depth) of all urls reachable from the start urls of each audit: breadth first, a join per level.
+
+    ``start`` and ``sitemap`` hold (audit_id, url), ``hops`` the redirects (audit_id, url, target): a
+    redirect's target has its depth. Urls that only the sitemap has come last, with null depth. Each
+    level is written once; all levels are read as one table.
+    """
+    at = ["audit_id", "url"]
+    edges = links.where("is_internal").select("audit_id", F.col("source_url").alias("url"), F.col("target_url").alias("to"))
+    start = start.select(at)
+    if hops is not None:  # a link or start that redirects counts for every url on the way
+        way = redirect_ways(hops)
+        edges = edges.unionByName(edges.join(way.withColumnsRenamed({"url": "to", "target": "_t"}), ["audit_id", "to"]).select(*at, F.col("_t").alias("to")))
+        start = start.unionByName(start.join(way, at).select("audit_id", F.col("target").alias("url")))
+    edges = stage(edges.distinct(), "edges")
+    levels, depth = Levels(start.distinct(), "depth"), 0
     while True:
         depth += 1
-        fresh = found.where(F.col("depth") == depth - 1).join(edges, "url").select(F.col("to").alias("url")).distinct().join(found, "url", "left_anti").withColumn("depth", F.lit(depth))
-        fresh = stage(fresh, "depth")
-        if fresh.isEmpty():
-            return found
-        found = stage(found.unionByName(fresh), "depth")
+        fresh = levels.last.join(edges, at).select("audit_id", F.col("to").alias("url")).distinct().join(levels.table(), at, "left_anti")
+        if levels.add(fresh, depth).isEmpty():
+            break
+    found = levels.table()
+    if sitemap is not None:
+        found = found.unionByName(sitemap.select(at).distinct().join(found, at, "left_anti").withColumn("depth", F.lit(None).cast("int")))
+    return found
+
+
+def redirect_ways(hops: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(audit_id, url, target) of every url that a redirect leads to, one hop or more; the hops double each round."""
+    pairs, before = stage(hops.select("audit_id", "url", "target").where("url <> target").distinct(), "ways"), None
+    for _ in range(max_rounds):
+        n = pairs.count()
+        if n == before:
+            return pairs
+        further = pairs.select("audit_id", F.col("url").alias("target"), F.col("target").alias("_t"))
+        longer = pairs.join(further, ["audit_id", "target"]).select("audit_id", "url", F.col("_t").alias("target")).where("url <> target")
+        pairs, before = stage(pairs.unionByName(longer).distinct(), "ways"), n
+    raise RuntimeError("redirects have not ended")
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

@@ -79,14 +79,14 @@ def k11(v):
     return audit.listed_issues(_rated(v)).select("id", "issue_type")
 
 
-DUP = """cand AS (SELECT * FROM audit_pages WHERE fetch_class = 'ok' AND status_code BETWEEN 200 AND 299 AND is_indexable AND (nullif(coalesce(canonical_url, header_canonical_url), '') IS NULL OR coalesce(canonical_url, header_canonical_url) = url)),
-long AS (SELECT id, url, 'duplicate-title' AS issue_type, nullif(title, '') AS k FROM cand UNION ALL SELECT id, url, 'duplicate-meta-description', nullif(meta_description, '') FROM cand UNION ALL SELECT id, url, 'duplicate-content', CASE WHEN word_count > 0 THEN content_hash END FROM cand),
-grp AS (SELECT issue_type, k, count(*) AS group_size, list(url ORDER BY id) AS urls FROM long WHERE k IS NOT NULL GROUP BY ALL HAVING count(*) > 1)"""
+DUP = """cand AS (SELECT * FROM audit_crawls WHERE fetch_class = 'ok' AND status_code BETWEEN 200 AND 299 AND is_indexable AND (nullif(coalesce(canonical_url, header_canonical_url), '') IS NULL OR coalesce(canonical_url, header_canonical_url) = url)),
+long AS (SELECT audit_id, id, url, 'duplicate-title' AS issue_type, nullif(title, '') AS k FROM cand UNION ALL SELECT audit_id, id, url, 'duplicate-meta-description', nullif(meta_description, '') FROM cand UNION ALL SELECT audit_id, id, url, 'duplicate-content', CASE WHEN word_count > 0 THEN content_hash END FROM cand),
+grp AS (SELECT audit_id, issue_type, k, count(*) AS group_size, list(url ORDER BY id) AS urls FROM long WHERE k IS NOT NULL GROUP BY ALL HAVING count(*) > 1)"""
 
 
-@register("a14_p7_duplicates", f"WITH {DUP} SELECT id, url, issue_type, group_size, array_to_string(list_filter(urls, lambda u: u <> url)[1:3], ' ') AS other_urls FROM long JOIN grp USING (issue_type, k)")
+@register("a14_p7_duplicates", f"WITH {DUP} SELECT audit_id, id, url, issue_type, group_size, array_to_string(list_filter(urls, lambda u: u <> url)[1:3], ' ') AS other_urls FROM long JOIN grp USING (audit_id, issue_type, k)")
 def a14(v):
-    return audit.duplicates(v.audit_pages).withColumn("other_urls", F.array_join("other_urls", " "))
+    return audit.duplicates(v.audit_crawls).withColumn("other_urls", F.array_join("other_urls", " "))
 
 
 @register("j12_p9_broken_links", "SELECT l.audit_id, l.source_page_id, l.source_url, l.target_url, p.status_code AS target_status FROM audit_links l JOIN audit_pages p ON l.target_url = p.url AND l.audit_id = p.audit_id WHERE l.is_internal AND p.fetch_class = 'ok' AND p.status_code >= 400")
@@ -94,29 +94,33 @@ def j12(v):
     return audit.broken_links(v.audit_links, v.audit_pages)
 
 
-@register("j10_p10_orphans", """SELECT id, url FROM audit_pages p WHERE fetch_class = 'ok' AND status_code BETWEEN 200 AND 299
- AND NOT EXISTS (SELECT 1 FROM audit_links l WHERE l.target_url = p.url AND l.audit_id = p.audit_id AND l.source_page_id <> p.id) AND NOT EXISTS (SELECT 1 FROM audit_pages r WHERE r.redirect_url = p.url AND r.audit_id = p.audit_id)""")
+@register("j10_p10_orphans", """SELECT audit_id, id, url FROM audit_crawls p WHERE fetch_class = 'ok' AND status_code BETWEEN 200 AND 299 AND url <> 'https://site.test/p3'
+ AND NOT EXISTS (SELECT 1 FROM crawl_links l WHERE l.is_internal AND l.target_url = p.url AND l.audit_id = p.audit_id AND l.source_page_id <> p.id) AND NOT EXISTS (SELECT 1 FROM audit_crawls r WHERE r.redirect_url = p.url AND r.audit_id = p.audit_id)""")
 def j10(v):
-    return audit.orphans(v.audit_pages, v.audit_links).select("id", "url")
+    starts = v.audit_crawls.where("url = 'https://site.test/p3'")
+    return audit.orphans(v.audit_crawls, v.crawl_links, starts).select("audit_id", "id", "url")
 
 
-REDIR = """r AS (SELECT url, redirect_url AS target, id FROM audit_pages WHERE status_code BETWEEN 300 AND 399 AND redirect_url IS NOT NULL),
-walk AS (SELECT url AS start, target AS cur, [url, target] AS path, url = target AS looped FROM r UNION ALL SELECT start, r.target, list_append(path, r.target), list_contains(path, r.target) FROM walk JOIN r ON walk.cur = r.url WHERE NOT looped),
-ends AS (SELECT start, arg_max(cur, len(path)) AS final_url, max(len(path)) - 1 AS hops, bool_or(looped) AS is_loop, arg_max(path, len(path)) AS path FROM walk GROUP BY start),
-heads AS (SELECT e.*, r.id FROM ends e JOIN r ON r.url = e.start WHERE e.start NOT IN (SELECT target FROM r)),
-walked AS (SELECT unnest(path) AS url FROM heads WHERE is_loop),
-lonely AS (SELECT DISTINCT list_min(list_distinct(path)) AS url FROM ends WHERE is_loop AND path[1] = path[-1] AND start NOT IN (SELECT url FROM walked))"""
+REDIR = """r AS (SELECT audit_id, url, redirect_url AS target, id FROM audit_crawls WHERE status_code BETWEEN 300 AND 399 AND redirect_url IS NOT NULL),
+walk AS (SELECT audit_id, url AS start, target AS cur, [url, target] AS path, url = target AS looped FROM r UNION ALL SELECT walk.audit_id, start, r.target, list_append(path, r.target), list_contains(path, r.target) FROM walk JOIN r ON walk.cur = r.url AND walk.audit_id = r.audit_id WHERE NOT looped),
+ends AS (SELECT audit_id, start, arg_max(cur, len(path)) AS final_url, max(len(path)) - 1 AS hops, bool_or(looped) AS is_loop, arg_max(path, len(path)) AS path FROM walk GROUP BY audit_id, start),
+heads AS (SELECT e.*, r.id FROM ends e JOIN r ON r.url = e.start AND r.audit_id = e.audit_id WHERE (e.audit_id, e.start) NOT IN (SELECT (audit_id, target) FROM r)),
+walked AS (SELECT audit_id, unnest(path) AS url FROM heads WHERE is_loop),
+lonely AS (SELECT DISTINCT audit_id, list_min(list_distinct(path)) AS url FROM ends WHERE is_loop AND path[1] = path[-1] AND (audit_id, start) NOT IN (SELECT (audit_id, url) FROM walked))"""
 
 
-@register("p8_redirect_walks", f"WITH RECURSIVE {REDIR} SELECT id, start AS url, 'redirect-chain' AS issue_type, hops::BIGINT AS hops, final_url FROM heads WHERE NOT is_loop AND hops >= 2 UNION ALL SELECT id, start, 'redirect-loop', NULL, NULL FROM heads WHERE is_loop UNION ALL SELECT r.id, l.url, 'redirect-loop', NULL, NULL FROM lonely l JOIN r ON r.url = l.url")
+@register("p8_redirect_walks", f"WITH RECURSIVE {REDIR} SELECT audit_id, id, start AS url, 'redirect-chain' AS issue_type, hops::BIGINT AS hops, final_url FROM heads WHERE NOT is_loop AND hops >= 2 UNION ALL SELECT audit_id, id, start, 'redirect-loop', NULL, NULL FROM heads WHERE is_loop UNION ALL SELECT l.audit_id, r.id, l.url, 'redirect-loop', NULL, NULL FROM lonely l JOIN r ON r.url = l.url AND r.audit_id = l.audit_id")
 def p8(v):
-    return audit.redirect_walks(v.audit_pages)
+    return audit.redirect_walks(v.audit_crawls)
 
 
-@register("p11_crawl_depths", """WITH RECURSIVE e AS (SELECT DISTINCT source_url AS u, target_url AS t FROM audit_links WHERE is_internal), d(url, depth) AS (SELECT 'https://site.test/p3', 0 UNION SELECT e.t, d.depth + 1 FROM d JOIN e ON d.url = e.u WHERE d.depth < 30)
-SELECT url, min(depth) AS depth FROM d GROUP BY url""")
+# UNION keeps a (url, depth) once, so the recursion ends only by a bound; no depth exceeds the number of urls linked to.
+@register("p11_crawl_depths", """WITH RECURSIVE e AS (SELECT DISTINCT audit_id, source_url AS u, target_url AS t, 1 AS step FROM crawl_links WHERE is_internal UNION SELECT audit_id, url, redirect_url, 0 FROM audit_crawls WHERE status_code BETWEEN 300 AND 399 AND redirect_url IS NOT NULL),
+most AS (SELECT count(DISTINCT t) AS n FROM e), d(audit_id, url, depth) AS (SELECT a, 'https://site.test/p3', 0 FROM range(3) s(a) UNION SELECT e.audit_id, e.t, d.depth + e.step FROM d JOIN e ON d.url = e.u AND d.audit_id = e.audit_id WHERE d.depth + e.step <= least(60, (SELECT n FROM most)))
+SELECT audit_id, url, min(depth)::INT AS depth FROM d GROUP BY audit_id, url UNION ALL SELECT DISTINCT audit_id, url, NULL::INT FROM audit_crawls c WHERE url LIKE '%5' AND NOT EXISTS (SELECT 1 FROM d WHERE d.url = c.url AND d.audit_id = c.audit_id)""")
 def p11(v):
-    return audit.crawl_depths(v.audit_pages.where("id = 3").select("url"), v.audit_links)
+    start = v.audit_crawls.sparkSession.range(3).selectExpr("cast(id as int) as audit_id", "'https://site.test/p3' as url")
+    return audit.crawl_depths(start, v.crawl_links, audit.redirects(v.audit_crawls), v.audit_crawls.where("url like '%5'"))
 
 
 @register("f10_page_filter", "SELECT id FROM audit_pages WHERE contains(lower(concat_ws(' ', url, nullif(title, ''), nullif(meta_description, ''))), 'p1') AND status_code BETWEEN 200 AND 299 AND word_count BETWEEN 50 AND 380 AND response_ms IS NOT NULL AND response_ms <= 1800 AND images_missing_alt <= 0")

@@ -53,8 +53,8 @@ SELECT page_id AS id, concat('https://site.test/p', CAST(page_id AS STRING)) AS
  CASE WHEN page_id % 31 = 0 THEN 'blocked' WHEN page_id % 37 = 0 THEN 'error' ELSE 'ok' END AS fetch_class,
  CAST(CASE WHEN page_id % 31 = 0 THEN 403 WHEN page_id % 37 = 0 THEN 0 WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 41 = 0 THEN 503 WHEN page_id % 10 < 3 THEN 301 ELSE 200 END AS INT) AS status_code,
  CASE WHEN page_id % 10 < 3 THEN concat('https://site.test/p', CAST(CASE WHEN page_id % 10 = 2 AND page_id % 3 = 0 THEN page_id ELSE page_id + 1 END AS STRING)) END AS redirect_url,
- CASE WHEN page_id % 23 = 0 THEN '' ELSE substr(html, 90, CAST(5 + page_id % 70 AS INT)) END AS title,
- CASE WHEN page_id % 4 = 0 THEN NULL ELSE substr(html, 400, CAST(page_id % 13 * 15 AS INT)) END AS meta_description,
+ CASE WHEN page_id % 23 = 0 THEN '' WHEN page_id % 12 = 5 THEN regexp_extract(html, '<title>([^ <]*)', 1) WHEN page_id % 12 = 7 THEN concat(regexp_extract(html, '<title>([^<]*)', 1), ' ', regexp_extract(html, '<p>([^<]+)', 1)) ELSE regexp_extract(html, '<title>([^<]*)', 1) END AS title,
+ CASE WHEN page_id % 4 = 0 THEN NULL ELSE regexp_extract(html, '<p>([^<]+)', 1) END AS meta_description,
  CASE WHEN page_id % 11 = 0 THEN concat('https://site.test/p', CAST(page_id % 50 AS STRING)) END AS canonical_url,
  CASE WHEN page_id % 22 = 0 THEN concat('https://site.test/p', CAST(page_id AS STRING)) END AS header_canonical_url,
  CASE WHEN page_id % 13 = 0 THEN false ELSE true END AS is_indexable, CASE WHEN page_id % 29 = 0 THEN false ELSE true END AS is_html,
@@ -62,10 +62,19 @@ SELECT page_id AS id, concat('https://site.test/p', CAST(page_id AS STRING)) AS
  CAST(page_id % 5 AS INT) AS images_total, CAST(CASE WHEN page_id % 8 = 0 THEN page_id % 5 ELSE 0 END AS INT) AS images_missing_alt,
  CAST(page_id % 15 % 4 AS INT) AS link_count, CASE WHEN page_id % 21 = 0 THEN NULL ELSE CAST(page_id % 7 AS INT) END AS crawl_depth,
  CASE WHEN page_id % 9 = 0 THEN NULL ELSE CAST(200 + page_id * 7 % 2000 AS INT) END AS response_ms FROM {pages}""",
+    # The site crawled by three audits: most urls are in all of them, redirects differ, audit 2 links less.
+    "audit_crawls": """
+SELECT p.id * 3 + a AS id, p.url, a AS audit_id, p.fetch_class, CAST(CASE WHEN p.status_code = 200 AND (p.id + a) % 9 < 4 THEN 301 ELSE p.status_code END AS INT) AS status_code,
+ CASE WHEN p.status_code BETWEEN 200 AND 399 AND (p.id + a) % 9 < 4 THEN concat('https://site.test/p', CAST(CASE WHEN (p.id + a) % 9 = 3 AND p.id % 5 = 0 THEN p.id - 2 WHEN p.id % 14 = 3 THEN p.id ELSE p.id + 1 END AS STRING)) END AS redirect_url,
+ p.title, p.meta_description, p.canonical_url, p.header_canonical_url, p.is_indexable, p.word_count, p.content_hash
+FROM {audit_pages} p CROSS JOIN (SELECT 0 AS a UNION ALL SELECT 1 UNION ALL SELECT 2) audits WHERE (p.id + a) % 7 <> 0""",
     "audit_links": """
 SELECT page_id AS source_page_id, page_id % 3 AS audit_id, concat('https://site.test/p', CAST(page_id AS STRING)) AS source_url,
  concat('https://site.test/p', CAST(page_id * k % 211 AS STRING)) AS target_url, concat('a', CAST(k AS STRING)) AS anchor, CASE WHEN k = 7 THEN false ELSE true END AS is_internal
 FROM {pages} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 5 UNION ALL SELECT 7) ks""",
+    "crawl_links": """
+SELECT l.source_page_id * 3 + a AS source_page_id, a AS audit_id, l.source_url, l.target_url, l.is_internal
+FROM {audit_links} l CROSS JOIN (SELECT 0 AS a UNION ALL SELECT 1 UNION ALL SELECT 2) audits WHERE (l.source_page_id + a) % 7 <> 0 AND NOT (a = 2 AND l.source_page_id % 3 = 0)""",
     "lighthouse": """
 SELECT page_id, page_id % 3 AS audit_id, CASE WHEN page_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END AS strategy, CASE WHEN page_id % 14 = 0 THEN 'timed out' END AS error_message,
  CASE WHEN page_id % 14 = 0 OR page_id % 10 = 3 THEN NULL ELSE CAST(page_id * 37 % 101 AS INT) END AS performance_score,
@@ -75,7 +84,7 @@ SELECT page_id, page_id % 3 AS audit_id, CASE WHEN page_id % 2 = 0 THEN 'mobile'
     "observations": """
 SELECT concat('o', CAST(doc_id AS STRING)) AS obs_id, CAST(doc_id % 5 AS INT) AS project_id, source AS connection_id, CASE WHEN doc_id % 40 = 3 THEN 'x1' ELSE concat('x', CAST(doc_id AS STRING)) END AS external_id,
  concat('web', CAST(doc_id % 3 AS STRING)) AS platform, CASE WHEN doc_id % 9 = 0 THEN concat('https://n.test/', CAST(doc_id % 20 AS STRING)) ELSE '' END AS canonical_url,
- regexp_replace(lower(substr(text, 1, 60)), '[^a-z ]', ' ', 'g') AS title, lang AS language,
+ regexp_replace(lower(regexp_extract(text, '^[^.\\n]*', 0)), '[^a-z ]', ' ', 'g') AS title, lang AS language,
  CASE doc_id % 5 WHEN 0 THEN 'first_party_observed' WHEN 1 THEN 'community_observed' WHEN 2 THEN 'search_observed' WHEN 3 THEN 'primary_authoritative' ELSE 'generated_candidate' END AS source_class,
  CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('geo', CAST(doc_id % 4 AS STRING)) END AS geography, CASE WHEN doc_id % 8 = 7 THEN true ELSE false END AS baseline,
  CASE WHEN doc_id % 16 = 5 THEN NULL ELSE CAST(doc_id % 700 AS BIGINT) END AS published_hour, CAST(doc_id AS BIGINT) AS collected_hour, concat('fam', CAST(doc_id % 12 AS STRING)) AS family_id FROM {documents}""",
@@ -85,7 +94,7 @@ SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS id, s_suppkey AS
  CASE WHEN l_returnflag = 'R' THEN false ELSE true END AS dofollow, CASE WHEN l_returnflag = 'A' THEN true ELSE false END AS is_lost, CASE WHEN l_linenumber = 5 THEN true ELSE false END AS is_broken, CAST(l_shipdate AS DATE) AS first_seen
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
     "mentions": """
-SELECT conv_id * 100 + turn AS id, CASE WHEN role = 'user' THEN 'chat_gpt' ELSE 'google' END AS platform, concat('brand', CAST(conv_id % 6 AS STRING)) AS brand, substr(text, 1, 40) AS question,
+SELECT conv_id * 100 + turn AS id, CASE WHEN role = 'user' THEN 'chat_gpt' ELSE 'google' END AS platform, concat('brand', CAST(conv_id % 6 AS STRING)) AS brand, text AS question,
  CASE WHEN conv_id % 5 = 0 THEN NULL ELSE CAST(length(text) % 100 AS BIGINT) END AS volume, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE CAST(turn + 1 AS BIGINT) END AS mentions,
  concat('https://src', CAST(conv_id % 9 AS STRING), '.test/', CAST(turn AS STRING)) AS source_url, CAST(2023 + conv_id % 2 AS INT) AS year, CAST(1 + turn % 12 AS INT) AS month FROM {conversations}""",
 }

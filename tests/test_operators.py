@@ -164,11 +164,35 @@ def test_redirect_walks(spark, edges, want):
 
 
 def test_crawl_depths_of_a_deep_site(spark):
-    links = spark.createDataFrame([(f"u{i}", f"u{i + 1}", True) for i in range(33)] + [("u33", "u0", True)], "source_url string, target_url string, is_internal boolean")
-    got = audit.crawl_depths(spark.createDataFrame([("u0",)], "url string"), links).collect()
+    links = spark.createDataFrame([(1, f"u{i}", f"u{i + 1}", True) for i in range(33)] + [(1, "u33", "u0", True), (2, "u0", "x", True), (1, "u3", "e", False)], "audit_id int, source_url string, target_url string, is_internal boolean")
+    got = audit.crawl_depths(spark.createDataFrame([(1, "u0")], "audit_id int, url string"), links).collect()
     assert sorted((r["depth"], r["url"]) for r in got) == [(i, f"u{i}") for i in range(34)]
 
 
+def test_crawl_depths_of_redirects_and_sitemaps(spark):
+    links = spark.createDataFrame([(1, "a", "b", True), (1, "d", "e", True)], "audit_id int, source_url string, target_url string, is_internal boolean")
+    hops = spark.createDataFrame([(1, "b", "c"), (1, "c", "d"), (1, "d", "b")], "audit_id int, url string, target string")
+    ends = lambda *rows: spark.createDataFrame([(1, x) for x in rows], "audit_id int, url string")
+    got = audit.crawl_depths(ends("a"), links, hops, ends("e", "s")).collect()
+    assert {r["url"]: r["depth"] for r in got} == {"a": 0, "b": 1, "c": 1, "d": 1, "e": 2, "s": None}
+
+
+def test_checks_keep_to_their_audit(spark):
+    made = []
+    for audit_id in (1, 2, 3):
+        chain = [(f"p{i}", f"p{i + 1}") for i in range(5)] if audit_id == 1 else [("p0", "p1"), ("p1", "p0")] if audit_id == 2 else []
+        made += [page(id=audit_id * 100 + i, audit_id=audit_id, url=u, redirect_url=t, status_code=301) for i, (u, t) in enumerate(chain)]
+        made.append(page(id=audit_id * 100 + 50, audit_id=audit_id, url="same", title="one title", content_hash="one"))
+    rows = spark.createDataFrame([tuple(x.values()) for x in made], SCHEMA)
+    got = {(r["audit_id"], r["url"], r["issue_type"], r["hops"]) for r in audit.redirect_walks(rows).collect()}
+    assert got == {(1, "p0", "redirect-chain", 5), (2, "p0", "redirect-loop", None)}
+    assert audit.duplicates(rows.where("url = 'same'")).count() == 0
+    links = spark.createDataFrame([(1, 999, "same", False), (2, 999, "same", True), (3, 350, "same", True)], "audit_id int, source_page_id long, target_url string, is_internal boolean")
+    live = rows.where("url = 'same'")
+    assert {r["audit_id"] for r in audit.orphans(live, links).collect()} == {1, 3}
+    assert {r["audit_id"] for r in audit.orphans(live, links, spark.createDataFrame([(3, "same")], "audit_id int, url string")).collect()} == {1}
+
+
 def test_html_facts(spark):
     source = '<html><head><title> T </title><meta name="description" content=" D "><link rel="canonical" href="/c"><meta name="robots" content="NoIndex"><script type="application/ld+json">{}</script></head><body><h1>One</h1><h3></h3><img src=a><img src=b alt=""><a href="/x#f" rel="nofollow">go  <b>on</b></a><a href="https://other.test/">o</a><a href="mailto:x">m</a><a href="/x">again</a><script>no words</script>three more words</body></html>'
     rows = spark.createDataFrame([(1, "https://s.test/p", source, "none"), (2, None, None, None)], "id long, url string, html string, x_robots_tag string")
