@@ -39,7 +39,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def fnv1a(normal: Column) -> Column:
-    """32-bit FNV-1a of a text's code points, in hex; for texts within the basic plane."""
-    codes = F.transform(F.filter(F.split(normal, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    """32-bit FNV-1a of a text's UTF-16 units, in hex."""
+    points = F.transform(F.filter(F.split(normal, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    above = lambda x: x - F.lit(0x10000)
+    pair = lambda x: F.array(F.lit(0xD800) + F.floor(above(x) / 1024), F.lit(0xDC00) + above(x) % 1024)
+    codes = F.flatten(F.transform(points, lambda x: F.when(x > 0xFFFF, pair(x)).otherwise(F.array(x))))
     mixed = F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, x: F.pmod(h.bitwiseXOR(x) * F.lit(0x01000193), F.lit(1 << 32)))
     return F.lpad(F.lower(F.hex(mixed)), 8, "0")

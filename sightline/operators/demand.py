@@ -36,7 +36,10 @@ def observation_id(platform="platform", connection="connection_id", external="ex
 
 
 def candidate_pairs(obs: DataFrame) -> DataFrame:
-    """Pairs of a family that could be duplicates: one record id, one canonical url, or similar enough titles near in time.
+    """(a, b, record_size, url_size) of a family's rows that could be duplicates: one record id, one canonical url, or similar enough titles near in time.
+
+    Rows of equal record ids or urls are paired with the first of their group, whose size is given:
+    as many pairs as rows, from grouped aggregates, however hot the key.
 
     Titles are compared only where they share a token of a prefix: tokens by rarity within the
     family, of which a title of n needs n - ceil(0.7 n) + 1 for similarity 0.7; and the token
@@ -50,12 +53,12 @@ def candidate_pairs(obs: DataFrame) -> DataFrame:
     pick = lambda *keys: obs.select("family_id", "obs_id", *keys)
 
     def equal(*keys: str) -> DataFrame:
-        """A chain through the rows of equal keys: each with the next, so that a hot key gives as many pairs as rows."""
+        """Each row with the first of its equal keys, and their number."""
         rows = pick(*keys)
         for k in keys:
             rows = rows.where(F.col(k).isNotNull())
-        window = Window.partitionBy("family_id", *keys).orderBy("obs_id")
-        return rows.select(F.col("obs_id").alias("a"), F.lead("obs_id").over(window).alias("b")).where("b is not null")
+        groups = rows.groupBy("family_id", *keys).agg(F.min("obs_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        return rows.join(groups, ["family_id", *keys]).where("obs_id <> a").select("a", F.col("obs_id").alias("b"), "size")
 
     bucket = F.floor(F.unix_seconds("published") / (CROSS_HOURS * 3600))
     timed = obs.where("published is not null").select("family_id", "obs_id", "tokens", F.size("tokens").alias("n"), bucket.alias("bucket"))
@@ -68,7 +71,10 @@ def candidate_pairs(obs: DataFrame) -> DataFrame:
     left, right = side(keyed, "x"), side(keyed.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1))), "y")
     near = left.join(right, (F.col("family_id_x") == F.col("family_id_y")) & (F.col("token_x") == F.col("token_y")) & (F.col("bucket_x") == F.col("bucket_y")) & (F.col("obs_id_x") < F.col("obs_id_y")))
     near = near.where((F.least("n_x", "n_y") >= F.lit(NEAR) * F.greatest("n_x", "n_y") - 1e-9)).select(F.col("obs_id_x").alias("a"), F.col("obs_id_y").alias("b"))
-    return equal("connection_id", "external_id").unionByName(equal("url_key")).unionByName(near).distinct()
+    none = F.lit(None).cast("long")
+    sized = equal("connection_id", "external_id").select("a", "b", F.col("size").alias("record_size"), none.alias("url_size")).unionByName(equal("url_key").select("a", "b", none.alias("record_size"), F.col("size").alias("url_size")))
+    pairs = sized.unionByName(near.select("a", "b", none.alias("record_size"), none.alias("url_size")))
+    return pairs.groupBy("a", "b").agg(F.max("record_size").alias("record_size"), F.max("url_size").alias("url_size"))
 
 
 def relation() -> Column:
@@ -85,12 +91,15 @@ def relation() -> Column:
 
 
 def duplicate_edges(obs: DataFrame) -> DataFrame:
-    """(a, b, relation, similarity) of the duplicate pairs among candidates; records and urls count as similarity 1."""
+    """(a, b, relation, similarity, group_size) of the duplicates: rows of equal records or urls with the first of their group
+    (similarity 1, and the group's size), and every other pair that is related by its titles."""
     pairs = candidate_pairs(obs)
     x, y = obs.select(F.col("obs_id").alias("a"), F.struct(*obs.columns).alias("x")), obs.select(F.col("obs_id").alias("b"), F.struct(*obs.columns).alias("y"))
     both = pairs.join(x, "a").join(y, "b").withColumn("similarity", jaccard(F.col("x.tokens"), F.col("y.tokens"))).withColumn("relation", relation())
     certain = ((F.col("x.connection_id") == F.col("y.connection_id")) & (F.col("x.external_id") == F.col("y.external_id"))) | F.coalesce(F.col("x.url_key") == F.col("y.url_key"), F.lit(False))
-    return both.where("relation is not null").select("a", "b", "relation", F.when(certain, 1.0).otherwise(half_up("similarity", 4)).alias("similarity"))
+    size = F.coalesce("record_size", "url_size")
+    told = both.where(F.col("relation").isNotNull() & (~certain | size.isNotNull()))
+    return told.select("a", "b", "relation", F.when(certain, 1.0).otherwise(half_up("similarity", 4)).alias("similarity"), size.alias("group_size"))
 
 
 def evidence_events(obs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -179,15 +188,27 @@ def best_matches(families: DataFrame, assets: DataFrame) -> DataFrame:
     """(family_id, url, kind, strength, exact, updated) of each family's best asset of its project.
 
     An asset matches if a normal text of the family (language or title) equals its intent, or their
-    similarity reaches the threshold. Families and assets meet on shared tokens and equal texts,
-    not all with all. Ties: exact, then kind, then url. ``families`` have family_id, project_id and
+    similarity reaches the threshold. They meet on a shared token among their rarest (a text of n
+    tokens needs n - ceil(0.34 n) + 1 of them) or on equal texts, not all with all. Ties: exact, then kind, then url. ``families`` have family_id, project_id and
     needles (normal texts), ``assets`` project_id, url, kind, intent (normal) and updated.
     """
     needles = families.select("family_id", "project_id", F.explode("needles").alias("needle")).where("needle <> ''").withColumn("nt", title_tokens(F.col("needle")))
     stock = assets.where("intent <> ''").withColumn("at", title_tokens(F.col("intent")))
     # An equal text has equal tokens; one without tokens of two letters meets by itself.
-    key = lambda c, t: F.explode(F.when(F.size(t) > 0, F.col(t)).otherwise(F.array(F.concat(F.lit("="), F.col(c)))))
-    met = needles.withColumn("k", key("needle", "nt")).join(stock.withColumn("k", key("intent", "at")), ["project_id", "k"]).drop("k").distinct()
+    rarity = stock.select("project_id", F.explode("at").alias("k")).groupBy("project_id", "k").agg(F.count(F.lit(1)).alias("df"))
+
+    def keyed(rows: DataFrame, text: str, tokens: str, *ids: str) -> DataFrame:
+        """(project_id, ids, k) of the rarest tokens of each row; the text itself if it has none."""
+        named = rows.where(F.size(tokens) > 0).select("project_id", *ids, F.size(tokens).alias("n"), F.explode(tokens).alias("k")).distinct()
+        by_rarity = Window.partitionBy("project_id", *ids).orderBy(F.coalesce("df", F.lit(0)), "k")
+        ranked = named.join(rarity, ["project_id", "k"], "left").withColumn("_p", F.row_number().over(by_rarity))
+        few = ranked.where(F.col("_p") <= F.col("n") - F.ceil(F.col("n") * F.lit(MATCH_THRESHOLD) - 1e-9) + 1)
+        bare = rows.where(F.size(tokens) == 0).select("project_id", *ids, F.concat(F.lit("="), F.col(text)).alias("k"))
+        return few.select("project_id", *ids, "k").unionByName(bare)
+
+    wanted, offered = keyed(needles, "needle", "nt", "family_id", "needle"), keyed(stock, "intent", "at", "intent")
+    meeting = wanted.join(offered, ["project_id", "k"]).drop("k").distinct()
+    met = meeting.join(stock, ["project_id", "intent"]).withColumn("nt", title_tokens(F.col("needle")))
     met = met.withColumn("exact", F.col("needle") == F.col("intent")).withColumn("strength", F.when(F.col("exact"), 1.0).otherwise(jaccard(F.col("nt"), F.col("at"))))
     kind = F.coalesce(F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")), F.lit(99))
     per_asset = met.where(F.col("exact") | (F.col("strength") >= MATCH_THRESHOLD))
@@ -227,10 +248,11 @@ def select_feed(scored: DataFrame, keys: tuple[str, ...] = ("project_id",), most
         .when(F.col("priority") < MONITOR, "below_score_threshold")
     )
     rows = scored.withColumn("reason", gate)
-    window = Window.partitionBy(*keys, F.col("reason").isNull()).orderBy(F.desc("priority"), F.desc("confidence"), "family_id")
-    rows = rows.withColumn("_k", F.row_number().over(window))
-    over = F.col("reason").isNull() & (F.col("_k") > most)
-    rows = rows.withColumn("reason", F.when(over, "feed_limit").otherwise(F.col("reason")))
+    # What may be promoted comes first, and of each project only the first rows leave a task.
+    window = Window.partitionBy(*keys).orderBy("_no", F.desc("priority"), F.desc("confidence"), "family_id")
+    first = rows.select(*keys, "family_id", "priority", "confidence", F.col("reason").isNotNull().alias("_no")).withColumn("_k", F.row_number().over(window)).where((F.col("_k") <= most) & ~F.col("_no"))
+    rows = rows.join(first.select(*keys, "family_id", "_k"), [*keys, "family_id"], "left")
+    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("_k").isNull(), "feed_limit").otherwise(F.col("reason")))
     return rows.withColumns({"rank": F.when(F.col("reason").isNull(), F.col("_k").cast("long")), "action": F.when(F.col("reason").isNull(), F.when(F.col("band") == "monitor", "monitor_only").otherwise(F.col("action")))}).drop("_k")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.expr import all_of, report_range
+from sightline.sources.staging import stage
 
 OPERATORS = {
     "equals": lambda c, x: c == x,
@@ -113,14 +114,38 @@ def engagement_norms(rows: DataFrame, group: list[str], value: str, age_days: st
     """Addition: age-adjusted velocity, its percentile within the group, and its distance from the median in deviations."""
     velocity = F.col(value) / F.greatest(F.col(age_days), F.lit(1))
     out = rows.withColumn("velocity", velocity)
-    window = Window.partitionBy(*group)
-    middle = out.groupBy(*group).agg(F.median("velocity").alias("_m"))
-    out = out.join(middle, group).withColumn("_d", F.abs(F.col("velocity") - F.col("_m")))
-    spread = out.groupBy(*group).agg(F.median("_d").alias("mad"))
-    out = out.join(spread, group).withColumn("percentile", F.percent_rank().over(window.orderBy("velocity")))
+    places = ranked_values(out, group, "velocity")
+    out = out.join(medians(places, group, "velocity").withColumnRenamed("median", "_m"), group).withColumn("_d", F.abs(F.col("velocity") - F.col("_m")))
+    out = out.join(medians(ranked_values(out, group, "_d"), group, "_d").withColumnRenamed("median", "mad"), group)
+    share = F.when(F.col("_total") > 1, F.col("_less") / (F.col("_total") - 1)).otherwise(0.0)
+    out = out.join(places.select(*group, "velocity", share.alias("percentile")), [*group, "velocity"])
     return out.withColumn("deviations", F.when(F.col("mad") > 0, (F.col("velocity") - F.col("_m")) / F.col("mad")).otherwise(0.0)).drop("_m", "_d")
 
 
+def ranked_values(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, _n, _less, _total): how often each value occurs in its group, how many rows have smaller ones, and all.
+
+    Values are counted, dealt by ranges of (group, value), and summed up within each range and over
+    the ranges before: a hot group is spread over all tasks, and no task sorts it whole.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = stage(counts.repartitionByRange(*group, value).withColumn("_range", F.spark_partition_id()), "ranked")
+    inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # A row a group and range, as many as shuffle partitions.
+    ranges = dealt.groupBy(*group, "_range").agg(F.sum("_n").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    totals = ranges.groupBy(*group).agg(F.sum("_all").alias("_total"))
+    out = dealt.withColumn("_less", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(ranges.drop("_all"), [*group, "_range"]).join(totals, group)
+    return out.select(*group, value, "_n", (F.col("_less") + F.col("_before")).alias("_less"), "_total")
+
+
+def medians(places: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, median) from ``ranked_values``: the middle value, or the mean of the two middle ones."""
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    holds = lambda at: (F.col("_less") <= at) & (at < F.col("_less") + F.col("_n"))
+    return places.groupBy(*group).agg(((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias("median"))
+
+
 def acceleration(rows: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """Addition: change of a windowed count against the window before."""
     return rows.withColumn("acceleration", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(time)))

@@ -39,13 +39,15 @@ def _events(v):
     return demand.evidence_events(obs, demand.duplicate_edges(obs))
 
 
-@register("e9_j17_duplicate_edges", f"WITH {PAIRS} SELECT a, b, relation, floor(s * 10000::DOUBLE + 0.5::DOUBLE) / 10000 AS similarity FROM edges WHERE relation IS NOT NULL AND NOT certain")
+# Equal records and urls: each row with the first of its group, and the group's size; other pairs one by one.
+STARS = """gr AS (SELECT min(obs_id) OVER w AS a, obs_id AS b, count(*) OVER w AS rec_size, NULL::BIGINT AS can_size FROM o WINDOW w AS (PARTITION BY family_id, connection_id, external_id)
+ UNION ALL SELECT min(obs_id) OVER w, obs_id, NULL, count(*) OVER w FROM o WHERE canonical_url <> '' WINDOW w AS (PARTITION BY family_id, canonical_url)),
+stars AS (SELECT a, b, coalesce(max(rec_size), max(can_size)) AS group_size FROM gr WHERE a <> b GROUP BY a, b)"""
+
+
+@register("e9_j17_duplicate_edges", f"WITH {PAIRS}, {STARS} SELECT a, b, relation, CASE WHEN certain THEN 1.0 ELSE floor(s * 10000::DOUBLE + 0.5::DOUBLE) / 10000 END::DOUBLE AS similarity, group_size::BIGINT AS group_size FROM edges LEFT JOIN stars USING (a, b) WHERE relation IS NOT NULL AND (NOT certain OR group_size IS NOT NULL)")
 def e9(v):
-    obs = _obs(v)
-    edges = demand.duplicate_edges(obs)
-    key = lambda s: obs.select(F.col("obs_id").alias(s), F.struct("connection_id", "external_id").alias(f"r{s}"), F.col("url_key").alias(f"u{s}"))
-    rows = edges.join(key("a"), "a").join(key("b"), "b").where((F.col("ra") != F.col("rb")) & ~F.coalesce(F.col("ua") == F.col("ub"), F.lit(False)))
-    return rows.select("a", "b", "relation", "similarity")
+    return demand.duplicate_edges(_obs(v)).select("a", "b", "relation", "similarity", "group_size")
 
 
 @register("e12_a16_evidence_events", f"WITH RECURSIVE {EVENTS} SELECT family_id, event_anchor, raw_count, array_to_string(source_classes, ',') AS classes, coalesce(array_to_string(geographies, ','), '') AS geographies, first_hour, last_hour, baseline_only FROM ev")
@@ -235,7 +237,7 @@ def k7(v):
 def j5(v):
     runs = v.rank_runs.select("run_id", F.col("config_id").alias("c"))
     configs = v.rank_configs.select(F.col("config_id").alias("c"), "domain", "project_id")
-    return v.rank_snapshots.join(runs, "run_id").join(F.broadcast(configs), "c").join(F.broadcast(v.projects.where("organization_id = 1")), "project_id").select("snapshot_id", "domain", "name")
+    return v.rank_snapshots.join(runs, "run_id").join(configs, "c").join(v.projects.where("organization_id = 1"), "project_id").select("snapshot_id", "domain", "name")
 
 
 @register("j15_resolved_evidence", "SELECT l_orderkey, l_linenumber, l_partkey, (o.o_orderkey IS NULL OR p.p_partkey IS NULL) AS missing FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 9 <> 0) o ON l.l_orderkey = o.o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_partkey % 11 <> 0) p ON l.l_partkey = p.p_partkey")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "fingerprint string"
@@ -22,12 +23,12 @@ def upsert_batch(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(key)
-        try:
-            known = spark.read.parquet(path).where(F.col("batch_id") != batch_id).select(*key)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(folder) and files.listStatus(folder):
+            stored = T.StructType([batch.schema[k] for k in key]).add("batch_id", "long")
+            known = spark.read.schema(stored).parquet(path).where(F.col("batch_id") != batch_id).select(*key)
             fresh = fresh.join(known, key, "left_anti")
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
         target = f"{path.rstrip('/')}/batch_id={batch_id}"
         fresh.write.mode("overwrite").parquet(target)
 

@@ -242,6 +242,10 @@ def test_jaccard(spark, a, b, want):
 def test_text_forms(spark):
     assert one(spark, text.normal_text(F.lit("Ｆｕｌｌ  width, see https://x.y/z NOW!"))) == "full width see now"
     assert one(spark, text.fnv1a(F.lit("abc"))) == "1a47e90b" and one(spark, text.fnv1a(F.lit(""))) == "811c9dc5"
+    h = 0x811C9DC5
+    for unit in (0x61, 0xD83D, 0xDE00):
+        h = (h ^ unit) * 0x01000193 % (1 << 32)
+    assert one(spark, text.fnv1a(F.lit("a\U0001f600"))) == f"{h:08x}"
 
 
 OBS = "obs_id string, family_id string, connection_id string, external_id string, url_key string, platform string, title string, hours double, source_class string, geography string, baseline boolean"
