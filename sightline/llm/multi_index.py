@@ -5,8 +5,9 @@ every vector is filed under its cell. A query walks the codeword pairs in order
 distance with a heap (the multi-sequence walk) until the cells it has passed hold enough vectors,
 and exactly these are reranked by their cosine on the original vectors in double precision.
 
-How many vectors are enough is a share of the table, calibrated on the bounded sample that the
-codebooks are fitted on, so that ``target`` of the sample's true neighbours are found. Cells are
+How many vectors are enough is a share of the table, calibrated on a bounded sample: codebooks are
+fitted on its first half, and the share is the least that finds ``target`` of the true neighbours in
+its second half. Tables of every size go this way. Cells are
 packed into groups of bounded size (a larger cell is dealt over several groups by a hash of the
 id), queries into parts, and a task compares one group with one part, in blocks.
 """
@@ -112,23 +113,28 @@ class MultiIndex:
 
     @staticmethod
     def fit(rows: np.ndarray, codewords: int, target: float, k: int, queries: int = 256) -> MultiIndex:
-        """Codebooks of the sample, and the least share that finds ``target`` of its neighbours."""
+        """Codebooks of half of the sample, and the least share that finds ``target`` of the neighbours in the other half."""
         half = max(1, rows.shape[1] // 2)
-        size = max(1, min(codewords, len(rows) // 16))
-        out = MultiIndex(_codebook(rows[:, :half], size), _codebook(rows[:, half:], size), 1.0)
-        if len(rows) < 2000:
+        fitted, rows = rows[: -(-len(rows) // 2)], rows[len(rows) // 2 :]
+        size = max(1, min(codewords, len(fitted) // 16))
+        out = MultiIndex(_codebook(fitted[:, :half], size), _codebook(fitted[:, half:], size), 1.0)
+        k, n = min(k, len(rows) - 1), len(rows)
+        if k < 1:
             return out
         cell = out.cell_of(rows)
         sizes = np.bincount(cell, minlength=out.cells)
-        asked = np.linspace(0, len(rows) - 1, queries).astype(int)
+        asked = np.unique(np.linspace(0, n - 1, min(queries, n)).astype(int))
         near = rows[asked] @ rows.T
-        near[np.arange(queries), asked] = -np.inf
-        found = np.argpartition(-near, k, axis=1)[:, :k]
+        near[np.arange(len(asked)), asked] = -np.inf
+        found = np.argsort(-near, axis=1, kind="stable")[:, :k]
         a, b = out.distances(rows[asked])
-        order = np.argsort((a[:, :, None] + b[:, None, :]).reshape(queries, -1), axis=1)
-        before = np.empty(order.shape)
-        np.put_along_axis(before, order, np.cumsum(sizes[order], axis=1), 1)  # vectors seen with each cell
-        out.share = float(np.quantile(np.take_along_axis(before, cell[found], 1) / len(rows), target))
+        seen = np.empty(found.shape)
+        for i in range(len(asked)):
+            order = np.argsort((a[i][:, None] + b[i]).ravel())
+            before = np.empty(len(order))
+            before[order] = np.cumsum(sizes[order])  # vectors seen with each cell
+            seen[i] = before[cell[found[i]]]
+        out.share = float(np.quantile(seen / n, target, method="higher"))
         return out
 
 
@@ -138,7 +144,7 @@ def taking_part(column: Column) -> Column:
     return column.isNotNull() & (F.size(column) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(column, lambda x: x != 0)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", codewords: int = 128, target: float = 0.97, sample: int = SAMPLE) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", codewords: int = 256, target: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """Each query's ``k`` nearest of the vectors found, by cosine: query_id, rank (from 1), vec_id, score.
 
     ``is_query`` marks the queries among the rows; every row with another id is a candidate, all
@@ -148,7 +154,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     value. Without queries or vectors the result is empty. Other columns are not read.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    # Single precision stays as it is, at half the bytes; every measure is in double precision.
+    kind = "array<float>" if df.schema[vector].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    values = pa.list_(pa.float32() if kind == "array<float>" else pa.float64())
+    rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & taking_part(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
     rows = stage_table(rows, "ann-rows")
     result = "query_id long, rank int, vec_id long, score double"
@@ -170,7 +179,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     sizes = [0] * index.cells
     for r in filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # as many rows as cells at most
         sizes[r["cell"]] = r["n"]
-    enough = max(math.ceil(index.share * n), 64 * k)
+    enough = max(math.ceil(index.share * n), k + 1)
 
     # Groups of cells: (first group, number of groups) of each cell.
     first, dealt, group, room = np.zeros(index.cells, np.int64), np.ones(index.cells, np.int64), 0, GROUP_ROWS
@@ -205,13 +214,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
                 at, cuts = np.unique(groups[order], return_index=True)
                 lists = np.split(owners[order].astype(np.int32), cuts[1:])
                 m = len(at)
-                yield pa.RecordBatch.from_pydict({"group": at, "part": np.full(m, one.column("part")[0].as_py(), np.int64), "id": np.full(m, one.column("id")[0].as_py(), np.int64), "v": pa.array([one.column("v")[0].as_py()] * m, pa.list_(pa.float64())), "cells": pa.array(lists, pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict({"group": at, "part": np.full(m, one.column("part")[0].as_py(), np.int64), "id": np.full(m, one.column("id")[0].as_py(), np.int64), "v": pa.array([one.column("v")[0].as_py()] * m, values), "cells": pa.array(lists, pa.list_(pa.int32()))})
 
-    entries = filed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h")).mapInArrow(place, "group long, id long, v array<double>, cell int")
+    entries = filed.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h")).mapInArrow(place, f"group long, id long, v {kind}, cell int")
     entries = entries.withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
     asked = filed.where("q").select("id", "v", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("long").alias("part"))
     # A query costs a heap walk over many cells: spread the few rows over all tasks.
-    asked = asked.repartition(min(512, max(8, n_queries // 64))).mapInArrow(ask, "group long, part long, id long, v array<double>, cells array<int>")
+    asked = asked.repartition(min(512, max(8, n_queries // 64))).mapInArrow(ask, f"group long, part long, id long, v {kind}, cells array<int>")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
