@@ -144,7 +144,7 @@ def taking_part(column: Column) -> Column:
     return column.isNotNull() & (F.size(column) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(column, lambda x: x != 0)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", codewords: int = 256, target: float = 0.95, sample: int = SAMPLE) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", codewords: int = 256, target: float = 0.92, sample: int = SAMPLE) -> DataFrame:
     """Each query's ``k`` nearest of the vectors found, by cosine: query_id, rank (from 1), vec_id, score.
 
     ``is_query`` marks the queries among the rows; every row with another id is a candidate, all
