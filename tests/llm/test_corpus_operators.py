@@ -57,6 +57,8 @@ def corpus(seed, groups):
 def test_join_equals_brute_force(spark, monkeypatch, heavy, n, num):
     monkeypatch.setattr(ngram_join, "HEAVY", heavy)
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 3 + heavy % 4)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 1)
     texts = corpus(heavy + n, [1] * 20 + [2, 3, 5, 8, 30])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("class", F.lit("clash")).repartition(3)
     got = {r["id"]: (r["n_shingles"], r["component"]) for r in ngram_join.join_documents(df, n, num, 100).collect()}
