@@ -108,8 +108,8 @@ def evidence_events(obs: DataFrame, edges: DataFrame) -> DataFrame:
     The anchor is the member collected first (then the smallest id), so late evidence doesn't
     re-key an event. Dates ignore what is unknown.
     """
-    roots = components(edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
-    keyed = obs.withColumn("_n", F.xxhash64("obs_id")).join(roots, F.col("_n") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_n"))
+    roots = components(edges)
+    keyed = obs.join(roots, F.col("obs_id") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "obs_id"))
     order = F.struct(F.coalesce(F.col("collected").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")), F.col("obs_id"))
     return keyed.groupBy("family_id", "_root").agg(
         F.min_by("obs_id", order).alias("event_anchor"),

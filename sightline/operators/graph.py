@@ -1,30 +1,37 @@
-"""Connected components by alternating star contractions, on written tables."""
+"""Connected components of an edge table, in DataFrame operations on written tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.sources.staging import stage
+from sightline.sources.staging import stage, unstage
 
+MAX_ROUNDS = 50
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root) of the nodes of an edge table (a, b) of longs; the root is the smallest node of a component.
 
-    Each round hangs every node's larger neighbours, then its smaller ones, on its smallest
-    neighbour; rounds are logarithmic in the diameter. Raises rather than return partial groups.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) of every node of an edge table; the root is the component's smallest node.
+
+    Alternating large-star and small-star steps: a number of rounds logarithmic in the diameter, and
+    never more edges than there were; nothing is collected but two numbers a round. Nodes are of any
+    type with an order. Null ends, loops and repeated edges don't matter. Raises if it hasn't
+    converged after ``MAX_ROUNDS`` rounds rather than return parts of components.
     """
-    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "components")
-    seen = None
-    for _ in range(max_rounds):
-        ends = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = ends.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        big = ends.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        low = big.groupBy("v").agg(F.min("u").alias("m"))
-        small = big.join(low, "v")
-        now = stage(small.select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(small.select("v", F.col("m").alias("u"))).where("v <> u").distinct(), "components")
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if state == seen:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-        seen = state
-    raise RuntimeError("components have not converged")
+    pairs = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    current, mark = stage(pairs.distinct(), "components"), None
+    for _ in range(MAX_ROUNDS):
+        both = current.where("v <> u").unionByName(current.where("v <> u").select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("w"), F.least("v", "m").alias("m"))
+        large = both.join(least, F.col("v") == F.col("w")).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        small_least = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "w")
+        small = large.join(small_least, F.col("v") == F.col("w")).select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("w").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*")
+        new = stage(small.where("v <> u").distinct(), "components")
+        unstage(current)
+        current = new
+        now = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if now == mark:
+            roots = current.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
+            return current.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
+        mark = now
+    raise RuntimeError(f"components have not converged after {MAX_ROUNDS} rounds")

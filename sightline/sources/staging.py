@@ -31,7 +31,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sightline_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a table of ``stage`` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._sightline_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Levels:
