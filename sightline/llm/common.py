@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -14,7 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from sightline.sources.staging import stage as stage_table  # noqa: F401 (used by the operators)
+from sightline.sources.staging import unstage as drop_stage  # noqa: F401
 
 #: Bytes that are not word characters of the "alphanumeric" word rule, mapped to a space; A-Z to a-z.
 ALNUM_TABLE = bytes(
@@ -23,31 +22,6 @@ ALNUM_TABLE = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests) one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="sightline-"))
-    return path.rstrip("/")
-
-
-def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sightline_path = path
-    return out
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete a table of ``stage_table`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._sightline_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Let Arrow batches of texts hold about ``size`` bytes, unless the session asks for less.
 

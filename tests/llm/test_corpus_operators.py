@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import components, line_frequency, multi_index, ngram_join
+from sightline.llm import line_frequency, multi_index, ngram_join
+from sightline.operators.graph import components
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,9 +101,9 @@ def test_block_links_are_a_forest():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 200), (None, 3), (95, 100), (95, 100)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # 7
