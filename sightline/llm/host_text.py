@@ -1,7 +1,7 @@
 """Operator 4: main text of web pages, by structure and a suffix array per host.
 
-A page is read once into blocks of text (``page_blocks``), leaving out what its markup declares to be
-no article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts). If the page
+A page is read into blocks of text (``page_blocks``), leaving out what its markup declares to be no
+article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts). If the page
 has article or main elements, only their blocks count. The token streams of a host's pages are then
 concatenated and all their suffixes sorted whole, with the lengths of their common prefixes; stretches
 of the suffix array whose prefixes agree on ``RUN`` tokens or more are the long substrings, and those
@@ -15,7 +15,9 @@ The distinct pages of a host are dealt by content into shards, so that no task h
 A run on more than a share of the host's pages is on more than that share in one of its shards at least:
 the runs found so are the candidates, whose distinct pages are then counted over the whole host, and
 every page is cut by these counts. Hosts of every size go this way, and the number of shards and the
-layout of the files change no result.
+layout of the files change no result. Pages are read for the shards, which alone shuffle texts, for the
+counts (hosts with candidates only) and for the cut: a table of texts in between would cost more disk
+than reading again costs time.
 """
 
 from __future__ import annotations
@@ -122,7 +124,7 @@ def numbered(pages: list[str]) -> list[list[int]]:
 
 
 def without(text: str, cut: np.ndarray) -> str:
-    """The blocks (lines) of a page as one text, without the tokens that are cut."""
+    """A page's text without the tokens that are cut."""
     return " ".join(w for w, c in zip(text.split(), cut.tolist(), strict=True) if not c)
 
 
@@ -148,7 +150,7 @@ def run_codes(codes: np.ndarray, host: str, run: int = RUN) -> np.ndarray:
 
 def content_code(text: str) -> int:
     """A 64-bit hash of a page's tokens, wherever its blocks end."""
-    return xxhash.xxh64_intdigest(text.replace("\n", " ")) - (1 << 63)
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def sliced(batches, column: str, memo_words: int = 200_000):
@@ -166,55 +168,61 @@ def lists_of(batch: pa.RecordBatch, name: str):
     return [np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64) for x in batch.column(name)]
 
 
-def host_counts(pages: DataFrame, share: float, declared_share: float, min_pages: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(__host, __total, __runs, __pages) of hosts with runs on enough distinct pages; the tables that it reads.
+def host_counts(rows: DataFrame, share: float, declared_share: float, min_pages: int) -> DataFrame:
+    """(__host, __total, __runs, __pages) of hosts with runs on enough distinct pages.
 
-    ``pages`` have __host, __text (blocks as lines) and __code. Runs are hashes in ascending order.
+    ``rows`` have __host and __html. Runs are hashes in ascending order.
     """
     least = min(share, declared_share)
-    shards = F.ceil(F.greatest(F.count(F.lit(1)) / SHARD, F.sum(F.length("__text")) / SHARD_CHARS)).cast("long")
-    # Hosts of fewer rows than a run must have pages have no such run.
-    hosts = stage_table(pages.groupBy("__host").agg(shards.alias("__shards"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_pages).drop("__n"), "host-shards")
-    # A few bytes a host: broadcast up to a counted number, so that pages are not shuffled.
-    small = hosts.count() <= MAX_HOSTS
-    dealt = pages.select("__host", "__text", "__code").join(F.broadcast(hosts) if small else hosts, "__host").withColumn("__shard", F.pmod("__code", "__shards")).drop("__shards")
+    shards = F.ceil(F.greatest(F.count(F.lit(1)) / SHARD, F.sum(F.coalesce(F.length("__html"), F.lit(0))) / SHARD_CHARS)).cast("long")
+    # Hosts of fewer rows than the pages that a run must be on have no such run.
+    hosts = stage_table(rows.groupBy("__host").agg(shards.alias("__shards"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_pages).drop("__n"), "host-shards")
+    # A few bytes a host: broadcast up to a counted number, so that pages are not shuffled for it.
+    dealt = rows.select("__host", "__html").join(F.broadcast(hosts) if hosts.count() <= MAX_HOSTS else hosts, "__host")
 
     def contents(batches):
-        seen: set[tuple[str, int]] = set()  # copies leave a batch's task once, while they fit
-        for batch in batches:
-            fresh = []
-            for i, key in enumerate(zip(batch.column("__host").to_pylist(), batch.column("__code").to_pylist(), strict=True)):
-                if key not in seen:
+        seen: set[tuple[str, int]] = set()  # copies leave a task once, while they fit
+        for batch, _ in sliced(batches, "__html"):
+            out = []
+            for host, n, (blocks, _) in zip(batch.column("__host").to_pylist(), batch.column("__shards").to_pylist(), map(blocks_of, batch.column("__html").to_pylist()), strict=True):
+                text = " ".join(blocks)
+                code = content_code(text)
+                if (host, code) not in seen:
                     if len(seen) < 200_000:
-                        seen.add(key)
-                    fresh.append(i)
-            yield batch.take(pa.array(fresh, pa.int64()))
+                        seen.add((host, code))
+                    out.append((host, n, code % n, code, text))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out) if out else [()] * 5, arrow, strict=True)], schema=arrow)
+
+    arrow = pa.schema([("__host", pa.string()), ("__shards", pa.int64()), ("__shard", pa.int64()), ("__code", pa.int64()), ("__text", pa.string())])
 
     def candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        host, texts = key[0].as_py(), list(dict(zip(table.column("__code").to_pylist(), table.column("__text").to_pylist(), strict=True)).values())
+        host, n_shards, _ = (k.as_py() for k in key)
+        texts = list(dict(zip(table.column("__code").to_pylist(), table.column("__text").to_pylist(), strict=True)).values())
         runs, memo = [np.zeros(0, np.int64)], {}
+        enough = least * len(texts) if n_shards > 1 else max(least * len(texts), min_pages - 1)  # one shard is the whole host
         for text, n in zip(texts, run_holders(numbered(texts)), strict=True):
-            starts = np.flatnonzero(n[: max(len(n) - RUN + 1, 0)] > least * len(texts))
+            starts = np.flatnonzero(n[: max(len(n) - RUN + 1, 0)] > enough)
             if len(starts):
                 runs.append(run_codes(word_codes(text.split(), memo), host)[starts])
         found = np.unique(np.concatenate(runs))
         return pa.table({"__host": pa.array([host] * (len(found) + 1), pa.string()), "__run": pa.array([None, *found.tolist()], pa.int64()), "__n": pa.array([len(texts), *[0] * len(found)], pa.int64())})
 
-    contents_once = dealt.mapInArrow(contents, dealt.schema)
-    noted = stage_table(contents_once.groupBy("__host", "__shard").applyInArrow(candidates, "__host string, __run long, __n long"), "host-runs")
+    distinct = dealt.mapInArrow(contents, "__host string, __shards long, __shard long, __code long, __text string")
+    noted = stage_table(distinct.groupBy("__host", "__shards", "__shard").applyInArrow(candidates, "__host string, __run long, __n long"), "host-runs")
     found, few = listed(noted.groupBy("__host").agg(F.sum("__n").alias("__total"), F.sort_array(F.collect_set("__run")).alias("__runs")).where(F.size("__runs") > 0))
 
     def holders(batches):
-        for batch, memo in sliced(batches, "__text"):
+        for batch, memo in sliced(batches, "__html"):
             runs, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for host, text, code, known in zip(*(batch.column(c).to_pylist() for c in ("__host", "__text", "__code")), lists_of(batch, "__runs"), strict=True):
+            for host, html, known in zip(batch.column("__host").to_pylist(), batch.column("__html").to_pylist(), lists_of(batch, "__runs"), strict=True):
+                text = " ".join(blocks_of(html)[0])
                 own = np.unique(run_codes(word_codes(text.split(), memo), host))
                 own = own[np.isin(own, known, assume_unique=True)]
                 runs.append(own)
-                codes.append(np.full(len(own), code, np.int64))
+                codes.append(np.full(len(own), content_code(text), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs)), pa.array(np.concatenate(codes))], names=["__run", "__content"])
 
-    held = pages.select("__host", "__text", "__code").join((F.broadcast(found) if few else found).select("__host", "__runs"), "__host").mapInArrow(holders, "__run long, __content long")
+    held = rows.select("__host", "__html").join((F.broadcast(found) if few else found).select("__host", "__runs"), "__host").mapInArrow(holders, "__run long, __content long")
     counts = held.distinct().groupBy("__run").agg(F.count(F.lit(1)).alias("__pages"))
     runs = found.select("__host", "__total", F.explode("__runs").alias("__run")).join(counts, "__run")
     enough = (F.col("__pages") >= min_pages) & (F.col("__pages") > F.lit(least) * F.col("__total"))
@@ -246,20 +254,14 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: tupl
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"://([^/?#]*)", 1)), F.lit(""))
     kept = [f"__keep{i}" for i in range(len(keep))]
     rows = df.select(*(F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)), host.alias("__host"), F.col(html).cast("string").alias("__html"))
-    read_schema = T.StructType([*(rows.schema[k] for k in kept), rows.schema["__host"], T.StructField("__text", T.StringType()), T.StructField("__code", T.LongType()), T.StructField("__declared", T.BooleanType())])
-
-    def read(batches):
-        for batch, _ in sliced(batches, "__html"):
-            found = [blocks_of(x) for x in batch.column("__html").to_pylist()]
-            texts = ["\n".join(b) for b, _ in found]
-            columns = [*(batch.column(c) for c in (*kept, "__host")), pa.array(texts, pa.string()), pa.array([content_code(t) for t in texts], pa.int64()), pa.array([d for _, d in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=read_schema.names)
 
     def cut(batches):
-        for batch, memo in sliced(batches, "__text"):
+        for batch, memo in sliced(batches, "__html"):
             texts = []
-            facts = zip(*(batch.column(c).to_pylist() for c in ("__host", "__total", "__text", "__declared")), lists_of(batch, "__runs"), lists_of(batch, "__pages"), strict=True)
-            for host, total, text, declared, runs, pages in facts:
+            facts = zip(*(batch.column(c).to_pylist() for c in ("__host", "__total", "__html")), lists_of(batch, "__runs"), lists_of(batch, "__pages"), strict=True)
+            for host, total, html, runs, pages in facts:
+                blocks, declared = blocks_of(html)
+                text = " ".join(blocks)
                 own = run_codes(word_codes(text.split(), memo), host) if len(runs) else runs
                 if len(own):
                     at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
@@ -267,10 +269,9 @@ def extract_text(df: DataFrame, url: str = "url", html: str = "html", keep: tupl
                     hit = np.zeros(len(own) + RUN - 1, bool)
                     hit[: len(own)] = holders > max(min_pages - 1, (declared_share if declared else share) * total)
                     text = without(text, covered(hit)) if hit.any() else text
-                texts.append(text.replace("\n", " "))
+                texts.append(text)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
-    pages = stage_table(rows.mapInArrow(read, read_schema), "host-pages")
-    counted = pages.join(host_counts(pages, share, declared_share, min_pages), "__host", "left")
+    counted = rows.join(host_counts(rows, share, declared_share, min_pages), "__host", "left")
     out = counted.mapInArrow(cut, T.StructType([*(rows.schema[k] for k in kept), T.StructField("text", T.StringType())]))
     return out.select(*(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)), "text")
