@@ -144,11 +144,11 @@ def taking_part(column: Column) -> Column:
     return column.isNotNull() & (F.size(column) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(column, lambda x: x != 0)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", codewords: int = 256, target: float = 0.92, sample: int = SAMPLE) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", codewords: int = 256, target: float = 0.92, sample: int = SAMPLE, least: int = 320) -> DataFrame:
     """Each query's ``k`` nearest of the vectors found, by cosine: query_id, rank (from 1), vec_id, score.
 
     ``is_query`` marks the queries among the rows; every row with another id is a candidate, all
-    candidates if there are fewer than ``k``. Ties go to the smaller id. Vectors that are null, empty
+    candidates if there are fewer than ``k``. A query looks at ``least`` vectors at least. Ties go to the smaller id. Vectors that are null, empty
     or zero, or hold null or non-finite components, take no part, nor do rows without an id or
     with another length than most. Rows of one id count as one, with the first of their vectors by
     value. Without queries or vectors the result is empty. Other columns are not read.
@@ -179,7 +179,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     sizes = [0] * index.cells
     for r in filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # as many rows as cells at most
         sizes[r["cell"]] = r["n"]
-    enough = max(math.ceil(index.share * n), k + 1)
+    enough = max(math.ceil(index.share * n), least)
 
     # Groups of cells: (first group, number of groups) of each cell.
     first, dealt, group, room = np.zeros(index.cells, np.int64), np.ones(index.cells, np.int64), 0, GROUP_ROWS
