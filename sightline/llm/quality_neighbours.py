@@ -127,26 +127,39 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # Copies of a row with one id: the first by content, so the sample keeps its bound.
     found = texts.mapInArrow(measure, schema).groupBy("id").agg(F.min(F.struct("label", "terms", "values")).alias("row")).select("id", "row.*").toPandas()
     found = found.sort_values("id", kind="stable")
-    terms = np.zeros((len(found), TERMS), np.float32)
-    for i, (at, values) in enumerate(zip(found["terms"], found["values"], strict=True)):
-        terms[i, np.asarray(at, np.int64)] = values
+    rows = [(np.asarray(at, np.int64), np.asarray(values, np.float32)) for at, values in zip(found["terms"], found["values"], strict=True)]
     y = found["label"].to_numpy(np.float64)
-    idf = (np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))) + 1).astype(np.float32)
-    weighted = _unit(terms * idf) if len(terms) else terms
-    projection = leading(weighted, dimensions) * idf[:, None].astype(np.float64)
-    return NeighbourModel(projection, _unit(terms @ projection), y, float(y.mean()) if len(y) else 0.5, neighbours)
+    df = np.zeros(TERMS)
+    for at, _ in rows:
+        df[at] += 1
+    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
 
+    def dense(block: int = 256):
+        """The rows as matrices of a few rows each: the whole one would take the driver's memory."""
+        for i in range(0, len(rows), block):
+            out = np.zeros((min(block, len(rows) - i), TERMS), np.float32)
+            for k, (at, values) in enumerate(rows[i : i + block]):
+                out[k, at] = values
+            yield out
 
-def leading(rows: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
-    """The leading right singular vectors of a matrix, as columns, by subspace iteration from fixed numbers; zeros beyond its rank."""
-    out = np.zeros((rows.shape[1], dimensions))
-    if not len(rows):
+    projection = leading(lambda: (_unit(x * idf) for x in dense()), TERMS, dimensions) * idf[:, None].astype(np.float64)
+    vectors = np.concatenate([np.zeros((0, dimensions)), *(_unit(x @ projection) for x in dense())])
+    return NeighbourModel(projection, vectors, y, float(y.mean()) if len(y) else 0.5, neighbours)
+
+
+def leading(blocks, terms: int, dimensions: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors, as columns, of the matrix whose blocks of rows a call of ``blocks`` gives.
+
+    Subspace iteration from fixed numbers; zeros beyond the matrix's rank.
+    """
+    out = np.zeros((terms, dimensions))
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((terms, min(2 * dimensions, terms))))[0].astype(np.float32)
+    n = sum(len(x) for x in blocks())
+    if not n:
         return out
-    basis = rows.T @ np.random.default_rng(7).standard_normal((len(rows), min(2 * dimensions, len(rows)))).astype(np.float32)
     for _ in range(rounds):
-        basis = rows.T @ (rows @ np.linalg.qr(basis)[0])
-    basis = np.linalg.qr(basis)[0]
-    _, values, turn = np.linalg.svd(rows @ basis, full_matrices=False)
+        basis = np.linalg.qr(sum(x.T @ (x @ basis) for x in blocks()))[0]
+    _, values, turn = np.linalg.svd(np.concatenate([x @ basis for x in blocks()]), full_matrices=False)
     kept = min(dimensions, int((values > 1e-6 * max(values[0], 1e-30)).sum()))
     out[:, :kept] = basis @ turn[:kept].T
     return out

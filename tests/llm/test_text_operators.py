@@ -392,9 +392,9 @@ def test_ties_and_blocks_do_not_matter():
 def test_leading_vectors_equal_those_of_svd():
     rows = np.random.default_rng(2).normal(size=(60, 30)).astype(np.float32) * np.geomspace(8, 0.5, 30).astype(np.float32)
     _, _, want = np.linalg.svd(rows, full_matrices=False)
-    got = quality_neighbours.leading(rows, 4, rounds=30)
+    got = quality_neighbours.leading(lambda: iter([rows[:25], rows[25:]]), 30, 4, rounds=30)
     assert np.allclose(np.abs(np.sum(got * want[:4].T, 0)), 1, atol=1e-3)
-    assert not quality_neighbours.leading(rows[:0], 4).any() and not quality_neighbours.leading(rows * 0, 4).any()
+    assert not quality_neighbours.leading(lambda: iter([]), 30, 4).any() and not quality_neighbours.leading(lambda: iter([rows * 0]), 30, 4).any()
 
 
 def test_quality_of_no_documents(spark):
