@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import stage_table
-from sightline.llm.ngram_join import join_documents
 
 RATIO = 0.02
 #: Characters of all lists that may be broadcast.
@@ -73,7 +72,8 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ra
     joined = joined.withColumn("__kept", kept)
     if whole_copies is not None:
         less = F.col("__drop").isNotNull() & (F.length(F.array_join("__kept", "\n")) < (1 - whole_copies) * F.length(text))
-        copied = copies(joined.where(less).select(F.col(host).alias("host"), F.col(text).alias("text")))
+        dropped = F.filter(distinct_lines(text), lambda x: F.array_contains(F.col("__drop"), x))
+        copied = copies(joined.where(less).select(F.col(host).alias("host"), F.col(text).alias("text"), dropped.alias("dropped")))
         own = measured(stage_table(lines_of_copies(copied, found, ratio, min_pages).groupBy(F.col("host").alias("__h")).agg(F.collect_list("line").alias("__own")), "copied-lines"), "__own")
         keys = copied.select(F.col("host").alias("__k"), F.col("key").alias("__key"))
         # About 64 bytes a text: broadcast up to the same size as the lists.
@@ -92,17 +92,35 @@ def measured(lists: DataFrame, column: str) -> DataFrame:
     return F.broadcast(lists) if size <= MAX_BROADCAST else lists
 
 
-def copies(suspects: DataFrame) -> DataFrame:
+def shingles(text):
+    """The distinct word 5-grams of a text, hashed; of fewer words, the whole sequence is one."""
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    words = F.filter(F.split(F.translate(text, upper, lower), r"[ \t-\r]+"), lambda x: x != "")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 5)))
+    return F.array_distinct(grams)
+
+
+def copies(suspects: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """(host, key, text, n, class): the distinct texts that share a class with another page of the host.
 
-    ``suspects`` have host and text; ``n`` pages hold a text. A class holds the equal texts and those
-    linked by the rule of near-duplicate removal (word 5-grams, similarity 0.8 or more).
+    ``suspects`` have host, text and dropped (the listed lines in it); ``n`` pages hold a text. Texts of
+    a host meet where their longest dropped line is the same, or the one of the least hash; a class
+    holds the equal texts and those whose word 5-grams reach a similarity of 0.8 with the first text
+    that they meet. One comparison a text and line, whatever the size of the group.
     """
-    texts = stage_table(suspects.groupBy("host", F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "suspects")
-    once = texts.groupBy("key").agg(F.first("text").alias("text"))
-    classes = stage_table(join_documents(once, n=5, num=80, den=100, doc_id="key").select(F.col("id").alias("key"), F.col("component").alias("class")), "suspect-classes")
-    texts = texts.join(classes, "key")
-    several = texts.groupBy("host", "class").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(F.col("host").alias("__h"), F.col("class").alias("__c"))
+    texts = suspects.groupBy("host", F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.first("dropped").alias("dropped"), F.count(F.lit(1)).alias("n"))
+    texts = stage_table(texts, "suspects")
+    longest = F.array_max(F.transform("dropped", lambda x: F.struct(F.length(x).cast("long").alias("o"), x.alias("line"))))["line"]
+    least = F.array_min(F.transform("dropped", lambda x: F.struct(F.xxhash64(x).alias("o"), x.alias("line"))))["line"]
+    keyed = texts.select("host", "key", "text", F.explode(F.array_distinct(F.array(longest, least))).alias("line"))
+    first = keyed.groupBy(F.col("host").alias("h"), F.col("line").alias("l")).agg(F.min(F.struct("key", "text")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = keyed.join(first, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).where("key <> first.key")
+    sets = met.select("host", "key", F.col("first.key").alias("root"), shingles(F.col("text")).alias("x"), shingles(F.col("first.text")).alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    linked = sets.where(F.lit(den) * common >= F.lit(num) * (F.size("x") + F.size("y") - common)).select("host", "key", "root")
+    classes = stage_table(linked.unionByName(linked.select("host", F.col("root").alias("key"), "root")).groupBy(F.col("host").alias("h"), F.col("key").alias("k")).agg(F.min("root").alias("root")), "suspect-classes")
+    texts = texts.drop("dropped").join(classes, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")), "left").select("host", "key", "text", "n", F.coalesce("root", "key").alias("class"))
+    several = texts.groupBy(F.col("host").alias("__h"), F.col("class").alias("__c")).agg(F.sum("n").alias("all")).where(F.col("all") > 1)
     return stage_table(texts.join(several, F.col("host").eqNullSafe(F.col("__h")) & (F.col("class") == F.col("__c")), "left_semi"), "copies")
 
 
