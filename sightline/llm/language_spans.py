@@ -58,10 +58,17 @@ def _separators() -> re.Pattern:
 
 
 def words_of(text: str) -> list[bytes]:
-    text = text.lower()
-    if not text.isascii():
-        text = _UNSPACED.sub(r" \1 ", _separators().sub(" ", text))
-    return text.encode("utf-8", "replace").translate(_TABLE).split()
+    words = text.lower().encode("utf-8", "replace").translate(_TABLE).split()
+    if text.isascii():
+        return words
+    odd = {w for w in set(words) if not w.isascii() and _parts(w) != (w,)}
+    return [p for w in words for p in (_parts(w) if w in odd else (w,))] if odd else words
+
+
+@lru_cache(1 << 15)
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """A word between ASCII separators, split at other ones and at each character of an unspaced script."""
+    return tuple(_UNSPACED.sub(r" \1 ", _separators().sub(" ", word.decode())).encode().split())
 
 
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +89,12 @@ def code_points(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def scripts_of(words: list[bytes]) -> np.ndarray:
     """Number of each word's script, that of most of its characters; the first named one on ties."""
-    points, owner = code_points(words)
+    out = np.zeros(len(words), np.int64)  # ASCII words are of the first script
+    at = [i for i, w in enumerate(words) if not w.isascii()]
+    points, owner = code_points([words[i] for i in at])
     script = _SCRIPT[np.searchsorted(_STARTS, points, "right") - 1]
-    return np.bincount(owner * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS)).reshape(len(words), -1).argmax(1)
+    out[at] = np.bincount(owner * len(SCRIPTS) + script, minlength=len(at) * len(SCRIPTS)).reshape(len(at), -1).argmax(1) if at else 0
+    return out
 
 
 @dataclass
@@ -194,7 +204,7 @@ def label_spans(df: DataFrame, model: LanguageModel, text: str = "text", penalty
                 if len(ids):
                     words = list(index)
                     states = viterbi(fitted.word_scores(words), ids, sizes, penalty)
-                    letters = np.bincount(code_points(words)[1], minlength=len(words))[ids]
+                    letters = np.array([len(w) if w.isascii() else len(w.decode()) for w in words])[ids]
                     owner = np.repeat(np.arange(len(docs)), sizes)
                     mass = np.bincount(owner * len(names) + states, letters, len(docs) * len(names)).reshape(len(docs), -1)
                     total, top = mass.sum(1), mass.argmax(1)
