@@ -12,9 +12,11 @@ Training documents may be of several groups (languages, say). Each group has its
 and counts, and a text's probability is the mixture over the groups, so the group of a scored text
 is never an input.
 
-Piece scores start from the vocabulary's order (Zipf) and are re-estimated by expectation
-maximisation: expected piece counts over all segmentations, summed over the distinct training
-words. Only word counts, which grow with the corpus, are shuffled; only piece counts, bounded by
+The vocabulary's own scores are the base: a unigram vocabulary's are log probabilities and are taken
+as they are; a merge-type vocabulary's are ranks r, which stand for weights 1 / (r + 2.7) (Zipf). They
+are refined by expectation maximisation, in which they stay the prior: expected piece counts over all
+segmentations, summed over the distinct training words, are added to pseudo-counts in proportion to
+them. With no iterations the vocabulary's scores are used alone. Only word counts, which grow with the corpus, are shuffled; only piece counts, bounded by
 the vocabulary, reach the driver.
 """
 
@@ -42,13 +44,18 @@ WORDS_AT_ONCE = 200_000
 LOG10 = np.log(10.0)
 
 
-def pieces_of(model_path: str) -> list[str]:
-    """The ordinary pieces of a SentencePiece model in vocabulary order; a mark stands first in a piece or nowhere."""
+def pieces_of(model_path: str) -> dict[str, float]:
+    """The ordinary pieces of a SentencePiece model with their log weights; a mark stands first in a piece or nowhere.
+
+    Scores that are all whole numbers are negated ranks of merges, others log probabilities.
+    """
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    names = (lib.id_to_piece(i) for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i)))
-    return [p for p in names if MARK not in p[1:]]
+    ids = [i for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))]
+    scores = {p: lib.get_score(i) for i in ids if MARK not in (p := lib.id_to_piece(i))[1:]}
+    ranks = all(x == round(x) for x in scores.values())
+    return {p: -float(np.log(2.7 - x)) if ranks else x for p, x in scores.items()}
 
 
 @dataclass
@@ -62,12 +69,13 @@ class PieceLattice:
     _index: np.ndarray = field(default=None, repr=False)
 
     @staticmethod
-    def start(pieces: list[str], groups: int = 1) -> PieceLattice:
-        """Zipf weights by vocabulary order; a thousandth of the mass for bytes and end."""
-        weights = np.concatenate([1 / (np.arange(len(pieces)) + 2.7), np.zeros(257)])
+    def start(pieces: dict[str, float] | list[str], groups: int = 1) -> PieceLattice:
+        """The pieces' own log weights (Zipf by order, if they have none); a thousandth of the mass for bytes and end."""
+        own = np.exp(list(pieces.values())) if isinstance(pieces, dict) else 1 / (np.arange(len(pieces)) + 2.7)
+        weights = np.concatenate([own, np.zeros(257)])
         weights /= weights.sum()
         weights[len(pieces) :] = 1e-3 / 257
-        return PieceLattice(pieces, np.tile(np.log(weights / weights.sum()), (groups, 1)))
+        return PieceLattice(list(pieces), np.tile(np.log(weights / weights.sum()), (groups, 1)))
 
     @property
     def end(self) -> int:
@@ -274,10 +282,14 @@ def fit_words(counts: DataFrame, ends: list[int]) -> WordModel:
     return WordModel(np.array(tokens_, float), np.array(discounts), np.array(freed), np.array(ends, float))
 
 
-def estimate(counts: DataFrame, pieces: list[str], model: WordModel, iterations: int = 4, smoothing: float = 0.1) -> PieceLattice:
-    """Piece scores of every group by expectation maximisation on the words' discounts, the mass that segmentations carry."""
+def estimate(counts: DataFrame, pieces: dict[str, float] | list[str], model: WordModel, iterations: int = 4, smoothing: float = 0.1) -> PieceLattice:
+    """Piece scores of every group by expectation maximisation on the words' discounts, the mass that segmentations carry.
+
+    The vocabulary's own scores are the prior, with ``smoothing`` pseudo-counts a piece on average.
+    """
     groups = len(model.tokens)
     lattice = PieceLattice.start(pieces, groups)
+    prior = smoothing * lattice.log_p.shape[1] * np.exp(lattice.log_p)
     spark = counts.sparkSession
     learned = counts.where(" OR ".join(f"c{g} > 0" for g in range(groups)))
     for _ in range(iterations):
@@ -297,11 +309,11 @@ def estimate(counts: DataFrame, pieces: list[str], model: WordModel, iterations:
                 yield pa.RecordBatch.from_pydict({"part": pa.array([g] * len(at), pa.int32()), "piece": at.astype(np.int32), "n": total[g][at]})
 
         sums = learned.mapInArrow(expect, "part int, piece int, n double").groupBy("part", "piece").agg(F.sum("n").alias("n")).toPandas()
-        n = np.full(lattice.log_p.shape, smoothing)
+        n = prior.copy()
         n[sums["part"].to_numpy(), sums["piece"].to_numpy()] += sums["n"].to_numpy()
         # A word is over when the next begins or the text ends: the end's share is that among tokens.
         n[:, lattice.end] += n.sum(1) * model.ends / np.maximum(model.tokens, 1)
-        lattice = PieceLattice(pieces, np.log(n / n.sum(1, keepdims=True)))
+        lattice = PieceLattice(list(pieces), np.log(n / n.sum(1, keepdims=True)))
     return lattice
 
 
@@ -321,7 +333,7 @@ def word_scores(counts: DataFrame, lattice: PieceLattice, model: WordModel) -> D
     return counts.mapInArrow(score, "word string, train long, whole long, " + ", ".join(f"p{g} double" for g in range(groups)))
 
 
-def score_documents(df: DataFrame, pieces: list[str], train: Column, group: Column | None = None, doc_id: str = "doc_id", text: str = "text", iterations: int = 4, head_words: int = HEAD_WORDS, max_groups: int = 16) -> DataFrame:
+def score_documents(df: DataFrame, pieces: dict[str, float] | list[str], train: Column, group: Column | None = None, doc_id: str = "doc_id", text: str = "text", iterations: int = 4, head_words: int = HEAD_WORDS, max_groups: int = 16) -> DataFrame:
     """Score every row's whole text by the lattice, and by an additively smoothed word model beside it.
 
     Returns doc_id, is_train, n_tokens, n_known, train_tokens, base_score and score (log10), one row

@@ -163,6 +163,56 @@ def test_language_model(spark, head_words):
     assert held["score"].sum() > held["base_score"].sum() - 0.6 * held["n_tokens"].sum()
 
 
+def brute_language_model(rows, pieces):
+    """Score of each (text, group, is_train) by the definition, the vocabulary's scores as they are; no character lacks a piece."""
+    weights = {p: math.exp(x) for p, x in pieces.items()}
+    z = sum(weights.values())
+    # A thousandth of the mass goes to the 257 bytes and the end.
+    p = {k: x / z / 1.001 for k, x in weights.items()}
+
+    def spelt(s):
+        return 1.0 if not s else sum(p[s[:k]] * spelt(s[k:]) for k in range(1, len(s) + 1) if s[:k] in p)
+
+    groups = sorted({g for _, g, t in rows if t})
+    ends = {g: sum(1 for _, x, t in rows if t and x == g) for g in groups}
+    likely = {}
+    for g in groups:
+        counts = Counter(w for text, x, t in rows if t and x == g for w in text.lower().split())
+        of = Counter(min(c, 5) for c in counts.values())
+        exact = Counter(counts.values())
+        y = exact[1] / (exact[1] + 2 * exact[2]) if exact[1] else 0.5
+        cut = {}
+        for k in (1, 2, 3):
+            d = k - (k + 1) * y * exact[k + 1] / exact[k] if exact[k] else 0.5 * k
+            cut[k] = min(max(d, 0.05 * k), 0.95 * k)
+        total = sum(counts.values()) + ends[g]
+        free = sum(cut[min(k, 3)] * n for k, n in of.items()) / total
+        likely[g] = lambda w, counts=counts, cut=cut, total=total, free=free: ((counts[w] - cut[min(counts[w], 3)] if counts[w] else 0) / total) + free * spelt("▁" + w)
+    n = sum(ends.values())
+    return [math.log10(sum(ends[g] / n * math.prod(map(likely[g], text.lower().split())) * ends[g] / (sum(len(x.split()) for x, h, t in rows if t and h == g) + ends[g]) for g in groups)) for text, _, _ in rows]
+
+
+@pytest.mark.parametrize("head_words", [0, 3, 100])
+def test_score_equals_brute_force(spark, head_words):
+    rnd = random.Random(4)
+    pieces = {"▁": -1.0, "▁a": -1.5, "▁ab": -2.5, "a": -2.0, "b": -1.2, "ab": -3.0, "ba": -2.2}
+    word = lambda: "".join(rnd.choice("aAbB") for _ in range(rnd.randrange(1, 4)))
+    rows = [(" ".join(word() for _ in range(rnd.randrange(12))), rnd.choice("xyy"), rnd.random() < 0.7) for _ in range(40)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, g string, t boolean")
+    got = lattice_lm.score_documents(docs, pieces, F.col("t"), F.col("g"), iterations=0, head_words=head_words).collect()
+    want = brute_language_model(rows, pieces)
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r["score"], want[r["doc_id"]], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_scores_of_the_vocabulary():
+    pieces = lattice_lm.pieces_of(MODEL)
+    log_p = lattice_lm.PieceLattice.start(pieces).log_p[0]
+    assert math.isclose(np.exp(log_p).sum(), 1) and np.allclose(np.diff(log_p[: len(pieces)]), np.diff(list(pieces.values())))
+    assert pieces["▁t"] > pieces["in"] > pieces["er"]
+
+
 def test_language_model_of_nothing(spark):
     empty = lattice_lm.score_documents(frame(spark, []), ["▁", "a"], F.lit(True))
     assert empty.count() == 0
