@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SLOTS = 1 << 20
 HEAD_WORDS = 100_000
 #: Words whose lattices are worked off together; numpy's cost is per call.
 WORDS_AT_ONCE = 200_000
+#: Different words that a task counts before it passes their counts on (and those of one more text slice).
+WORDS_HELD = 300_000
 LOG10 = np.log(10.0)
 
 
@@ -250,15 +253,21 @@ def count_words(rows: DataFrame, groups: int) -> DataFrame:
     """
     names = [f"c{g}" for g in range(groups)]
 
+    def columns(found):
+        words = list(set().union(*found))
+        counts = [np.array([f[w] for w in words], np.int64) for f in found]
+        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()).cast(pa.string()), **dict(zip(names, counts, strict=False)), "whole": sum(counts)})
+
     def count(batches):
+        found = [Counter() for _ in range(groups + 1)]
         for whole in batches:
-            for batch in split_batch(whole, "text", 32 << 20):
-                found = [Counter() for _ in range(groups + 1)]
+            for batch in split_batch(whole, "text", 8 << 20):
                 for data, part in zip(byte_values(batch.column("text")), batch.column("part").to_pylist(), strict=True):
                     found[groups if part is None else part].update(tokens(data))
-                words = list(set().union(*found))
-                columns = [np.array([f[w] for w in words], np.int64) for f in found]
-                yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()).cast(pa.string()), **dict(zip(names, columns, strict=False)), "whole": sum(columns)})
+                if sum(map(len, found)) > WORDS_HELD:
+                    yield columns(found)
+                    found = [Counter() for _ in range(groups + 1)]
+        yield columns(found)
 
     schema = "word string, " + ", ".join(f"{n} long" for n in names) + ", whole long"
     return rows.mapInArrow(count, schema).groupBy("word").agg(*(F.sum(n).alias(n) for n in (*names, "whole")))
@@ -385,7 +394,7 @@ def score_documents(df: DataFrame, pieces: dict[str, float] | list[str], train:
                 totals, known, tails, sums = [], [], [], []
                 for data in byte_values(batch.column("text")):
                     words = tokens(data)
-                    at = np.array([get(w, -1) for w in words], np.int64)
+                    at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                     totals.append(len(words) + 1)
                     found = rows_[at[at >= 0]].sum(0)
                     known.append(int(found[0]) + (all_ends > 0))
