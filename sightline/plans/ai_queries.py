@@ -109,12 +109,21 @@ def h4(v):
     return v.pages.select("page_id", urls.relative_path("url").alias("path"))
 
 
-@register("h4_domain_normalise")
+#: A url's parts, for SQL: scheme, host, path, parameters in order, fragment with its sign.
+PARTS = r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, coalesce(nullif(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), ''), '/') AS path, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda s: s <> '') AS params, regexp_extract(url, '(#.*)$', 1) AS fragment, url FROM pages"""
+QUERY = "CASE WHEN len(params) > 0 THEN '?' || array_to_string({}, '&') ELSE '' END"
+H4_SQL = f"""WITH u AS ({PARTS}), l AS (SELECT *, string_split(regexp_replace(host, '^www\\.', ''), '.') AS labels FROM u)
+SELECT page_id, array_to_string(labels[-(CASE WHEN labels[-2] IN ('co', 'org', 'ac', 'gov') AND labels[-1] = 'uk' THEN 3 ELSE 2 END):], '.') AS domain, scheme || '://' || host || path || {QUERY.format("params")} || fragment AS safe_url, CASE WHEN regexp_full_match(lower(trim(url)), '(https?://)?([a-z0-9-]+\\.)+[a-z]{{2,}}(:[0-9]+)?([/?#]\\S*)?') THEN 'domain' ELSE 'keyword' END AS kind FROM l"""
+P12_SQL = f"""WITH u AS ({PARTS}) SELECT page_id, scheme || '://' || host || path || {QUERY.format("list_sort(params)")} AS url, 'https://' || regexp_replace(host, '^www\\.', '') || path || {QUERY.format("list_sort(params)")} AS key, scheme = 'https' AND regexp_replace(host, '^www\\.', '') = 'example.com' AS same_origin FROM u"""
+F24_SQL = f"""WITH u AS ({PARTS}) SELECT page_id, scheme IN ('http', 'https') AND contains(host, '.') AND NOT regexp_full_match(host, '[0-9.]+') AND NOT regexp_matches(host, '\\.(localhost|local|internal|intranet|lan|home|corp)$') AS crawlable FROM u"""
+
+
+@register("h4_domain_normalise", H4_SQL)
 def h4_domain(v):
     return v.pages.select("page_id", urls.registrable_domain(F.col("url")).alias("domain"), urls.safe_http_url(F.col("url")).alias("safe_url"), urls.target_kind(F.col("url")).alias("kind"))
 
 
-@register("p12_normal_url")
+@register("p12_normal_url", P12_SQL)
 def p12(v):
     return v.pages.select("page_id", urls.normal_url("url").alias("url"), urls.canonical_key("url").alias("key"), urls.same_origin("url", F.lit("https://example.com/")).alias("same_origin"))
 
@@ -124,6 +133,6 @@ def p15(v):
     return v.pages.select("page_id", urls.template(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)).alias("template"))
 
 
-@register("f24_crawlable_url")
+@register("f24_crawlable_url", F24_SQL)
 def f24(v):
     return v.pages.select("page_id", urls.crawlable("url").alias("crawlable"))

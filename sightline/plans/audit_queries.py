@@ -164,7 +164,13 @@ def j21(v):
     return v.lighthouse.join(pages, "page_id", "left").select("page_id", "url", "performance_score")
 
 
-@register("k12_performance_sample")
+K12_SQL = r"""WITH p AS (SELECT page_id AS id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda s: s <> '')) AS params FROM pages),
+k AS (SELECT id, 'https://' || host || coalesce(nullif(path, ''), '/') || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS key, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_full_match(s, '\d+') THEN ':id' WHEN regexp_full_match(s, '\d{4}-\d{2}-\d{2}') THEN ':date' WHEN len(string_split(s, '-')) > 2 THEN ':slug' ELSE s END) AS template FROM p),
+s AS (SELECT id FROM k WHERE regexp_replace(key, '/+$', '') = 'https://thther.example.org/en/685' ORDER BY key <> 'https://thther.example.org/en/685/', id LIMIT 1)
+SELECT id FROM (SELECT id, -1 AS place FROM s UNION ALL SELECT min(id), min(id) FROM k WHERE id NOT IN (SELECT id FROM s) GROUP BY template) ORDER BY place LIMIT 10"""
+
+
+@register("k12_performance_sample", K12_SQL)
 def k12(v):
     rows = v.pages.select(F.col("page_id").alias("id"), "url", F.lit(200).alias("status_code"), urls.canonical_key("url").alias("key"), urls.template(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)).alias("template"))
     return audit.performance_sample(rows, "https://thther.example.org/en/685/")

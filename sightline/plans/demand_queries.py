@@ -189,14 +189,22 @@ def e6(v):
     return v.observations.select("obs_id", text.normal_text(F.col("title")).alias("normal"))
 
 
-@register("e7_canonical_url")
+E7_SQL = r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda s: s <> '' AND NOT regexp_matches(lower(s), '^(fbclid|gclid|mc_cid|mc_eid|ref|ref_src|source|utm_campaign|utm_content|utm_medium|utm_source|utm_term)(=|$)'))) AS params FROM pages)
+SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url FROM u"""
+E11_SQL = r"""WITH n AS (SELECT obs_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(title), 'https?://\S+', ' ', 'g'), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS normal FROM observations),
+p AS (SELECT obs_id, list_transform(list_filter(string_split(normal, ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT)) AS points FROM n),
+u AS (SELECT obs_id, flatten(list_transform(points, lambda x: CASE WHEN x > 65535 THEN [55296 + (x - 65536) // 1024, 56320 + (x - 65536) % 1024] ELSE [x] END)) AS units FROM p)
+SELECT obs_id, lpad(lower(to_hex(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), units), lambda h, x: xor(h, x) * 16777619 % 4294967296))), 8, '0') AS fingerprint FROM u"""
+
+
+@register("e7_canonical_url", E7_SQL)
 def e7(v):
     from sightline.functions.urls import canonical_url
 
     return v.pages.select("page_id", canonical_url("url").alias("url"))
 
 
-@register("e11_fnv_fingerprint")
+@register("e11_fnv_fingerprint", E11_SQL)
 def e11(v):
     return v.observations.select("obs_id", text.fnv1a(text.normal_text(F.col("title"), compatible=False)).alias("fingerprint"))
 
