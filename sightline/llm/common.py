@@ -46,6 +46,21 @@ def id_bucket_py(value, modulus: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % modulus
 
 
+def crc_table_sql() -> str:
+    """DuckDB SQL for the one row ``crc_steps``: the 256 steps of CRC-32, for ``crc_sql``."""
+    step = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    inner = "n::BIGINT AS c0"
+    for k in range(8):
+        inner = f"*, {step.format(f'c{k}')} AS c{k + 1} FROM (SELECT {inner}" + (" FROM range(256) r(n)" if k == 0 else "") + ")"
+    return f"SELECT list(c8 ORDER BY c0) AS crc_steps FROM (SELECT {inner})"
+
+
+def crc_sql(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text, beside the column of ``crc_table_sql``; null for null."""
+    steps = f"list_transform(string_split({value}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, crc_steps[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
 def byte_values(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column, nulls as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, host_text, language_spans, lattice_lm, line_frequency, multi_index, ngram_join, quality_neighbours, sentencepiece_bpe, url_cascade
+from sightline.llm import decontaminate, host_text, language_spans, lattice_lm, line_frequency, merkle_manifest, multi_index, ngram_join, quality_neighbours, sentencepiece_bpe, url_cascade
 from sightline.llm.common import id_bucket, table
 
 
@@ -80,6 +80,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.scan_documents(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in docs.columns]
+    tampered = [(F.col("n_chars").cast("decimal(20,0)") + 1) if c == "n_chars" else F.col(c) for c in docs.columns]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle_manifest.leaf_hash(tampered))
+    built = merkle_manifest.manifest(docs, "doc_id", "lang", {"leaf": merkle_manifest.leaf_hash(fields), "changed": changed})
+    return merkle_manifest.verify(built, "leaf", "changed").withColumnRenamed("key", "doc_id").drop("grp")
+
+
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_multi_index": op2_multi_index,
@@ -91,6 +100,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op8_decontaminate": op8_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_ngram_join": ngram_join.oracle_sql(),
     "op7_line_dedup": line_frequency.oracle_sql(),
     "op8_decontaminate": decontaminate.oracle_sql(),
+    "op13_merkle_manifest": merkle_manifest.oracle_sql(),
 }
