@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, host_text, language_spans, lattice_lm, line_frequency, merkle_manifest, multi_index, ngram_join, prefix_trie, quality_neighbours, sentencepiece_bpe, url_cascade
+from sightline.llm import decontaminate, host_text, language_spans, lattice_lm, license_scan, line_frequency, merkle_manifest, multi_index, ngram_join, prefix_trie, quality_neighbours, sentencepiece_bpe, url_cascade
 from sightline.llm.common import id_bucket, table
 
 
@@ -80,6 +80,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.scan_documents(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_documents(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(prefix_trie.share_heads(turns), ("origin", "pos"), members=turns.select("conv").distinct())
@@ -105,6 +110,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op8_decontaminate": op8_decontaminate,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_license_scan": op11_license_scan,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
