@@ -125,12 +125,23 @@ def test_lines_equal_sql(spark):
     assert line_frequency.drop_boilerplate(df.limit(0)).count() == 0
 
 
-def test_copies_stay_whole(spark):
-    rows = [(i, "same page\nof text that is long", "a") for i in range(40)] + [(99, "same page\n" + "own text " * 9, "a")]
+def test_equal_pages_count_once(spark):
+    rows = [(i, "same page\nof text that is long", "a") for i in range(40)] + [(99, "own text", "a"), (98, "other text", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    cut = {r["doc_id"]: r["text"] for r in line_frequency.drop_boilerplate(df, whole_copies=0.5).collect()}
-    assert cut[0] == rows[0][1] and cut[99] == "own text " * 9
-    assert line_frequency.drop_boilerplate(df).where("doc_id = 0").first()["text"] == ""
+    assert line_frequency.drop_boilerplate(df).where("n_dropped > 0").count() == 0
+    more = df.unionByName(spark.createDataFrame([(97, "same page\nof another kind", "a")], df.schema))
+    cut = {r["doc_id"]: r["text"] for r in line_frequency.drop_boilerplate(more).collect()}
+    assert cut[0] == "of text that is long" and cut[97] == "of another kind" and cut[99] == "own text"
+
+
+def test_ratio_decides_on_small_hosts(spark):
+    rows = [(i, f"menu\nown {i}" if i % 2 else f"text {i}", f"host {i // 5}") for i in range(40)] + [(50 + i, f"line {i}\nrare" if i < 2 else f"line {i}", "large") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cut = {r["doc_id"]: r["text"] for r in line_frequency.drop_boilerplate(df).collect()}
+    assert all(cut[i] == (f"own {i}" if i % 2 else f"text {i}") for i in range(40))
+    assert cut[50] == "line 0\nrare"
+    whole = line_frequency.drop_boilerplate(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert whole.agg(F.sum("n_dropped")).first()[0] > 20
 
 
 def test_only_verified_copies_are_spared(spark):
@@ -140,7 +151,7 @@ def test_only_verified_copies_are_spared(spark):
     near = lambda i: f"{menu}\n{article}\nedit {i}"
     rows = [(i, f"{menu}\n{own(i)}", "a") for i in range(40)] + [(100 + i, near(i), "a") for i in range(15)] + [(200 + i, f"{menu}\n{article}\nsame", "a") for i in range(15)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    cut = {r["doc_id"]: r["text"] for r in line_frequency.drop_boilerplate(df, whole_copies=0.5).collect()}
+    cut = {r["doc_id"]: r["text"] for r in line_frequency.drop_boilerplate(df, near_copies=True).collect()}
     assert all(cut[i] == own(i) for i in range(40))
     assert all(cut[100 + i] == f"{article}\nedit {i}" and cut[200 + i] == f"{article}\nsame" for i in range(15))
 
