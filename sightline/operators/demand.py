@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.expr import clamp01, digest_id, freshness, half_up, hours_between
 from sightline.functions.text import jaccard, title_tokens
-from sightline.operators.graph import components
+from sightline.operators.graph import FEW, components
 
 VERSION = "evidence-v1"
 # Weights of the 13 positive signals, of the 6 penalties, and of confidence; each sums to 1.
@@ -36,45 +36,72 @@ def observation_id(platform="platform", connection="connection_id", external="ex
 
 
 def candidate_pairs(obs: DataFrame) -> DataFrame:
-    """(a, b, record_size, url_size) of a family's rows that could be duplicates: one record id, one canonical url, or similar enough titles near in time.
+    """(a, b, record_size, url_size, title_size) of a family's rows that could be duplicates: one record id, one canonical url, or similar enough titles near in time.
 
-    Rows of equal record ids or urls are paired with the first of their group, whose size is given:
-    as many pairs as rows, from grouped aggregates, however hot the key.
-
-    Titles are compared only where they share a token of a prefix: tokens by rarity within the
-    family, of which a title of n needs n - ceil(0.7 n) + 1 for similarity 0.7; and the token
-    counts must allow it. Titles without tokens are alike: they pair by family. Times must be
-    within the wider window, by buckets of that length and the next ones.
+    Groups of equal rows are stars: rows of equal record ids, of equal urls, and of equal titles (as sets of
+    tokens) of one platform and time are paired with the first of their group, whose size is given. The first
+    rows of the title groups stand for all further comparisons of titles, which are linear in a hot title:
+    each is linked with the one before it on its platform and with the nearest ones of other platforms
+    before and after it. Two rows of a title that are near enough are connected by such links: between two
+    rows of different platforms lie only nearer ones. Different titles are compared once for each two, where
+    they share a token of a prefix within two-week buckets: tokens by rarity within the family, of which a
+    title of n needs n - ceil(0.7 n) + 1 for similarity 0.7.
 
     ``obs`` have obs_id, family_id, connection_id, external_id, url_key (null if there is no valid
-    url), platform, tokens and published (timestamp).
+    url), platform, tokens and published (timestamp). With a boolean column ``fresh``, only pairs that the
+    fresh rows add to those of the others are returned: enough to connect them with components that are known.
     """
-    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
-    pick = lambda *keys: obs.select("family_id", "obs_id", *keys)
+    obs = obs if "fresh" in obs.columns else obs.withColumn("fresh", F.lit(True))
+    obs = obs.withColumn("title", F.array_join(F.array_sort("tokens"), " "))
+    none = F.lit(None).cast("long")
+    sizes = ("record_size", "url_size", "title_size")
 
-    def equal(*keys: str) -> DataFrame:
-        """Each row with the first of its equal keys, and their number."""
-        rows = pick(*keys)
+    def equal(size: str, *keys: str) -> DataFrame:
+        """Each row with the first of its equal keys, and their number; of rows that are not fresh only their first, if a fresh one precedes it."""
+        rows = obs.select("family_id", "obs_id", "fresh", *keys)
         for k in keys:
             rows = rows.where(F.col(k).isNotNull())
-        groups = rows.groupBy("family_id", *keys).agg(F.min("obs_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        return rows.join(groups, ["family_id", *keys]).where("obs_id <> a").select("a", F.col("obs_id").alias("b"), "size")
-
-    bucket = F.floor(F.unix_seconds("published") / (CROSS_HOURS * 3600))
-    timed = obs.where("published is not null").select("family_id", "obs_id", "tokens", F.size("tokens").alias("n"), bucket.alias("bucket"))
-    tokens = timed.select("family_id", "obs_id", "n", "bucket", F.explode("tokens").alias("token"))
+        known = F.min(F.when(~F.col("fresh"), F.col("obs_id")))
+        groups = rows.groupBy("family_id", *keys).agg(F.min("obs_id").alias("a"), F.count(F.lit(1)).alias("size"), known.alias("known")).where("size > 1")
+        stars = rows.join(groups, ["family_id", *keys]).where("obs_id <> a AND (fresh OR obs_id = known)")
+        return stars.select("a", F.col("obs_id").alias("b"), *((F.col("size") if s == size else none).alias(s) for s in sizes))
+
+    cells = obs.where("published IS NOT NULL").groupBy("family_id", "title", "platform", "published").agg(F.min("obs_id").alias("obs_id"), F.min_by("fresh", "obs_id").alias("fresh"))
+    near = title_links(cells).unionByName(_similar_titles(cells)).where("fresh").select("a", "b", *(none.alias(s) for s in sizes))
+    pairs = equal("record_size", "connection_id", "external_id").unionByName(equal("url_size", "url_key")).unionByName(equal("title_size", "title", "platform", "published")).unionByName(near)
+    return pairs.groupBy("a", "b").agg(*(F.max(s).alias(s) for s in sizes))
+
+
+def title_links(cells: DataFrame) -> DataFrame:
+    """(a, b, fresh): rows of one title with their neighbours in time, on their platform and on others, whatever the distance."""
+    whole = Window.partitionBy("family_id", "title")
+    links = cells
+    for name, order in (("before", (F.col("published"), F.col("platform"))), ("after", (F.col("published").desc(), F.col("platform").desc()))):
+        row = whole.orderBy(*order)
+        last, other = F.lag(F.struct("obs_id", "fresh")).over(row), F.lag("platform").over(row)
+        links = links.withColumn("_at", F.when(other != F.col("platform"), last)).withColumn(name, F.last("_at", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    links = links.withColumn("same", F.lag(F.struct("obs_id", "fresh")).over(Window.partitionBy("family_id", "title", "platform").orderBy("published")))
+    rows = links.select("obs_id", "fresh", F.explode(F.array("before", "after", "same")).alias("o")).where("o IS NOT NULL")
+    return rows.select(F.least("obs_id", "o.obs_id").alias("a"), F.greatest("obs_id", "o.obs_id").alias("b"), (F.col("fresh") | F.col("o.fresh")).alias("fresh")).distinct()
+
+
+def _similar_titles(cells: DataFrame) -> DataFrame:
+    """(a, b, fresh) of the rows of two different titles that are similar by ``NEAR`` or more, within the wider window."""
+    timed = cells.withColumn("bucket", F.floor(F.unix_seconds("published") / (CROSS_HOURS * 3600)))
+    titles = timed.where("title <> ''").groupBy("family_id", "title", "bucket").agg(F.bool_or("fresh").alias("fresh"))
+    tokens = titles.withColumn("tokens", F.split("title", " ")).select("family_id", "title", "bucket", "fresh", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rarity = tokens.groupBy("family_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(rarity, ["family_id", "token"]).withColumn("k", F.row_number().over(Window.partitionBy("family_id", "obs_id").orderBy("df", "token")))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(NEAR) - 1e-9) + 1).select("family_id", "obs_id", "n", "bucket", "token")
-    bare = timed.where("n = 0").select("family_id", "obs_id", "n", "bucket", F.lit("").alias("token"))
-    keyed = prefix.unionByName(bare)
-    left, right = side(keyed, "x"), side(keyed.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1))), "y")
-    near = left.join(right, (F.col("family_id_x") == F.col("family_id_y")) & (F.col("token_x") == F.col("token_y")) & (F.col("bucket_x") == F.col("bucket_y")) & (F.col("obs_id_x") < F.col("obs_id_y")))
-    near = near.where((F.least("n_x", "n_y") >= F.lit(NEAR) * F.greatest("n_x", "n_y") - 1e-9)).select(F.col("obs_id_x").alias("a"), F.col("obs_id_y").alias("b"))
-    none = F.lit(None).cast("long")
-    sized = equal("connection_id", "external_id").select("a", "b", F.col("size").alias("record_size"), none.alias("url_size")).unionByName(equal("url_key").select("a", "b", none.alias("record_size"), F.col("size").alias("url_size")))
-    pairs = sized.unionByName(near.select("a", "b", none.alias("record_size"), none.alias("url_size")))
-    return pairs.groupBy("a", "b").agg(F.max("record_size").alias("record_size"), F.max("url_size").alias("url_size"))
+    ranked = tokens.join(rarity, ["family_id", "token"]).withColumn("k", F.row_number().over(Window.partitionBy("family_id", "title", "bucket").orderBy("df", "token")))
+    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(NEAR) - 1e-9) + 1).select("family_id", "title", "bucket", "fresh", "n", "token")
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
+    left, right = side(prefix, "x"), side(prefix.withColumn("near", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1))), "y")
+    met = left.join(right, (F.col("family_id_x") == F.col("family_id_y")) & (F.col("token_x") == F.col("token_y")) & (F.col("bucket_x") == F.col("near_y")) & (F.col("title_x") < F.col("title_y")))
+    met = met.where((F.col("fresh_x") | F.col("fresh_y")) & (F.least("n_x", "n_y") >= F.lit(NEAR) * F.greatest("n_x", "n_y") - 1e-9)).select(F.col("family_id_x").alias("family_id"), "title_x", "bucket_x", "title_y", "bucket_y").distinct()
+    alike = met.where(jaccard(F.split("title_x", " "), F.split("title_y", " ")) >= NEAR)
+    rows = timed.select("family_id", "title", "bucket", "obs_id", "published", "fresh")
+    pairs = alike.join(side(rows, "x").withColumnRenamed("family_id_x", "family_id"), ["family_id", "title_x", "bucket_x"]).join(side(rows, "y").withColumnRenamed("family_id_y", "family_id"), ["family_id", "title_y", "bucket_y"])
+    pairs = pairs.where((F.abs(F.unix_seconds("published_x") - F.unix_seconds("published_y")) <= CROSS_HOURS * 3600))
+    return pairs.select(F.least("obs_id_x", "obs_id_y").alias("a"), F.greatest("obs_id_x", "obs_id_y").alias("b"), (F.col("fresh_x") | F.col("fresh_y")).alias("fresh"))
 
 
 def relation() -> Column:
@@ -91,37 +118,62 @@ def relation() -> Column:
 
 
 def duplicate_edges(obs: DataFrame) -> DataFrame:
-    """(a, b, relation, similarity, group_size) of the duplicates: rows of equal records or urls with the first of their group
-    (similarity 1, and the group's size), and every other pair that is related by its titles."""
+    """(a, b, relation, similarity, group_size) of the duplicates: rows of equal records, urls or titles at one time with the
+    first of their group (similarity 1, and the group's size), and the pairs of ``candidate_pairs`` that are related by their titles."""
     pairs = candidate_pairs(obs)
     x, y = obs.select(F.col("obs_id").alias("a"), F.struct(*obs.columns).alias("x")), obs.select(F.col("obs_id").alias("b"), F.struct(*obs.columns).alias("y"))
     both = pairs.join(x, "a").join(y, "b").withColumn("similarity", jaccard(F.col("x.tokens"), F.col("y.tokens"))).withColumn("relation", relation())
     certain = ((F.col("x.connection_id") == F.col("y.connection_id")) & (F.col("x.external_id") == F.col("y.external_id"))) | F.coalesce(F.col("x.url_key") == F.col("y.url_key"), F.lit(False))
-    size = F.coalesce("record_size", "url_size")
+    size = F.coalesce("record_size", "url_size", "title_size")
     told = both.where(F.col("relation").isNotNull() & (~certain | size.isNotNull()))
     return told.select("a", "b", "relation", F.when(certain, 1.0).otherwise(half_up("similarity", 4)).alias("similarity"), size.alias("group_size"))
 
 
+def event_parts(keyed: DataFrame) -> DataFrame:
+    """What is known of each (family_id, root): the anchor's order key, counts, sets, dates and flags; parts of one event can be merged."""
+    order = F.struct(F.coalesce(F.col("collected").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")).alias("collected"), F.col("obs_id"))
+    return keyed.groupBy("family_id", "root").agg(
+        F.min(order).alias("anchor"),
+        F.count(F.lit(1)).alias("raw_count"),
+        F.collect_set("source_class").alias("source_classes"),
+        F.collect_set("connection_id").alias("connections"),
+        F.collect_set(F.when(F.trim("geography") != "", F.col("geography"))).alias("geographies"),
+        F.min("published").alias("first_observed"),
+        F.max("published").alias("last_observed"),
+        F.bool_and("baseline").alias("baseline_only"),
+        F.bool_or((F.col("source_class") != "generated_candidate") & ~F.col("baseline")).alias("promotable"),
+    )
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """One part for each (family_id, root) of several."""
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return parts.groupBy("family_id", "root").agg(
+        F.min("anchor").alias("anchor"),
+        F.sum("raw_count").alias("raw_count"),
+        *(union(c) for c in ("source_classes", "connections", "geographies")),
+        F.min("first_observed").alias("first_observed"),
+        F.max("last_observed").alias("last_observed"),
+        F.bool_and("baseline_only").alias("baseline_only"),
+        F.bool_or("promotable").alias("promotable"),
+    )
+
+
+def finished_events(parts: DataFrame) -> DataFrame:
+    """Events of whole parts, named by their anchor."""
+    sets = (F.sort_array(c).alias(c) for c in ("source_classes", "connections", "geographies"))
+    return parts.select("family_id", F.col("anchor.obs_id").alias("event_anchor"), "raw_count", *sets, "first_observed", "last_observed", "baseline_only", "promotable")
+
+
 def evidence_events(obs: DataFrame, edges: DataFrame) -> DataFrame:
     """One event per component of duplicates: anchor, members' number, classes, connections, geographies, dates, baseline.
 
     The anchor is the member collected first (then the smallest id), so late evidence doesn't
     re-key an event. Dates ignore what is unknown.
     """
-    roots = components(edges)
-    keyed = obs.join(roots, F.col("obs_id") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "obs_id"))
-    order = F.struct(F.coalesce(F.col("collected").cast("timestamp"), F.lit("9999-12-31").cast("timestamp")), F.col("obs_id"))
-    return keyed.groupBy("family_id", "_root").agg(
-        F.min_by("obs_id", order).alias("event_anchor"),
-        F.count(F.lit(1)).alias("raw_count"),
-        F.sort_array(F.collect_set("source_class")).alias("source_classes"),
-        F.sort_array(F.collect_set("connection_id")).alias("connections"),
-        F.sort_array(F.collect_set(F.when(F.trim("geography") != "", F.col("geography")))).alias("geographies"),
-        F.min("published").alias("first_observed"),
-        F.max("published").alias("last_observed"),
-        F.bool_and("baseline").alias("baseline_only"),
-        F.bool_or((F.col("source_class") != "generated_candidate") & ~F.col("baseline")).alias("promotable"),
-    ).drop("_root")
+    roots = components(edges, few=FEW)
+    keyed = obs.join(roots, F.col("obs_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "obs_id"))
+    return finished_events(event_parts(keyed))
 
 
 def family_evidence(events: DataFrame) -> DataFrame:

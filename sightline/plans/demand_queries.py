@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sightline.functions import expr, text
 from sightline.operators import demand
+from sightline.operators.incremental import EventStore
 from sightline.plans.registry import register
 from sightline.sources import tables
+from sightline.sources.staging import shared_folder
 
 HOUR = "TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * {0}"
 
@@ -39,13 +43,21 @@ def _events(v):
     return demand.evidence_events(obs, demand.duplicate_edges(obs))
 
 
-# Equal records and urls: each row with the first of its group, and the group's size; other pairs one by one.
-STARS = """gr AS (SELECT min(obs_id) OVER w AS a, obs_id AS b, count(*) OVER w AS rec_size, NULL::BIGINT AS can_size FROM o WINDOW w AS (PARTITION BY family_id, connection_id, external_id)
- UNION ALL SELECT min(obs_id) OVER w, obs_id, NULL, count(*) OVER w FROM o WHERE canonical_url <> '' WINDOW w AS (PARTITION BY family_id, canonical_url)),
-stars AS (SELECT a, b, coalesce(max(rec_size), max(can_size)) AS group_size FROM gr WHERE a <> b GROUP BY a, b)"""
+# Equal records, urls and titles of one platform and time: each row with the first of its group, and the group's size. The first rows
+# of the title groups are linked with their neighbours in time; those of similar titles are paired.
+STARS = """oo AS (SELECT *, array_to_string(list_sort(tk), ' ') AS key FROM o),
+gr AS (SELECT min(obs_id) OVER w AS a, obs_id AS b, count(*) OVER w AS rec_size, NULL::BIGINT AS can_size, NULL::BIGINT AS title_size FROM oo WINDOW w AS (PARTITION BY family_id, connection_id, external_id)
+ UNION ALL SELECT min(obs_id) OVER w, obs_id, NULL, count(*) OVER w, NULL FROM oo WHERE canonical_url <> '' WINDOW w AS (PARTITION BY family_id, canonical_url)
+ UNION ALL SELECT min(obs_id) OVER w, obs_id, NULL, NULL, count(*) OVER w FROM oo WHERE published_hour IS NOT NULL WINDOW w AS (PARTITION BY family_id, key, platform, published_hour)),
+cells AS (SELECT family_id, key, platform, published_hour, min(obs_id) AS id, any_value(tk) AS tk FROM oo WHERE published_hour IS NOT NULL GROUP BY 1, 2, 3, 4),
+steps AS (SELECT *, CASE WHEN lag(platform) OVER w <> platform THEN lag(id) OVER w END AS back, CASE WHEN lead(platform) OVER w <> platform THEN lead(id) OVER w END AS fore, lag(id) OVER (PARTITION BY family_id, key, platform ORDER BY published_hour) AS same FROM cells WINDOW w AS (PARTITION BY family_id, key ORDER BY published_hour, platform)),
+links AS (SELECT id, unnest([last_value(back IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(fore IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), same]) AS other FROM steps WINDOW w AS (PARTITION BY family_id, key ORDER BY published_hour, platform)),
+cand AS (SELECT a, b, rec_size, can_size, title_size FROM gr WHERE a <> b UNION ALL SELECT least(id, other), greatest(id, other), NULL, NULL, NULL FROM links WHERE other IS NOT NULL
+ UNION ALL SELECT least(x.id, y.id), greatest(x.id, y.id), NULL, NULL, NULL FROM cells x JOIN cells y ON x.family_id = y.family_id AND x.key < y.key AND abs(x.published_hour - y.published_hour) <= 336 AND len(list_intersect(x.tk, y.tk)) >= 0.7 * (len(x.tk) + len(y.tk) - len(list_intersect(x.tk, y.tk))) WHERE len(x.tk) > 0 AND len(y.tk) > 0),
+stars AS (SELECT a, b, coalesce(max(rec_size), max(can_size), max(title_size)) AS group_size FROM cand GROUP BY a, b)"""
 
 
-@register("e9_j17_duplicate_edges", f"WITH {PAIRS}, {STARS} SELECT a, b, relation, CASE WHEN certain THEN 1.0 ELSE floor(s * 10000::DOUBLE + 0.5::DOUBLE) / 10000 END::DOUBLE AS similarity, group_size::BIGINT AS group_size FROM edges LEFT JOIN stars USING (a, b) WHERE relation IS NOT NULL AND (NOT certain OR group_size IS NOT NULL)")
+@register("e9_j17_duplicate_edges", f"WITH {PAIRS}, {STARS} SELECT a, b, relation, CASE WHEN certain THEN 1.0 ELSE floor(s * 10000::DOUBLE + 0.5::DOUBLE) / 10000 END::DOUBLE AS similarity, group_size::BIGINT AS group_size FROM edges JOIN stars USING (a, b) WHERE relation IS NOT NULL AND (NOT certain OR group_size IS NOT NULL)")
 def e9(v):
     return demand.duplicate_edges(_obs(v)).select("a", "b", "relation", "similarity", "group_size")
 
@@ -56,6 +68,36 @@ def e12(v):
     return _events(v).select("family_id", "event_anchor", "raw_count", F.array_join("source_classes", ",").alias("classes"), F.array_join("geographies", ",").alias("geographies"), hours("first_observed"), hours("last_observed"), "baseline_only")
 
 
+def _stored_events(v, batch):
+    """Events of a store that takes the observations batch by batch."""
+    obs = _obs(v).withColumn("batch", batch)
+    store = EventStore(obs.sparkSession, f"{shared_folder(obs.sparkSession)}/events-{uuid.uuid4().hex}")
+    for k in range(3):
+        store.apply(k, obs.where(F.col("batch") == k))
+    hours = lambda c: F.floor(F.unix_seconds(c) / 3600).alias(c.replace("observed", "hour"))
+    return store.events().select("family_id", "event_anchor", "raw_count", F.array_join("source_classes", ",").alias("classes"), F.array_join("geographies", ",").alias("geographies"), hours("first_observed"), hours("last_observed"), "baseline_only")
+
+
+STORED = "SELECT family_id, event_anchor, raw_count, array_to_string(source_classes, ',') AS classes, coalesce(array_to_string(geographies, ','), '') AS geographies, first_hour, last_hour, baseline_only FROM ev"
+
+
+# Batches in no order of time: each brings rows that are earlier than stored ones and join their events.
+@register("e12_incremental_events", f"WITH RECURSIVE {EVENTS} {STORED}")
+def e12_incremental(v):
+    return _stored_events(v, F.expr("CAST(substr(obs_id, 2) AS INT) % 3"))
+
+
+# Batches in the order of collection, published at any time: what comes later joins events without renaming them.
+@register("t5_late_evidence", f"WITH RECURSIVE {EVENTS}, cut AS (SELECT quantile_disc(collected_hour, [0.33, 0.66]) AS q FROM observations), b AS (SELECT o.obs_id, CASE WHEN o.collected_hour <= q[1] THEN 0 WHEN o.collected_hour <= q[2] THEN 1 ELSE 2 END AS born FROM o, cut) SELECT s.*, b.born FROM ({STORED}) s JOIN b ON b.obs_id = s.event_anchor")
+def t5_late(v):
+    obs = _obs(v)
+    cuts = obs.agg(F.percentile(F.unix_seconds("collected") / 3600, [0.33, 0.66]).alias("q")).first()["q"]
+    hour = F.floor(F.unix_seconds("collected") / 3600)
+    batch = F.when(hour <= cuts[0], 0).when(hour <= cuts[1], 1).otherwise(2)
+    named = obs.select("obs_id", batch.alias("born")).withColumnRenamed("obs_id", "event_anchor")
+    return _stored_events(v, batch).join(named, "event_anchor")
+
+
 @register("a15_a20_family_evidence", f"WITH RECURSIVE {FAMILY} SELECT family_id, events, raw_count, has_first_party, has_primary, has_search, generated_only, baseline_only, promotable, geography_count, CASE WHEN geography_count >= 2 THEN 1.0 WHEN geography_count = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS geography FROM fam")
 def a15(v):
     rows = demand.family_evidence(_events(v)).withColumn("geography", demand.geography_signal())
