@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions import expr
-from sightline.operators import search
+from sightline.operators import search, temporal
 from sightline.plans.registry import register
 
 SUMS = "coalesce(sum(clicks), 0)::BIGINT AS clicks, coalesce(sum(impressions), 0)::BIGINT AS impressions, CASE WHEN sum(impressions) > 0 THEN sum(clicks)::DOUBLE / sum(impressions) ELSE 0.0 END AS ctr, CASE WHEN sum(impressions) > 0 THEN sum(position * impressions) / sum(impressions) ELSE 0.0 END AS position"
@@ -97,6 +97,47 @@ def j24(v):
     return v.customer.where("c_nationkey < 20").join(v.nation, F.col("c_nationkey") == F.col("n_nationkey"), "full").select("c_custkey", "n_nationkey")
 
 
+def _of(v, kind, *columns):
+    return v.events.where(F.col("event_type") == kind).select("user_id", *columns)
+
+
+# The last view of the user at or before each purchase; of several at one time the greatest id.
+@register("j24_asof", """WITH w AS (SELECT user_id, ts, max(event_id) AS view_id, arg_max(value, event_id) AS view_value FROM events WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT p.event_id, w.view_id, w.view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN w ON p.user_id = w.user_id AND p.ts >= w.ts""")
+def j24_asof(v):
+    views = _of(v, "view", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return temporal.asof_join(_of(v, "purchase", "ts", "event_id"), views, ["user_id"], "ts", "ts", ["view_id", "view_value"], bucket_rows=500).select("event_id", "view_id", "view_value")
+
+
+# The last event of any kind strictly before each error, if it is six hours old at most.
+@register("j24_asof_within", """WITH w AS (SELECT user_id, ts, max(event_id) AS last_id FROM events GROUP BY 1, 2)
+SELECT p.event_id, CASE WHEN p.ts - w.ts <= INTERVAL 6 HOUR THEN w.last_id END AS last_id FROM (SELECT * FROM events WHERE event_type = 'error') p ASOF LEFT JOIN w ON p.user_id = w.user_id AND p.ts > w.ts""")
+def j24_asof_within(v):
+    events = v.events.select("user_id", "ts", F.col("event_id").alias("last_id"))
+    return temporal.asof_join(_of(v, "error", "ts", "event_id"), events, ["user_id"], "ts", "ts", ["last_id"], strict=True, tolerance=6 * 3600).select("event_id", "last_id")
+
+
+WINDOWS = "SELECT user_id, event_id AS {1}, ts AS {0}_s, ts + INTERVAL 1 MINUTE * (event_id * 37 % 2880) AS {0}_e FROM events WHERE event_type = '{2}'"
+
+
+def _windows(v, side, name, kind):
+    minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("event_id") * 37 % 2880).cast("int"))
+    return _of(v, kind, F.col("event_id").alias(name), F.col("ts").alias(f"{side}_s"), (F.col("ts") + minutes).alias(f"{side}_e"))
+
+
+# Events that fall into a window of up to two days after an error of the user.
+@register("j24_interval", f"SELECT l.event_id, r.error_id FROM events l JOIN ({WINDOWS.format('r', 'error_id', 'error')}) r ON l.user_id = r.user_id AND l.ts >= r_s AND l.ts < r_e WHERE l.event_type <> 'error'")
+def j24_interval(v):
+    others = v.events.where("event_type <> 'error'").select("user_id", "event_id", "ts")
+    return temporal.interval_join(others, _windows(v, "r", "error_id", "error"), ["user_id"], ("ts", None), ("r_s", "r_e")).select("event_id", "error_id")
+
+
+# Windows after errors that overlap windows after signups of the user.
+@register("j24_interval_overlaps", f"SELECT error_id, signup_id FROM ({WINDOWS.format('l', 'error_id', 'error')}) l JOIN ({WINDOWS.format('r', 'signup_id', 'signup')}) r ON l.user_id = r.user_id AND l_s < r_e AND r_s < l_e AND l_s < l_e AND r_s < r_e")
+def j24_overlaps(v):
+    return temporal.interval_join(_windows(v, "l", "error_id", "error"), _windows(v, "r", "signup_id", "signup"), ["user_id"], ("l_s", "l_e"), ("r_s", "r_e")).select("error_id", "signup_id")
+
+
 @register("k19_addition_set_operations", "(SELECT p_brand FROM part WHERE p_size < 10 INTERSECT SELECT p_brand FROM part WHERE p_size > 40) EXCEPT SELECT p_brand FROM part WHERE p_partkey = 1")
 def k19(v):
     brands = lambda c: v.part.where(c).select("p_brand")
