@@ -11,6 +11,7 @@ from sightline.operators import demand
 from sightline.operators.incremental import EventStore
 from sightline.plans.registry import register
 from sightline.sources import tables
+from sightline.sources.commits import CommitTable, claim, versioned_updates
 from sightline.sources.staging import shared_folder
 
 HOUR = "TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * {0}"
@@ -316,6 +317,52 @@ def s8(v):
     return tables.versioned_update(rows, F.col("o_custkey") == 7, 1, {"o_orderstatus": F.lit("X")}).select("o_orderkey", "o_orderstatus", "version")
 
 
+def _stored(v, schema, key, buckets=8):
+    spark = v.orders.sparkSession
+    return CommitTable(spark, f"{shared_folder(spark)}/commits-{uuid.uuid4().hex}", schema, key, buckets)
+
+
+# Two workers claim runs on one snapshot: the second is told, decides on the new snapshot and gets what is left.
+@register("s7_stored_claims", """WITH stored AS (SELECT run_id, status FROM rank_runs WHERE month_no % 4 <> 1),
+a AS (SELECT r.run_id, CASE WHEN s.run_id IS NULL THEN 'start' WHEN s.status = 'completed' THEN 'skip' ELSE 'resume' END AS action FROM rank_runs r LEFT JOIN stored s ON r.run_id = s.run_id WHERE month_no % 2 = 0 OR month_no % 5 = 0),
+b AS (SELECT r.run_id, CASE WHEN a.action <> 'skip' THEN 'skip' WHEN s.run_id IS NULL THEN 'start' WHEN s.status = 'completed' THEN 'skip' ELSE 'resume' END AS action FROM rank_runs r LEFT JOIN stored s ON r.run_id = s.run_id LEFT JOIN a ON a.run_id = r.run_id WHERE month_no % 3 = 0 OR month_no % 7 = 0)
+SELECT run_id, 'a' AS worker, action FROM a UNION ALL SELECT run_id, 'b', action FROM b""")
+def s7_stored(v):
+    runs = v.rank_runs.select(F.col("run_id").cast("long").alias("run_id"), "month_no", "status")
+    table = _stored(v, "run_id long, status string, worker string", ["run_id"])
+    table.upsert(runs.where("month_no % 4 <> 1").select("run_id", "status", F.lit("old").alias("worker")))
+    seen = table.version()
+    by = lambda worker, where: claim(table, runs.where(where).select("run_id", F.lit(worker).alias("worker")), version=seen)
+    first, second = by("a", "month_no % 2 = 0 OR month_no % 5 = 0"), by("b", "month_no % 3 = 0 OR month_no % 7 = 0")
+    return first.unionByName(second).select("run_id", "worker", "action")
+
+
+# Two writers change rows of one snapshot if their version is 1: the second finds versions raised by the first.
+@register("s8_stored_versions", """WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderkey % 3 AS version, o_custkey % 5 = 0 AS x, o_custkey % 2 = 0 AS y FROM orders), d AS (SELECT *, x AND version = 1 AS a, y AND version = 1 AND NOT x AS b FROM o)
+SELECT o_orderkey, CASE WHEN a THEN 'X' WHEN b THEN 'Y' ELSE o_orderstatus END AS o_orderstatus, version + CASE WHEN a OR b THEN 1 ELSE 0 END AS version, CASE WHEN x THEN a END AS first_applied, CASE WHEN y THEN b END AS second_applied FROM d""")
+def s8_stored(v):
+    table = _stored(v, "o_orderkey long, o_orderstatus string, version long", ["o_orderkey"])
+    table.upsert(v.orders.select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 3).alias("version")))
+    seen = table.version()
+    change = lambda where, status: versioned_updates(table, v.orders.where(where).select("o_orderkey", F.lit(status).alias("o_orderstatus"), F.lit(1).cast("long").alias("expected")), seen)
+    told = [change(where, status).select("o_orderkey", F.col("applied").alias(name)) for where, status, name in (("o_custkey % 5 = 0", "X", "first_applied"), ("o_custkey % 2 = 0", "Y", "second_applied"))]
+    return table.read().join(told[0], "o_orderkey", "left").join(told[1], "o_orderkey", "left")
+
+
+# Daily runs claimed twice: completed ones are skipped, failed ones and those left running too long are resumed.
+@register("t4_daily_runs", """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS n FROM events)
+SELECT day, CASE WHEN n % 4 = 3 THEN 'start' WHEN n % 4 = 0 OR (n % 4 = 2 AND n % 3 <> 0) THEN 'skip' ELSE 'resume' END AS action, CASE WHEN n % 4 = 0 THEN 'completed' ELSE 'running' END AS status FROM d""")
+def t4_daily(v):
+    days = v.events.select(F.to_date("ts").alias("day")).distinct().withColumn("n", F.datediff("day", F.lit("2024-01-01").cast("date")))
+    table = _stored(v, "day date, status string, claimed_hour long", ["day"])
+    hour = F.when(F.col("n") % 3 == 0, 0).otherwise(20).cast("long").alias("claimed_hour")
+    claim(table, days.where("n % 4 <> 3").select("day", hour))
+    ends = days.where("n % 4 < 2").select("day", F.when(F.col("n") % 4 == 0, "completed").otherwise("failed").alias("status"), hour)
+    table.upsert(ends)
+    again = claim(table, days.select("day", F.lit(24).cast("long").alias("claimed_hour")), stale=F.col("claimed_hour") < 24 - 12)
+    return again.select("day", "action").join(table.read().select("day", "status"), "day")
+
+
 @register("s13_k18_observation_union", "SELECT 'search' AS source, concat(query, page) AS external_id, sum(impressions)::DOUBLE AS weight FROM search_rows GROUP BY query, page UNION ALL SELECT 'community', CAST(conv_id AS VARCHAR), count(*)::DOUBLE FROM conversations GROUP BY conv_id")
 def s13(v):
     found = v.search_rows.groupBy("query", "page").agg(F.sum("impressions").alias("n")).select(F.lit("search").alias("source"), F.concat("query", "page").alias("external_id"), F.col("n").cast("double").alias("weight"))
