@@ -106,9 +106,11 @@ def words_of(text):
 
 def shingles(text):
     """The distinct word 5-grams of a text, hashed; of fewer words, the whole sequence is one."""
-    words = words_of(text)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 5)))
-    return F.array_distinct(grams)
+    def grams(words):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, 5)))
+
+    # The array of one element binds the words: a lambda evaluates what it captures for each of its elements.
+    return F.array_distinct(F.transform(F.array(words_of(text)), grams)[0])
 
 
 def copies(suspects: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -116,25 +118,25 @@ def copies(suspects: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
 
     ``suspects`` have host, text and dropped (the listed lines in it). Texts of a host meet where their
     longest dropped line is the same, or the one of the least hash; a class holds those whose word 5-grams
-    reach a similarity of 0.8 with the first text that they meet (and whose sets of words reach half,
-    which is looked at first). One comparison a text and line, whatever the size of the group.
+    reach a similarity of 0.8 with the first text that they meet. One comparison a text and line, whatever
+    the size of the group.
     """
     texts = suspects.groupBy("host", F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.first("dropped").alias("dropped"))
-    texts = stage_table(texts, "suspects")
     longest = F.array_max(F.transform("dropped", lambda x: F.struct(F.length(x).cast("long").alias("o"), x.alias("line"))))["line"]
     least = F.array_min(F.transform("dropped", lambda x: F.struct(F.xxhash64(x).alias("o"), x.alias("line"))))["line"]
-    keyed = texts.select("host", "key", "text", F.explode(F.array_distinct(F.array(longest, least))).alias("line"))
-    first = keyed.groupBy(F.col("host").alias("h"), F.col("line").alias("l")).agg(F.min(F.struct("key", "text")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = keyed.join(first, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).where("key <> first.key")
-    met = met.select("host", "key", "text", F.col("first.key").alias("root"), F.col("first.text").alias("other"), F.array_distinct(words_of(F.col("text"))).alias("w"), F.array_distinct(words_of(F.col("first.text"))).alias("v"))
-    common = F.size(F.array_intersect("w", "v"))
-    met = met.where(2 * common >= F.size("w") + F.size("v") - common)
-    sets = met.select("host", "key", "root", shingles(F.col("text")).alias("x"), shingles(F.col("other")).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    linked = sets.where(F.lit(den) * common >= F.lit(num) * (F.size("x") + F.size("y") - common)).select("host", "key", "root")
-    classes = stage_table(linked.unionByName(linked.select("host", F.col("root").alias("key"), "root")).groupBy(F.col("host").alias("h"), F.col("key").alias("k")).agg(F.min("root").alias("root")), "suspect-classes")
-    joined = texts.drop("dropped").join(classes, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")))
-    return joined.select("host", "key", "text", F.col("root").alias("class"))
+    # Shingles are made once a text and written, as the plans below name them several times.
+    texts = stage_table(texts.select("host", "key", "text", F.array_distinct(F.array(longest, least)).alias("lines"), shingles(F.col("text")).alias("grams")), "suspects")
+    keyed = texts.select("host", "key", F.explode("lines").alias("line"))
+    first = keyed.groupBy(F.col("host").alias("h"), F.col("line").alias("l")).agg(F.min("key").alias("root"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = keyed.join(first, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).where("key <> root")
+    met = stage_table(met.select("host", "key", "root").distinct(), "suspect-pairs")
+    side = lambda name, grams: texts.select(F.col("host").alias(f"h_{name}"), F.col("key").alias(f"k_{name}"), F.col("grams").alias(grams))
+    sets = met.join(side("own", "x"), F.col("host").eqNullSafe(F.col("h_own")) & (F.col("key") == F.col("k_own"))).join(side("root", "y"), F.col("host").eqNullSafe(F.col("h_root")) & (F.col("root") == F.col("k_root")))
+    sizes = sets.select("host", "key", "root", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("common"))
+    linked = stage_table(sizes.where(F.lit(den) * F.col("common") >= F.lit(num) * (F.col("n") + F.col("m") - F.col("common"))).select("host", "key", "root"), "suspect-links")
+    classes = linked.unionByName(linked.select("host", F.col("root").alias("key"), "root")).groupBy(F.col("host").alias("h"), F.col("key").alias("k")).agg(F.min("root").alias("root"))
+    joined = texts.select("host", "key", "text").join(classes, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")))
+    return stage_table(joined.select("host", "key", "text", F.col("root").alias("class")), "copies")
 
 
 def lines_of_copies(copied: DataFrame, found: DataFrame, ratio: float, min_pages: int) -> DataFrame:
