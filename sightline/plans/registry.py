@@ -34,7 +34,7 @@ def register(name: str, sql: str | None = None, rounded: tuple[str, ...] = ()):
 
 
 def _load() -> None:
-    from sightline.plans import ai_queries, audit_queries, demand_queries, keyword_queries, maintenance_queries, rank_queries, search_queries  # noqa: F401
+    from sightline.plans import ai_queries, audit_queries, demand_queries, keyword_queries, maintenance_queries, rank_queries, search_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

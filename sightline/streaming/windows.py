@@ -21,3 +21,14 @@ def sessions(df: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> D
     """Sessions of each user: rows no further apart than ``gap``."""
     out = _late(df, delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def joined_within(left: DataFrame, right: DataFrame, key: str, within: str, delay: str = "1 hour") -> DataFrame:
+    """Left rows with the right rows of their key that are at most ``within`` older (columns ts, and those of ``right`` named apart by ``right_``).
+
+    On streams both sides keep rows until the watermarks show that no partner can come.
+    """
+    a, b = _late(left, delay), _late(right, delay)
+    b = b.select(*(F.col(c).alias(f"right_{c}") for c in b.columns))
+    when = (F.col("right_ts") <= F.col("ts")) & (F.col("right_ts") >= F.col("ts") - F.expr(f"INTERVAL {within}"))
+    return a.join(b, (F.col(key) == F.col(f"right_{key}")) & when)
