@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.functions import expr, urls
+from sightline.functions import addresses, expr, urls
+from sightline.operators import domains
 from sightline.operators import keywords as kw
 from sightline.operators import visibility as vis
 from sightline.plans.registry import register
@@ -136,3 +137,46 @@ def p15(v):
 @register("f24_crawlable_url", F24_SQL)
 def f24(v):
     return v.pages.select("page_id", urls.crawlable("url").alias("crawlable"))
+
+
+#: Hosts that fall in and beside every address range, by id: dotted, as IPv6, and mapped into IPv6 in two spellings.
+FIRST = (10, 127, 0, 169, 172, 192, 100, 198, 224, 255, 8, 173)
+_A = f"element_at(array({', '.join(map(str, FIRST))}), CAST(o_orderkey % {len(FIRST)} AS INT) + 1)"
+_B = "CASE o_orderkey % 5 WHEN 0 THEN 254 WHEN 1 THEN 16 + o_orderkey % 17 WHEN 2 THEN 168 WHEN 3 THEN 63 + o_orderkey % 67 ELSE 17 + o_orderkey % 4 END"
+
+
+# IPv4 and IPv6 addresses against ranges: numbers in sorted intervals.
+@register("f24_address_ranges", f"""WITH n AS (SELECT o_orderkey, o_orderkey % 7 AS form, ([{', '.join(map(str, FIRST))}])[o_orderkey % {len(FIRST)} + 1] AS a, {_B} AS b, 64512 + o_orderkey * 13 % 1024 AS g FROM orders)
+SELECT o_orderkey, CASE WHEN form = 5 THEN g BETWEEN 64512 AND 65023 OR g BETWEEN 65152 AND 65215 WHEN form = 6 THEN o_orderkey % 4 < 2
+ ELSE a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b IN (18, 19)) END AS blocked FROM n""")
+def f24_ranges(v):
+    key = F.col("o_orderkey")
+    a, b, c = F.expr(_A), F.expr(_B), key % 256
+    low = lambda x: F.lower(F.hex(x.cast("long")))
+    dotted = F.concat_ws(".", *(x.cast("string") for x in (a, b, c, F.lit(7))))
+    hexed = F.concat(F.lit("[::ffff:"), low(a * 256 + b), F.lit(":"), low(c * 256 + 7), F.lit("]"))
+    mapped = F.concat(F.lit("[0:0:0:0:0:FFFF:"), dotted, F.lit("]"))
+    own = F.concat(F.lit("["), low(64512 + key * 13 % 1024), F.lit("::7:"), low(key % 65536), F.lit("]"))
+    least = F.concat(F.lit("[::"), (key % 4).cast("string"), F.lit("]"))
+    host = F.when(key % 7 == 3, hexed).when(key % 7 == 4, mapped).when(key % 7 == 5, own).when(key % 7 == 6, least).otherwise(dotted)
+    return v.orders.select("o_orderkey", addresses.blocked_address(host).alias("blocked"))
+
+
+#: Rules of a public-suffix table, and endings of hosts that they meet: plain, wildcard, exception, none.
+RULES = ("com", "co.uk", "uk", "org", "*.ck", "!www.ck", "jp", "kobe.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "github.io", "io", "de")
+ENDINGS = ("example.com", "co.uk", "shop.co.uk", "ck", "www.ck", "any.ck", "a.b.ck", "city.kawasaki.jp", "x.kawasaki.jp", "kobe.jp", "me.github.io", "unknown.zz", "DE")
+
+
+# The domain of hosts made of an ending and up to two labels before it, by the table of rules.
+@register("h4_suffix_rules", f"""WITH rules AS (SELECT r AS rule, starts_with(r, '!') AS exception, starts_with(r, '*.') AS wildcard, regexp_replace(r, '^(!|\\*\\.)', '') AS suffix FROM (SELECT unnest([{', '.join(repr(r) for r in RULES)}]) AS r)),
+h AS (SELECT DISTINCT lower(CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' || page_id % 9 || '.' ELSE 'b.c' || page_id % 7 || '.' END || ([{', '.join(repr(e) for e in ENDINGS)}])[page_id % {len(ENDINGS)} + 1]) AS host FROM pages),
+f AS (SELECT host, len(string_split(host, '.')) AS n, exception, len(string_split(suffix, '.')) + CASE WHEN wildcard THEN 1 WHEN exception THEN -1 ELSE 0 END AS size FROM h JOIN rules ON host = suffix OR ends_with(host, '.' || suffix)),
+b AS (SELECT host, arg_max(size, (exception, size)) AS size FROM f WHERE size <= n GROUP BY host),
+d AS (SELECT h.host, coalesce(size, 1) AS size, string_split(h.host, '.') AS labels FROM h LEFT JOIN b ON b.host = h.host)
+SELECT page_id, CASE WHEN len(labels) > size THEN array_to_string(labels[-(size + 1):], '.') END AS domain FROM pages JOIN d ON d.host = lower(CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' || page_id % 9 || '.' ELSE 'b.c' || page_id % 7 || '.' END || ([{', '.join(repr(e) for e in ENDINGS)}])[page_id % {len(ENDINGS)} + 1])""")
+def h4_rules(v):
+    key = F.col("page_id")
+    before = F.when(key % 3 == 0, F.lit("")).when(key % 3 == 1, F.concat(F.lit("a"), (key % 9).cast("string"), F.lit("."))).otherwise(F.concat(F.lit("b.c"), (key % 7).cast("string"), F.lit(".")))
+    ending = F.element_at(F.array(*(F.lit(e) for e in ENDINGS)), (key % len(ENDINGS)).cast("int") + 1)
+    rules = v.pages.sparkSession.createDataFrame([(r,) for r in RULES], "rule string")
+    return domains.registrable(v.pages.select("page_id", F.concat(before, ending).alias("host")), rules).select("page_id", "domain")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sightline.functions import expr, text
-from sightline.operators import demand
+from sightline.operators import definitions, demand
 from sightline.operators.incremental import EventStore
 from sightline.plans.registry import register
 from sightline.sources import tables
@@ -257,6 +257,15 @@ def e13(v):
     return demand.first_family(v.observations, [("both", ["the", "and"]), ("the", ["the"])]).select("obs_id", "family_key")
 
 
+# Definitions as a table: the two first words of every fifth title; the first one whose words a title contains.
+@register("j18_many_definitions", f"""WITH {TOKENS}, d AS (SELECT CAST(substr(obs_id, 2) AS BIGINT) AS rank, obs_id AS name, list_filter(string_split(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' '), lambda t: length(t) > 1)[1:2] AS words FROM o WHERE CAST(substr(obs_id, 2) AS BIGINT) % 5 = 1 AND len(tk) > 0)
+SELECT obs_id, name AS family FROM (SELECT o.obs_id, arg_min(d.name, d.rank) FILTER (WHERE len(list_filter(d.words, lambda w: NOT contains(o.title, w))) = 0) AS name FROM o LEFT JOIN d ON contains(o.title, d.words[1]) GROUP BY o.obs_id)""")
+def j18_many(v):
+    rank = F.expr("CAST(substr(obs_id, 2) AS BIGINT)")
+    listed = _obs(v).where((rank % 5 == 1) & (F.size("tokens") > 0)).select(rank.alias("rank"), F.col("obs_id").alias("name"), F.slice(F.filter(F.split(text.normal_text(F.col("title"), compatible=False), " "), lambda t: F.length(t) > 1), 1, 2).alias("words"))
+    return definitions.first_match(v.observations.select("obs_id", "title"), listed, found="family").select("obs_id", "family")
+
+
 @register("e18_page_changes", "SELECT event_id, CASE WHEN p IS NULL THEN 'baseline' WHEN p <> event_type THEN 'changed' ELSE 'same' END AS state FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)")
 def e18(v):
     rows = v.events.selectExpr("event_id AS id", "user_id AS page", "ts AS seen", "event_type AS fingerprint")
