@@ -198,6 +198,46 @@ def e17(v):
     return demand.select_feed(scored).select("family_id", "priority", "confidence", "band", "status", "reason", "rank", "action")
 
 
+# A whole run: titles as needles, inventories of three projects (one of them unknown), and families that each gate stops.
+RUN_OBS = """numbered AS (SELECT *, CAST(substr(obs_id, 2) AS INT) AS n FROM observations),
+run_obs AS (SELECT * REPLACE (concat('p', CAST(n % 3 AS VARCHAR), '-f', CAST(n % 36 AS VARCHAR)) AS family_id) FROM numbered WHERE CASE n % 36 WHEN 5 THEN n % 5 = 4 WHEN 7 THEN n % 8 = 7 WHEN 11 THEN n % 5 = 4 OR n % 8 = 7 ELSE true END)"""
+DEMAND_RUN = f"""WITH RECURSIVE {RUN_OBS}, {FAMILY.replace('FROM observations', 'FROM run_obs')},
+f AS (SELECT family_id, min(n % 3) AS project_id, min(n % 36) AS number, arg_min({NORM}, n) AS needle FROM run_obs GROUP BY family_id),
+a AS (SELECT n % 3 AS project_id, concat('https://a.test/', obs_id) AS url, CASE n % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'faq' ELSE 'tool' END AS kind, {NORM} AS intent, n % 120 AS age FROM numbered WHERE n % 4 = 0),
+t AS (SELECT family_id, url, kind, age, needle = intent AS exact, list_distinct(list_filter(string_split(needle, ' '), lambda t: length(t) > 1)) AS x, list_distinct(list_filter(string_split(intent, ' '), lambda t: length(t) > 1)) AS y FROM f JOIN a USING (project_id) WHERE needle <> '' AND intent <> ''),
+s AS (SELECT *, CASE WHEN exact THEN 1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END AS strength FROM t),
+best AS (SELECT * FROM s WHERE exact OR strength >= 0.34 QUALIFY row_number() OVER (PARTITION BY family_id ORDER BY strength DESC, exact DESC, CASE kind WHEN 'page' THEN 0 WHEN 'faq' THEN 3 ELSE 5 END, url) = 1),
+c AS (SELECT fam.*, f.project_id, f.number, kind, strength, CASE WHEN f.project_id = 2 THEN 'unknown' WHEN url IS NULL THEN 'gap' WHEN exact AND age <= 48 THEN 'covered' ELSE 'partial' END AS status,
+ CASE WHEN last_hour IS NULL OR baseline_only THEN 0.0 WHEN 744 - last_hour <= 168 THEN 1.0 WHEN 744 - last_hour >= 2160 THEN 0.0 ELSE floor((90 - (744 - last_hour) / 24.0::DOUBLE) / 83 * 10000 + 0.5) / 10000 END::DOUBLE AS fresh FROM fam JOIN f USING (family_id) LEFT JOIN best USING (family_id)),
+v AS (SELECT *, CASE WHEN geography_count >= 2 THEN 1.0 WHEN geography_count = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS geo, least(1.0, events / 3.0::DOUBLE) AS corr, CASE WHEN has_first_party OR has_search THEN 0.6 ELSE 0.3 END::DOUBLE AS useful, CASE WHEN has_primary THEN 0.8 WHEN has_search THEN 0.4 ELSE 0.0 END::DOUBLE AS cit, CASE WHEN number % 4 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS com,
+ CASE status WHEN 'unknown' THEN 0.0 WHEN 'gap' THEN 1.0 WHEN 'covered' THEN 0.1 ELSE 0.5 END::DOUBLE AS gap, number % 36 = 13 AS blocked, status = 'covered' AND strength >= 0.5 AS cannibal FROM c),
+p AS (SELECT *, least(100.0, {' + '.join(f'floor({c} * {m} * 100 + 0.5) / 100' for c, m in (('geo', 20), ('corr', 20), ('fresh', 15), ('useful', 15), ('gap', 10), ('cit', 10), ('com', 10)))})::DOUBLE - CASE WHEN blocked THEN 30 ELSE 0 END - CASE WHEN generated_only THEN 20 ELSE 0 END - CASE WHEN cannibal THEN 20 ELSE 0 END AS raw,
+ floor((0.35::DOUBLE * corr + 0.25::DOUBLE * cit + 0.2::DOUBLE * geo + CASE WHEN blocked THEN 0.0 ELSE 0.2 END::DOUBLE) * 1000 + 0.5) / 1000 AS sure FROM v),
+q AS (SELECT *, greatest(0.0, raw) AS priority, CASE WHEN generated_only THEN 'generated_only_evidence' WHEN baseline_only THEN 'baseline_fingerprint_only' WHEN NOT promotable THEN 'no_promotable_observed_evidence' WHEN blocked THEN 'compliance_blocked' WHEN greatest(0.0, raw) < 45 THEN 'below_score_threshold' END AS gate FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY project_id, gate IS NULL ORDER BY priority DESC, sure DESC, family_id) AS place FROM q)
+SELECT family_id, project_id::BIGINT AS project_id, status, priority, sure AS confidence, CASE WHEN gate IS NULL AND place > 5 THEN 'feed_limit' ELSE gate END AS reason, CASE WHEN gate IS NULL AND place <= 5 THEN place END AS rank,
+ CASE WHEN gate IS NULL AND place <= 5 THEN CASE WHEN priority < 60 OR status = 'unknown' THEN 'monitor_only' WHEN status = 'gap' THEN 'create_supporting_page' WHEN kind = 'page' THEN 'update_existing_page' WHEN kind = 'faq' THEN 'add_faq' ELSE 'create_tool' END END AS action FROM k"""
+
+
+@register("e16_e17_demand_run", DEMAND_RUN, rounded=("priority", "confidence"))
+def e17_run(v):
+    number = F.expr("CAST(substr(obs_id, 2) AS INT)")
+    every = _obs(v).withColumn("n", number)
+    family = F.concat(F.lit("p"), (F.col("n") % 3).cast("string"), F.lit("-f"), (F.col("n") % 36).cast("string"))
+    kept = F.expr("CASE n % 36 WHEN 5 THEN n % 5 = 4 WHEN 7 THEN n % 8 = 7 WHEN 11 THEN n % 5 = 4 OR n % 8 = 7 ELSE true END")
+    obs = every.where(kept).withColumn("family_id", family)
+    normal = text.normal_text(F.col("title"), compatible=False)
+    named = obs.groupBy("family_id").agg(F.min(F.col("n") % 3).cast("long").alias("project_id"), F.min(F.col("n") % 36).alias("number"), F.array(F.min_by(normal, "n")).alias("needles"))
+    evidence = demand.family_evidence(demand.evidence_events(obs, demand.duplicate_edges(obs))).join(named, "family_id")
+    kind = F.when(F.col("n") % 3 == 0, "page").when(F.col("n") % 3 == 1, "faq").otherwise("tool")
+    asked = F.expr("TIMESTAMP '2024-06-01'")
+    assets = every.where("n % 4 = 0").select((F.col("n") % 3).cast("long").alias("project_id"), F.concat(F.lit("https://a.test/"), "obs_id").alias("url"), kind.alias("kind"), normal.alias("intent"), (asked - F.make_dt_interval(F.col("n") % 120)).alias("updated"))
+    covered = demand.coverage(evidence, demand.best_matches(evidence, assets), asked, F.col("project_id") != 2)
+    run = covered.withColumns({"freshness": expr.freshness("last_observed", F.timestamp_seconds(F.lit(744 * 3600)), baseline="baseline_only"), "commercial": F.when(F.col("number") % 4 == 0, 0.5), "compliance_uncertainty": F.col("number") == 13})
+    scored = demand.points_score(demand.with_vector(run)).withColumn("confidence", expr.half_up("confidence", 3))
+    return demand.select_feed(scored).select("family_id", "project_id", "status", "priority", "confidence", "reason", "rank", "action")
+
+
 @register("w10_freshness", "WITH a AS (SELECT o_orderkey, greatest(0.0, (epoch(TIMESTAMP '1998-01-01') - epoch(o_orderdate)) / 86400.0::DOUBLE) AS age FROM orders) SELECT o_orderkey, CASE WHEN age <= 7 THEN 1.0 WHEN age >= 90 THEN 0.0 ELSE floor((90 - age) / 83 * 10000 + 0.5) / 10000 END::DOUBLE AS freshness FROM a")
 def w10(v):
     return v.orders.select("o_orderkey", expr.freshness("o_orderdate", F.expr("TIMESTAMP '1998-01-01'")).alias("freshness"))
