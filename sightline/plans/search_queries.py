@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.functions import expr
-from sightline.operators import search, temporal
+from sightline.operators import search, sketches, temporal
 from sightline.plans.registry import register
 
 SUMS = "coalesce(sum(clicks), 0)::BIGINT AS clicks, coalesce(sum(impressions), 0)::BIGINT AS impressions, CASE WHEN sum(impressions) > 0 THEN sum(clicks)::DOUBLE / sum(impressions) ELSE 0.0 END AS ctr, CASE WHEN sum(impressions) > 0 THEN sum(position * impressions) / sum(impressions) ELSE 0.0 END AS position"
@@ -92,6 +92,34 @@ def a21(v):
     return v.orders.selectExpr("o_orderstatus AS status", "o_orderpriority AS priority").cube("status", "priority").agg(F.count(F.lit(1)).alias("n"), F.grouping("status").cast("int").alias("g"))
 
 
+# Sketches by day and type, merged over a rollup; beside exact counts, whether the estimates keep to their error bounds.
+@register("a21_merged_sketches", """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, event_id * 7919 % 3001 AS item FROM events)
+SELECT CAST(event_type AS VARCHAR) AS event_type, CAST(day AS VARCHAR) AS day, count(*) AS n, count(DISTINCT item) AS items, true AS distinct_within, true AS median_within FROM e GROUP BY ROLLUP (event_type, day)""")
+def a21_sketches(v):
+    rows = v.events.select("event_type", F.to_date("ts").alias("day"), (F.col("event_id") * 7919 % 3001).alias("item"), "value")
+    groups = ["event_type", "day"]
+    found = sketches.rolled_up(sketches.sketch(rows, groups, "item", "value"), groups, (0.5,))
+    exact = rows.rollup(*groups).agg(F.grouping_id().alias("l"), F.count_distinct("item").alias("items"), F.percentile("value", [0.45, 0.55]).alias("near"))
+    exact = exact.withColumnsRenamed({c: f"x_{c}" for c in groups})
+    same = (F.col("level") == F.col("l")) & F.col("event_type").eqNullSafe(F.col("x_event_type")) & F.col("day").eqNullSafe(F.col("x_day"))
+    # Four standard errors of the distinct sketch, and one value more; five hundredths of rank of the other.
+    distinct = F.abs(F.col("distinct_estimate") - F.col("items")) <= 0.065 * F.col("items") + 1
+    few = F.col("n") < 40
+    median = few | F.col("q50").between(F.col("near")[0], F.col("near")[1])
+    return found.join(exact, same).select("event_type", F.col("day").cast("string").alias("day"), "n", "items", distinct.alias("distinct_within"), median.alias("median_within"))
+
+
+# Demand by segment over all years, weeks apart: the year-over-year regime among the others.
+@register("d2_year_regimes", """WITH daily AS (SELECT c_mktsegment || c_nationkey AS page, datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))::BIGINT AS day_no, count(*)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+w AS (SELECT page, day_no, sum(n) OVER (PARTITION BY page ORDER BY day_no RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)::BIGINT AS spike, sum(n) OVER (PARTITION BY page ORDER BY day_no RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)::BIGINT AS pulse, sum(n) OVER (PARTITION BY page ORDER BY day_no RANGE BETWEEN 89 PRECEDING AND CURRENT ROW)::BIGINT AS persistence,
+ sum(n) OVER (PARTITION BY page ORDER BY day_no RANGE BETWEEN 364 PRECEDING AND CURRENT ROW)::BIGINT AS baseline, coalesce(sum(n) OVER (PARTITION BY page ORDER BY day_no RANGE BETWEEN 371 PRECEDING AND 365 PRECEDING), 0)::BIGINT AS year_ago FROM daily)
+SELECT page, day_no, spike, year_ago, CASE WHEN baseline = pulse THEN 'emerging' WHEN spike / 7.0 > 2 * pulse / 30.0 THEN 'spiking' WHEN pulse / 30.0 < 0.5 * persistence / 90.0 THEN 'decaying' WHEN year_ago > 0 THEN 'recurring' ELSE 'steady' END AS regime FROM w""")
+def d2_years(v):
+    rows = v.orders.join(v.customer, F.col("o_custkey") == F.col("c_custkey"))
+    daily = rows.groupBy(F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("page"), F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("long").alias("day_no")).agg(F.count(F.lit(1)).alias("n"))
+    return search.regimes(daily, ["page"], "day_no", "n").select("page", "day_no", "spike", "year_ago", "regime")
+
+
 @register("j24_addition_full_outer", "SELECT c.c_custkey, n.n_nationkey FROM (SELECT * FROM customer WHERE c_nationkey < 20) c FULL OUTER JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def j24(v):
     return v.customer.where("c_nationkey < 20").join(v.nation, F.col("c_nationkey") == F.col("n_nationkey"), "full").select("c_custkey", "n_nationkey")

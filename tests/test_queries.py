@@ -1,7 +1,11 @@
 """Every registered analytics query against its SQL in DuckDB, on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -43,7 +47,14 @@ def test_query_without_sql_runs(spark, name):
     assert rows.columns and rows.count() > 0
 
 
-def test_entry_runs_without_llm_folders():
+def test_entry_runs_without_llm_folders(tmp_path):
     import __spark_entry__ as entry
 
     assert set(registry.queries()) <= set(entry.queries()) and set(registry.oracle_sql()) <= set(entry.oracle_sql())
+    # A copy without the folders and the pipeline lists the same analytics queries.
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "sightline", tmp_path / "sightline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": os.environ["PATH"], "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(registry.queries())), str(len(registry.oracle_sql()))]
