@@ -33,9 +33,9 @@ def j9(v):
     return kw.having_tags(v.saved_keywords, v.tag_assignments, ["Brand#22"]).select("id")
 
 
-@register("f5_research_filter_sort", f"WITH {JOINED} SELECT id, coalesce(search_volume, -1) AS sort_volume FROM joined WHERE contains(lower(keyword), 'a') AND intent IN ('informational', 'commercial') AND coalesce(search_volume, 0) BETWEEN 0 AND 700 AND coalesce(difficulty, 0) >= 5")
+@register("f5_research_filter_sort", f"WITH {JOINED} SELECT id, coalesce(search_volume, -1) AS sort_volume FROM joined WHERE contains(lower(keyword), 'a') AND intent IN ('transactional', 'commercial') AND coalesce(search_volume, 0) BETWEEN 0 AND 700 AND coalesce(difficulty, 0) >= 5")
 def f5(v):
-    rows = kw.research_filter(_joined(v), include="a", intents=["informational", "commercial"], volume=(0, 700), difficulty=(5, None))
+    rows = kw.research_filter(_joined(v), include="a", intents=["transactional", "commercial"], volume=(0, 700), difficulty=(5, None))
     return kw.sorted_by(rows, FIELDS, "volume", True, "id", null_value=-1).select("id", F.coalesce("search_volume", F.lit(-1)).alias("sort_volume"))
 
 

@@ -98,9 +98,9 @@ def a8(v):
     return rank.dashboard_rollup(rank.by_device(_compared(v)), 3)
 
 
-@register("f6_rank_filter", f"WITH {WIDE} SELECT config_id, keyword_id FROM wide WHERE (contains(keyword, 'small') OR contains(keyword, 'gre')) AND NOT contains(keyword, 'brass') AND dp BETWEEN 2 AND 30 AND search_volume >= 10 AND difficulty IS NOT NULL AND difficulty <= 80")
+@register("f6_rank_filter", f"WITH {WIDE} SELECT config_id, keyword_id FROM wide WHERE (contains(keyword, 'anvil') OR contains(keyword, 'blue')) AND NOT contains(keyword, 'gizmo') AND dp BETWEEN 2 AND 30 AND search_volume >= 10 AND difficulty IS NOT NULL AND difficulty <= 80")
 def f6(v):
-    return rank.filter_rows(_wide(v), include="small, GRE ,", exclude="brass", desktop=(2, 30), volume=(10, None), difficulty=(None, 80)).select("config_id", "keyword_id")
+    return rank.filter_rows(_wide(v), include="anvil, BLUE ,", exclude="gizmo", desktop=(2, 30), volume=(10, None), difficulty=(None, 80)).select("config_id", "keyword_id")
 
 
 @register("f7_unranked_filter", f"WITH {WIDE} SELECT config_id, keyword_id FROM wide WHERE mp IS NULL")

@@ -27,9 +27,9 @@ def f20(v):
 
 
 @register("k10_striking_distance", f"""WITH p AS (SELECT query, page, {SUMS} FROM search_rows GROUP BY query, page), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY position, impressions DESC, page) = 1)
-SELECT query, page, clicks, impressions, position FROM b WHERE position BETWEEN 5 AND 20 ORDER BY impressions DESC, query LIMIT 100""", rounded=("position",))
+SELECT query, page, clicks, impressions, position FROM b WHERE position BETWEEN 1.9 AND 20 ORDER BY impressions DESC, query LIMIT 100""", rounded=("position",))
 def k10(v):
-    return search.striking_distance(search.page_totals(v.search_rows))
+    return search.striking_distance(search.page_totals(v.search_rows), low=1.9)
 
 
 @register("w7_period_comparison", f"""SELECT CASE WHEN day BETWEEN DATE '2024-01-16' AND DATE '2024-01-22' THEN 'current' ELSE 'previous' END AS period, {SUMS} FROM search_rows WHERE day BETWEEN DATE '2024-01-09' AND DATE '2024-01-22' GROUP BY 1""", rounded=("ctr", "position",))
