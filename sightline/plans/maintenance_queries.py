@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.operators import maintenance as m
 from sightline.plans.registry import register
-from sightline.sources import sinks
+from sightline.sources import adapters, sinks
 
 
 @register("m1_duplicate_map", "SELECT o_orderkey, row_number() OVER w AS keep_rank, first_value(o_orderkey) OVER w AS canonical_id, count(*) OVER (PARTITION BY o_custkey) AS copies FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)")
@@ -124,6 +125,46 @@ def s10(v):
     return sinks.keyword_items(items)
 
 
+# Search rows and community items as JSON texts, some cut off, some of no story, some twice, to one schema.
+@register("s13_source_adapters", """WITH h AS (SELECT event_id, event_id AS record_no, event_type, ts, value FROM events UNION ALL SELECT event_id, event_id + 1000000000, event_type, ts, value FROM events WHERE event_id % 7 = 0),
+i AS (SELECT record_no, event_id, event_id % 17 = 0 AS bad, event_type <> 'error' AND event_id % 13 <> 0 AND event_id % 11 <> 0 AND CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 50 END >= 3 AS fit, CASE WHEN event_id % 11 <> 0 THEN 'title ' || event_id END AS title, ts, CASE WHEN event_id % 3 = 0 THEN 'https://out.test/' || event_id END AS outbound, CASE WHEN event_id % 5 <> 0 THEN event_id % 50 END AS score FROM h),
+g AS (SELECT query, page, sum(impressions)::BIGINT AS views, row_number() OVER (ORDER BY query, page) AS record_no FROM search_rows GROUP BY query, page)
+SELECT 'hacker_news' AS source, record_no, CASE WHEN bad THEN 'malformed' WHEN NOT fit THEN 'skipped' WHEN record_no > 1000000000 THEN 'repeated' ELSE 'observed' END AS status, CASE WHEN NOT bad THEN 'hn:' || event_id END AS external_id, CASE WHEN NOT bad THEN title END AS title,
+ CASE WHEN NOT bad THEN 'https://news.ycombinator.com/item?id=' || event_id END AS canonical_url, CASE WHEN NOT bad THEN outbound END AS outbound_url, CASE WHEN NOT bad THEN floor(epoch(ts))::BIGINT END AS published, NULL::BIGINT AS views, CASE WHEN NOT bad THEN score END AS score, CASE WHEN NOT bad THEN event_id % 4 END AS comments FROM i
+UNION ALL SELECT 'gsc', record_no, CASE WHEN page = '/p3' THEN 'malformed' ELSE 'observed' END, CASE WHEN page <> '/p3' THEN 'gsc:' || query || ':https://site.test' || page END, query, CASE WHEN page <> '/p3' THEN 'https://site.test' || page END, NULL, 1704067200, views, NULL, NULL FROM g""")
+def s13_adapters(v):
+    key = F.col("event_id")
+    twice = v.events.withColumn("record_no", key).unionByName(v.events.where("event_id % 7 = 0").withColumn("record_no", key + 1_000_000_000))
+    item = F.to_json(F.struct(
+        key.alias("id"), F.when(F.col("event_type") != "error", "story").otherwise("comment").alias("type"), F.when(key % 11 != 0, F.concat(F.lit("title "), key.cast("string"))).alias("title"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"),
+        F.when(key % 5 != 0, key % 50).alias("score"), (key % 4).alias("descendants"), F.when(key % 3 == 0, F.concat(F.lit("https://out.test/"), key.cast("string"))).alias("url"), F.when(key % 13 == 0, True).alias("dead"),
+    ))
+    asked = F.expr("TIMESTAMP '2024-01-01'")
+    items = twice.select(F.lit("hacker_news").alias("source"), "record_no", F.when(key % 17 == 0, F.substring(item, 1, 9)).otherwise(item).alias("payload"), asked.alias("collected"))
+    pages = v.search_rows.groupBy("query", "page").agg(F.sum("impressions").alias("n"))
+    # One sorted list of at most 1,000 groups (40 queries by 25 pages).
+    numbered = pages.withColumn("record_no", F.row_number().over(Window.orderBy("query", "page")).cast("long"))
+    page = F.when(F.col("page") == "/p3", " ").otherwise(F.concat(F.lit("https://Site.test"), F.col("page"), F.lit("/?utm_source=x#top")))
+    found = numbered.select(F.lit("gsc").alias("source"), "record_no", F.to_json(F.struct(F.array(F.concat(F.lit(" "), "query"), page).alias("keys"), F.col("n").alias("impressions"))).alias("payload"), asked.alias("collected"))
+    rows = adapters.observations(items.unionByName(found), minimum_score=3)
+    return rows.select("source", "record_no", "status", "external_id", "title", "canonical_url", "outbound_url", F.unix_seconds("published").alias("published"), "views", "score", "comments")
+
+
+# Backlink records with fields missing by turns.
+@register("s10_backlink_records", """SELECT id, id % 19 = 0 AS malformed, CASE WHEN id % 19 <> 0 THEN domain_from END AS domain_from, CASE WHEN id % 19 <> 0 AND id % 6 <> 0 THEN dofollow END AS is_dofollow, CASE WHEN id % 19 <> 0 THEN rank END AS rank, CASE WHEN id % 19 <> 0 THEN spam_score END AS spam_score,
+ CASE WHEN id % 19 <> 0 THEN CASE WHEN is_lost THEN '2024-02-02' ELSE '2024-03-03' END END AS last_seen, id % 19 <> 0 AND CASE WHEN id % 4 = 0 THEN false ELSE is_lost END AS is_lost, id % 19 <> 0 AND is_broken AND id % 2 = 0 AS is_broken, CASE WHEN id % 19 <> 0 AND id % 3 < 2 THEN 'nofollow' ELSE '' END AS attributes FROM backlinks""")
+def s10_backlinks(v):
+    key = F.col("id")
+    payload = F.to_json(F.struct(
+        "domain_from", F.when(key % 6 != 0, F.col("dofollow")).alias("dofollow"), "rank", F.when(key % 2 == 0, F.col("spam_score")).alias("backlink_spam_score"), F.col("spam_score").alias("backlinks_spam_score"),
+        F.when(F.col("is_lost"), "2024-02-02").alias("lost_date"), F.lit("2024-03-03").alias("last_visited"), F.when(key % 4 == 0, False).alias("is_lost"), F.when(key % 2 == 0, F.col("is_broken")).alias("is_broken"),
+        F.when(key % 3 == 0, F.array(F.lit("nofollow"))).alias("rel_attributes"), F.when(key % 3 == 1, F.array(F.lit("nofollow"))).alias("attributes"),
+    ))
+    records = v.backlinks.select("id", F.when(key % 19 == 0, F.substring(payload, 1, 20)).otherwise(payload).alias("payload"))
+    rows = adapters.backlink_rows(records, ("id",))
+    return rows.select("id", "malformed", "domain_from", "is_dofollow", "rank", "spam_score", "last_seen", "is_lost", "is_broken", F.array_join("rel_attributes", ",").alias("attributes"))
+
+
 @register("h8_h9_h10_collections", "SELECT o_custkey, array_to_string(list_sort(list(DISTINCT o_orderpriority))[1:3], ',') AS first3, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS open_max FROM orders GROUP BY 1")
 def h8(v):
     rows = v.orders.groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_set("o_orderpriority")), 1, 3).alias("p"), F.map_from_entries(F.collect_set(F.when(F.col("o_orderstatus") == "none", F.struct(F.lit("x"), F.lit("y"))))).alias("m"), F.max(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))).alias("open_max"))
