@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.operators import maintenance as m
 from sightline.plans.registry import register
 from sightline.sources import adapters, sinks
+from sightline.sources.staging import shared_folder
 
 
 @register("m1_duplicate_map", "SELECT o_orderkey, row_number() OVER w AS keep_rank, first_value(o_orderkey) OVER w AS canonical_id, count(*) OVER (PARTITION BY o_custkey) AS copies FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)")
@@ -125,6 +128,47 @@ def s10(v):
     return sinks.keyword_items(items)
 
 
+def _exported(v, df, write, name):
+    """The lines of an export's files."""
+    spark = v.orders.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write(df, path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+PAGE_COLUMNS = ("id", "url", "audit_id", "fetch_class", "status_code", "redirect_url", "is_indexable", "h1_count", "word_count", "crawl_depth", "response_ms")
+
+
+# Pages as JSON lines: every field is there, null ones too.
+@register("s16_pages_json", f"SELECT to_json({{{', '.join(f'{c}: {c}' for c in PAGE_COLUMNS)}}})::VARCHAR AS line FROM audit_pages")
+def s16_pages(v):
+    return _exported(v, v.audit_pages.select(*PAGE_COLUMNS), sinks.write_json, "pages-json")
+
+
+# Links by page and target as JSON lines, with their anchors as a list.
+@register("s16_links_json", "SELECT to_json({source_page_id: source_page_id, target_url: target_url, anchors: anchors})::VARCHAR AS line FROM (SELECT source_page_id, target_url, list_sort(list(DISTINCT anchor)) AS anchors FROM audit_links GROUP BY 1, 2)")
+def s16_links(v):
+    rows = v.audit_links.groupBy("source_page_id", "target_url").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))
+    return _exported(v, rows, sinks.write_json, "links-json")
+
+
+def _quoted(*columns):
+    return " || ',' || ".join(f"'\"' || coalesce(CAST({c} AS VARCHAR), '') || '\"'" for c in columns)
+
+
+# Keywords and backlinks as CSV files with a head line; the head's lines are as many as the files, so they are left out.
+@register("s16_keywords_csv", f"SELECT {_quoted('keyword_id', 'keyword', 'search_volume', 'difficulty')} AS line FROM rank_keywords")
+def s16_keywords(v):
+    lines = _exported(v, v.rank_keywords.select("keyword_id", "keyword", "search_volume", "difficulty"), sinks.write_csv, "keywords-csv")
+    return lines.where(~F.col("line").startswith('"keyword_id"'))
+
+
+@register("s16_backlinks_csv", f"SELECT {_quoted('id', 'url_from', 'url_to', 'rank', 'domain_rank', 'first_seen')} AS line FROM backlinks")
+def s16_backlinks(v):
+    lines = _exported(v, v.backlinks.select("id", "url_from", "url_to", "rank", "domain_rank", F.col("first_seen").cast("string").alias("first_seen")), sinks.write_csv, "backlinks-csv")
+    return lines.where(~F.col("line").startswith('"id"'))
+
+
 # Search rows and community items as JSON texts, some cut off, some of no story, some twice, to one schema.
 @register("s13_source_adapters", """WITH h AS (SELECT event_id, event_id AS record_no, event_type, ts, value FROM events UNION ALL SELECT event_id, event_id + 1000000000, event_type, ts, value FROM events WHERE event_id % 7 = 0),
 i AS (SELECT record_no, event_id, event_id % 17 = 0 AS bad, event_type <> 'error' AND event_id % 13 <> 0 AND event_id % 11 <> 0 AND CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 50 END >= 3 AS fit, CASE WHEN event_id % 11 <> 0 THEN 'title ' || event_id END AS title, ts, CASE WHEN event_id % 3 = 0 THEN 'https://out.test/' || event_id END AS outbound, CASE WHEN event_id % 5 <> 0 THEN event_id % 50 END AS score FROM h),
