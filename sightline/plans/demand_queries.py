@@ -297,6 +297,15 @@ def e13(v):
     return demand.first_family(v.observations, [("both", ["the", "and"]), ("the", ["the"])]).select("obs_id", "family_key")
 
 
+# Each title against the first one of its family and platform.
+@register("e8_family_jaccard", f"""WITH {TOKENS}, h AS (SELECT family_id, platform, arg_min(tk, CAST(substr(obs_id, 2) AS BIGINT)) AS tp FROM o GROUP BY 1, 2), p AS (SELECT obs_id, tk, tp FROM o JOIN h ON o.family_id = h.family_id AND o.platform = h.platform)
+SELECT obs_id, CASE WHEN len(tk) = 0 AND len(tp) = 0 THEN 1.0 WHEN len(tk) = 0 OR len(tp) = 0 THEN 0.0 ELSE len(list_intersect(tk, tp))::DOUBLE / (len(tk) + len(tp) - len(list_intersect(tk, tp))) END::DOUBLE AS similarity FROM p""", rounded=("similarity",))
+def e8_family(v):
+    obs, key = _obs(v), ["family_id", "platform"]
+    first = obs.groupBy(*key).agg(F.min_by("tokens", F.expr("CAST(substr(obs_id, 2) AS BIGINT)")).alias("first"))
+    return obs.join(first, key).select("obs_id", text.jaccard(F.col("tokens"), F.col("first")).alias("similarity"))
+
+
 # Definitions as a table: the two first words of every fifth title; the first one whose words a title contains.
 @register("j18_many_definitions", f"""WITH {TOKENS}, d AS (SELECT CAST(substr(obs_id, 2) AS BIGINT) AS rank, obs_id AS name, list_filter(string_split(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' '), lambda t: length(t) > 1)[1:2] AS words FROM o WHERE CAST(substr(obs_id, 2) AS BIGINT) % 5 = 1 AND len(tk) > 0)
 SELECT obs_id, name AS family FROM (SELECT o.obs_id, arg_min(d.name, d.rank) FILTER (WHERE len(list_filter(d.words, lambda w: NOT contains(o.title, w))) = 0) AS name FROM o LEFT JOIN d ON contains(o.title, d.words[1]) GROUP BY o.obs_id)""")
@@ -371,6 +380,16 @@ def _stored(v, schema, key, buckets=8):
     return CommitTable(spark, f"{shared_folder(spark)}/commits-{uuid.uuid4().hex}", schema, key, buckets)
 
 
+# Orders stored in batches of which the second overlaps the first and the third is the second again: known keys are left out, each commit adds the rest.
+@register("s4_stored_append", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 < 2 THEN 1 ELSE 2 END AS batch FROM orders")
+def s4_stored(v):
+    table = _stored(v, "o_orderkey long, o_orderstatus string, batch long", ["o_orderkey"])
+    for batch, rests in ((1, (0, 1)), (2, (1, 2)), (3, (1, 2))):
+        rows = v.orders.where((F.col("o_orderkey") % 3).isin(*rests)).select("o_orderkey", "o_orderstatus", F.lit(batch).cast("long").alias("batch"))
+        table.transact(lambda stored, rows=rows: rows.join(stored.select("o_orderkey"), "o_orderkey", "left_anti"))
+    return table.read()
+
+
 # Two workers claim runs on one snapshot: the second is told, decides on the new snapshot and gets what is left.
 @register("s7_stored_claims", """WITH stored AS (SELECT run_id, status FROM rank_runs WHERE month_no % 4 <> 1),
 a AS (SELECT r.run_id, CASE WHEN s.run_id IS NULL THEN 'start' WHEN s.status = 'completed' THEN 'skip' ELSE 'resume' END AS action FROM rank_runs r LEFT JOIN stored s ON r.run_id = s.run_id WHERE month_no % 2 = 0 OR month_no % 5 = 0),
