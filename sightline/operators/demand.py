@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions.expr import clamp01, digest_id, freshness, half_up, hours_between
 from sightline.functions.text import jaccard, title_tokens
@@ -22,6 +26,8 @@ SHIP, VALIDATE, MONITOR = 75, 60, 45
 CROSS_POST, SAME, NEAR = 0.78, 0.86, 0.70
 CROSS_HOURS, NEAR_HOURS = 14 * 24, 72
 MATCH_THRESHOLD, STALE = 0.34, 0.5
+#: Different token sets of needles, and of intents, in a block that is compared all with all.
+BLOCK = 20_000
 # What to do about a covered asset, and the order of kinds on ties.
 ACTIONS = {"page": "update_existing_page", "supporting_page": "update_existing_page", "faq": "add_faq", "tool": "create_tool", "troubleshooter": "create_troubleshooter", "product_or_offer": "update_product_or_offer", "support_article": "create_support_article"}
 KINDS = ("page", "product_or_offer", "support_article", "faq", "troubleshooter", "tool", "supporting_page")
@@ -236,36 +242,93 @@ def signal_score(rows: DataFrame, penalty_ceiling: float = 35.0) -> DataFrame:
     return rows.withColumns({"positive_score": half_up("_pos", 2), "penalty_score": half_up("_pen", 2), "priority": half_up("_pri", 2), "confidence": half_up("_sure", 4), "band": band}).drop("_pri", "_sure", "_pos", "_pen")
 
 
-def best_matches(families: DataFrame, assets: DataFrame) -> DataFrame:
+def best_matches(families: DataFrame, assets: DataFrame, block: int = BLOCK) -> DataFrame:
     """(family_id, url, kind, strength, exact, updated) of each family's best asset of its project.
 
     An asset matches if a normal text of the family (language or title) equals its intent, or their
-    similarity reaches the threshold. They meet on a shared token among their rarest (a text of n
-    tokens needs n - ceil(0.34 n) + 1 of them) or on equal texts, not all with all. Ties: exact, then kind, then url. ``families`` have family_id, project_id and
+    similarity reaches the threshold. Ties: exact, then kind, then url. Each different text of a project is matched
+    once: with its equal text, then with its equal set of tokens, which nothing beats. The sets that are
+    left are compared all with all, in blocks of about ``block`` sets of needles by as many of intents: quadratic in different
+    sets of a project, but a set is sent once a block, and memory is bounded by the block. ``families`` have family_id, project_id and
     needles (normal texts), ``assets`` project_id, url, kind, intent (normal) and updated.
     """
-    needles = families.select("family_id", "project_id", F.explode("needles").alias("needle")).where("needle <> ''").withColumn("nt", title_tokens(F.col("needle")))
-    stock = assets.where("intent <> ''").withColumn("at", title_tokens(F.col("intent")))
-    # An equal text has equal tokens; one without tokens of two letters meets by itself.
-    rarity = stock.select("project_id", F.explode("at").alias("k")).groupBy("project_id", "k").agg(F.count(F.lit(1)).alias("df"))
-
-    def keyed(rows: DataFrame, text: str, tokens: str, *ids: str) -> DataFrame:
-        """(project_id, ids, k) of the rarest tokens of each row; the text itself if it has none."""
-        named = rows.where(F.size(tokens) > 0).select("project_id", *ids, F.size(tokens).alias("n"), F.explode(tokens).alias("k")).distinct()
-        by_rarity = Window.partitionBy("project_id", *ids).orderBy(F.coalesce("df", F.lit(0)), "k")
-        ranked = named.join(rarity, ["project_id", "k"], "left").withColumn("_p", F.row_number().over(by_rarity))
-        few = ranked.where(F.col("_p") <= F.col("n") - F.ceil(F.col("n") * F.lit(MATCH_THRESHOLD) - 1e-9) + 1)
-        bare = rows.where(F.size(tokens) == 0).select("project_id", *ids, F.concat(F.lit("="), F.col(text)).alias("k"))
-        return few.select("project_id", *ids, "k").unionByName(bare)
-
-    wanted, offered = keyed(needles, "needle", "nt", "family_id", "needle"), keyed(stock, "intent", "at", "intent")
-    meeting = wanted.join(offered, ["project_id", "k"]).drop("k").distinct()
-    met = meeting.join(stock, ["project_id", "intent"]).withColumn("nt", title_tokens(F.col("needle")))
-    met = met.withColumn("exact", F.col("needle") == F.col("intent")).withColumn("strength", F.when(F.col("exact"), 1.0).otherwise(jaccard(F.col("nt"), F.col("at"))))
-    kind = F.coalesce(F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")), F.lit(99))
-    per_asset = met.where(F.col("exact") | (F.col("strength") >= MATCH_THRESHOLD))
-    window = Window.partitionBy("family_id").orderBy(F.desc("strength"), F.desc("exact"), kind, "url")
-    return per_asset.withColumn("_k", F.row_number().over(window)).where("_k = 1").select("family_id", "url", "kind", "strength", "exact", "updated")
+    project = families.schema["project_id"].dataType
+    place = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")), F.lit(0)), F.lit(99)).cast("int").alias("place")
+    sets = lambda c: F.array_sort(title_tokens(F.col(c))).alias("tokens")
+    needles = families.select("family_id", "project_id", F.explode("needles").alias("needle")).where("needle <> ''")
+    stock = assets.where("intent <> ''").select(F.col("project_id").cast(project).alias("project_id"), "intent", F.struct(place, "url", "kind", "updated").alias("asset"))
+    stock = stock.groupBy("project_id", "intent").agg(F.min("asset").alias("asset"))
+    texts = needles.select("project_id", "needle").distinct().join(stock.withColumnRenamed("intent", "needle").hint("merge"), ["project_id", "needle"], "left")
+    offered = stock.select("project_id", sets("intent"), "asset").where("size(tokens) > 0").groupBy("project_id", "tokens").agg(F.min("asset").alias("asset"))
+    open_ = texts.where("asset IS NULL").select("project_id", "needle", sets("needle")).where("size(tokens) > 0")
+    asked = open_.select("project_id", "tokens").distinct().join(offered.hint("merge"), ["project_id", "tokens"], "left")
+    like = asked.where("asset IS NOT NULL").withColumn("strength", F.lit(1.0))
+    like = like.unionByName(_nearest_sets(asked.where("asset IS NULL").select("project_id", "tokens"), offered, block))
+    like = like.groupBy("project_id", "tokens").agg(F.min(F.struct((-F.col("strength")).alias("order"), "asset")).alias("m"))
+
+    told = lambda order, exact, asset: F.struct(order.alias("order"), F.lit(not exact).alias("apart"), F.col(f"{asset}.place"), F.col(f"{asset}.url"), F.col(f"{asset}.kind"), F.col(f"{asset}.updated")).alias("m")
+    found = texts.where("asset IS NOT NULL").select("project_id", "needle", told(F.lit(-1.0), True, "asset"))
+    found = found.unionByName(open_.join(like.hint("merge"), ["project_id", "tokens"]).select("project_id", "needle", told(F.col("m.order"), False, "m.asset")))
+    best = needles.join(found.hint("merge"), ["project_id", "needle"]).groupBy("family_id").agg(F.min("m").alias("m"))
+    return best.select("family_id", "m.url", "m.kind", (-F.col("m.order")).alias("strength"), (~F.col("m.apart")).alias("exact"), "m.updated")
+
+
+def _nearest_sets(asked: DataFrame, offered: DataFrame, block: int) -> DataFrame:
+    """(project_id, tokens, strength, asset): of each block of offered sets the one nearest to each asked set, if similar enough; of equally near ones that of the first asset."""
+    count = lambda df, name: df.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = count(asked, "rows").join(count(offered, "columns").hint("merge"), "project_id")
+    own = lambda n: F.pmod(F.xxhash64("tokens"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kind = offered.schema["asset"].dataType
+    left = asked.join(sizes.hint("merge"), "project_id").select("project_id", own("rows").alias("i"), every("columns").alias("j"), "tokens", F.lit(None).cast(kind).alias("asset"))
+    right = offered.join(sizes.hint("merge"), "project_id").select("project_id", every("rows").alias("i"), own("columns").alias("j"), "tokens", "asset")
+    both = left.unionByName(right).select("project_id", "i", "j", "tokens", F.col("asset").isNull().alias("asks"), *(F.col(f"asset.{f.name}") for f in kind.fields))
+    names = [f.name for f in kind.fields]
+    schema = T.StructType([asked.schema["project_id"], asked.schema["tokens"], T.StructField("strength", T.DoubleType()), *(T.StructField(f.name, f.dataType) for f in kind.fields)])
+
+    def nearest(table):
+        asks = table.column("asks").to_numpy()
+        x, y = table.filter(pa.array(asks)), table.filter(pa.array(~asks)).sort_by([("place", "ascending"), ("url", "ascending")])
+        if not x.num_rows or not y.num_rows:
+            return table.slice(0, 0).append_column("strength", pa.array([], pa.float64())).select(schema.names)
+        at, column, strength = nearest_sets(x.column("tokens").combine_chunks(), y.column("tokens").combine_chunks())
+        out, assets = x.take(at).select(["project_id", "tokens"]).append_column("strength", pa.array(strength)), y.take(column)
+        for name in names:
+            out = out.append_column(name, assets.column(name))
+        return out
+
+    found = both.groupBy("project_id", "i", "j").applyInArrow(nearest, schema)
+    return found.select("project_id", "tokens", "strength", F.struct(*names).alias("asset"))
+
+
+def nearest_sets(asked: pa.ListArray, offered: pa.ListArray, cells: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of asked sets with the first of the offered sets that are most similar, from ``MATCH_THRESHOLD`` on.
+
+    Common tokens are counted by an index of the offered sets, about ``cells`` matches and pairs at a time.
+    """
+    n, m = (pc.list_value_length(x).to_numpy().astype(np.int64) for x in (asked, offered))
+    codes = pa.concat_arrays([asked.flatten(), offered.flatten()]).dictionary_encode().indices.to_numpy()
+    wanted, held = codes[: n.sum()], codes[n.sum() :]
+    order = np.argsort(held, kind="stable")
+    owner = np.repeat(np.arange(len(m)), m)[order]
+    first = np.searchsorted(held[order], np.arange(codes.max() + 2))
+    matches = (first[1:] - first[:-1])[wanted]
+    ends = np.cumsum(n)
+    load = np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n), matches, len(n)) + len(m))
+    out, start = [], 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(load, (load[start - 1] if start else 0) + cells, "right")))
+        part = slice(ends[start] - n[start], ends[stop - 1])
+        row, k = np.repeat(np.arange(stop - start), n[start:stop]), matches[part]
+        at = np.repeat(first[wanted[part]] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        common = np.bincount(np.repeat(row, k) * len(m) + owner[at], minlength=(stop - start) * len(m)).reshape(-1, len(m))
+        strength = common / (n[start:stop, None] + m - common)
+        best = strength.argmax(1)
+        value = strength[np.arange(stop - start), best]
+        kept = np.flatnonzero(value >= MATCH_THRESHOLD)
+        out.append((kept + start, best[kept], value[kept]))
+        start = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def coverage(families: DataFrame, matches: DataFrame, now: Column, known: Column | None = None) -> DataFrame:
