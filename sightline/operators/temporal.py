@@ -11,6 +11,9 @@ residual test decides, so that long intervals are not cut into many short bins.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -121,3 +124,25 @@ def _spanned(df: DataFrame, on: Sequence[str], span: tuple[str, str | None], sid
     rows = rows.where(F.col(f"{side}_e") > F.col(f"{side}_s"))
     bits = F.length(F.bin(F.col(f"{side}_e") - F.col(f"{side}_s")))  # 2 ** bits is longer than the span
     return rows.withColumn(f"{side}_level", F.ceil(bits / STEP).cast("int"))
+
+
+def quantiles(rows: DataFrame, value: Column, shares: list[str], bins: int = 10_000) -> list[int]:
+    """The smallest long that at least each share of the values doesn't exceed (as SQL's ``quantile_disc``), nulls left out; none of no values.
+
+    Exact at any size: values are counted in at most ``bins`` equal ranges, then again within the range that holds
+    the rank, until it is one value. Shares are decimal texts, so that ranks don't depend on rounding.
+    """
+    values = rows.select(value.cast("long").alias("x")).where("x IS NOT NULL")
+    n, low, high = values.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    found = [(low, high, max(1, math.ceil(n * Fraction(share)))) for share in shares] if n else []
+    while any(a < b for a, b, _ in found):
+        widths = [(b - a) // bins + 1 for a, b, _ in found]
+        inside = F.array(*(F.when(F.col("x").between(a, b), F.struct(F.lit(i).alias("i"), F.expr(f"(x - {a}L) div {w}L").alias("bin"))) for i, ((a, b, _), w) in enumerate(zip(found, widths, strict=True))))
+        counted = values.select(F.explode(F.filter(inside, lambda e: e.isNotNull())).alias("e")).groupBy("e.i", "e.bin").count().collect()  # bins rows a share at most
+        for i, ((a, b, rank), w) in enumerate(zip(found, widths, strict=True)):
+            for k, c in sorted((r["bin"], r["count"]) for r in counted if r["i"] == i):
+                if rank <= c:
+                    found[i] = (a + k * w, min(b, a + k * w + w - 1), rank)
+                    break
+                rank -= c
+    return [a for a, _, _ in found]

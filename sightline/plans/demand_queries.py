@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sightline.functions import expr, text
 from sightline.operators import definitions, demand
 from sightline.operators.incremental import EventStore
+from sightline.operators.temporal import quantiles
 from sightline.plans.registry import register
 from sightline.sources import tables
 from sightline.sources.commits import CommitTable, claim, versioned_updates
@@ -92,8 +93,8 @@ def e12_incremental(v):
 @register("t5_late_evidence", f"WITH RECURSIVE {EVENTS}, cut AS (SELECT quantile_disc(collected_hour, [0.33, 0.66]) AS q FROM observations), b AS (SELECT o.obs_id, CASE WHEN o.collected_hour <= q[1] THEN 0 WHEN o.collected_hour <= q[2] THEN 1 ELSE 2 END AS born FROM o, cut) SELECT s.*, b.born FROM ({STORED}) s JOIN b ON b.obs_id = s.event_anchor")
 def t5_late(v):
     obs = _obs(v)
-    cuts = obs.agg(F.percentile(F.unix_seconds("collected") / 3600, [0.33, 0.66]).alias("q")).first()["q"]
     hour = F.floor(F.unix_seconds("collected") / 3600)
+    cuts = quantiles(obs, hour, ["0.33", "0.66"])
     batch = F.when(hour <= cuts[0], 0).when(hour <= cuts[1], 1).otherwise(2)
     named = obs.select("obs_id", batch.alias("born")).withColumnRenamed("obs_id", "event_anchor")
     return _stored_events(v, batch).join(named, "event_anchor")

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from sightline.operators.temporal import quantiles
 from sightline.plans.registry import register
 from sightline.sources.staging import shared_folder
 from sightline.streaming import ingest, windows
@@ -40,7 +41,7 @@ def _runs(v):
     """The events with the run that brings them: thirds of their time."""
     events = v.events.withColumn("ts", F.col("ts").cast("timestamp"))
     micros = F.unix_micros("ts")
-    cuts = events.agg(F.percentile_approx(micros, [0.33, 0.66], 1_000_000).alias("q")).first()["q"]
+    cuts = quantiles(events, micros, ["0.33", "0.66"])
     if not cuts:
         return events.withColumn("run", F.lit(0))
     return events.withColumn("run", F.when(micros <= cuts[0], 0).when(micros <= cuts[1], 1).otherwise(2))
@@ -93,12 +94,17 @@ CLOSED = " UNION ALL ".join(f"SELECT user_id, s, e, n FROM m{k}, wm WHERE e <= w
 @register("t1_late_sessions", f"WITH {LATE}, {', '.join(_merged(k) for k in range(3))} SELECT user_id, epoch_us(s) AS session_start, epoch_us(e) AS session_end, n FROM ({CLOSED}) t")
 def t1_sessions(v):
     rows = _runs(v).withColumn("run", F.least(F.col("run") + (F.col("event_id") % 10 == 0).cast("int"), F.lit(2)))
+    # Spark's watermarks are whole milliseconds, and rows less than one from them would be dropped or closed otherwise
+    # than by the SQL: a microsecond since the first event is streamed as a millisecond.
+    first = rows.agg(F.min(F.unix_micros("ts"))).first()[0] or 0
+    rows = rows.withColumn("ts", F.timestamp_millis(F.unix_micros("ts") - F.lit(first)))
     spark, columns = rows.sparkSession, ["ts", "user_id"]
-    stream = ingest.Runs(spark, _folder(spark, "sessions"), rows.select(columns).schema, lambda s: windows.sessions(s, GAP, DELAY))
+    stream = ingest.Runs(spark, _folder(spark, "sessions"), rows.select(columns).schema, lambda s: windows.sessions(s, *(t.replace(" ", "000 ") for t in (GAP, DELAY))))
     for k in range(3):
         stream.add(rows.where(F.col("run") == k).select(columns))
     out = stream.result("user_id long, session_start timestamp, session_end timestamp, n long")
-    return out.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
+    micros = lambda c: (F.unix_millis(c) + F.lit(first)).alias(c)
+    return out.select("user_id", micros("session_start"), micros("session_end"), "n")
 
 
 # Purchases with the views of the user in the six hours before, both streamed in the order of time.
