@@ -327,4 +327,6 @@ def category_counts(issues: DataFrame, categories: list[str]) -> DataFrame:
     """Counts by category of a fixed list and severity."""
     listed = issues.sparkSession.createDataFrame([(c,) for c in categories], "category string")
     count = lambda s: F.count(F.when(F.col("severity") == s, 1)).alias(s)
-    return F.broadcast(listed).join(issues, "category", "left").groupBy("category").agg(count("critical"), count("warning"), count("info"))
+    # Counted before the join: the few categories would otherwise bring all issues into one task each.
+    counts = issues.groupBy("category").agg(count("critical"), count("warning"), count("info"))
+    return listed.join(counts, "category", "left").na.fill(0, ["critical", "warning", "info"])
