@@ -41,7 +41,7 @@ def observation_id(platform="platform", connection="connection_id", external="ex
     return digest_id("obs", VERSION, platform, connection, external, url)
 
 
-def candidate_pairs(obs: DataFrame) -> DataFrame:
+def candidate_pairs(obs: DataFrame, every: bool = False) -> DataFrame:
     """(a, b, record_size, url_size, title_size) of a family's rows that could be duplicates: one record id, one canonical url, or similar enough titles near in time.
 
     Groups of equal rows are stars: rows of equal record ids, of equal urls, and of equal titles (as sets of
@@ -56,9 +56,11 @@ def candidate_pairs(obs: DataFrame) -> DataFrame:
     ``obs`` have obs_id, family_id, connection_id, external_id, url_key (null if there is no valid
     url), platform, tokens and published (timestamp). With a boolean column ``fresh``, only pairs that the
     fresh rows add to those of the others are returned: enough to connect them with components that are known.
+    With ``every``, the first rows of the groups of one title are paired as well as those of different ones, all that are near
+    enough in time, where links of neighbours would do to connect them.
     """
     obs = obs if "fresh" in obs.columns else obs.withColumn("fresh", F.lit(True))
-    obs = obs.withColumn("title", F.array_join(F.array_sort("tokens"), " "))
+    obs = obs.select("family_id", "obs_id", "fresh", "connection_id", "external_id", "url_key", "platform", "published", F.array_join(F.array_sort("tokens"), " ").alias("title"))
     none = F.lit(None).cast("long")
     sizes = ("record_size", "url_size", "title_size")
 
@@ -69,11 +71,15 @@ def candidate_pairs(obs: DataFrame) -> DataFrame:
             rows = rows.where(F.col(k).isNotNull())
         known = F.min(F.when(~F.col("fresh"), F.col("obs_id")))
         groups = rows.groupBy("family_id", *keys).agg(F.min("obs_id").alias("a"), F.count(F.lit(1)).alias("size"), known.alias("known")).where("size > 1")
-        stars = rows.join(groups, ["family_id", *keys]).where("obs_id <> a AND (fresh OR obs_id = known)")
+        stars = rows.join(groups.hint("merge"), ["family_id", *keys]).where("obs_id <> a AND (fresh OR obs_id = known)")
         return stars.select("a", F.col("obs_id").alias("b"), *((F.col("size") if s == size else none).alias(s) for s in sizes))
 
     cells = obs.where("published IS NOT NULL").groupBy("family_id", "title", "platform", "published").agg(F.min("obs_id").alias("obs_id"), F.min_by("fresh", "obs_id").alias("fresh"))
-    near = title_links(cells).unionByName(_similar_titles(cells)).where("fresh").select("a", "b", *(none.alias(s) for s in sizes))
+    # A title is named by the first of its rows: what is sorted and joined below are ids, not texts.
+    cells = cells.withColumn("name", F.min("obs_id").over(Window.partitionBy("family_id", "title")))
+    texts = cells.where("obs_id = name").select("family_id", F.col("obs_id").alias("title"), F.split("title", " ").alias("tokens")).where("tokens[0] <> ''")
+    cells = cells.drop("title").withColumnRenamed("name", "title")
+    near = (title_pairs(cells) if every else title_links(cells)).unionByName(_similar_titles(cells, texts)).where("fresh").select("a", "b", *(none.alias(s) for s in sizes))
     pairs = equal("record_size", "connection_id", "external_id").unionByName(equal("url_size", "url_key")).unionByName(equal("title_size", "title", "platform", "published")).unionByName(near)
     return pairs.groupBy("a", "b").agg(*(F.max(s).alias(s) for s in sizes))
 
@@ -91,21 +97,34 @@ def title_links(cells: DataFrame) -> DataFrame:
     return rows.select(F.least("obs_id", "o.obs_id").alias("a"), F.greatest("obs_id", "o.obs_id").alias("b"), (F.col("fresh") | F.col("o.fresh")).alias("fresh")).distinct()
 
 
-def _similar_titles(cells: DataFrame) -> DataFrame:
-    """(a, b, fresh) of the rows of two different titles that are similar by ``NEAR`` or more, within the wider window."""
+def title_pairs(cells: DataFrame) -> DataFrame:
+    """(a, b, fresh): every two rows of one title within the wider window, or on one platform within the narrower."""
+    hours = F.abs(F.unix_seconds("published") - F.unix_seconds("published_y")) / 3600
     timed = cells.withColumn("bucket", F.floor(F.unix_seconds("published") / (CROSS_HOURS * 3600)))
-    titles = timed.where("title <> ''").groupBy("family_id", "title", "bucket").agg(F.bool_or("fresh").alias("fresh"))
-    tokens = titles.withColumn("tokens", F.split("title", " ")).select("family_id", "title", "bucket", "fresh", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    after = timed.select("family_id", "title", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), F.col("bucket").alias("bucket_y"), F.col("obs_id").alias("b"), F.col("platform").alias("platform_y"), F.col("published").alias("published_y"), F.col("fresh").alias("fresh_y"))
+    met = timed.join(after.hint("merge"), ["family_id", "title", "bucket"]).where((F.col("bucket") < F.col("bucket_y")) | (F.col("obs_id") < F.col("b")))
+    met = met.where(hours <= F.when(F.col("platform") == F.col("platform_y"), NEAR_HOURS).otherwise(CROSS_HOURS))
+    return met.select(F.least("obs_id", "b").alias("a"), F.greatest("obs_id", "b").alias("b"), (F.col("fresh") | F.col("fresh_y")).alias("fresh"))
+
+
+def _similar_titles(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, fresh) of the rows of two different titles that are similar by ``NEAR`` or more, within the wider window. ``texts`` have the tokens of each title."""
+    timed = cells.withColumn("bucket", F.floor(F.unix_seconds("published") / (CROSS_HOURS * 3600)))
+    places = timed.groupBy("family_id", "title", "bucket").agg(F.bool_or("fresh").alias("fresh"))
+    tokens = texts.select("family_id", "title", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rarity = tokens.groupBy("family_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(rarity, ["family_id", "token"]).withColumn("k", F.row_number().over(Window.partitionBy("family_id", "title", "bucket").orderBy("df", "token")))
-    prefix = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(NEAR) - 1e-9) + 1).select("family_id", "title", "bucket", "fresh", "n", "token")
+    ranked = tokens.join(rarity.where("df > 1").hint("merge"), ["family_id", "token"], "left").withColumn("k", F.row_number().over(Window.partitionBy("family_id", "title").orderBy(F.coalesce("df", F.lit(1)), "token")))
+    # A token of one title alone takes a place in its prefix, but meets nothing.
+    prefix = ranked.where((F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(NEAR) - 1e-9) + 1) & (F.col("df") > 1)).select("family_id", "title", "n", "token")
+    keyed = prefix.join(places.hint("merge"), ["family_id", "title"])
     side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
-    left, right = side(prefix, "x"), side(prefix.withColumn("near", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1))), "y")
-    met = left.join(right, (F.col("family_id_x") == F.col("family_id_y")) & (F.col("token_x") == F.col("token_y")) & (F.col("bucket_x") == F.col("near_y")) & (F.col("title_x") < F.col("title_y")))
-    met = met.where((F.col("fresh_x") | F.col("fresh_y")) & (F.least("n_x", "n_y") >= F.lit(NEAR) * F.greatest("n_x", "n_y") - 1e-9)).select(F.col("family_id_x").alias("family_id"), "title_x", "bucket_x", "title_y", "bucket_y").distinct()
-    alike = met.where(jaccard(F.split("title_x", " "), F.split("title_y", " ")) >= NEAR)
-    rows = timed.select("family_id", "title", "bucket", "obs_id", "published", "fresh")
-    pairs = alike.join(side(rows, "x").withColumnRenamed("family_id_x", "family_id"), ["family_id", "title_x", "bucket_x"]).join(side(rows, "y").withColumnRenamed("family_id_y", "family_id"), ["family_id", "title_y", "bucket_y"])
+    left, right = side(keyed, "x"), side(keyed.withColumn("near", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1))), "y")
+    met = left.join(right.hint("merge"), (F.col("family_id_x") == F.col("family_id_y")) & (F.col("token_x") == F.col("token_y")) & (F.col("bucket_x") == F.col("near_y")) & (F.col("title_x") < F.col("title_y")))
+    met = met.where((F.col("fresh_x") | F.col("fresh_y")) & (F.least("n_x", "n_y") >= F.lit(NEAR) * F.greatest("n_x", "n_y") - 1e-9)).select("title_x", "bucket_x", "title_y", "bucket_y").distinct()
+    named = texts.select("title", "tokens")
+    alike = met.join(side(named, "x").hint("merge"), "title_x").join(side(named, "y").hint("merge"), "title_y").where(jaccard(F.col("tokens_x"), F.col("tokens_y")) >= NEAR).drop("tokens_x", "tokens_y")
+    rows = timed.select("title", "bucket", "obs_id", "published", "fresh")
+    pairs = alike.join(side(rows, "x").hint("merge"), ["title_x", "bucket_x"]).join(side(rows, "y").hint("merge"), ["title_y", "bucket_y"])
     pairs = pairs.where((F.abs(F.unix_seconds("published_x") - F.unix_seconds("published_y")) <= CROSS_HOURS * 3600))
     return pairs.select(F.least("obs_id_x", "obs_id_y").alias("a"), F.greatest("obs_id_x", "obs_id_y").alias("b"), (F.col("fresh_x") | F.col("fresh_y")).alias("fresh"))
 
@@ -123,12 +142,14 @@ def relation() -> Column:
     )
 
 
-def duplicate_edges(obs: DataFrame) -> DataFrame:
+def duplicate_edges(obs: DataFrame, every: bool = False) -> DataFrame:
     """(a, b, relation, similarity, group_size) of the duplicates: rows of equal records, urls or titles at one time with the
-    first of their group (similarity 1, and the group's size), and the pairs of ``candidate_pairs`` that are related by their titles."""
-    pairs = candidate_pairs(obs)
-    x, y = obs.select(F.col("obs_id").alias("a"), F.struct(*obs.columns).alias("x")), obs.select(F.col("obs_id").alias("b"), F.struct(*obs.columns).alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("similarity", jaccard(F.col("x.tokens"), F.col("y.tokens"))).withColumn("relation", relation())
+    first of their group (similarity 1, and the group's size), and the pairs of ``candidate_pairs`` that are related by their titles.
+    These connect what all pairs would; with ``every`` they are all related pairs of the first rows of groups, of one title or of two."""
+    pairs = candidate_pairs(obs, every)
+    read = F.struct("connection_id", "external_id", "url_key", "platform", "published", "tokens")
+    x, y = obs.select(F.col("obs_id").alias("a"), read.alias("x")), obs.select(F.col("obs_id").alias("b"), read.alias("y"))
+    both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").withColumn("similarity", jaccard(F.col("x.tokens"), F.col("y.tokens"))).withColumn("relation", relation())
     certain = ((F.col("x.connection_id") == F.col("y.connection_id")) & (F.col("x.external_id") == F.col("y.external_id"))) | F.coalesce(F.col("x.url_key") == F.col("y.url_key"), F.lit(False))
     size = F.coalesce("record_size", "url_size", "title_size")
     told = both.where(F.col("relation").isNotNull() & (~certain | size.isNotNull()))

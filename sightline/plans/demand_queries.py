@@ -46,22 +46,20 @@ def _events(v):
 
 
 # Equal records, urls and titles of one platform and time: each row with the first of its group, and the group's size. The first rows
-# of the title groups are linked with their neighbours in time; those of similar titles are paired.
+# of the title groups are paired with each other, whether of one title or of similar ones.
 STARS = """oo AS (SELECT *, array_to_string(list_sort(tk), ' ') AS key FROM o),
 gr AS (SELECT min(obs_id) OVER w AS a, obs_id AS b, count(*) OVER w AS rec_size, NULL::BIGINT AS can_size, NULL::BIGINT AS title_size FROM oo WINDOW w AS (PARTITION BY family_id, connection_id, external_id)
  UNION ALL SELECT min(obs_id) OVER w, obs_id, NULL, count(*) OVER w, NULL FROM oo WHERE canonical_url <> '' WINDOW w AS (PARTITION BY family_id, canonical_url)
  UNION ALL SELECT min(obs_id) OVER w, obs_id, NULL, NULL, count(*) OVER w FROM oo WHERE published_hour IS NOT NULL WINDOW w AS (PARTITION BY family_id, key, platform, published_hour)),
 cells AS (SELECT family_id, key, platform, published_hour, min(obs_id) AS id, any_value(tk) AS tk FROM oo WHERE published_hour IS NOT NULL GROUP BY 1, 2, 3, 4),
-steps AS (SELECT *, CASE WHEN lag(platform) OVER w <> platform THEN lag(id) OVER w END AS back, CASE WHEN lead(platform) OVER w <> platform THEN lead(id) OVER w END AS fore, lag(id) OVER (PARTITION BY family_id, key, platform ORDER BY published_hour) AS same FROM cells WINDOW w AS (PARTITION BY family_id, key ORDER BY published_hour, platform)),
-links AS (SELECT id, unnest([last_value(back IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(fore IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), same]) AS other FROM steps WINDOW w AS (PARTITION BY family_id, key ORDER BY published_hour, platform)),
-cand AS (SELECT a, b, rec_size, can_size, title_size FROM gr WHERE a <> b UNION ALL SELECT least(id, other), greatest(id, other), NULL, NULL, NULL FROM links WHERE other IS NOT NULL
+cand AS (SELECT a, b, rec_size, can_size, title_size FROM gr WHERE a <> b UNION ALL SELECT x.id, y.id, NULL, NULL, NULL FROM cells x JOIN cells y ON x.family_id = y.family_id AND x.key = y.key AND x.id < y.id
  UNION ALL SELECT least(x.id, y.id), greatest(x.id, y.id), NULL, NULL, NULL FROM cells x JOIN cells y ON x.family_id = y.family_id AND x.key < y.key AND abs(x.published_hour - y.published_hour) <= 336 AND len(list_intersect(x.tk, y.tk)) >= 0.7 * (len(x.tk) + len(y.tk) - len(list_intersect(x.tk, y.tk))) WHERE len(x.tk) > 0 AND len(y.tk) > 0),
 stars AS (SELECT a, b, coalesce(max(rec_size), max(can_size), max(title_size)) AS group_size FROM cand GROUP BY a, b)"""
 
 
 @register("e9_j17_duplicate_edges", f"WITH {PAIRS}, {STARS} SELECT a, b, relation, CASE WHEN certain THEN 1.0 ELSE floor(s * 10000::DOUBLE + 0.5::DOUBLE) / 10000 END::DOUBLE AS similarity, group_size::BIGINT AS group_size FROM edges JOIN stars USING (a, b) WHERE relation IS NOT NULL AND (NOT certain OR group_size IS NOT NULL)")
 def e9(v):
-    return demand.duplicate_edges(_obs(v)).select("a", "b", "relation", "similarity", "group_size")
+    return demand.duplicate_edges(_obs(v), every=True).select("a", "b", "relation", "similarity", "group_size")
 
 
 @register("e12_a16_evidence_events", f"WITH RECURSIVE {EVENTS} SELECT family_id, event_anchor, raw_count, array_to_string(source_classes, ',') AS classes, coalesce(array_to_string(geographies, ','), '') AS geographies, first_hour, last_hour, baseline_only FROM ev")
