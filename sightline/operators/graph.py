@@ -30,9 +30,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = 0) -> Da
     for _ in range(MAX_ROUNDS):
         both = current.where("v <> u").unionByName(current.where("v <> u").select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("w"), F.least("v", "m").alias("m"))
-        large = both.join(least, F.col("v") == F.col("w")).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.join(least.hint("merge"), F.col("v") == F.col("w")).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         small_least = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "w")
-        small = large.join(small_least, F.col("v") == F.col("w")).select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("w").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*")
+        small = large.join(small_least.hint("merge"), F.col("v") == F.col("w")).select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("w").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*")
         new = stage(small.where("v <> u").distinct(), "components")
         unstage(current)
         current = new

@@ -45,7 +45,7 @@ class EventStore:
 
     def _latest(self, table: str, schema: str, key: str, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
         rows = self._log(table, schema, before)
-        rows = rows if only is None else rows.join(only, key, "left_semi")
+        rows = rows if only is None else rows.join(only.hint("merge"), key, "left_semi")
         last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "batch").alias("r"))
         return last.select("r.*").drop("batch")
 
@@ -65,7 +65,7 @@ class EventStore:
         if batch in self._done():
             return {}
         names = [f.split()[0] for f in OBSERVATION.split(", ")]
-        fresh = obs.select(*names).dropDuplicates(["obs_id"]).join(self._log("observations", OBSERVATION, batch).select("obs_id"), "obs_id", "left_anti")
+        fresh = obs.select(*names).dropDuplicates(["obs_id"]).join(self._log("observations", OBSERVATION, batch).select("obs_id").hint("merge"), "obs_id", "left_anti")
         self._write("observations", batch, fresh)
         fresh = self.spark.read.schema(OBSERVATION).parquet(f"{self.path}/observations/batch={batch}")
 
@@ -73,23 +73,23 @@ class EventStore:
         both = fresh.withColumn("fresh", F.lit(True)).unionByName(known.withColumn("fresh", F.lit(False)))
         edges = stage(demand.duplicate_edges(both).select("a", "b"), "fresh-edges")
         ends = edges.select(F.explode(F.array("a", "b")).alias("obs_id")).distinct()
-        roots = stage(ends.join(self._latest("members", MEMBER, "obs_id", batch, ends), "obs_id", "left").select("obs_id", F.coalesce("root", "obs_id").alias("root")), "fresh-roots")
+        roots = stage(ends.join(self._latest("members", MEMBER, "obs_id", batch, ends).hint("merge"), "obs_id", "left").select("obs_id", F.coalesce("root", "obs_id").alias("root")), "fresh-roots")
         named = lambda c: roots.select(F.col("obs_id").alias(c), F.col("root").alias(f"root_{c}"))
-        joined = components(edges.join(named("a"), "a").join(named("b"), "b"), "root_a", "root_b", few=FEW)
+        joined = components(edges.join(named("a").hint("merge"), "a").join(named("b").hint("merge"), "b"), "root_a", "root_b", few=FEW)
         moved = stage(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "fresh-components")
 
         # Members of absorbed components, and the batch's own.
         absorbed = moved.where("root <> to")
-        members = self._latest("members", MEMBER, "obs_id", batch, None if absorbed.isEmpty() else self._log("members", MEMBER, batch).join(absorbed, "root", "left_semi").select("obs_id").distinct())
-        again = members.join(absorbed, "root").select("obs_id", F.col("to").alias("root"))
-        own = fresh.select("obs_id", F.col("obs_id").alias("root")).join(moved, "root", "left").select("obs_id", F.coalesce("to", "root").alias("root"))
+        members = self._latest("members", MEMBER, "obs_id", batch, None if absorbed.isEmpty() else self._log("members", MEMBER, batch).join(absorbed.hint("merge"), "root", "left_semi").select("obs_id").distinct())
+        again = members.join(absorbed.hint("merge"), "root").select("obs_id", F.col("to").alias("root"))
+        own = fresh.select("obs_id", F.col("obs_id").alias("root")).join(moved.hint("merge"), "root", "left").select("obs_id", F.coalesce("to", "root").alias("root"))
         self._write("members", batch, own.unionByName(again))
 
         old = self._latest("events", EVENT, "root", batch, moved.select("root")).where("NOT gone").drop("gone")
-        keyed = fresh.join(own.withColumnRenamed("obs_id", "id"), F.col("obs_id") == F.col("id"))
-        parts = demand.event_parts(keyed).unionByName(old.join(moved, "root").withColumn("root", F.col("to")).drop("to"))
+        keyed = fresh.join(own.withColumnRenamed("obs_id", "id").hint("merge"), F.col("obs_id") == F.col("id"))
+        parts = demand.event_parts(keyed).unionByName(old.join(moved.hint("merge"), "root").withColumn("root", F.col("to")).drop("to"))
         merged = demand.merged_parts(parts).withColumn("gone", F.lit(False))
-        gone = old.join(absorbed, "root", "left_semi").withColumn("gone", F.lit(True))
+        gone = old.join(absorbed.hint("merge"), "root", "left_semi").withColumn("gone", F.lit(True))
         self._write("events", batch, merged.unionByName(gone))
         written = {t: self.spark.read.schema(s).parquet(f"{self.path}/{t}/batch={batch}").count() for t, s in (("observations", OBSERVATION), ("members", MEMBER), ("events", EVENT))}
         self._fs.mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done/{batch}"))
@@ -104,8 +104,8 @@ class EventStore:
         """Stored rows that can be duplicates of fresh ones: of an equal record or url, or of their family and within the wider window."""
         bucket = F.floor(F.unix_seconds("published") / _BUCKET)
         times = fresh.where("published IS NOT NULL").select("family_id", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket")).distinct()
-        near = stored.withColumn("_bucket", bucket).join(times, ["family_id", "_bucket"], "left_semi").drop("_bucket")
-        record = stored.join(fresh.select("family_id", "connection_id", "external_id").distinct(), ["family_id", "connection_id", "external_id"], "left_semi")
-        url = stored.join(fresh.select("family_id", "url_key").where("url_key IS NOT NULL").distinct(), ["family_id", "url_key"], "left_semi")
+        near = stored.withColumn("_bucket", bucket).join(times.hint("merge"), ["family_id", "_bucket"], "left_semi").drop("_bucket")
+        record = stored.join(fresh.select("family_id", "connection_id", "external_id").distinct().hint("merge"), ["family_id", "connection_id", "external_id"], "left_semi")
+        url = stored.join(fresh.select("family_id", "url_key").where("url_key IS NOT NULL").distinct().hint("merge"), ["family_id", "url_key"], "left_semi")
         columns = stored.columns
         return near.select(columns).unionByName(record.select(columns)).unionByName(url.select(columns)).dropDuplicates(["obs_id"])
