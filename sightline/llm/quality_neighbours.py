@@ -37,6 +37,8 @@ REPEATED, SEEN = 16**3, 16**3 + 1
 WORDS, WORD_SHARE = 1 << 12, 0.25
 SHAPE = 16**3 + 2
 TERMS = SHAPE + WORDS
+#: Documents measured together: the terms and the cosines of a block take about 10 MB.
+BLOCK = 64
 
 
 def term_frequencies(data: bytes) -> np.ndarray:
@@ -79,7 +81,7 @@ class NeighbourModel:
     def latent(self, terms: np.ndarray) -> np.ndarray:
         return _unit(terms @ self.projection)
 
-    def votes(self, terms: np.ndarray, block: int = 256) -> np.ndarray:
+    def votes(self, terms: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """Scores of documents given as rows of term frequencies; the prior where no neighbour has a say."""
         out = np.full(len(terms), self.prior)
         k = min(self.neighbours, len(self.labels))
@@ -181,7 +183,7 @@ def score_documents(df: DataFrame, model: NeighbourModel, text: str = "text", sc
         for whole in batches:
             for batch in split_batch(whole, text):
                 texts = byte_values(batch.column(text))
-                found = [fitted.votes(np.stack([term_frequencies(x) for x in texts[i : i + 256]])) for i in range(0, len(texts), 256)]
+                found = [fitted.votes(np.stack([term_frequencies(x) for x in texts[i : i + BLOCK]])) for i in range(0, len(texts), BLOCK)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], names=[*batch.schema.names, score])
 
     return df.mapInArrow(lambda b: give_back(measure(b)), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import KEPT, bound_batches, give_back, split_batch
+from sightline.llm.common import bound_batches, give_back, keep, split_batch
 
 MARK = "▁"
 #: Words kept by a Python worker, about 250 bytes each; beyond that the memo starts afresh.
@@ -183,8 +183,9 @@ class MergeVocabulary:
 
 
 def _loaded(model) -> MergeVocabulary:
-    """The vocabulary of a broadcast model, kept from task to task."""
+    """The vocabulary of a broadcast model and its memo, kept from task to task until another operator runs in the worker."""
     key = model.value
+    keep("sentencepiece", _LOADED.clear)
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = MergeVocabulary(key)
@@ -215,7 +216,6 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", ids: st
     def encode(batches):
         vocab = _loaded(model)
         vocab.memo_words = memo_words
-        KEPT["sentencepiece"] = vocab.forget
         end = [vocab.eos] if end_id else []
         for whole in batches:
             first = True
